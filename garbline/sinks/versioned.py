@@ -1,0 +1,46 @@
+"""Versioned table sets: a job's output tables appear together or not at all.
+
+Each version is a directory with one Parquet directory per table. A version counts once
+its row is in the log, which is appended after all its tables are written.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
+
+LOG_SCHEMA = "version BIGINT, tables STRING"
+
+
+def versions(spark: SparkSession, root: str) -> DataFrame:
+    try:
+        return spark.read.schema(LOG_SCHEMA).parquet(f"{root}/_log")
+    except AnalysisException:
+        return spark.createDataFrame([], LOG_SCHEMA)
+
+
+def latest_version(spark: SparkSession, root: str) -> int | None:
+    return versions(spark, root).agg(F.max("version")).first()[0]
+
+
+def write_version(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> int:
+    """Write ``tables`` as the next version and return its number."""
+    last = latest_version(spark, root)
+    number = 1 if last is None else last + 1
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{root}/v{number}/{name}")
+    entry = spark.createDataFrame([(number, ",".join(sorted(tables)))], LOG_SCHEMA)
+    entry.coalesce(1).write.mode("append").parquet(f"{root}/_log")
+    return number
+
+
+def read_version(spark: SparkSession, root: str, table: str, version: int | None = None) -> DataFrame:
+    """``table`` as of ``version``, by default the newest version that holds it."""
+    log = versions(spark, root).where(F.array_contains(F.split("tables", ","), table))
+    if version is not None:
+        log = log.where(F.col("version") <= version)
+    number = log.agg(F.max("version")).first()[0]
+    if number is None:
+        raise ValueError(f"no version of {table} under {root}")
+    return spark.read.parquet(f"{root}/v{number}/{table}")
