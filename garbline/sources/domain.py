@@ -235,16 +235,16 @@ class DomainTables:
 
     @cached_property
     def supervisor_delegations(self) -> DataFrame:
-        # try_make_date: the optimizer may evaluate a date predicate for staff ids (below 0) too.
+        # pmod: the optimizer may carry a date predicate over to staff ids, which are below 0.
         key, m = F.col("s_suppkey"), F.col("m")
-        year = (key % 4 + 1996).cast("int")
+        year = (F.pmod(key, F.lit(4)) + 1996).cast("int")
         return conform(
             self.supplier.select("s_suppkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("m")).select(
                 (key * 2 + m).alias("id"),
                 key.alias("from_supervisor_id"),
                 ((key + m + 1) % self.n_supervisors).alias("to_supervisor_id"),
-                F.try_make_date(year, (key % 12 + 1).cast("int"), F.lit(1)).alias("start_date"),
-                F.try_make_date(year + m, F.lit(12), F.lit(31)).alias("end_date"),
+                F.make_date(year, (F.pmod(key, F.lit(12)) + 1).cast("int"), F.lit(1)).alias("start_date"),
+                F.make_date(year + m, F.lit(12), F.lit(31)).alias("end_date"),
             ),
             "supervisor_delegations",
         )
@@ -263,9 +263,11 @@ class DomainTables:
                 (doc % self.n_supervisors).alias("created_by"),
                 choose(F.col("lang"), AUDIENCE_OF_LANG, "admin").alias("target_role"),
                 "pinned",
-                F.try_make_date(F.lit(2024), (doc % 12 + 1).cast("int"), (doc % 28 + 1).cast("int")).alias(
-                    "created_at"
-                ),
+                F.make_date(
+                    F.lit(2024),
+                    (F.pmod(doc, F.lit(12)) + 1).cast("int"),
+                    (F.pmod(doc, F.lit(28)) + 1).cast("int"),
+                ).alias("created_at"),
             ),
             "news_posts",
         )
