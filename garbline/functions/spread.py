@@ -32,7 +32,7 @@ def left_join_spread_nulls(
 
 def heavy_keys(df: DataFrame, keys: list[str], share: int = HEAVY_SHARE) -> DataFrame:
     """Keys that hold more than ``1/share`` of the rows: never more than ``share`` rows."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
     return counts.where(F.col("_n") * share > total).select(*keys)
 
@@ -65,7 +65,7 @@ def number_rows(df: DataFrame, order: list[Column], name: str, start: int | Colu
     placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn(
         "_pos", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     )
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     first = start if isinstance(start, Column) else F.lit(start)

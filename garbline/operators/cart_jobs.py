@@ -87,7 +87,7 @@ def bulk_order(orders: DataFrame, workers: DataFrame, lines: DataFrame, t) -> tu
         lines.select("order_id"), "order_id", "left_semi"
     )
     # The total needs no pairing: the order's lines sum, times its workers.
-    heads = workers.groupBy("order_id").agg(F.count(F.lit(1)).alias("_workers"))
+    heads = workers.groupBy("order_id").agg(F.count("*").alias("_workers"))
     sums = priced.groupBy("order_id").agg(F.sum(F.col("quantity") * F.col("price_at_time")).alias("_sum"))
     carts = (
         filled.join(heads, "order_id")

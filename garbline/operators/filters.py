@@ -34,7 +34,7 @@ def visible_orders(carts: DataFrame, viewer_id: int, role: str, supervisor: int
 def visible_order_counts(carts: DataFrame, users: DataFrame) -> DataFrame:
     """What every user can see: number and value of visible orders, by the same rule."""
     own = carts.groupBy("supervisor_id").agg(
-        F.count(F.lit(1)).alias("orders"), F.sum("total_price").alias("value")
+        F.count("*").alias("orders"), F.sum("total_price").alias("value")
     )
     scoped = own.select(F.col("supervisor_id").alias("scope"), "orders", "value")
     everything = own.agg(F.sum("orders").alias("orders"), F.sum("value").alias("value"))
@@ -111,7 +111,7 @@ def low_stock(
 
 
 def low_stock_count(skus: DataFrame, threshold: int = LOW_STOCK) -> DataFrame:
-    return skus.where(F.col("stock") <= threshold).agg(F.count(F.lit(1)).alias("low_stock"))
+    return skus.where(F.col("stock") <= threshold).agg(F.count("*").alias("low_stock"))
 
 
 def stock_bands(skus: DataFrame, products: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def cancellable(carts: DataFrame, viewer: int, role: str, rule: str) -> DataFram
 def out_of_stock_products(products: DataFrame, skus: DataFrame) -> DataFrame:
     """Products that have sizes, none of which has stock; with their orderable-size count."""
     state = skus.groupBy("product_id").agg(
-        F.count(F.lit(1)).alias("sizes"),
+        F.count("*").alias("sizes"),
         F.count_if(F.col("stock") != 0).alias("orderable_sizes"),
         F.bool_or(F.col("stock") > 0).alias("in_stock"),
     )

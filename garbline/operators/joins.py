@@ -158,13 +158,13 @@ def unread_counts(posts: DataFrame, reads: DataFrame, users: DataFrame) -> DataF
     Counted per target role, so no user-by-post pairs arise.
     """
     targets = posts.select(F.col("id").alias("post_id"), "target_role")
-    sizes = targets.groupBy("target_role").agg(F.count(F.lit(1)).alias("n"))
+    sizes = targets.groupBy("target_role").agg(F.count("*").alias("n"))
     for_all = F.coalesce(sizes.where(F.col("target_role") == "all").select("n").scalar(), F.lit(0))
     viewers = users.select(F.col("id").alias("user_id"), "system_role")
     seen = (
         reads.join(targets, "post_id")
         .groupBy("user_id", "target_role")
-        .agg(F.count(F.lit(1)).alias("n_read"))
+        .agg(F.count("*").alias("n_read"))
         .join(viewers, "user_id")
         .where(F.col("target_role").isin("all") | (F.col("target_role") == F.col("system_role")))
         .groupBy("user_id")
@@ -221,7 +221,7 @@ def eligibility(team: DataFrame, links: DataFrame, roles: DataFrame) -> DataFram
     staffed = (
         team.where(F.col("job_role_id").isNotNull())
         .groupBy("job_role_id")
-        .agg(F.count(F.lit(1)).alias("workers"))
+        .agg(F.count("*").alias("workers"))
     )
     own = (
         links.join(everyone, "product_id", "left_anti")
@@ -232,7 +232,7 @@ def eligibility(team: DataFrame, links: DataFrame, roles: DataFrame) -> DataFram
         F.lit("everyone").alias("reach"),
         F.lit(None).cast("bigint").alias("job_role_id"),
         "product_id",
-        team.agg(F.count(F.lit(1))).scalar().alias("workers"),
+        team.agg(F.count("*")).scalar().alias("workers"),
     )
     return own.unionByName(shared)
 
@@ -311,9 +311,9 @@ def worker_history(t, worker: int | None = None) -> DataFrame:
         items = items.where(F.col("team_member_id") == worker)
         garments = garments.where(F.col("team_member_id") == worker)
     key = ["product_size_id", "team_member_id"]
-    lines = items.groupBy(*key, "cart_id", "quantity").agg(F.count(F.lit(1)).alias("_lines"))
+    lines = items.groupBy(*key, "cart_id", "quantity").agg(F.count("*").alias("_lines"))
     states = garments.groupBy(*key, F.col("status").alias("uniform_status")).agg(
-        F.count(F.lit(1)).alias("_garments")
+        F.count("*").alias("_garments")
     )
     orders = t.order_carts.select(
         F.col("id").alias("cart_id"), F.col("created_at").alias("order_date"), "status"

@@ -20,7 +20,7 @@ def nest(
     A group of up to ``page_items`` children is page 0. A larger one is dealt out by hash
     into as many pages as keep each near that size, so no row has to hold a hot group.
     """
-    counts = children.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    counts = children.groupBy(key).agg(F.count("*").alias("_n"))
     large = counts.where(F.col("_n") > page_items).select(
         key, F.ceil(F.col("_n") / page_items).cast("bigint").alias("_pages")
     )

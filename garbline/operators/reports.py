@@ -28,7 +28,6 @@ from garbline.schemas import (
     STOCK_CUTS,
 )
 
-ONE = F.lit(1)
 
 
 def _zero(name: str) -> Column:
@@ -78,7 +77,7 @@ def order_list(t, carts: DataFrame | None = None) -> DataFrame:
         F.col("id").alias("cart_id"), "status", "created_at", "total_price", "supervisor_name", "worker_name",
         "employee_number",
     )
-    counts = t.order_items.groupBy("cart_id").agg(F.count(ONE).alias("item_count"))
+    counts = t.order_items.groupBy("cart_id").agg(F.count("*").alias("item_count"))
     unnamed = headed.where(F.col("worker_name").isNull()).select("cart_id")
     pairs = (
         t.order_items.where(F.col("team_member_id").isNotNull())
@@ -163,7 +162,7 @@ def delegated_team_sizes(t, as_of: dt.date, supervisor: int | None = None) -> Da
 
 
 def team_size(team: DataFrame) -> DataFrame:
-    return team.groupBy("supervisor_id").agg(F.count(ONE).alias("team_size"))
+    return team.groupBy("supervisor_id").agg(F.count("*").alias("team_size"))
 
 
 def delegated_team_size(team: DataFrame, delegations: DataFrame, as_of: dt.date) -> DataFrame:
@@ -174,7 +173,7 @@ def delegated_team_size(team: DataFrame, delegations: DataFrame, as_of: dt.date)
 
 def active_orders(carts: DataFrame) -> DataFrame:
     return carts.where(F.col("status").isin(*ACTIVE_STATUSES)).groupBy("supervisor_id").agg(
-        F.count(ONE).alias("active_orders")
+        F.count("*").alias("active_orders")
     )
 
 
@@ -183,14 +182,14 @@ def admin_kpis(t) -> DataFrame:
     status, role = F.col("status"), F.col("system_role")
     parts = [
         t.users.agg(
-            F.count(ONE).alias("users_count"),
+            F.count("*").alias("users_count"),
             F.count_if(role == "supervisor").alias("supervisor_count"),
             F.count_if(role == "admin").alias("admin_count"),
         ),
-        t.team_members.agg(F.count(ONE).alias("team_count")),
-        t.products.agg(F.count(ONE).alias("product_count")),
+        t.team_members.agg(F.count("*").alias("team_count")),
+        t.products.agg(F.count("*").alias("product_count")),
         t.order_carts.agg(
-            F.count(ONE).alias("orders_count"),
+            F.count("*").alias("orders_count"),
             F.count_if(status.isin(*PENDING_STATUSES)).alias("pending_orders"),
             F.count_if(status == "completed").alias("total_orders"),
         ),
@@ -204,7 +203,7 @@ def admin_kpis(t) -> DataFrame:
 
 def supervisor_dashboard(t, as_of: dt.date) -> DataFrame:
     """One row per supervisor: active orders, team, budget use and band, garments listed (at most 10)."""
-    garments = t.user_uniforms.groupBy(F.col("team_member_id").alias("id")).agg(F.count(ONE).alias("n"))
+    garments = t.user_uniforms.groupBy(F.col("team_member_id").alias("id")).agg(F.count("*").alias("n"))
     listed = (
         garments.join(t.team_members.select("id", "supervisor_id"), "id")
         .groupBy("supervisor_id")
@@ -253,7 +252,7 @@ def revenue_by_month(carts: DataFrame) -> DataFrame:
     done = carts.where(F.col("status") == "completed")
     month = F.date_trunc("month", "created_at").cast("date").alias("month")
     return done.groupBy(month).agg(
-        F.sum("total_price").cast("double").alias("revenue"), F.count(ONE).alias("orders")
+        F.sum("total_price").cast("double").alias("revenue"), F.count("*").alias("orders")
     )
 
 
@@ -289,7 +288,7 @@ def top_products(items: DataFrame, skus: DataFrame, products: DataFrame, k: int
 
 
 def value_counts(df: DataFrame, *columns: str, name: str = "count") -> DataFrame:
-    return df.groupBy(*columns).agg(F.count(ONE).alias(name))
+    return df.groupBy(*columns).agg(F.count("*").alias(name))
 
 
 def size_frequency(sizes: DataFrame) -> DataFrame:
@@ -402,7 +401,7 @@ def return_counts(garments: DataFrame) -> DataFrame:
     reason = F.col("return_reason")
     named = [r for r in RETURN_BUTTONS if r != "other"]
     return returned.agg(
-        F.count(ONE).alias("total"),
+        F.count("*").alias("total"),
         *[F.count_if(reason == r).alias(r) for r in named],
         F.count_if(~reason.isin(*named)).alias("other"),
     )

@@ -86,7 +86,7 @@ def restock(skus: DataFrame, returns: DataFrame) -> DataFrame:
     back = (
         returns.where(counts)
         .groupBy(F.col("product_size_id").alias("id"))
-        .agg(F.count(F.lit(1)).alias("_back"))
+        .agg(F.count("*").alias("_back"))
     )
     return skus.join(back, "id", "left").withColumn(
         "stock", (F.col("stock") + F.coalesce("_back", F.lit(0))).cast("int")

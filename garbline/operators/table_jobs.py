@@ -88,12 +88,12 @@ def merge_delegations(
 def toggle_state(clicks: DataFrame, keys: list[str], base: DataFrame | None = None) -> DataFrame:
     """Keys that are on: an odd number of clicks, counting one for keys that were on before."""
     rows = clicks.select(*keys) if base is None else clicks.select(*keys).union(base.select(*keys))
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") % 2 == 1).drop("_n")
+    return rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") % 2 == 1).drop("_n")
 
 
 def toggle_pins(posts: DataFrame, clicks: DataFrame) -> DataFrame:
     """Posts with ``pinned`` flipped once per click (``post_id``); NULL counts as 0."""
-    flips = clicks.groupBy(F.col("post_id").alias("id")).agg((F.count(F.lit(1)) % 2 == 1).alias("_flip"))
+    flips = clicks.groupBy(F.col("post_id").alias("id")).agg((F.count("*") % 2 == 1).alias("_flip"))
     pinned = F.coalesce((F.col("pinned") != 0).cast("int"), F.lit(0))
     value = F.when(F.col("_flip").isNull(), F.col("pinned")).when(F.col("_flip"), 1 - pinned).otherwise(pinned)
     return posts.join(flips, "id", "left").withColumn("pinned", value).select(*posts.columns)
@@ -215,8 +215,8 @@ def guard_user_deletes(users: DataFrame, requests: DataFrame) -> tuple[DataFrame
         .join(people, "user_id")
     )
     admins = valid.where(F.col("system_role") == "admin")
-    asked = admins.agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"))
-    total = users.where(F.col("system_role") == "admin").agg(F.count(F.lit(1))).scalar()
+    asked = admins.agg(F.count("*").alias("n"), F.max("seq").alias("last"))
+    total = users.where(F.col("system_role") == "admin").agg(F.count("*")).scalar()
     keep_one = (
         (F.col("system_role") == "admin")
         & (asked.select("n").scalar() >= total)

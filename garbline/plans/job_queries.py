@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from garbline.operators import cart_jobs, status_jobs, table_jobs
 from garbline.plans.registry import AS_OF, query
 from garbline.plans.views import add_view
+from garbline.sources.events import status_commands
 
 # ---------------------------------------------------------------------------
 # Request batches: a Spark form and the same rows as an oracle view.
@@ -69,15 +70,6 @@ def submissions(t):
     )
 
 
-# Which event stands for which status command.
-COMMAND_OF_EVENT = {
-    "signup": "created",
-    "click": "submitted",
-    "view": "packed",
-    "purchase": "completed",
-    "error": "cancelled",
-}
-
 add_view(
     "commands",
     """
@@ -88,13 +80,6 @@ FROM events""",
 )
 
 
-def commands(events):
-    kind, chain = F.col("event_type"), None
-    for event, command in COMMAND_OF_EVENT.items():
-        chain = F.when(kind == event, command) if chain is None else chain.when(kind == event, command)
-    return events.select(F.col("user_id").alias("order_id"), "ts", "event_id", chain.alias("command"))
-
-
 add_view(
     "garment_returns",
     """
@@ -321,7 +306,7 @@ GROUP BY 1""",
 )
 def cart_rejects(t):
     _, _, rejects = cart_jobs.add_to_carts(cart_requests(t), t, AS_OF)
-    return rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("requests"))
+    return rejects.groupBy("reason").agg(F.count("*").alias("requests"))
 
 
 def _bulk(t):
@@ -481,7 +466,7 @@ FROM order_carts oc LEFT JOIN (
 @query("status_fold", _FOLD)
 def status_fold(t):
     before = t.order_carts.select("id", "status", F.col("status").alias("status_before"))
-    return status_jobs.apply_status(before, commands(t.events)).select("id", "status_before", "status")
+    return status_jobs.apply_status(before, status_commands(t.events)).select("id", "status_before", "status")
 
 
 @query(
@@ -711,7 +696,7 @@ def _summary(tables, keys):
     rows = None
     for name, df in tables.items():
         row = df.agg(
-            F.count(F.lit(1)).alias("rows_left"),
+            F.count("*").alias("rows_left"),
             F.sum(keys.get(name, "id")).cast("bigint").alias("key_sum"),
         ).select(F.lit(name).alias("table_name"), "rows_left", "key_sum")
         rows = row if rows is None else rows.unionByName(row)

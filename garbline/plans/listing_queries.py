@@ -192,10 +192,10 @@ SELECT 'reason', reason,
 FROM (SELECT replace(status, 'returned_', '') AS reason FROM user_uniforms) GROUP BY reason""",
 )
 def status_labels(t):
-    orders = t.order_carts.groupBy(F.col("status").alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    garments = t.user_uniforms.groupBy(F.col("status").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    orders = t.order_carts.groupBy(F.col("status").alias("code")).agg(F.count("*").alias("n"))
+    garments = t.user_uniforms.groupBy(F.col("status").alias("code")).agg(F.count("*").alias("n"))
     reasons = flt.garment_state(t.user_uniforms, "team").groupBy(F.col("return_reason").alias("code")).agg(
-        F.count(F.lit(1)).alias("n")
+        F.count("*").alias("n")
     )
     code = F.col("code")
     parts = [("order", orders, status_label(code)), ("garment", garments, words_label(code)),

@@ -41,7 +41,7 @@ def catalogue(
     chosen = job_role if job_role is not None else worker_role
     shown = catalogue_products(t, role, viewer_role_id, chosen, search)
     stock = t.product_sizes.groupBy("product_id").agg(
-        F.count(F.lit(1)).alias("size_count"), F.sum("stock").alias("total_stock")
+        F.count("*").alias("size_count"), F.sum("stock").alias("total_stock")
     )
     rows = shown.join(stock.withColumnRenamed("product_id", "id"), "id", "left")
     if worker is None:

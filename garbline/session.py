@@ -35,6 +35,7 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         SparkSession.builder.master(f"local[{cores}]")
         .appName("garbline")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
     )

@@ -47,7 +47,7 @@ class DomainTables:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
     def _count(self, name: str) -> Column:
-        return self.raw(name).agg(F.count(F.lit(1))).scalar()
+        return self.raw(name).agg(F.count("*")).scalar()
 
     @cached_property
     def n_supervisors(self) -> Column:
@@ -293,7 +293,7 @@ class DomainTables:
 
     @cached_property
     def news_likes(self) -> DataFrame:
-        clicks = self.news_like_clicks.groupBy("post_id", "user_id").agg(F.count(F.lit(1)).alias("n"))
+        clicks = self.news_like_clicks.groupBy("post_id", "user_id").agg(F.count("*").alias("n"))
         return conform(clicks.where(F.col("n") % 2 == 1), "news_likes")
 
     @cached_property
