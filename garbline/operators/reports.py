@@ -312,16 +312,20 @@ def orders_by_supervisor(carts: DataFrame, users: DataFrame) -> DataFrame:
     return counts.join(names, "supervisor_id").select("supervisor_id", "full_name", "total")
 
 
+# Whole days that 28-digit arithmetic shows as one less.
+SHORT_DAYS = [1, 4, 7, 10]
+
+
 def days_of_stock(stock: Column, sold: Column) -> Column:
     """Whole days the stock lasts at ``sold`` units in 30 days, cut toward zero.
 
-    The rule is defined on 28-digit decimals, where a quotient ending in repeating 3s
-    stays just short of its whole number. That happens exactly when the whole number is
-    1 more than a multiple of 3, which then shows one day less.
+    The rule is defined on 28-digit decimals: stock / sold is rounded, then multiplied by
+    30. Where the true result is a whole number below, the rounded quotient ends in 3s and
+    its product stays just short of that number.
     """
     scaled = stock.cast("bigint") * 30
     whole = F.call_function("div", scaled, sold)
-    short = (scaled % sold == 0) & (F.abs(whole) % 3 == 1)
+    short = (scaled % sold == 0) & F.abs(whole).isin(*SHORT_DAYS)
     return F.when(short, whole - F.signum(whole.cast("double")).cast("bigint")).otherwise(whole)
 
 

@@ -148,22 +148,21 @@ def load_products(base: DataFrame, incoming: DataFrame) -> SimpleNamespace:
     rows = incoming.withColumns(
         {c: F.trim(F.coalesce(c, F.lit(""))) for c in ("article_number", "name")}
     )
-    for key, reason in (("name", "name exists"), ("article_number", "article number exists")):
-        taken = base.select(key, F.lit(reason).alias(f"_{key}")).distinct()
+    for key in ("name", "article_number"):
+        taken = base.select(key, F.lit(True).alias(f"_base_{key}")).distinct()
         rows = rows.join(taken, key, "left")
-    rows = rows.withColumn("reason", F.coalesce("_name", "_article_number")).drop("_name", "_article_number")
-    fresh = accept_first(
-        rows.where(F.col("reason").isNull()).drop("reason"), "seq", ["name", "article_number"]
-    )
+    in_base = F.coalesce("_base_name", "_base_article_number").isNotNull()
+    fresh = accept_first(rows.where(~in_base), "seq", ["name", "article_number"])
     won = fresh.where("accepted").drop("accepted")
-    late = fresh.where(~F.col("accepted")).drop("accepted")
-    same_name = won.select("name", F.col("seq").alias("_by")).distinct()
-    late = late.join(same_name, "name", "left").withColumn(
-        "reason", F.when(F.col("_by") < F.col("seq"), "name exists").otherwise("article number exists")
-    )
-    rejects = (
-        rows.where(F.col("reason").isNotNull()).select("seq", "name", "article_number", "reason")
-        .unionByName(late.select("seq", "name", "article_number", "reason"))
+    # Accepted names are unique, so this join keeps the rows as they are.
+    namesakes = won.select("name", F.col("seq").alias("_by"))
+    refused = rows.join(won.select("seq"), "seq", "left_anti").join(namesakes, "name", "left")
+    same_name = F.col("_base_name").isNotNull() | F.coalesce(F.col("_by") < F.col("seq"), F.lit(False))
+    rejects = refused.select(
+        "seq",
+        "name",
+        "article_number",
+        F.when(same_name, "name exists").otherwise("article number exists").alias("reason"),
     )
     numeric = dict(base.dtypes)["id"] != "string"
     start = next_id(base) if numeric else F.lit(1)

@@ -595,24 +595,22 @@ def size_unpivot(t):
 @query(
     "product_load",
     """
-WITH RECURSIVE fresh AS (
-  SELECT i.*, row_number() OVER (ORDER BY seq) AS step FROM incoming_products i
-  WHERE name NOT IN (SELECT name FROM products) AND article_number NOT IN (SELECT article_number FROM products)),
+WITH RECURSIVE steps AS (
+  SELECT seq, name, article_number, row_number() OVER (ORDER BY seq) AS step,
+         name IN (SELECT name FROM products) AS old_name,
+         article_number IN (SELECT article_number FROM products) AS old_article
+  FROM incoming_products),
 sim(step, seq, outcome, names, articles) AS (
   SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), '', CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])
   UNION ALL
-  SELECT f.step, f.seq,
-         CASE WHEN list_contains(s.names, f.name) THEN 'name exists'
-              WHEN list_contains(s.articles, f.article_number) THEN 'article number exists' ELSE 'loaded' END,
-         CASE WHEN list_contains(s.names, f.name) OR list_contains(s.articles, f.article_number) THEN s.names
-              ELSE list_append(s.names, f.name) END,
-         CASE WHEN list_contains(s.names, f.name) OR list_contains(s.articles, f.article_number) THEN s.articles
-              ELSE list_append(s.articles, f.article_number) END
-  FROM sim s JOIN fresh f ON f.step = s.step + 1)
-SELECT i.seq, i.name, i.article_number,
-       coalesce(sim.outcome, CASE WHEN i.name IN (SELECT name FROM products) THEN 'name exists'
-                                  ELSE 'article number exists' END) AS outcome
-FROM incoming_products i LEFT JOIN sim ON sim.seq = i.seq""",
+  SELECT step, seq, outcome, CASE WHEN outcome = 'loaded' THEN list_append(names, name) ELSE names END,
+         CASE WHEN outcome = 'loaded' THEN list_append(articles, article_number) ELSE articles END
+  FROM (SELECT f.step, f.seq, f.name, f.article_number, s.names, s.articles,
+               CASE WHEN f.old_name OR list_contains(s.names, f.name) THEN 'name exists'
+                    WHEN f.old_article OR list_contains(s.articles, f.article_number) THEN 'article number exists'
+                    ELSE 'loaded' END AS outcome
+        FROM sim s JOIN steps f ON f.step = s.step + 1))
+SELECT i.seq, i.name, i.article_number, sim.outcome FROM incoming_products i JOIN sim ON sim.seq = i.seq""",
 )
 def product_load(t):
     incoming = incoming_products(t)

@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import pytest
 
 from garbline.schemas import SCHEMAS
@@ -46,7 +48,7 @@ def sample(spark):
         product_sizes=[{"id": 1, "product_id": "p", "size": "S"}],
         order_carts=[{"id": 1, "supervisor_id": 1, "status": "completed", "created_at": at("2024-05-01 10:11:12")},
                      {"id": 2, "supervisor_id": 1, "status": "created", "created_at": at("2024-05-02")}],
-        order_items=[{"cart_id": 1, "product_size_id": 1, "quantity": 2, "price_at_time": 3}],
+        order_items=[{"cart_id": 1, "product_size_id": 1, "quantity": 2, "price_at_time": Decimal("3.00")}],
     )
 
 
