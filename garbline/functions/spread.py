@@ -12,10 +12,10 @@ HEAVY_SHARE = 1000
 CHUNK = 100_000
 
 
-def left_join_spread_nulls(
-    left: DataFrame, right: DataFrame, left_key: str, right_key: str, by: list[str]
+def join_spread_nulls(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, by: list[str], how: str = "left"
 ) -> DataFrame:
-    """Left equi-join whose NULL keys are dealt out by the columns ``by``.
+    """Left (or left anti) equi-join whose NULL keys are dealt out by the columns ``by``.
 
     NULL matches nothing, but a plain shuffle sends all NULL rows to one task. A second
     join column, 0 for real keys on both sides, gives them ``SPREAD`` places instead. The
@@ -27,7 +27,7 @@ def left_join_spread_nulls(
     matched = (left_side[left_key] == right_side[right_key]) & (
         left_side["_place"] == right_side["_home"]
     )
-    return left_side.join(right_side, matched, "left").drop("_place", "_home")
+    return left_side.join(right_side, matched, how).drop("_place", "_home")
 
 
 def heavy_keys(df: DataFrame, keys: list[str], share: int = HEAVY_SHARE) -> DataFrame:

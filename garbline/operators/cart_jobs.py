@@ -7,8 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from garbline.functions.spread import CHUNK, number_rows, sum_before
-from garbline.operators.joins import effective_team, with_price
+from garbline.functions.spread import CHUNK, join_spread_nulls, number_rows, sum_before
+from garbline.operators.joins import acting_pairs, with_price
 from garbline.operators.reports import derive_cart_worker, month_usage, open_cart_latest, order_totals
 from garbline.schemas import MONEY
 from garbline.session import cut_lineage
@@ -22,22 +22,29 @@ def add_to_carts(requests: DataFrame, t, as_of: dt.date) -> tuple[DataFrame, Dat
     is reused, else one is created. The same (cart, SKU, worker) adds up and keeps the
     price it had first; a new line takes the current product price.
     """
-    allowed = effective_team(t.team_members, t.supervisor_delegations, as_of).select(
-        F.col("acting_id").alias("actor_id"), "team_member_id", F.lit(True).alias("_in_team")
+    owners = t.team_members.select(F.col("id").alias("_worker"), F.col("supervisor_id").alias("owner_id"))
+    covers = acting_pairs(t.supervisor_delegations, as_of).select(
+        F.col("acting_id").alias("actor_id"), "owner_id", F.lit(True).alias("_covers")
     )
-    known = t.team_members.select(F.col("id").alias("team_member_id"), F.lit(True).alias("_known"))
-    checked = requests.join(allowed, ["actor_id", "team_member_id"], "left").join(known, "team_member_id", "left")
+    owned = join_spread_nulls(requests, owners, "team_member_id", "_worker", ["seq"])
+    checked = owned.join(covers, ["actor_id", "owner_id"], "left")
+    in_team = F.coalesce((F.col("owner_id") == F.col("actor_id")) | F.col("_covers"), F.lit(False))
     reason = (
         F.when(F.col("actor_role") == "admin", "admins cannot order")
         .when(F.col("product_size_id").isNull(), "no size selected")
-        .when((F.col("actor_role") == "supervisor") & F.col("_in_team").isNull(), "invalid team member")
-        .when(F.col("_known").isNull(), "unknown worker")
+        .when((F.col("actor_role") == "supervisor") & ~in_team, "invalid team member")
+        .when(F.col("_worker").isNull(), "unknown worker")
     )
-    checked = checked.withColumn("reason", reason).drop("_in_team", "_known")
+    checked = checked.withColumn("reason", reason).select(*requests.columns, "reason")
     rejects = checked.where(F.col("reason").isNotNull())
-    accepted = checked.where(F.col("reason").isNull())
+    # One row per line from here on, computed once for all that follows.
+    added = cut_lineage(
+        checked.where(F.col("reason").isNull())
+        .groupBy("actor_id", "product_size_id", "team_member_id")
+        .agg(F.sum("quantity").alias("quantity"), F.min("seq").alias("seq"))
+    )
 
-    actors = accepted.groupBy("actor_id").agg(F.min("seq").alias("first_seq"))
+    actors = added.groupBy("actor_id").agg(F.min("seq").alias("first_seq"))
     latest = open_cart_latest(t.order_carts).select(F.col("supervisor_id").alias("actor_id"), "cart_id")
     homed = actors.join(latest, "actor_id", "left")
     top_id = F.coalesce(t.order_carts.agg(F.max("id")).scalar(), F.lit(0)) + 1
@@ -62,9 +69,6 @@ def add_to_carts(requests: DataFrame, t, as_of: dt.date) -> tuple[DataFrame, Dat
         .agg(F.sum("quantity").alias("quantity"), F.min("price_at_time").alias("price"))
         .withColumn("seq", F.lit(-1).cast("bigint"))
     )
-    added = accepted.groupBy("actor_id", "product_size_id", "team_member_id").agg(
-        F.sum("quantity").alias("quantity"), F.min("seq").alias("seq")
-    )
     added = with_price(added.join(carts, "actor_id").drop("actor_id"), t.product_sizes, t.products)
     lines = old.unionByName(added).groupBy(*key).agg(
         F.sum("quantity").cast("bigint").alias("quantity"), F.min_by("price", "seq").alias("price_at_time")

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from garbline.functions.spread import join_heavy_apart, left_join_spread_nulls
+from garbline.functions.spread import join_heavy_apart, join_spread_nulls
 from garbline.functions.text import reason_label
 from garbline.operators.filters import active_delegations, audience, garment_state
 from garbline.schemas import MONEY, ROLE_EVERYONE
@@ -37,7 +37,7 @@ def _subtotal():
 
 
 def _with_worker(lines: DataFrame, team: DataFrame, by: list[str]) -> DataFrame:
-    return left_join_spread_nulls(lines, worker_names(team), "team_member_id", "worker_id", by)
+    return join_spread_nulls(lines, worker_names(team), "team_member_id", "worker_id", by)
 
 
 def order_lines(
@@ -124,11 +124,11 @@ def user_directory(users: DataFrame, roles: DataFrame, facilities: DataFrame) ->
     """Users with role, facility and superior, newest first."""
     people = users.select("id", "email", "system_role", "full_name", "supervisor_id", "job_role_id", "facility_id")
     role_names = roles.select(F.col("id").alias("job_role_id"), F.col("name").alias("job_role"))
-    bosses = users.select(F.col("id").alias("supervisor_id"), F.col("full_name").alias("supervisor_name"))
+    bosses = users.select(F.col("id").alias("boss_id"), F.col("full_name").alias("supervisor_name"))
     places = facilities.select(F.col("id").alias("facility_id"), F.col("name").alias("facility_name"))
     return (
-        people.join(role_names, "job_role_id", "left")
-        .join(bosses, "supervisor_id", "left")
+        join_spread_nulls(people, bosses, "supervisor_id", "boss_id", ["id"])
+        .join(role_names, "job_role_id", "left")
         .join(places, "facility_id", "left")
         .select(
             "id", "email", "system_role", "full_name", "supervisor_id", "job_role", "supervisor_name", "facility_name"
@@ -184,17 +184,19 @@ def unread_counts(posts: DataFrame, reads: DataFrame, users: DataFrame) -> DataF
     )
 
 
+def with_flags(posts: DataFrame, reads: DataFrame, likes: DataFrame, viewer: int) -> DataFrame:
+    """Posts with the viewer's ``is_read`` and ``user_liked``."""
+    for marks, flag in ((reads, "is_read"), (likes, "user_liked")):
+        mine = marks.where(F.col("user_id") == viewer).select(F.col("post_id").alias("id")).distinct()
+        posts = posts.join(mine.withColumn(flag, F.lit(True)), "id", "left").withColumn(
+            flag, F.col(flag).isNotNull()
+        )
+    return posts
+
+
 def post_flags(posts: DataFrame, reads: DataFrame, likes: DataFrame, viewer: int) -> DataFrame:
     """Post id with the viewer's ``is_read`` and ``user_liked``."""
-    mine = lambda marks, flag: marks.where(F.col("user_id") == viewer).select(
-        F.col("post_id").alias("id"), F.lit(True).alias(flag)
-    ).distinct()
-    return (
-        posts.select("id")
-        .join(mine(reads, "is_read"), "id", "left")
-        .join(mine(likes, "user_liked"), "id", "left")
-        .select("id", F.col("is_read").isNotNull().alias("is_read"), F.col("user_liked").isNotNull().alias("user_liked"))
-    )
+    return with_flags(posts.select("id"), reads, likes, viewer)
 
 
 def _everyone_links(links: DataFrame, roles: DataFrame) -> DataFrame:
@@ -441,7 +443,7 @@ def returns_report(t, reason: str | None = None) -> DataFrame:
     )
     bosses = t.users.select(F.col("id").alias("supervisor_id"), F.col("full_name").alias("supervisor_name"))
     catalogue = sku_names(t.product_sizes, t.products).select("product_size_id", "product_name", "size")
-    named = left_join_spread_nulls(
+    named = join_spread_nulls(
         join_heavy_apart(returned, orders, key, "left").join(catalogue, "product_size_id"),
         workers.join(bosses, "supervisor_id", "left"),
         "team_member_id",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from garbline.functions.bands import band
 from garbline.functions.dates import in_month, ntz
-from garbline.functions.spread import left_join_spread_nulls, number_rows
+from garbline.functions.spread import join_spread_nulls, number_rows
 from garbline.operators.joins import acting_pairs, worker_names
 from garbline.operators.filters import active_delegations, garment_state
 from garbline.schemas import (
@@ -63,36 +63,51 @@ def open_cart_units(items: DataFrame, carts: DataFrame, by: str) -> DataFrame:
     return rows.groupBy(by).agg(F.sum("q").cast("bigint").alias("units"))
 
 
-def order_list(t, carts: DataFrame | None = None) -> DataFrame:
+MAX_NAMES = 10_000
+
+
+def order_workers(t, carts: DataFrame) -> DataFrame:
+    """(cart_id, worker_id, name): the distinct workers on the lines of the given carts (``cart_id``)."""
+    pairs = (
+        t.order_items.where(F.col("team_member_id").isNotNull())
+        .select("cart_id", F.col("team_member_id").alias("worker_id"))
+        .join(carts, "cart_id", "left_semi")
+        .distinct()
+    )
+    return pairs.join(
+        worker_names(t.team_members).select("worker_id", F.col("worker_name").alias("name")), "worker_id"
+    )
+
+
+def order_list(t, carts: DataFrame | None = None, max_names: int = MAX_NAMES) -> DataFrame:
     """The order list: owner, worker name(s), employee number and number of lines.
 
     Line counts come from one pre-aggregate per cart. Names of the line workers are only
-    looked up for carts without a named worker, as distinct (cart, worker) pairs.
+    looked up for carts without a named worker, as distinct (cart, worker) pairs. A cell
+    holds up to ``max_names`` names; beyond that it says how many workers there are, and
+    ``order_workers`` lists them.
     """
     carts = t.order_carts if carts is None else carts
     owners = t.users.select(F.col("id").alias("supervisor_id"), F.col("full_name").alias("supervisor_name"))
-    headed = left_join_spread_nulls(
+    headed = join_spread_nulls(
         carts.join(owners, "supervisor_id"), worker_names(t.team_members), "team_member_id", "worker_id", ["id"]
     ).select(
         F.col("id").alias("cart_id"), "status", "created_at", "total_price", "supervisor_name", "worker_name",
         "employee_number",
     )
     counts = t.order_items.groupBy("cart_id").agg(F.count("*").alias("item_count"))
-    unnamed = headed.where(F.col("worker_name").isNull()).select("cart_id")
-    pairs = (
-        t.order_items.where(F.col("team_member_id").isNotNull())
-        .select("cart_id", F.col("team_member_id").alias("worker_id"))
-        .join(unnamed, "cart_id", "left_semi")
-        .distinct()
+    names = order_workers(t, headed.where(F.col("worker_name").isNull()).select("cart_id")).select("cart_id", "name")
+    # Few carts can be that large, so their list is small against the lines.
+    large = counts.where(F.col("item_count") > max_names).select("cart_id")
+    listed = names.join(large, "cart_id", "left_anti").groupBy("cart_id").agg(
+        F.array_join(F.sort_array(F.collect_set("name")), ", ").alias("line_workers")
     )
-    names = (
-        pairs.join(worker_names(t.team_members).select("worker_id", F.col("worker_name").alias("name")), "worker_id")
-        .groupBy("cart_id")
-        .agg(F.array_join(F.sort_array(F.collect_set("name")), ", ").alias("line_workers"))
+    counted = names.join(large, "cart_id", "left_semi").distinct().groupBy("cart_id").agg(
+        F.concat(F.count("*").cast("string"), F.lit(" workers")).alias("line_workers")
     )
     return (
         headed.join(counts, "cart_id", "left")
-        .join(names, "cart_id", "left")
+        .join(listed.unionByName(counted), "cart_id", "left")
         .select(
             F.col("cart_id").alias("id"),
             "status",
@@ -387,16 +402,17 @@ def total_mismatch(carts: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def with_engagement(posts: DataFrame, likes: DataFrame, comments: DataFrame) -> DataFrame:
+    """Posts with their numbers of likes and comments, 0 when there are none."""
+    for marks, name in ((likes, "like_count"), (comments, "comment_count")):
+        counts = value_counts(marks, "post_id", name=name).withColumnRenamed("post_id", "id")
+        posts = posts.join(counts, "id", "left").withColumn(name, _zero(name))
+    return posts
+
+
 def post_engagement(posts: DataFrame, likes: DataFrame, comments: DataFrame) -> DataFrame:
-    """Likes and comments per post, 0 when there are none."""
-    liked = value_counts(likes, "post_id", name="like_count").withColumnRenamed("post_id", "id")
-    said = value_counts(comments, "post_id", name="comment_count").withColumnRenamed("post_id", "id")
-    return (
-        posts.select("id")
-        .join(liked, "id", "left")
-        .join(said, "id", "left")
-        .select("id", _zero("like_count").alias("like_count"), _zero("comment_count").alias("comment_count"))
-    )
+    """Likes and comments per post."""
+    return with_engagement(posts.select("id"), likes, comments)
 
 
 def return_counts(garments: DataFrame) -> DataFrame:
@@ -431,7 +447,7 @@ def open_cart_latest(carts: DataFrame) -> DataFrame:
 def recent_orders(t, k: int = 5) -> DataFrame:
     """The newest ``k`` orders of each supervisor, with the worker's name."""
     newest = latest_per(t.order_carts, "supervisor_id", [F.col("created_at").desc(), F.col("id").desc()], k)
-    return left_join_spread_nulls(
+    return join_spread_nulls(
         newest, worker_names(t.team_members), "team_member_id", "worker_id", ["id"]
     ).select(
         "supervisor_id", "id", "status", "created_at", F.col("total_price").cast("double").alias("total_price"),

@@ -8,7 +8,7 @@ from types import SimpleNamespace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from garbline.functions.spread import number_rows
+from garbline.functions.spread import join_spread_nulls, number_rows
 from garbline.functions.text import is_digits
 from garbline.schemas import ROLE_PACKER
 from garbline.session import cut_lineage
@@ -227,7 +227,9 @@ def guard_user_deletes(users: DataFrame, requests: DataFrame) -> tuple[DataFrame
 
 def _without(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """Rows of ``df`` whose ``column`` is not among the one-column ``keys``; NULLs stay."""
-    return df.join(keys.toDF(column), column, "left_anti").select(*df.columns)
+    if dict(df.dtypes)[column] == "string":
+        return df.join(keys.toDF(column), column, "left_anti").select(*df.columns)
+    return join_spread_nulls(df, keys.toDF("_key"), column, "_key", df.columns, "left_anti")
 
 
 def delete_users(t, doomed: DataFrame) -> dict[str, DataFrame]:

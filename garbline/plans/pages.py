@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from garbline.operators.filters import audience, search_products
-from garbline.operators.joins import eligible_products, post_comments, post_flags, products_for_role
+from garbline.operators.joins import eligible_products, post_comments, products_for_role, with_flags
 from garbline.operators.nested import attach, nest, products_with_roles, products_with_sizes
-from garbline.operators.reports import post_engagement, recommended_size
+from garbline.operators.reports import recommended_size, with_engagement
 
 
 def catalogue_products(
@@ -81,10 +81,9 @@ def news_feed(t, viewer: int, role: str) -> DataFrame:
     authors = t.users.select(F.col("id").alias("created_by"), "full_name")
     known = t.users.select(F.col("id").alias("user_id"))
     shown_comments = t.news_comments.join(known, "user_id", "left_semi")
+    marked = with_engagement(with_flags(shown, t.news_reads, t.news_likes, viewer), t.news_likes, shown_comments)
     return (
-        shown.join(authors, "created_by", "left")
-        .join(post_flags(shown, t.news_reads, t.news_likes, viewer), "id")
-        .join(post_engagement(shown, t.news_likes, shown_comments), "id")
+        marked.join(authors, "created_by", "left")
         .withColumn("pinned", F.coalesce("pinned", F.lit(0)))
         .select(
             "id", "title", "content", "target_role", "created_at", "pinned", "full_name", "is_read", "like_count",

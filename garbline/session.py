@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join partition even where that costs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Broadcasts are decided by size estimates; Parquet files are several times smaller than
+    # the rows in memory, so estimate with that factor.
+    "spark.sql.sources.fileCompressionFactor": "4.0",
     # Keyed stream state lives on disk and in the shared checkpoint, not on the heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

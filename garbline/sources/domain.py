@@ -46,6 +46,11 @@ class DomainTables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    def _values(self, rows: list[tuple], *columns: str) -> DataFrame:
+        """An inline table; unlike rows shipped from Python, the planner knows its size."""
+        text = ", ".join(str(row) for row in rows)
+        return self.spark.sql(f"SELECT * FROM VALUES {text} AS t({', '.join(columns)})")
+
     def _count(self, name: str) -> Column:
         return self.raw(name).agg(F.count("*")).scalar()
 
@@ -90,10 +95,8 @@ class DomainTables:
             F.when(key % 10 != 0, key - key % 10).alias("supervisor_id"),
             F.when(F.col("s_acctbal") > 0, F.col("s_acctbal").cast(MONEY) * 200).alias("monthly_budget"),
         )
-        staff = self.spark.createDataFrame(
-            [(i, n, f"{n}@example.com", r) for i, n, r in STAFF],
-            "id BIGINT, full_name STRING, email STRING, system_role STRING",
-        )
+        mailed = [(i, name, f"{name}@example.com", role) for i, name, role in STAFF]
+        staff = self._values(mailed, "id", "full_name", "email", "system_role")
         return conform(supervisors.unionByName(staff, allowMissingColumns=True), "users")
 
     @cached_property
@@ -125,7 +128,7 @@ class DomainTables:
     @cached_property
     def job_roles(self) -> DataFrame:
         rows = [(i + 1, name) for i, name in enumerate(JOB_ROLES)]
-        return self.spark.createDataFrame(rows, "id BIGINT, name STRING")
+        return conform(self._values(rows, "id", "name"), "job_roles")
 
     @cached_property
     def worker_sizes(self) -> DataFrame:

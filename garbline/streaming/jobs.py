@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from garbline.operators.joins import order_contact
 from garbline.operators.status_jobs import final_status, status_aggregates
 
 PLACES = 32
@@ -82,10 +81,12 @@ def outbox(commands: DataFrame, carts: DataFrame, users: DataFrame) -> DataFrame
     to_packers = submitted.join(packers, "place").select(
         "event_id", "order_id", F.lit("new order").alias("kind"), "recipient_id", "recipient"
     )
-    owners = order_contact(carts, users).select(
-        "order_id", F.col("supervisor_id").alias("recipient_id"), F.col("email").alias("recipient")
+    # Commands meet the carts first, so only their orders reach the users.
+    owned = commands.where(F.col("command").isin("packed", "completed")).join(
+        carts.select(F.col("id").alias("order_id"), F.col("supervisor_id").alias("recipient_id")), "order_id"
     )
-    to_owners = commands.where(F.col("command").isin("packed", "completed")).join(owners, "order_id").select(
+    contacts = users.select(F.col("id").alias("recipient_id"), F.col("email").alias("recipient"))
+    to_owners = owned.join(contacts, "recipient_id").select(
         "event_id", "order_id", F.col("command").alias("kind"), "recipient_id", "recipient"
     )
     return to_packers.unionByName(to_owners)

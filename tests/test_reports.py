@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from garbline.functions.spread import join_heavy_apart, left_join_spread_nulls, number_rows, sum_before
+from garbline.functions.spread import join_heavy_apart, join_spread_nulls, number_rows, sum_before
 from garbline.operators import joins, nested, reports
 from garbline.plans import pages
 from tests.data import at, rows, table, tables
@@ -85,6 +85,10 @@ def test_order_list_names(spark):
     )
     listed = reports.order_list(t)
     assert rows(listed, "id", "worker_name", "item_count") == [(1, "Ann", 1), (2, "Ann, Bob", 4), (3, None, 0)]
+    short = rows(reports.order_list(t, max_names=3), "id", "worker_name")
+    assert short == [(1, "Ann"), (2, "2 workers"), (3, None)]
+    asked = t.order_carts.where("id = 2").select(F.col("id").alias("cart_id"))
+    assert rows(reports.order_workers(t, asked), "worker_id") == [(1,), (2,), (3,)]
     assert [r["id"] for r in reports.sort_orders(listed, "id", "asc").collect()] == [1, 2, 3]
     assert [r["id"] for r in reports.sort_orders(listed, "drop table", "asc").collect()] == [3, 2, 1]
 
@@ -196,7 +200,7 @@ def test_joins_for_hot_and_null_keys(spark):
     plain = rows(left.join(right, "k", "left"), "k", "v", "w")
     assert rows(join_heavy_apart(left, right, ["k"], "left", share=3), "k", "v", "w") == plain
     renamed = right.withColumnRenamed("k", "rk")
-    spread = left_join_spread_nulls(left, renamed, "k", "rk", ["v"])
+    spread = join_spread_nulls(left, renamed, "k", "rk", ["v"])
     assert rows(spread, "k", "v", "w") == plain
     plan = spread._jdf.queryExecution().optimizedPlan().toString()
     assert "_home" in plan, "the place must stay a join column"
