@@ -302,10 +302,10 @@ def may_act(requests: DataFrame, authority: DataFrame) -> DataFrame:
 
 
 def worker_history(t, worker: int | None = None) -> DataFrame:
-    """Order lines of workers with the state of the garments of the same SKU and worker.
+    """Order lines of workers with the states of the garments of the same SKU and worker.
 
-    The join key is not unique on either side. Garments are counted per status first, so
-    every line meets at most one row per status; ``copies`` says how often the line shows.
+    The join key is not unique on either side. Garments are counted per status first, so a
+    line meets at most one row per status; ``copies`` says how many garments that row stands for.
     """
     items = t.order_items.where(F.col("team_member_id").isNotNull())
     garments = t.user_uniforms.where(F.col("team_member_id").isNotNull())
@@ -313,7 +313,6 @@ def worker_history(t, worker: int | None = None) -> DataFrame:
         items = items.where(F.col("team_member_id") == worker)
         garments = garments.where(F.col("team_member_id") == worker)
     key = ["product_size_id", "team_member_id"]
-    lines = items.groupBy(*key, "cart_id", "quantity").agg(F.count("*").alias("_lines"))
     states = garments.groupBy(*key, F.col("status").alias("uniform_status")).agg(
         F.count("*").alias("_garments")
     )
@@ -322,10 +321,9 @@ def worker_history(t, worker: int | None = None) -> DataFrame:
     )
     catalogue = sku_names(t.product_sizes, t.products).select("product_size_id", "product_name", "size")
     rows = (
-        join_heavy_apart(lines, states, key, "left")
+        join_heavy_apart(items.select(*key, "cart_id", "quantity"), states, key, "left")
         .join(orders, "cart_id")
         .join(catalogue, "product_size_id")
-        .withColumn("copies", F.col("_lines") * F.coalesce("_garments", F.lit(1)))
     )
     return garment_state(rows, "history", "uniform_status").select(
         "team_member_id",
@@ -338,7 +336,7 @@ def worker_history(t, worker: int | None = None) -> DataFrame:
         "uniform_status",
         "returned",
         "return_reason",
-        "copies",
+        F.coalesce("_garments", F.lit(1)).alias("copies"),
     )
 
 

@@ -233,8 +233,11 @@ def _without(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
 
 
 def delete_users(t, doomed: DataFrame) -> dict[str, DataFrame]:
-    """Tables left after deleting users (``user_id``) with their teams and orders."""
-    ids = doomed.select("user_id")
+    """Tables left after deleting users (``user_id``) with their teams and orders.
+
+    The root keys feed every table's anti-join, so they are computed once.
+    """
+    ids = cut_lineage(doomed.select("user_id").distinct())
     members = t.team_members.join(ids.toDF("supervisor_id"), "supervisor_id", "left_semi").select("id")
     carts = t.order_carts.join(ids.toDF("supervisor_id"), "supervisor_id", "left_semi").select("id")
     return {
@@ -249,7 +252,7 @@ def delete_users(t, doomed: DataFrame) -> dict[str, DataFrame]:
 
 def delete_products(t, doomed: DataFrame) -> dict[str, DataFrame]:
     """Tables left after deleting products (``product_id``); issued garments stay."""
-    ids = doomed.select("product_id")
+    ids = cut_lineage(doomed.select("product_id").distinct())
     skus = t.product_sizes.join(ids, "product_id", "left_semi").select("id")
     return {
         "products": _without(t.products, "id", ids),
@@ -261,7 +264,7 @@ def delete_products(t, doomed: DataFrame) -> dict[str, DataFrame]:
 
 def delete_posts(t, doomed: DataFrame) -> dict[str, DataFrame]:
     """Tables left after deleting posts (``post_id``) with comments, likes and reads."""
-    ids = doomed.select("post_id")
+    ids = cut_lineage(doomed.select("post_id").distinct())
     children = {name: _without(getattr(t, name), "post_id", ids) for name in ("news_comments", "news_likes", "news_reads")}
     return {"news_posts": _without(t.news_posts, "id", ids), **children}
 
