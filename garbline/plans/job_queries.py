@@ -146,7 +146,7 @@ SELECT id + r.extra * 1000000000 AS seq, from_supervisor_id,
        CASE WHEN id % 3 = 0 THEN to_supervisor_id
             ELSE (to_supervisor_id + 1) % (SELECT count(*) FROM supplier) END AS to_supervisor_id,
        start_date, end_date
-FROM supervisor_delegations JOIN (VALUES (0), (1)) AS r(extra) ON r.extra = 0 OR id % 5 = 0""",
+FROM supervisor_delegations CROSS JOIN (VALUES (0), (1)) AS r(extra)""",
 )
 
 
@@ -157,13 +157,13 @@ def delegation_inserts(t):
     once = t.supervisor_delegations.select(
         F.col("id").alias("seq"), "from_supervisor_id", moved.alias("to_supervisor_id"), "start_date", "end_date"
     )
-    again = once.where(F.col("seq") % 5 == 0).withColumn("seq", F.col("seq") + 1_000_000_000)
+    again = once.withColumn("seq", F.col("seq") + 1_000_000_000)
     return once.unionByName(again)
 
 
 def delegation_commands(t):
     key = F.col("id")
-    return t.supervisor_delegations.where(key % 4 < 2).select(
+    return t.supervisor_delegations.select(
         key.alias("seq"),
         F.when(key % 7 == 0, F.col("to_supervisor_id")).otherwise(F.col("from_supervisor_id")).alias("actor_id"),
         F.when(key % 4 == 0, "delete").otherwise("extend").alias("action"),
@@ -542,8 +542,10 @@ def delegation_insert(t):
     "delegation_maintain",
     """
 SELECT id, from_supervisor_id, to_supervisor_id, start_date,
-       CASE WHEN id % 4 = 1 AND id % 7 <> 0 THEN CAST(end_date + INTERVAL 30 DAY AS DATE) ELSE end_date END AS end_date
-FROM supervisor_delegations WHERE id % 4 <> 0 OR id % 7 = 0""",
+       CASE WHEN id % 7 <> 0 OR to_supervisor_id = from_supervisor_id THEN CAST(end_date + INTERVAL 30 DAY AS DATE)
+            ELSE end_date END AS end_date
+FROM supervisor_delegations
+WHERE id % 4 <> 0 OR (id % 7 = 0 AND to_supervisor_id <> from_supervisor_id)""",
 )
 def delegation_maintain(t):
     return table_jobs.maintain_delegations(t.supervisor_delegations, delegation_commands(t))
