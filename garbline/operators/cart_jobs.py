@@ -14,13 +14,11 @@ from garbline.schemas import MONEY
 from garbline.session import cut_lineage
 
 
-def add_to_carts(requests: DataFrame, t, as_of: dt.date) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Add requested lines to the actors' open carts.
+def check_cart_requests(requests: DataFrame, t, as_of: dt.date) -> DataFrame:
+    """Add ``reason`` to add-to-cart requests: why one is refused, NULL where it is accepted.
 
-    ``requests``: seq, actor_id, actor_role, team_member_id, product_size_id, quantity.
-    Returns (lines of the touched carts, new carts, rejects). An actor's newest open cart
-    is reused, else one is created. The same (cart, SKU, worker) adds up and keeps the
-    price it had first; a new line takes the current product price.
+    ``requests``: seq, actor_id, actor_role, team_member_id, product_size_id, quantity. A
+    supervisor orders for the own team and for teams delegated on the day.
     """
     owners = t.team_members.select(F.col("id").alias("_worker"), F.col("supervisor_id").alias("owner_id"))
     covers = acting_pairs(t.supervisor_delegations, as_of).select(
@@ -35,7 +33,18 @@ def add_to_carts(requests: DataFrame, t, as_of: dt.date) -> tuple[DataFrame, Dat
         .when((F.col("actor_role") == "supervisor") & ~in_team, "invalid team member")
         .when(F.col("_worker").isNull(), "unknown worker")
     )
-    checked = checked.withColumn("reason", reason).select(*requests.columns, "reason")
+    return checked.withColumn("reason", reason).select(*requests.columns, "reason")
+
+
+def add_to_carts(requests: DataFrame, t, as_of: dt.date) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Add requested lines to the actors' open carts.
+
+    Requests as in ``check_cart_requests``. Returns (lines of the touched carts, new carts,
+    rejects). An actor's newest open cart is reused, else one is created. The same (cart,
+    SKU, worker) adds up and keeps the price it had first; a new line takes the current
+    product price.
+    """
+    checked = check_cart_requests(requests, t, as_of)
     rejects = checked.where(F.col("reason").isNotNull())
     # One row per line from here on, computed once for all that follows.
     added = cut_lineage(
@@ -123,19 +132,25 @@ def budget_check(submitted: DataFrame, t, as_of: dt.date) -> DataFrame:
     return known.withColumn("used", F.coalesce("used", F.lit(0))).withColumn("over_budget", over)
 
 
-def allocate_stock(lines: DataFrame, skus: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def cart_demand(lines: DataFrame) -> DataFrame:
+    """Units per cart and SKU, computed once: (cart_id, product_size_id, need, submitted_at)."""
+    return cut_lineage(
+        lines.groupBy("cart_id", "product_size_id").agg(
+            F.sum("quantity").alias("need"), F.min("submitted_at").alias("submitted_at")
+        )
+    )
+
+
+def allocate_stock(need: DataFrame, skus: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(cart_id, accepted): all-or-nothing stock for carts in order of submission.
 
-    ``lines``: cart_id, submitted_at, product_size_id, quantity. A cart that fails takes
-    nothing, so its units stay for later carts. Only carts that touch a SKU with more
-    demand than stock can fail. They are decided in rounds: with the demand of accepted
-    earlier carts alone (low) a shortage is final; with that of all earlier carts still
-    in question as well (high) a fit is final. The earliest undecided cart always has
-    low = high, so every round decides some.
+    ``need``: as from ``cart_demand``. A cart that fails takes nothing, so its units stay
+    for later carts. Only carts that touch a SKU with more demand than stock can fail.
+    They are decided in rounds: with the demand of accepted earlier carts alone (low) a
+    shortage is final; with that of all earlier carts still in question as well (high) a
+    fit is final. The earliest undecided cart always has low = high, so every round
+    decides some.
     """
-    need = lines.groupBy("cart_id", "product_size_id").agg(
-        F.sum("quantity").alias("need"), F.min("submitted_at").alias("submitted_at")
-    )
     stock = skus.select(F.col("id").alias("product_size_id"), "stock")
     contested = (
         need.groupBy("product_size_id")
@@ -152,15 +167,15 @@ def allocate_stock(lines: DataFrame, skus: DataFrame, chunk: int = CHUNK) -> Dat
         "rank",
         0,
     ).select("cart_id", "rank")
-    state = cut_lineage(
+    state = (
         disputed.join(ranked, "cart_id")
         .select("cart_id", "rank", "product_size_id", "need", "stock")
         .withColumn("taken", F.lit(False))
     )
-    carts_in_dispute = ranked.count()
-    slots = chunk if carts_in_dispute > chunk else None
+    undecided = ranked.count()
+    slots = chunk if undecided > chunk else None
     lost = []
-    while not state.where(~F.col("taken")).isEmpty():
+    while undecided:
         sums = {"low": F.when(F.col("taken"), F.col("need")).otherwise(0), "high": F.col("need")}
         tested = sum_before(state, "product_size_id", "rank", sums, slots)
         verdicts = (
@@ -176,6 +191,7 @@ def allocate_stock(lines: DataFrame, skus: DataFrame, chunk: int = CHUNK) -> Dat
         state = marked.where(~F.coalesce("fails", F.lit(False))).withColumn(
             "taken", F.col("taken") | F.coalesce("fits", F.lit(False))
         ).drop("fails", "fits")
+        undecided = state.where(~F.col("taken")).count()
     carts = need.select("cart_id").distinct()
     if not lost:
         return carts.withColumn("accepted", F.lit(True))
@@ -225,14 +241,15 @@ def checkout(
     lines = t.order_items.join(passed.select("cart_id", "submitted_at"), "cart_id").select(
         "cart_id", "submitted_at", "product_size_id", "quantity"
     )
-    outcome = allocate_stock(lines, t.product_sizes, chunk)
+    need = cart_demand(lines)
+    outcome = allocate_stock(need, t.product_sizes, chunk)
     sold_out = outcome.where(~F.col("accepted")).select("cart_id", F.lit("not enough stock").alias("reason"))
     done = passed.drop("reason").join(outcome.where("accepted"), "cart_id", "left_semi")
 
     taken = (
-        lines.join(done.select("cart_id"), "cart_id", "left_semi")
+        need.join(done.select("cart_id"), "cart_id", "left_semi")
         .groupBy(F.col("product_size_id").alias("id"))
-        .agg(F.sum("quantity").alias("_taken"))
+        .agg(F.sum("need").alias("_taken"))
     )
     skus = t.product_sizes.join(taken, "id", "left").withColumn(
         "stock", (F.col("stock") - F.coalesce("_taken", F.lit(0))).cast("int")

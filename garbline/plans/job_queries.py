@@ -305,8 +305,8 @@ WHERE actor_role = 'admin' OR product_size_id IS NULL OR NOT EXISTS (
 GROUP BY 1""",
 )
 def cart_rejects(t):
-    _, _, rejects = cart_jobs.add_to_carts(cart_requests(t), t, AS_OF)
-    return rejects.groupBy("reason").agg(F.count("*").alias("requests"))
+    checked = cart_jobs.check_cart_requests(cart_requests(t), t, AS_OF)
+    return checked.where(F.col("reason").isNotNull()).groupBy("reason").agg(F.count("*").alias("requests"))
 
 
 def _bulk(t):
@@ -411,7 +411,7 @@ SELECT v.cart_id, coalesce(v.reason, CASE WHEN r.cart_id IS NOT NULL THEN 'not e
 FROM verdicts v LEFT JOIN refused r ON r.cart_id = v.cart_id""",
 )
 def checkout_stock(t):
-    carts, _, rejects = cart_jobs.checkout(submissions(t), t, AS_OF)
+    _, _, rejects = cart_jobs.checkout(submissions(t), t, AS_OF)
     asked = submissions(t).select("cart_id")
     return asked.join(rejects, "cart_id", "left").select(
         "cart_id", F.coalesce("reason", F.lit("submitted")).alias("outcome")

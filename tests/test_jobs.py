@@ -121,7 +121,7 @@ def test_last_unit_goes_to_the_earlier_cart(spark):
         [(1, at("2024-05-15 10:00"), 1, 1), (2, at("2024-05-15 09:00"), 1, 1)],
         "cart_id BIGINT, submitted_at TIMESTAMP_NTZ, product_size_id BIGINT, quantity INT",
     )
-    assert rows(cart_jobs.allocate_stock(lines, skus)) == [(1, False), (2, True)]
+    assert rows(cart_jobs.allocate_stock(cart_jobs.cart_demand(lines), skus)) == [(1, False), (2, True)]
 
 
 def test_allocation_equals_one_by_one(spark):
@@ -144,8 +144,9 @@ def test_allocation_equals_one_by_one(spark):
                     stock[s] -= q
     schema = "cart_id BIGINT, submitted_at TIMESTAMP_NTZ, product_size_id BIGINT, quantity INT"
     df, skus = spark.createDataFrame(lines, schema), table(spark, "product_sizes", stocks)
+    need = cart_jobs.cart_demand(df)
     for chunk in (3, 100_000):
-        assert dict(rows(cart_jobs.allocate_stock(df, skus, chunk))) == want
+        assert dict(rows(cart_jobs.allocate_stock(need, skus, chunk))) == want
 
 
 def walk(base, commands):
