@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from garbline.functions.spread import CHUNK, join_spread_nulls, number_rows, sum_before
+from garbline.functions.spread import CHUNK, join_heavy_apart, join_spread_nulls, number_rows, sum_before
 from garbline.operators.joins import acting_pairs, with_price
 from garbline.operators.reports import derive_cart_worker, month_usage, open_cart_latest, order_totals
 from garbline.schemas import MONEY
@@ -25,7 +25,7 @@ def check_cart_requests(requests: DataFrame, t, as_of: dt.date) -> DataFrame:
         F.col("acting_id").alias("actor_id"), "owner_id", F.lit(True).alias("_covers")
     )
     owned = join_spread_nulls(requests, owners, "team_member_id", "_worker", ["seq"])
-    checked = owned.join(covers, ["actor_id", "owner_id"], "left")
+    checked = join_heavy_apart(owned, covers, ["actor_id", "owner_id"], "left")
     in_team = F.coalesce((F.col("owner_id") == F.col("actor_id")) | F.col("_covers"), F.lit(False))
     reason = (
         F.when(F.col("actor_role") == "admin", "admins cannot order")
@@ -152,7 +152,8 @@ def allocate_stock(need: DataFrame, skus: DataFrame, chunk: int = CHUNK) -> Data
     decides some.
     """
     stock = skus.select(F.col("id").alias("product_size_id"), "stock")
-    contested = (
+    # Written out, so that the join below is between plain shuffles, which can be split.
+    contested = cut_lineage(
         need.groupBy("product_size_id")
         .agg(F.sum("need").alias("demand"))
         .join(stock, "product_size_id", "left")
@@ -178,7 +179,7 @@ def allocate_stock(need: DataFrame, skus: DataFrame, chunk: int = CHUNK) -> Data
     while undecided:
         sums = {"low": F.when(F.col("taken"), F.col("need")).otherwise(0), "high": F.col("need")}
         tested = sum_before(state, "product_size_id", "rank", sums, slots)
-        verdicts = (
+        verdicts = cut_lineage(
             tested.where(~F.col("taken"))
             .groupBy("cart_id")
             .agg(
@@ -186,12 +187,15 @@ def allocate_stock(need: DataFrame, skus: DataFrame, chunk: int = CHUNK) -> Data
                 F.bool_and(F.col("high") + F.col("need") <= F.col("stock")).alias("fits"),
             )
         )
-        marked = cut_lineage(state.join(verdicts, "cart_id", "left"))
-        lost.append(marked.where(F.col("fails")).select("cart_id").distinct())
-        state = marked.where(~F.coalesce("fails", F.lit(False))).withColumn(
-            "taken", F.col("taken") | F.coalesce("fits", F.lit(False))
-        ).drop("fails", "fits")
-        undecided = state.where(~F.col("taken")).count()
+        lost.append(verdicts.where("fails").select("cart_id"))
+        undecided = verdicts.where("NOT fails AND NOT fits").count()
+        if undecided:
+            state = cut_lineage(
+                state.join(verdicts, "cart_id", "left")
+                .where(~F.coalesce("fails", F.lit(False)))
+                .withColumn("taken", F.col("taken") | F.coalesce("fits", F.lit(False)))
+                .drop("fails", "fits")
+            )
     carts = need.select("cart_id").distinct()
     if not lost:
         return carts.withColumn("accepted", F.lit(True))
@@ -210,8 +214,7 @@ def budget_verdicts(submissions: DataFrame, t, as_of: dt.date) -> DataFrame:
     """
     once = submissions.groupBy("cart_id").agg(F.min("submitted_at").alias("submitted_at"))
     owned = once.join(t.order_carts.select(F.col("id").alias("cart_id"), "supervisor_id"), "cart_id", "left")
-    lines = t.order_items.join(once.select("cart_id"), "cart_id", "left_semi")
-    totals = order_totals(lines)
+    totals = order_totals(t.order_items)
     tested = budget_check(
         owned.join(totals, "cart_id", "left").withColumn("_empty", F.col("total").isNull()).withColumn(
             "total", F.coalesce("total", F.lit(0))

@@ -466,5 +466,6 @@ def return_orders(t) -> DataFrame:
     """(SKU, worker, order): the orders that returned garments may have come from."""
     key = ["product_size_id", "team_member_id"]
     returned = garment_state(t.user_uniforms, "history").where(F.col("returned")).select(*key).distinct()
-    lines = t.order_items.select(*key, F.col("cart_id").alias("order_id")).distinct()
-    return lines.join(returned, key, "left_semi")
+    named = t.order_items.where(F.col("team_member_id").isNotNull())
+    lines = named.select(*key, F.col("cart_id").alias("order_id")).distinct()
+    return join_heavy_apart(lines, returned, key, "left_semi")

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from garbline.functions.spread import join_heavy_apart
 from garbline.operators.joins import delegations_in
 
 PAGE_ITEMS = 10_000
@@ -25,7 +26,9 @@ def nest(
         key, F.ceil(F.col("_n") / page_items).cast("bigint").alias("_pages")
     )
     page = F.when(F.col("_pages").isNull(), 0).otherwise(F.pmod(F.xxhash64(*fields), F.col("_pages")))
-    dealt = children.select(key, *fields).join(large, key, "left").withColumn("page", page.cast("int"))
+    dealt = join_heavy_apart(children.select(key, *fields), large, [key], "left").withColumn(
+        "page", page.cast("int")
+    )
     return dealt.groupBy(key, "page").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from garbline.functions.bands import band
 from garbline.functions.dates import in_month, ntz
-from garbline.functions.spread import join_spread_nulls, number_rows
+from garbline.functions.spread import join_heavy_apart, join_spread_nulls, number_rows
 from garbline.operators.joins import acting_pairs, worker_names
 from garbline.operators.filters import active_delegations, garment_state
 from garbline.schemas import (
@@ -67,13 +67,12 @@ MAX_NAMES = 10_000
 
 
 def order_workers(t, carts: DataFrame) -> DataFrame:
-    """(cart_id, worker_id, name): the distinct workers on the lines of the given carts (``cart_id``)."""
-    pairs = (
-        t.order_items.where(F.col("team_member_id").isNotNull())
-        .select("cart_id", F.col("team_member_id").alias("worker_id"))
-        .join(carts, "cart_id", "left_semi")
-        .distinct()
+    """The distinct workers on the lines of the given carts: columns of ``carts`` (one row per
+    ``cart_id``), worker_id and name."""
+    lines = t.order_items.where(F.col("team_member_id").isNotNull()).select(
+        "cart_id", F.col("team_member_id").alias("worker_id")
     )
+    pairs = join_heavy_apart(lines, carts, ["cart_id"], "inner").distinct()
     return pairs.join(
         worker_names(t.team_members).select("worker_id", F.col("worker_name").alias("name")), "worker_id"
     )
@@ -96,18 +95,19 @@ def order_list(t, carts: DataFrame | None = None, max_names: int = MAX_NAMES) ->
         "employee_number",
     )
     counts = t.order_items.groupBy("cart_id").agg(F.count("*").alias("item_count"))
-    names = order_workers(t, headed.where(F.col("worker_name").isNull()).select("cart_id")).select("cart_id", "name")
-    # Few carts can be that large, so their list is small against the lines.
-    large = counts.where(F.col("item_count") > max_names).select("cart_id")
-    listed = names.join(large, "cart_id", "left_anti").groupBy("cart_id").agg(
+    counted_carts = headed.join(counts, "cart_id", "left")
+    unnamed = counted_carts.where(F.col("worker_name").isNull() & F.col("item_count").isNotNull()).select(
+        "cart_id", (F.col("item_count") > max_names).alias("large")
+    )
+    names = order_workers(t, unnamed).select("cart_id", "large", "name")
+    listed = names.where(~F.col("large")).groupBy("cart_id").agg(
         F.array_join(F.sort_array(F.collect_set("name")), ", ").alias("line_workers")
     )
-    counted = names.join(large, "cart_id", "left_semi").distinct().groupBy("cart_id").agg(
+    counted = names.where("large").distinct().groupBy("cart_id").agg(
         F.concat(F.count("*").cast("string"), F.lit(" workers")).alias("line_workers")
     )
     return (
-        headed.join(counts, "cart_id", "left")
-        .join(listed.unionByName(counted), "cart_id", "left")
+        counted_carts.join(listed.unionByName(counted), "cart_id", "left")
         .select(
             F.col("cart_id").alias("id"),
             "status",
@@ -171,9 +171,10 @@ def delegated_team_sizes(t, as_of: dt.date, supervisor: int | None = None) -> Da
     owners = t.users.select(F.col("id").alias("supervisor_id"), F.col("full_name").alias("supervisor_name"))
     links = live.select(
         F.col("id").alias("delegation_id"), "to_supervisor_id", F.col("from_supervisor_id").alias("supervisor_id")
-    ).join(owners, "supervisor_id")
+    )
     roster = _team_with_sizes(t.team_members, t.job_roles, t.worker_sizes)
-    return links.join(roster, "supervisor_id").drop("supervisor_id").orderBy("supervisor_name", "full_name", "id")
+    rows = roster.join(links, "supervisor_id").join(owners, "supervisor_id").drop("supervisor_id")
+    return rows.orderBy("supervisor_name", "full_name", "id")
 
 
 def team_size(team: DataFrame) -> DataFrame:
@@ -470,4 +471,5 @@ def recommended_size(products: DataFrame, sizes: DataFrame, worker: int) -> Data
         .groupBy(F.upper("product_type").alias("_type"))
         .agg(F.max("size").alias("recommended_size"))
     )
-    return products.withColumn("_type", F.upper(F.coalesce("type", F.lit("")))).join(saved, "_type", "left").drop("_type")
+    typed = products.withColumn("_type", F.upper(F.coalesce("type", F.lit(""))))
+    return join_heavy_apart(typed, saved, ["_type"], "left").drop("_type")

@@ -8,7 +8,7 @@ from types import SimpleNamespace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from garbline.functions.spread import join_spread_nulls, number_rows
+from garbline.functions.spread import join_heavy_apart, join_spread_nulls, number_rows
 from garbline.functions.text import is_digits
 from garbline.schemas import ROLE_PACKER
 from garbline.session import cut_lineage
@@ -150,7 +150,7 @@ def load_products(base: DataFrame, incoming: DataFrame) -> SimpleNamespace:
     )
     for key in ("name", "article_number"):
         taken = base.select(key, F.lit(True).alias(f"_base_{key}")).distinct()
-        rows = rows.join(taken, key, "left")
+        rows = join_heavy_apart(rows, taken, [key], "left")
     in_base = F.coalesce("_base_name", "_base_article_number").isNotNull()
     fresh = accept_first(rows.where(~in_base), "seq", ["name", "article_number"])
     won = fresh.where("accepted").drop("accepted")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from garbline.plans.registry import query
 from garbline.sources import events as ev
 from garbline.streaming import jobs
-from garbline.streaming.sinks import append_to_table, changes_to_table, latest_rows
+from garbline.streaming.sinks import append_to_table, batches_to_table, changes_to_table, latest_rows
 
 WATERMARK = "2 days"
 
@@ -119,4 +119,6 @@ WHERE c.command IN ('packed', 'completed')""",
 )
 def outbox(t):
     commands = ev.status_commands(ev.read_events(t.spark, t.path))
-    return append_to_table(jobs.outbox(commands, t.order_carts, t.users))
+    return batches_to_table(
+        commands, lambda batch: jobs.outbox(batch, t.order_carts, t.users), jobs.OUTBOX_SCHEMA
+    )

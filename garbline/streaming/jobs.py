@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from garbline.functions.spread import join_heavy_apart
 from garbline.operators.status_jobs import final_status, status_aggregates
 
 PLACES = 32
@@ -64,8 +65,11 @@ def read_mark_stream(reads: DataFrame) -> DataFrame:
     return thinned.dropDuplicatesWithinWatermark(keys).drop("_place")
 
 
+OUTBOX_SCHEMA = "event_id BIGINT, order_id BIGINT, kind STRING, recipient_id BIGINT, recipient STRING"
+
+
 def outbox(commands: DataFrame, carts: DataFrame, users: DataFrame) -> DataFrame:
-    """Notices due for status commands: packers on submit, the owner on pack and complete.
+    """Notices due for a batch of status commands: packers on submit, the owner on pack and complete.
 
     Every packer gets every submitted order; both sides are dealt to ``PLACES`` join keys,
     so the pairing spreads over tasks however many orders or packers there are.
@@ -82,8 +86,11 @@ def outbox(commands: DataFrame, carts: DataFrame, users: DataFrame) -> DataFrame
         "event_id", "order_id", F.lit("new order").alias("kind"), "recipient_id", "recipient"
     )
     # Commands meet the carts first, so only their orders reach the users.
-    owned = commands.where(F.col("command").isin("packed", "completed")).join(
-        carts.select(F.col("id").alias("order_id"), F.col("supervisor_id").alias("recipient_id")), "order_id"
+    owned = join_heavy_apart(
+        commands.where(F.col("command").isin("packed", "completed")),
+        carts.select(F.col("id").alias("order_id"), F.col("supervisor_id").alias("recipient_id")),
+        ["order_id"],
+        "inner",
     )
     contacts = users.select(F.col("id").alias("recipient_id"), F.col("email").alias("recipient"))
     to_owners = owned.join(contacts, "recipient_id").select(

@@ -6,6 +6,8 @@ after a failure replaces its first attempt.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,26 @@ def changes_to_table(stream: DataFrame, root: str | None = None) -> DataFrame:
     return spark.read.schema(f"{fields}, batch BIGINT").parquet(f"{root}/changes")
 
 
+def batches_to_table(
+    stream: DataFrame, transform: Callable[[DataFrame], DataFrame], schema: str, root: str | None = None
+) -> DataFrame:
+    """Append-only job that runs a batch function on every micro-batch; returns the written table."""
+    spark = stream.sparkSession
+    root = root or scratch_path(spark, "stream")
+
+    def write(rows: DataFrame, batch: int) -> None:
+        transform(rows).write.mode("overwrite").parquet(f"{root}/rows/batch={batch}")
+
+    job = (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", f"{root}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    job.awaitTermination()
+    return spark.read.schema(f"{schema}, batch BIGINT").parquet(f"{root}/rows").drop("batch")
+
+
 def latest_rows(changes: DataFrame, keys: list[str]) -> DataFrame:
     """The current row of each key of a change log."""
     values = [c for c in changes.columns if c not in (*keys, "batch")]

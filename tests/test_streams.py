@@ -9,7 +9,7 @@ from garbline.operators.status_jobs import apply_status
 from garbline.schemas import EVENTS_DDL
 from garbline.sources import events as ev
 from garbline.streaming import jobs
-from garbline.streaming.sinks import append_to_table, changes_to_table, latest_rows
+from garbline.streaming.sinks import append_to_table, batches_to_table, changes_to_table, latest_rows
 from tests.data import at, rows, table
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -49,7 +49,8 @@ def test_stock_over_batches(spark, split_events):
 def test_outbox_over_batches(spark, split_events):
     users = table(spark, "users", [{"id": -2, "email": "p", "system_role": "packer"}, {"id": 1, "email": "s", "system_role": "supervisor"}])
     carts = table(spark, "order_carts", [{"id": i, "supervisor_id": 1} for i in range(20)])
-    got = append_to_table(jobs.outbox(ev.status_commands(ev.read_events(spark, split_events, files_per_batch=1)), carts, users))
+    commands = ev.status_commands(ev.read_events(spark, split_events, files_per_batch=1))
+    got = batches_to_table(commands, lambda batch: jobs.outbox(batch, carts, users), jobs.OUTBOX_SCHEMA)
     assert rows(got) == rows(jobs.outbox(ev.status_commands(batch_events(spark)), carts, users))
     assert {r["kind"] for r in got.collect()} == {"new order", "packed", "completed"}
 
