@@ -13,15 +13,20 @@ CHUNK = 100_000
 
 
 def join_spread_nulls(
-    left: DataFrame, right: DataFrame, left_key: str, right_key: str, by: list[str], how: str = "left"
+    left: DataFrame,
+    right: DataFrame,
+    left_key: str,
+    right_key: str,
+    by: list[str] | None = None,
+    how: str = "left",
 ) -> DataFrame:
-    """Left (or left anti) equi-join whose NULL keys are dealt out by the columns ``by``.
+    """Left (or left anti) equi-join whose NULL keys are dealt out by ``by`` (all columns of the row).
 
     NULL matches nothing, but a plain shuffle sends all NULL rows to one task. A second
     join column, 0 for real keys on both sides, gives them ``SPREAD`` places instead. The
     right side computes its 0 from the key so that it stays a join column.
     """
-    dealt = F.when(F.col(left_key).isNull(), F.pmod(F.xxhash64(*by), F.lit(SPREAD))).otherwise(F.lit(0))
+    dealt = F.when(F.col(left_key).isNull(), F.pmod(F.xxhash64(*(by or left.columns)), F.lit(SPREAD))).otherwise(F.lit(0))
     left_side = left.withColumn("_place", dealt.cast("bigint"))
     right_side = right.withColumn("_home", F.pmod(F.col(right_key), F.lit(1)).cast("bigint"))
     matched = (left_side[left_key] == right_side[right_key]) & (

@@ -36,7 +36,7 @@ def _subtotal():
     return F.col("quantity") * F.col("price_at_time")
 
 
-def _with_worker(lines: DataFrame, team: DataFrame, by: list[str]) -> DataFrame:
+def _with_worker(lines: DataFrame, team: DataFrame, by: list[str] | None = None) -> DataFrame:
     return join_spread_nulls(lines, worker_names(team), "team_member_id", "worker_id", by)
 
 
@@ -48,7 +48,7 @@ def order_lines(
         items = items.where(F.col("cart_id") == cart_id)
     lines = items.select("cart_id", "product_size_id", "team_member_id", "quantity", "price_at_time")
     named = lines.join(sku_names(skus, products).drop("price", "product_id"), "product_size_id")
-    return _with_worker(named, team, ["cart_id", "product_size_id"]).select(
+    return _with_worker(named, team).select(
         "cart_id",
         "product_name",
         "article_number",
@@ -103,7 +103,7 @@ def wide_order_lines(t, carts: DataFrame | None = None) -> DataFrame:
         .join(catalogue, "product_size_id")
         .join(orders, "cart_id")
     )
-    return _with_worker(lines, t.team_members, ["cart_id", "product_size_id"]).select(
+    return _with_worker(lines, t.team_members).select(
         F.col("cart_id").alias("order_id"),
         "status",
         "created_at",
@@ -446,7 +446,6 @@ def returns_report(t, reason: str | None = None) -> DataFrame:
         workers.join(bosses, "supervisor_id", "left"),
         "team_member_id",
         "worker_id",
-        ["product_size_id", "issued_at"],
     )
     return named.select(
         "returned_at",

@@ -229,7 +229,7 @@ def _without(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """Rows of ``df`` whose ``column`` is not among the one-column ``keys``; NULLs stay."""
     if dict(df.dtypes)[column] == "string":
         return df.join(keys.toDF(column), column, "left_anti").select(*df.columns)
-    return join_spread_nulls(df, keys.toDF("_key"), column, "_key", df.columns, "left_anti")
+    return join_spread_nulls(df, keys.toDF("_key"), column, "_key", how="left_anti")
 
 
 def delete_users(t, doomed: DataFrame) -> dict[str, DataFrame]:

@@ -200,7 +200,10 @@ def test_joins_for_hot_and_null_keys(spark):
     right = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k BIGINT, w STRING")
     plain = rows(left.join(right, "k", "left"), "k", "v", "w")
     assert rows(join_heavy_apart(left, right, ["k"], "left", share=3), "k", "v", "w") == plain
+    for how in ("inner", "left_semi"):
+        assert rows(join_heavy_apart(left, right, ["k"], how, share=3)) == rows(left.join(right, "k", how))
     renamed = right.withColumnRenamed("k", "rk")
+    assert rows(join_spread_nulls(left, renamed, "k", "rk", how="left_anti")) == rows(left.join(right, "k", "left_anti"))
     spread = join_spread_nulls(left, renamed, "k", "rk", ["v"])
     assert rows(spread, "k", "v", "w") == plain
     plan = spread._jdf.queryExecution().optimizedPlan().toString()
