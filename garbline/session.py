@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,8 @@ SETTINGS = {
     # Broadcasts are decided by size estimates; Parquet files are several times smaller than
     # the rows in memory, so estimate with that factor.
     "spark.sql.sources.fileCompressionFactor": "4.0",
+    # Rows with whole texts go to Python in small batches.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
     # Keyed stream state lives on disk and in the shared checkpoint, not on the heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -48,27 +49,47 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by all executors, as the session names it.
+    """The folder shared by all executors, as ``spark.checkpoint.dir`` names it.
 
-    Where none is named, a local session gets its own; a cluster must name one, because
-    a folder of one machine is lost with that machine.
+    Where the session names none, a folder under the warehouse serves: the warehouse too is
+    shared by the driver and the executors. No machine-local temporary folder is ever used.
     """
-    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        named = tempfile.mkdtemp(prefix="garbline-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/garbline_scratch").rstrip("/")
+
+
+# Scratch paths handed out by this process, newest last, until ``clear_scratch`` removes them.
+_OWN: list[str] = []
 
 
 def scratch_path(spark: SparkSession, kind: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _OWN.append(path)
+    return path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path of this process through the file system that Spark uses for it."""
+    if path in _OWN:
+        _OWN.remove(path)
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and continue from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every scratch path of this process. For the owner of a finished job."""
+    for path in list(_OWN):
+        remove_path(spark, path)
+
+
+def cut_lineage(df: DataFrame, kind: str = "cut") -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and continue from there.
+
+    Columns without a type of their own (all NULL) are written as strings.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, kind)
+    void = {name: df[name].cast("string") for name, kind_ in df.dtypes if kind_ == "void"}
+    (df.withColumns(void) if void else df).write.parquet(path)
+    return spark.read.schema(df.withColumns(void).schema if void else df.schema).parquet(path)
