@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from garbline.session import configure
 
@@ -112,7 +113,7 @@ def sparse_counts(df: DataFrame, hashed: Column, bits: int) -> np.ndarray:
     """
     place = F.shiftrightunsigned(hashed, 64 - bits)
     words = (
-        df.select(F.shiftright(place, 6).alias("w"), F.shiftleft(F.lit(1).cast("bigint"), place.bitwiseAND(63).cast("int")).alias("b"))
+        df.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(63).cast("int")).alias("b"))
         .groupBy("w")
         .agg(F.bit_or("b").alias("b"))
     )
@@ -127,3 +128,24 @@ def in_bitmap(bitmap: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     bits = int(len(bitmap)).bit_length() - 1 + 6
     place = hashed >> U64(64 - bits)
     return (bitmap[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) == 1
+
+
+def score_texts(df: DataFrame, text: str, added: str, score, limit: int = 4 << 20) -> DataFrame:
+    """``df`` with the columns of the DDL ``added``, which replace columns of the same names.
+
+    ``score`` gets the column ``text`` of a slice of rows as an Arrow array and returns one
+    array for each added column. Runs on the partitions as they are, a slice at a time.
+    """
+    extra = T.StructType.fromDDL(added)
+    kept = [f for f in df.schema.fields if f.name not in extra.names]
+    # the text may itself be replaced, so it travels under a name of its own
+    source = df.select(*[df[f.name] for f in kept], df[text].cast("string").alias("_scored_text"))
+
+    def run(batches):
+        for piece in slices(batches, "_scored_text", limit):
+            texts = piece.column(piece.schema.names.index("_scored_text"))
+            columns = [piece.column(i) for i in range(len(kept))] + list(score(texts))
+            yield pa.RecordBatch.from_arrays([pa.array(c) if not isinstance(c, pa.Array) else c for c in columns], names=names)
+
+    names = [f.name for f in kept] + extra.names
+    return source.mapInArrow(run, T.StructType(kept + extra.fields))

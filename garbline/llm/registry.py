@@ -28,7 +28,9 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from garbline.llm import (  # noqa: F401
         fingerprints,
+        language,
         mixing,
+        ngram_join,
         secrets,
     )
 
