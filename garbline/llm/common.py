@@ -30,6 +30,11 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(False))
 
 
+def row_key(*columns: str) -> Column:
+    """A name of a row by some of its columns; rows equal in them share it."""
+    return F.xxhash64(*columns)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (the splitmix64 finaliser)."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

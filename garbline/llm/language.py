@@ -191,12 +191,12 @@ def speakable(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     names = docs.columns
     found = score_texts_aside(docs, learn_from(docs))
-    return found.where(F.col("_lang_pred") != UNKNOWN).select(*names)
+    return found.where(F.col("__lang_pred") != UNKNOWN).select(*names)
 
 
 def score_texts_aside(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """As ``identify``, under names that do not clash with those of ``docs``."""
     if model is None:
-        return docs.withColumn("_lang_pred", F.lit(UNKNOWN))
+        return docs.withColumn("__lang_pred", F.lit(UNKNOWN))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return score_texts(docs, "text", "_lang_pred string", lambda texts: shared.value.predict(texts)[:1])
+    return score_texts(docs, "text", "__lang_pred string", lambda texts: shared.value.predict(texts)[:1])

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from garbline.llm.common import WORD, table
+from garbline.llm.common import WORD, row_key, table
 from garbline.llm.registry import query
 from garbline.session import cut_lineage
 
@@ -38,8 +38,8 @@ GROUP = 10_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``source`` and ``size``, the number of words; the text is not carried on."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+    """``row`` (a key of the row), ``doc_id``, ``source`` and ``size``, the number of words; the text is not carried on."""
+    return docs.select(row_key("doc_id", "source", "text").alias("row"), "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
 
 
 def shares(sized: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -61,10 +61,11 @@ def shares(sized: DataFrame, limit: int = LIMIT) -> DataFrame:
         (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))).alias("open"),
         F.sum("source_size").over(every).alias("all_words"),
     )
-    # a source is at its limit if the level, were it the next to be settled, is above it
+    # a source is at its limit if the level, were it the next to be settled, is above it; the
+    # first that is not gives the final level, the highest of those that are left
     level = (F.col("all_words") - F.col("kept")).cast("double") / F.col("open")
     full = level * F.col("weight") >= F.col("source_size") * limit
-    levelled = settled.withColumn("level", F.min(F.when(~full, level)).over(every)).withColumn("full", full)
+    levelled = settled.withColumn("level", F.max(F.when(~full, level)).over(every)).withColumn("full", full)
     target = F.when(F.col("full"), (F.col("source_size") * limit).cast("double")).otherwise(F.col("level") * F.col("weight"))
     return levelled.select("source", "n", "source_size", target.alias("target"), F.floor(target + 0.5).cast("bigint").alias("words"))
 
@@ -150,7 +151,7 @@ def pieces(streamed: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, limit: int = LIMIT) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id``, ``source``, ``size``, ``start``, ``source_size``, ``target``, ``taken`` (words, repeats
+    """One row for each row of ``docs``: ``row``, ``doc_id``, ``source``, ``size``, ``start``, ``source_size``, ``target``, ``taken`` (words, repeats
     counted), ``passes`` (how often its first word is taken) and ``first_slot`` (NULL if never taken)."""
     spark = docs.sparkSession
     sized = cut_lineage(sizes(docs), "sizes")
@@ -176,7 +177,7 @@ def mix(docs: DataFrame, seed: int = SEED, block: int = BLOCK, limit: int = LIMI
         streamed.join(taken, here, "left")
         .join(named, F.col("source").eqNullSafe(F.col("_of")))
         .select(
-            "doc_id", "source", "size", "start", "source_size", "target",
+            "row", "doc_id", "source", "size", "start", "source_size", "target",
             F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"),
             F.coalesce("passes", F.lit(0)).cast("int").alias("passes"),
             "first_slot",
@@ -194,17 +195,13 @@ WITH sized AS (
 totals AS (
   SELECT source, sum(size)::BIGINT AS s, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w
   FROM sized GROUP BY source),
-levels AS (
-  SELECT *, (SELECT sum(s) FROM totals) AS everything,
-         coalesce(sum(3 * s) OVER o, 0)::BIGINT AS kept,
-         ((SELECT sum(w) FROM totals) - coalesce(sum(w) OVER o, 0))::BIGINT AS still
-  FROM totals
-  WINDOW o AS (ORDER BY s / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-filled AS (
-  SELECT *, (everything - kept)::DOUBLE / still AS lv, (everything - kept)::DOUBLE / still * w >= 3 * s AS is_full FROM levels),
-targets AS (
-  SELECT source, s, CASE WHEN is_full THEN (3 * s)::DOUBLE ELSE (SELECT min(lv) FROM filled WHERE NOT is_full) * w END AS target
-  FROM filled),
+-- the final level is the highest that any set of full sources would leave
+level AS (
+  SELECT max(((SELECT sum(s) FROM totals) - f.kept)::DOUBLE / f.still) AS lv
+  FROM (SELECT a.source, coalesce(sum(3 * b.s) FILTER (b.s / b.w < a.s / a.w), 0)::BIGINT AS kept,
+               sum(b.w) FILTER (b.s / b.w >= a.s / a.w)::BIGINT AS still
+        FROM totals a, totals b GROUP BY a.source, a.s, a.w) f),
+targets AS (SELECT source, s, least((3 * s)::DOUBLE, lv * w) AS target FROM totals, level),
 grouped AS (
   SELECT *, ('0x' || left(k, 8))::BIGINT % (SELECT greatest(1, 2 ** ceil(log2(greatest(1, count(*)) / {GROUP}.0)))::BIGINT FROM documents) AS g
   FROM sized),
@@ -223,3 +220,19 @@ FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
 def op1_mixing(spark, sf_dir) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: each document as often as the mix takes its first word, zero to three times.
+
+    Rows equal in id, source and text share what the mix takes of them.
+    """
+    plan = mix(docs.select("doc_id", "source", "text"))
+    often = cut_lineage(
+        plan.groupBy(F.col("row").alias("__row_key")).agg(F.sum("passes").alias("__passes"), F.count("*").alias("__rows")).where("__passes > 0"), "often"
+    )
+    keyed = docs.withColumn("__row_key", row_key("doc_id", "source", "text"))
+    single = keyed.join(often.where("__rows = 1"), "__row_key")
+    shared = keyed.join(often.where("__rows > 1"), "__row_key").dropDuplicates(["__row_key"])
+    every = single.unionByName(shared).withColumn("__copy", F.explode(F.expr("sequence(1L, __passes)")))
+    return every.select(*docs.columns)

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from garbline.llm.common import U64, Words, in_bitmap, mix64, slices, sparse_counts, table
+from garbline.llm.common import U64, Words, in_bitmap, mix64, row_key, slices, sparse_counts, table
 from garbline.llm.components import components
 from garbline.llm.registry import query
 from garbline.session import cut_lineage
@@ -87,23 +87,23 @@ def class_key(grams: np.ndarray) -> int:
 
 
 def classes(docs: DataFrame, id_column: str, text_column: str, n: int) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``cls`` (NULL for an empty set) of every row."""
+    """``row`` (a key of id and text), ``doc_id``, ``n_shingles`` and ``cls`` (NULL for an empty set) of every row."""
 
     def run(batches):
         for piece in slices(batches, "text"):
-            sets = gram_sets(piece.column(1), n)
+            sets = gram_sets(piece.column(2), n)
             yield pa.RecordBatch.from_arrays(
                 [
                     piece.column(0),
+                    piece.column(1),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([class_key(s) if len(s) else None for s in sets], pa.int64()),
                 ],
-                names=["doc_id", "n_shingles", "cls"],
+                names=["row", "doc_id", "n_shingles", "cls"],
             )
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, cls long"
-    )
+    named = docs.select(row_key(id_column, text_column).alias("row"), F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    return named.mapInArrow(run, "row long, doc_id long, n_shingles long, cls long")
 
 
 def _new_sets(batches, n: int):
@@ -346,8 +346,8 @@ def links(docs: DataFrame, found: DataFrame, id_column: str, text_column: str, n
     return tested.where("linked").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = N, percent: int = PERCENT, light: int = LIGHT, rounds: int = ROUNDS) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` (the smallest id reachable by links) of every row."""
+def grouped(docs: DataFrame, id_column: str, text_column: str, n: int, percent: int, light: int, rounds: int) -> DataFrame:
+    """``row``, ``doc_id``, ``n_shingles``, ``root`` (of the component; NULL without words) and ``component_id`` of every row."""
     found = cut_lineage(classes(docs, id_column, text_column, n), "classes")
     named = cut_lineage(found.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id")), "names")
     roots = components(links(docs, found, id_column, text_column, n, percent, light, rounds))
@@ -355,12 +355,36 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         named.join(roots, named["cls"] == roots["node"], "left").select("cls", "first_id", F.coalesce("root", "cls").alias("root")), "joined"
     )
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_class = cut_lineage(joined.join(least, "root").select("cls", "component_id"), "components")
+    of_class = cut_lineage(joined.join(least, "root").select("cls", "root", "component_id"), "components")
     # rows without a class meet nothing and stay where they are
-    blank = found.where("cls is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return found.where("cls is not null").join(of_class, "cls").select("doc_id", "n_shingles", "component_id").unionByName(blank)
+    nothing = F.lit(None).cast("long")
+    blank = found.where("cls is null").select("row", "doc_id", "n_shingles", nothing.alias("root"), F.col("doc_id").alias("component_id"))
+    full = found.where("cls is not null").join(of_class, "cls")
+    return full.select("row", "doc_id", "n_shingles", "root", "component_id").unionByName(blank)
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = N, percent: int = PERCENT, light: int = LIGHT, rounds: int = ROUNDS) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` (the smallest id reachable by links) of every row."""
+    return grouped(docs, id_column, text_column, n, percent, light, rounds).select("doc_id", "n_shingles", "component_id")
 
 
 @query("op3_ngram_join")
 def op3_ngram_join(spark, sf_dir) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def representatives(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: of each component the row with the smallest id stays, whole; rows without words stay.
+
+    Only the rows that go are looked up by key, so that the kept texts need not be
+    shuffled where few go. Of rows equal in id and text one stays.
+    """
+    groups = cut_lineage(grouped(docs, "doc_id", "text", N, PERCENT, LIGHT, ROUNDS).where("root is not null"), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("f")
+    kept = groups.groupBy("root").agg(first).select(F.col("f.row").alias("row"))
+    counts = groups.groupBy("row").agg(F.count("*").alias("n"))
+    gone = cut_lineage(counts.join(kept.withColumn("kept", F.lit(True)), "row", "left").where("n > 1 or kept is null").select(F.col("row").alias("__row_key"), F.col("kept").isNotNull().alias("__once")), "gone")
+    keyed = docs.withColumn("__row_key", row_key("doc_id", "text"))
+    stay = keyed.join(gone, "__row_key", "left_anti")
+    again = keyed.join(gone.where("__once").select("__row_key"), "__row_key", "left_semi").dropDuplicates(["__row_key"])
+    return stay.unionByName(again).select(*docs.columns)

@@ -27,11 +27,13 @@ def query(key: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from garbline.llm import (  # noqa: F401
+        decontamination,
         fingerprints,
         language,
         mixing,
         ngram_join,
         secrets,
+        training_order,
     )
 
 
