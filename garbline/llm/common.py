@@ -87,7 +87,8 @@ class Words:
 
     def __init__(self, texts: pa.Array, fold: str = "ascii") -> None:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        texts = pc.ascii_lower(texts) if fold == "ascii" else pc.utf8_lower(texts)
+        if fold != "none":
+            texts = pc.ascii_lower(texts) if fold == "ascii" else pc.utf8_lower(texts)
         if fold == "alnum":
             texts = pc.replace_substring_regex(texts, r"[^\p{L}\p{N}\s]+", "")
         parts = pc.ascii_split_whitespace(texts)
@@ -110,6 +111,22 @@ class Words:
         return hash_strings(self.distinct)[self.codes] if len(self.codes) else np.empty(0, U64)
 
 
+def labelled_sample(labels: DataFrame, label: str, most: int) -> DataFrame:
+    """``doc_id`` and ``label`` (0 or 1) of about ``most`` training rows of each label, fewer where there are fewer.
+
+    Chosen by a hash of the id, so reruns agree. Ids with both labels count as 1; held-out ids
+    and rows without an id or label are left out. ``most`` bounds what is broadcast.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out("doc_id"))
+    once = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
+    found = {r["label"]: r["n"] for r in once.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    place = F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1_000_000))
+    share = F.lit(0)
+    for value, n in found.items():
+        share = F.when(F.col("label") == value, F.lit(int(1_000_000 * min(1.0, most / n)))).otherwise(share)
+    return once.where(place < share)
+
+
 def sparse_counts(df: DataFrame, hashed: Column, bits: int) -> np.ndarray:
     """A bitmap of ``2**bits`` places with those set that ``hashed`` (a bigint column) falls on.
 

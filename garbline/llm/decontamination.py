@@ -85,7 +85,6 @@ def item_seeds(items: DataFrame) -> DataFrame:
 def hits(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
     """``row``, ``doc_id``, ``begin``, ``words``, ``seeds``, ``places``: stretches of the texts that hold seeds on taken places of the
     bitmap, with ``REACH`` words around them."""
-    taken = docs.sparkSession.sparkContext.broadcast(bitmap)
     shape = pa.schema(
         [("row", pa.int64()), ("doc_id", pa.int64()), ("begin", pa.int64()), ("words", pa.binary()), ("seeds", pa.list_(pa.int64())), ("places", pa.list_(pa.int64()))]
     )
@@ -95,7 +94,7 @@ def hits(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
             hashed, starts, lengths = _words(piece.column(2))
             found, places = [np.empty(0, U64)], [np.empty(0, np.int64)]
             for _, sums, fits in seeds(hashed, starts, lengths):
-                at = np.flatnonzero(fits & in_bitmap(taken.value, sums))
+                at = np.flatnonzero(fits & in_bitmap(bitmap, sums))
                 found.append(sums[at])
                 places.append(at)
             found, places = np.concatenate(found), np.concatenate(places)

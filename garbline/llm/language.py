@@ -169,8 +169,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text") -
     """``docs`` with ``lang_pred``, ``score`` and ``ambiguous``."""
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "ambiguous": F.lit(True)})
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return score_texts(docs, text, "lang_pred string, score double, ambiguous boolean", lambda texts: shared.value.predict(texts))
+    return score_texts(docs, text, "lang_pred string, score double, ambiguous boolean", lambda texts: model.predict(texts))
 
 
 def learn_from(docs: DataFrame) -> LanguageModel | None:
@@ -198,5 +197,4 @@ def score_texts_aside(docs: DataFrame, model: LanguageModel | None) -> DataFrame
     """As ``identify``, under names that do not clash with those of ``docs``."""
     if model is None:
         return docs.withColumn("__lang_pred", F.lit(UNKNOWN))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return score_texts(docs, "text", "__lang_pred string", lambda texts: shared.value.predict(texts)[:1])
+    return score_texts(docs, "text", "__lang_pred string", lambda texts: model.predict(texts)[:1])

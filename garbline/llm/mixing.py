@@ -34,7 +34,7 @@ UNIT = 1 << 31
 GOLDEN = 1327217885
 CHUNK = 8192
 CELLS = 4096
-GROUP = 10_000
+GROUP = 2_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:

@@ -192,8 +192,6 @@ def boundary(by_size: dict[int, int], mean_list: float, percent: int = PERCENT)
 
 def signatures(texts: DataFrame, n: int, percent: int, bitmap: np.ndarray, limit: int) -> DataFrame:
     """``sig``, ``cls``, ``n``: the grams, or pairs of grams, in which a set may meet a partner."""
-    frequent = texts.sparkSession.sparkContext.broadcast(bitmap)
-
     def run(batches):
         sigs, names, sizes, held = [], [], [], 0
 
@@ -206,7 +204,7 @@ def signatures(texts: DataFrame, n: int, percent: int, bitmap: np.ndarray, limit
 
         for name, grams in _new_sets(batches, n):
             size = len(grams)
-            late = in_bitmap(frequent.value, grams)
+            late = in_bitmap(bitmap, grams)
             # order of the grams, of which only the first are needed
             grams = np.concatenate([grams[~late], grams[late]])
             spare = size - need(size, percent)
@@ -261,12 +259,12 @@ def candidate_sets(texts: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
 
     A bitmap of fixed size keeps most other sets from being shuffled; the join removes the rest.
     """
-    bitmap = texts.sparkSession.sparkContext.broadcast(sparse_counts(wanted, F.col("cls"), BITMAP_BITS))
+    bitmap = sparse_counts(wanted, F.col("cls"), BITMAP_BITS)
 
     def run(batches):
         names, sets, held = [], [], 0
         for name, grams in _new_sets(batches, n):
-            if in_bitmap(bitmap.value, np.array([name], np.int64).view(U64))[0]:
+            if in_bitmap(bitmap, np.array([name], np.int64).view(U64))[0]:
                 names.append(name)
                 sets.append(grams.tobytes())
                 held += len(sets[-1])

@@ -19,7 +19,6 @@ NULL. The vocabulary's path is a parameter.
 from __future__ import annotations
 
 import base64
-import functools
 import os
 
 import numpy as np
@@ -42,7 +41,6 @@ NETWORK_ROUNDS = 6
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-@functools.lru_cache(maxsize=2)
 def encoding(path: str):
     import tiktoken
 
@@ -51,8 +49,8 @@ def encoding(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def encode(text: str, path: str) -> np.ndarray:
-    return np.asarray(encoding(path).encode_to_numpy(text, disallowed_special=()))
+def encode(text: str, tokenizer) -> np.ndarray:
+    return np.asarray(tokenizer.encode_to_numpy(text, disallowed_special=()))
 
 
 def feistel(numbers: np.ndarray, half: int, key: int) -> np.ndarray:
@@ -81,13 +79,13 @@ def encoded(docs: DataFrame, path: str, length: int, end: int) -> DataFrame:
     kind = np.dtype("<u2") if end < 1 << 16 else np.dtype("<u4")
 
     def run(batches):
-        task, at = TaskContext.get().partitionId(), 0
+        task, at, tokenizer = TaskContext.get().partitionId(), 0, encoding(path)
         for piece in slices(batches, "text"):
             rows = []
             for doc, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
                 if not text:
                     continue
-                tokens = np.append(encode(text, path), end).astype(kind)
+                tokens = np.append(encode(text, tokenizer), end).astype(kind)
                 for part, first in enumerate(range(0, len(tokens), length)):
                     some = tokens[first : first + length]
                     rows.append((task, at, doc, part, len(some), pa.compress(some.tobytes(), "zstd", asbytes=True)))
@@ -116,7 +114,6 @@ def in_training_order(docs: DataFrame, target: str, path: str = VOCABULARY, leng
     for task in sorted(counts):
         before[task] = total
         total += counts[task]
-    shared = spark.sparkContext.broadcast(before)
     kind = np.dtype("<u2") if end < 1 << 16 else np.dtype("<u4")
     width = length * kind.itemsize
     filler = np.full(length, end, kind).tobytes()
@@ -124,7 +121,7 @@ def in_training_order(docs: DataFrame, target: str, path: str = VOCABULARY, leng
     def place(batches):
         for batch in batches:
             tasks = batch.column(0).to_numpy()
-            base = np.array([shared.value[t] for t in tasks.tolist()], np.int64)
+            base = np.array([before[t] for t in tasks.tolist()], np.int64)
             slots = slots_of(base + batch.column(1).to_numpy(), total, key)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(slots), pa.array(slots // stride), *batch.columns[2:]], names=["slot", "shard", "doc_id", "part", "n_tokens", "packed"]
