@@ -32,7 +32,9 @@ def load_all() -> None:
         language,
         mixing,
         ngram_join,
+        resampling,
         secrets,
+        toxicity,
         training_order,
     )
 
