@@ -32,6 +32,7 @@ def load_all() -> None:
         language,
         mixing,
         ngram_join,
+        personal,
         resampling,
         secrets,
         toxicity,
