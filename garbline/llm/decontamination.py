@@ -121,12 +121,13 @@ def hits(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
 
 
 def best_stretch(equal: np.ndarray, penalty: int = PENALTY) -> tuple[int, int, int]:
-    """(first, last, equal words) of the best stretch, the end excluded."""
+    """(first, last, equal words) of the best stretch, the end excluded; of equally good ones the longest."""
     score = np.where(equal, 1, -penalty)
     upto = np.concatenate([[0], np.cumsum(score)])
     low = np.minimum.accumulate(upto)
-    end = int(np.argmax(upto - low))
-    begin = int(np.flatnonzero(upto[: end + 1] == low[end])[-1])
+    gain = upto - low
+    end = int(np.flatnonzero(gain == gain.max())[-1])
+    begin = int(np.argmin(upto[: end + 1]))
     return begin, end, int(equal[begin:end].sum())
 
 

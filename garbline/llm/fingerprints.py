@@ -44,7 +44,7 @@ def fingerprint(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     # a text without words keeps one row without a vote
     terms = tokens.select(*keys, "_w", F.posexplode_outer("_w").alias("_at", "_one"))
     after = F.get("_w", F.col("_at") + 1)
-    weight = F.coalesce(F.least(F.length("_one"), F.lit(8)), F.lit(0)).cast("bigint")
+    weight = F.when(F.col("_one").isNull(), 0).otherwise(F.least(F.length("_one"), F.lit(8))).cast("bigint")
     hashed = terms.select(
         *keys,
         weight.alias("_weight"),

@@ -46,6 +46,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 ANCHOR = r"[0-9@]|[\[(] ?at"
 _ANCHOR = re.compile(ANCHOR)
+_EMAIL_START = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[\[(] ?at)")
 _NOT_DIGITS = re.compile(r"[^0-9]+")
 
 # Character classes: 0 is padding, 1 anything that is not listed.
@@ -249,6 +250,9 @@ def added_spans(texts: list[str], model: Tagger, base: list[list[tuple[int, int,
             row += 1
         more = []
         for kind, start, end in spans_of(tags[: len(text)]):
+            # a local part has no blanks: words before it are not part of the address
+            begun = _EMAIL_START.search(text, start, end) if kind == 0 else None
+            start = begun.start() if begun else start
             while start < end and text[start] in " \n\t\r,.;:-":
                 start += 1
             while start < end and text[end - 1] in " \n\t\r,.;:-([{":

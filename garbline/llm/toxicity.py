@@ -96,6 +96,8 @@ class ToxicModel:
         return out
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
+        if not np.isfinite(self.offset):
+            return np.full(len(evidence), float(self.offset > 0))
         return 1 / (1 + np.exp(-np.clip(self.offset + self.slope * np.log1p(evidence), -500, 500)))
 
     def predict(self, texts: pa.Array):
