@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from garbline.session import cut_lineage
 
-SPREAD = 64
-HEAVY_SHARE = 1000
 CHUNK = 100_000
 
 
@@ -19,44 +17,35 @@ def join_spread_nulls(
     right_key: str,
     by: list[str] | None = None,
     how: str = "left",
+    also: list[str] | None = None,
 ) -> DataFrame:
     """Left (or left anti) equi-join whose NULL keys are dealt out by ``by`` (all columns of the row).
 
     NULL matches nothing, but a plain shuffle sends all NULL rows to one task. A second
-    join column, 0 for real keys on both sides, gives them ``SPREAD`` places instead. The
-    right side computes its 0 from the key so that it stays a join column.
+    join column, 0 for real keys on both sides and a hash of the row for NULL, spreads them
+    over all tasks. The right side computes its 0 from the key so that it stays a join
+    column. ``also`` are further equal columns, named alike on both sides.
     """
-    dealt = F.when(F.col(left_key).isNull(), F.pmod(F.xxhash64(*(by or left.columns)), F.lit(SPREAD))).otherwise(F.lit(0))
+    dealt = F.when(F.col(left_key).isNull(), F.xxhash64(*(by or left.columns))).otherwise(F.lit(0))
     left_side = left.withColumn("_place", dealt.cast("bigint"))
-    right_side = right.withColumn("_home", F.pmod(F.col(right_key), F.lit(1)).cast("bigint"))
-    matched = (left_side[left_key] == right_side[right_key]) & (
-        left_side["_place"] == right_side["_home"]
+    extra = also or []
+    right_side = right.withColumn("_home", F.pmod(F.col(right_key), F.lit(1)).cast("bigint")).withColumnsRenamed(
+        {c: f"_also_{c}" for c in extra}
     )
-    return left_side.join(right_side, matched, how).drop("_place", "_home")
+    matched = (left_side[left_key] == right_side[right_key]) & (left_side["_place"] == right_side["_home"])
+    for c in extra:
+        matched = matched & (left_side[c] == right_side[f"_also_{c}"])
+    return left_side.join(right_side, matched, how).drop("_place", "_home", *[f"_also_{c}" for c in extra])
 
 
-def heavy_keys(df: DataFrame, keys: list[str], share: int = HEAVY_SHARE) -> DataFrame:
-    """Keys that hold more than ``1/share`` of the rows: never more than ``share`` rows."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    return counts.where(F.col("_n") * share > total).select(*keys)
+def join_reduced(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Equi-join to an aggregate on the same keys, safe for hot left keys.
 
-
-def join_heavy_apart(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str, share: int = HEAVY_SHARE
-) -> DataFrame:
-    """Equi-join to a lookup that is (nearly) unique on ``keys``, safe for hot left keys.
-
-    At most ``share`` keys can be heavy, so their lookup rows are broadcast by proof of
-    size and the hot rows stay where they are; everything else takes the shuffled join.
-    NULL keys must be filtered or counted as light by the caller.
+    Adaptive execution splits a hot partition of ``left`` only if both sides come straight
+    from a shuffle of their own, which an aggregate does not. So the aggregate is written
+    out first; ``left`` is read once, and nothing is broadcast but by Spark's own estimate.
     """
-    heavy = heavy_keys(left.select(*keys), keys, share)
-    tagged = left.join(F.broadcast(heavy.withColumn("_heavy", F.lit(True))), keys, "left")
-    light = tagged.where(F.col("_heavy").isNull()).drop("_heavy")
-    hot = tagged.where(F.col("_heavy")).drop("_heavy")
-    hot_lookup = right.join(F.broadcast(heavy), keys, "left_semi")
-    return light.join(right, keys, how).unionByName(hot.join(F.broadcast(hot_lookup), keys, how))
+    return left.join(cut_lineage(right, "reduced"), keys, how)
 
 
 def number_rows(df: DataFrame, order: list[Column], name: str, start: int | Column = 1) -> DataFrame:
@@ -81,18 +70,12 @@ def number_rows(df: DataFrame, order: list[Column], name: str, start: int | Colu
     )
 
 
-def sum_before(df: DataFrame, key: str, rank: str, sums: dict[str, Column], chunk: int | None = CHUNK) -> DataFrame:
+def sum_before(df: DataFrame, key: str, rank: str, sums: dict[str, Column], chunk: int = CHUNK) -> DataFrame:
     """Running sums of the rows of the same ``key`` with a smaller ``rank``.
 
     ``rank`` is dense and occurs once per key, so a chunk of ranks bounds every window:
-    chunk totals are prefix-summed per key, then rows within their chunk. With
-    ``chunk=None`` (the caller has checked that all ranks fit one chunk) one window does.
+    chunk totals are prefix-summed per key, then rows within their chunk.
     """
-    if chunk is None:
-        before = Window.partitionBy(key).orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
-        return df.select(
-            "*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for n, c in sums.items()]
-        )
     slots = df.withColumn("_slot", F.floor(F.col(rank) / F.lit(chunk)))
     per_slot = slots.groupBy(key, "_slot").agg(*[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()])
     earlier = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)

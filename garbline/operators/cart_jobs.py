@@ -7,25 +7,30 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from garbline.functions.spread import CHUNK, join_heavy_apart, join_spread_nulls, number_rows, sum_before
+from garbline.functions.spread import CHUNK, join_spread_nulls, number_rows, sum_before
 from garbline.operators.joins import acting_pairs, with_price
 from garbline.operators.reports import derive_cart_worker, month_usage, open_cart_latest, order_totals
 from garbline.schemas import MONEY
-from garbline.session import cut_lineage
+from garbline.session import cut_and_count, cut_lineage, scratch_path
 
 
 def check_cart_requests(requests: DataFrame, t, as_of: dt.date) -> DataFrame:
     """Add ``reason`` to add-to-cart requests: why one is refused, NULL where it is accepted.
 
     ``requests``: seq, actor_id, actor_role, team_member_id, product_size_id, quantity. A
-    supervisor orders for the own team and for teams delegated on the day.
+    supervisor orders for the own team and for teams delegated on the day. Requests for an
+    unknown worker have no owner; as NULL keys they are dealt out over all tasks.
     """
     owners = t.team_members.select(F.col("id").alias("_worker"), F.col("supervisor_id").alias("owner_id"))
-    covers = acting_pairs(t.supervisor_delegations, as_of).select(
-        F.col("acting_id").alias("actor_id"), "owner_id", F.lit(True).alias("_covers")
+    # Written out, so that the join below is between plain shuffles, which can be split.
+    covers = cut_lineage(
+        acting_pairs(t.supervisor_delegations, as_of).select(
+            F.col("acting_id").alias("actor_id"), F.col("owner_id").alias("_owner"), F.lit(True).alias("_covers")
+        ),
+        "covers",
     )
-    owned = join_spread_nulls(requests, owners, "team_member_id", "_worker", ["seq"])
-    checked = join_heavy_apart(owned, covers, ["actor_id", "owner_id"], "left")
+    owned = join_spread_nulls(requests, owners, "team_member_id", "_worker")
+    checked = join_spread_nulls(owned, covers, "owner_id", "_owner", also=["actor_id"])
     in_team = F.coalesce((F.col("owner_id") == F.col("actor_id")) | F.col("_covers"), F.lit(False))
     reason = (
         F.when(F.col("actor_role") == "admin", "admins cannot order")
@@ -42,7 +47,7 @@ def add_to_carts(requests: DataFrame, t, as_of: dt.date) -> tuple[DataFrame, Dat
     Requests as in ``check_cart_requests``. Returns (lines of the touched carts, new carts,
     rejects). An actor's newest open cart is reused, else one is created. The same (cart,
     SKU, worker) adds up and keeps the price it had first; a new line takes the current
-    product price.
+    product price. A missing quantity is 1.
     """
     checked = check_cart_requests(requests, t, as_of)
     rejects = checked.where(F.col("reason").isNotNull())
@@ -50,7 +55,7 @@ def add_to_carts(requests: DataFrame, t, as_of: dt.date) -> tuple[DataFrame, Dat
     added = cut_lineage(
         checked.where(F.col("reason").isNull())
         .groupBy("actor_id", "product_size_id", "team_member_id")
-        .agg(F.sum("quantity").alias("quantity"), F.min("seq").alias("seq"))
+        .agg(F.sum(F.coalesce("quantity", F.lit(1))).alias("quantity"), F.min("seq").alias("seq"))
     )
 
     actors = added.groupBy("actor_id").agg(F.min("seq").alias("first_seq"))
@@ -85,23 +90,29 @@ def add_to_carts(requests: DataFrame, t, as_of: dt.date) -> tuple[DataFrame, Dat
     return lines, new_carts, rejects
 
 
-def bulk_order(orders: DataFrame, workers: DataFrame, lines: DataFrame, t) -> tuple[DataFrame, DataFrame]:
-    """Every chosen worker of an order gets every chosen SKU of that order.
+def bulk_order(orders: DataFrame, workers: DataFrame, lines: DataFrame, t) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every chosen worker of an order gets every chosen SKU of that order, kept as its two factors.
 
     ``orders``: order_id, supervisor_id. ``workers``: order_id, team_member_id. ``lines``:
     order_id, product_size_id, quantity as text (empty or NULL is 1, zero or less is
-    skipped). Returns (items, carts with their total); no stock is taken and the status
-    stays created. The pairing is an equi-join on the order and is the result itself.
+    skipped). Returns (carts with their total, priced lines, rejects); no stock is taken and
+    the status stays created. A quantity that is no whole number refuses its whole
+    order. The items are the carts' workers times their lines: ``bulk_items`` writes them out.
     """
-    quantity = F.coalesce(F.nullif("quantity", F.lit("")).cast("int"), F.lit(1))
-    wanted = lines.withColumn("quantity", quantity).where(F.col("quantity") > 0)
-    priced = with_price(wanted, t.product_sizes, t.products).withColumnRenamed("price", "price_at_time")
-    filled = orders.join(workers.select("order_id"), "order_id", "left_semi").join(
-        lines.select("order_id"), "order_id", "left_semi"
-    )
+    given = F.nullif(F.trim("quantity"), F.lit(""))
+    read = lines.withColumn("_read", F.coalesce(F.expr("try_cast(nullif(trim(quantity), '') AS INT)"), F.when(given.isNull(), 1)))
+    bad = read.where(F.col("_read").isNull()).select("order_id").distinct()
+    rejects = bad.join(orders, "order_id").select("order_id", "supervisor_id", F.lit("invalid quantity").alias("reason"))
+    good = orders.join(bad, "order_id", "left_anti")
+    wanted = read.join(good.select("order_id"), "order_id", "left_semi").where(F.col("_read") > 0)
+    priced = with_price(wanted.withColumn("quantity", F.col("_read")).drop("_read"), t.product_sizes, t.products)
+    priced = priced.withColumnRenamed("price", "price_at_time")
+    filled = good.join(lines.select("order_id"), "order_id", "left_semi")
     # The total needs no pairing: the order's lines sum, times its workers.
-    heads = workers.groupBy("order_id").agg(F.count("*").alias("_workers"))
-    sums = priced.groupBy("order_id").agg(F.sum(F.col("quantity") * F.col("price_at_time")).alias("_sum"))
+    heads = workers.groupBy("order_id").agg(F.count("*").alias("workers"))
+    sums = priced.groupBy("order_id").agg(
+        F.sum(F.col("quantity") * F.col("price_at_time")).alias("_sum"), F.count("*").alias("_lines")
+    )
     carts = (
         filled.join(heads, "order_id")
         .join(sums, "order_id", "left")
@@ -109,13 +120,21 @@ def bulk_order(orders: DataFrame, workers: DataFrame, lines: DataFrame, t) -> tu
             F.col("order_id").alias("id"),
             "supervisor_id",
             F.lit("created").alias("status"),
-            F.coalesce(F.col("_sum") * F.col("_workers"), F.lit(0)).alias("total_price"),
+            "workers",
+            F.coalesce("_lines", F.lit(0)).alias("lines"),
+            F.coalesce(F.col("_sum") * F.col("workers"), F.lit(0)).alias("total_price"),
         )
     )
-    items = workers.join(priced, "order_id").select(
+    return carts, priced, rejects
+
+
+def bulk_items(carts: DataFrame, workers: DataFrame, priced: DataFrame) -> DataFrame:
+    """The items of the given carts: each worker with each line. Meant for carts that are asked for."""
+    keys = carts.select(F.col("id").alias("order_id"))
+    mine = workers.join(keys, "order_id", "left_semi")
+    return mine.join(priced, "order_id").select(
         F.col("order_id").alias("cart_id"), "product_size_id", "team_member_id", "quantity", "price_at_time"
     )
-    return items, carts
 
 
 def budget_check(submitted: DataFrame, t, as_of: dt.date) -> DataFrame:
@@ -141,23 +160,31 @@ def cart_demand(lines: DataFrame) -> DataFrame:
     )
 
 
-def allocate_stock(need: DataFrame, skus: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def allocate_stock(need: DataFrame, skus: DataFrame, chunk: int = CHUNK, seen: list | None = None) -> DataFrame:
     """(cart_id, accepted): all-or-nothing stock for carts in order of submission.
 
     ``need``: as from ``cart_demand``. A cart that fails takes nothing, so its units stay
     for later carts. Only carts that touch a SKU with more demand than stock can fail.
-    They are decided in rounds: with the demand of accepted earlier carts alone (low) a
-    shortage is final; with that of all earlier carts still in question as well (high) a
-    fit is final. The earliest undecided cart always has low = high, so every round
-    decides some.
+    They are decided in rounds over what is still open:
+
+    * a cart that asks for more than is left of a SKU fails for good;
+    * a cart that fits even if every earlier open cart is served is accepted. Its units leave
+      the stock at once: whatever open carts stood before it were counted, so none
+      of them can miss these units;
+    * decided carts leave, and so do SKUs that can now serve all their open carts; a cart
+      whose last contested SKU has left is accepted.
+
+    The earliest open cart is always decided, so the number of rounds is at most the
+    longest chain of carts that wait for each other. ``seen`` collects the open rows of each round.
     """
+    spark = need.sparkSession
     stock = skus.select(F.col("id").alias("product_size_id"), "stock")
-    # Written out, so that the join below is between plain shuffles, which can be split.
+    # Written out, so that the joins below are between plain shuffles, which can be split.
     contested = cut_lineage(
         need.groupBy("product_size_id")
         .agg(F.sum("need").alias("demand"))
         .join(stock, "product_size_id", "left")
-        .withColumn("stock", F.coalesce("stock", F.lit(-1)))
+        .withColumn("stock", F.coalesce("stock", F.lit(-1)).cast("bigint"))
         .where(F.col("demand") > F.col("stock"))
         .select("product_size_id", "stock")
     )
@@ -168,40 +195,40 @@ def allocate_stock(need: DataFrame, skus: DataFrame, chunk: int = CHUNK) -> Data
         "rank",
         0,
     ).select("cart_id", "rank")
-    state = (
-        disputed.join(ranked, "cart_id")
-        .select("cart_id", "rank", "product_size_id", "need", "stock")
-        .withColumn("taken", F.lit(False))
+    state, rows = cut_and_count(
+        disputed.join(ranked, "cart_id").select("cart_id", "rank", "product_size_id", "need", "stock")
     )
-    undecided = ranked.count()
-    slots = chunk if undecided > chunk else None
-    lost = []
-    while undecided:
-        sums = {"low": F.when(F.col("taken"), F.col("need")).otherwise(0), "high": F.col("need")}
-        tested = sum_before(state, "product_size_id", "rank", sums, slots)
+    lost, turn = scratch_path(spark, "lost"), 0
+    while rows:
+        if seen is not None:
+            seen.append(rows)
+        tested = sum_before(state, "product_size_id", "rank", {"before": F.col("need")}, chunk)
         verdicts = cut_lineage(
-            tested.where(~F.col("taken"))
-            .groupBy("cart_id")
+            tested.groupBy("cart_id")
             .agg(
-                F.bool_or(F.col("low") + F.col("need") > F.col("stock")).alias("fails"),
-                F.bool_and(F.col("high") + F.col("need") <= F.col("stock")).alias("fits"),
+                F.bool_or(F.col("need") > F.col("stock")).alias("fails"),
+                F.bool_and(F.col("before") + F.col("need") <= F.col("stock")).alias("fits"),
             )
+            .where("fails OR fits")
         )
-        lost.append(verdicts.where("fails").select("cart_id"))
-        undecided = verdicts.where("NOT fails AND NOT fits").count()
-        if undecided:
-            state = cut_lineage(
-                state.join(verdicts, "cart_id", "left")
-                .where(~F.coalesce("fails", F.lit(False)))
-                .withColumn("taken", F.col("taken") | F.coalesce("fits", F.lit(False)))
-                .drop("fails", "fits")
+        verdicts.where("fails").select("cart_id").write.parquet(f"{lost}/turn={turn}")
+        turn += 1
+        told = state.join(verdicts, "cart_id", "left")
+        is_open = F.col("fails").isNull()
+        left = cut_lineage(
+            told.groupBy("product_size_id")
+            .agg(
+                (F.max("stock") - F.coalesce(F.sum(F.when(F.col("fits") & ~F.col("fails"), F.col("need"))), F.lit(0))).alias("stock"),
+                F.sum(F.when(is_open, F.col("need"))).alias("wanted"),
             )
+            .where("wanted > stock")
+            .select("product_size_id", "stock")
+        )
+        state, rows = cut_and_count(told.where(is_open).drop("stock", "fails", "fits").join(left, "product_size_id"))
     carts = need.select("cart_id").distinct()
-    if not lost:
+    if not turn:
         return carts.withColumn("accepted", F.lit(True))
-    rejected = lost[0]
-    for more in lost[1:]:
-        rejected = rejected.union(more)
+    rejected = spark.read.schema(f"cart_id {dict(need.dtypes)['cart_id']}, turn INT").parquet(lost).select("cart_id")
     return carts.join(rejected.withColumn("_lost", F.lit(True)), "cart_id", "left").select(
         "cart_id", F.col("_lost").isNull().alias("accepted")
     )
@@ -255,7 +282,7 @@ def checkout(
         .agg(F.sum("need").alias("_taken"))
     )
     skus = t.product_sizes.join(taken, "id", "left").withColumn(
-        "stock", (F.col("stock") - F.coalesce("_taken", F.lit(0))).cast("int")
+        "stock", (F.col("stock") - F.coalesce("_taken", F.lit(0))).cast("bigint")
     ).drop("_taken")
 
     extra = [c for c in ("comment", "team_member_id") if c in submissions.columns]

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from garbline.functions.spread import join_heavy_apart, join_spread_nulls
+from garbline.functions.spread import join_reduced, join_spread_nulls
 from garbline.functions.text import reason_label
 from garbline.operators.filters import active_delegations, audience, garment_state
 from garbline.schemas import MONEY, ROLE_EVERYONE
@@ -321,7 +321,7 @@ def worker_history(t, worker: int | None = None) -> DataFrame:
     )
     catalogue = sku_names(t.product_sizes, t.products).select("product_size_id", "product_name", "size")
     rows = (
-        join_heavy_apart(items.select(*key, "cart_id", "quantity"), states, key, "left")
+        join_reduced(items.select(*key, "cart_id", "quantity"), states, key, "left")
         .join(orders, "cart_id")
         .join(catalogue, "product_size_id")
     )
@@ -442,7 +442,7 @@ def returns_report(t, reason: str | None = None) -> DataFrame:
     bosses = t.users.select(F.col("id").alias("supervisor_id"), F.col("full_name").alias("supervisor_name"))
     catalogue = sku_names(t.product_sizes, t.products).select("product_size_id", "product_name", "size")
     named = join_spread_nulls(
-        join_heavy_apart(returned, orders, key, "left").join(catalogue, "product_size_id"),
+        join_reduced(returned, orders, key, "left").join(catalogue, "product_size_id"),
         workers.join(bosses, "supervisor_id", "left"),
         "team_member_id",
         "worker_id",
@@ -467,4 +467,4 @@ def return_orders(t) -> DataFrame:
     returned = garment_state(t.user_uniforms, "history").where(F.col("returned")).select(*key).distinct()
     named = t.order_items.where(F.col("team_member_id").isNotNull())
     lines = named.select(*key, F.col("cart_id").alias("order_id")).distinct()
-    return join_heavy_apart(lines, returned, key, "left_semi")
+    return join_reduced(lines, returned, key, "left_semi")

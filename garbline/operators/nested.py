@@ -7,33 +7,33 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from garbline.functions.spread import join_heavy_apart
+from garbline.functions.spread import number_rows
 from garbline.operators.joins import delegations_in
+from garbline.session import cut_lineage
 
-PAGE_ITEMS = 10_000
+PAGE_ITEMS = 1000
 
 
 def nest(
     children: DataFrame, key: str, fields: list[str], name: str, page_items: int = PAGE_ITEMS
 ) -> DataFrame:
-    """(key, page, name): children as sorted arrays of structs, split into pages when many.
+    """(key, page, name): children as arrays of structs, in the order of ``fields``, in pages by position.
 
-    A group of up to ``page_items`` children is page 0. A larger one is dealt out by hash
-    into as many pages as keep each near that size, so no row has to hold a hot group.
+    Page ``p`` holds the children at positions ``p * page_items`` and on, so the pages of a key, one
+    after the other, are its sorted children, and no row has to hold a hot group. The
+    positions come from one global order, in which the children of a key are neighbours.
     """
-    counts = children.groupBy(key).agg(F.count("*").alias("_n"))
-    large = counts.where(F.col("_n") > page_items).select(
-        key, F.ceil(F.col("_n") / page_items).cast("bigint").alias("_pages")
-    )
-    page = F.when(F.col("_pages").isNull(), 0).otherwise(F.pmod(F.xxhash64(*fields), F.col("_pages")))
-    dealt = join_heavy_apart(children.select(key, *fields), large, [key], "left").withColumn(
-        "page", page.cast("int")
-    )
-    return dealt.groupBy(key, "page").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
+    order = [F.col(c).asc() for c in (key, *fields)]
+    numbered = cut_lineage(number_rows(children.select(key, *fields), order, "_n", 0), "numbered")
+    starts = cut_lineage(numbered.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("_n").alias("_first")), "starts")
+    page = F.floor((F.col("_n") - F.col("_first")) / page_items).cast("int")
+    placed = numbered.join(starts, key).withColumn("page", page)
+    items = F.sort_array(F.collect_list(F.struct("_n", F.struct(*fields).alias("item"))))
+    return placed.groupBy(key, "page").agg(F.transform(items, lambda x: x["item"]).alias(name))
 
 
 def attach(parents: DataFrame, nested: DataFrame, parent_key: str, key: str, name: str) -> DataFrame:
-    """Parents with their nested pages; a parent without children gets one empty page 0."""
+    """Parents with their nested pages; a parent without children gets one empty page 0. Not ordered."""
     kind = nested.schema[name].dataType
     joined = parents.join(nested.withColumnRenamed(key, "_key"), parents[parent_key] == F.col("_key"), "left")
     return joined.withColumn("page", F.coalesce("page", F.lit(0))).withColumn(
@@ -41,17 +41,26 @@ def attach(parents: DataFrame, nested: DataFrame, parent_key: str, key: str, nam
     ).drop("_key")
 
 
-def products_with_sizes(products: DataFrame, skus: DataFrame) -> DataFrame:
-    """Products with the array ``sizes`` of (id, size, stock)."""
-    return attach(products, nest(skus, "product_id", ["id", "size", "stock"], "sizes"), "id", "product_id", "sizes")
+def size_pages(skus: DataFrame, page_items: int = PAGE_ITEMS) -> DataFrame:
+    """(product_id, page, sizes)."""
+    return nest(skus, "product_id", ["id", "size", "stock"], "sizes", page_items)
 
 
-def products_with_roles(products: DataFrame, links: DataFrame) -> DataFrame:
-    """Products with the array ``role_ids``."""
-    nested = nest(links, "product_id", ["job_role_id"], "role_ids").withColumn(
+def role_pages(links: DataFrame, page_items: int = PAGE_ITEMS) -> DataFrame:
+    """(product_id, page, role_ids)."""
+    return nest(links, "product_id", ["job_role_id"], "role_ids", page_items).withColumn(
         "role_ids", F.transform("role_ids", lambda r: r["job_role_id"])
     )
-    return attach(products, nested, "id", "product_id", "role_ids")
+
+
+def products_with_sizes(products: DataFrame, skus: DataFrame, page_items: int = PAGE_ITEMS) -> DataFrame:
+    """Products with the array ``sizes`` of (id, size, stock)."""
+    return attach(products, size_pages(skus, page_items), "id", "product_id", "sizes")
+
+
+def products_with_roles(products: DataFrame, links: DataFrame, page_items: int = PAGE_ITEMS) -> DataFrame:
+    """Products with the array ``role_ids``."""
+    return attach(products, role_pages(links, page_items), "id", "product_id", "role_ids")
 
 
 def size_map(sizes: DataFrame) -> DataFrame:
@@ -63,16 +72,16 @@ def size_map(sizes: DataFrame) -> DataFrame:
     return per_type.groupBy("team_member_id").agg(F.map_from_entries(entry).alias("sizes"))
 
 
-def group_rows(df: DataFrame, by: str, name: str = "rows") -> DataFrame:
-    """Rows grouped under ``by`` as an array (delegated workers under their owner)."""
-    return nest(df, by, [c for c in df.columns if c != by], name)
+def group_rows(df: DataFrame, by: str, name: str = "rows", page_items: int = PAGE_ITEMS) -> DataFrame:
+    """Rows grouped under ``by`` as an array in the order of the columns (delegated workers under their owner)."""
+    return nest(df, by, [c for c in df.columns if c != by], name, page_items).orderBy(by, "page")
 
 
-def delegations_with_members(t, as_of: dt.date, me: int | None = None) -> DataFrame:
-    """Incoming delegations of the day with the array ``members`` of (full_name, employee_number)."""
+def delegations_with_members(t, as_of: dt.date, me: int | None = None, page_items: int = PAGE_ITEMS) -> DataFrame:
+    """Incoming delegations of the day with the array ``members`` of (full_name, employee_number), newest start first."""
     incoming = delegations_in(t.supervisor_delegations, t.users, as_of, me)
-    members = nest(t.team_members, "supervisor_id", ["full_name", "employee_number"], "members")
-    return attach(incoming, members, "owner_id", "supervisor_id", "members")
+    members = nest(t.team_members, "supervisor_id", ["full_name", "employee_number"], "members", page_items)
+    return attach(incoming, members, "owner_id", "supervisor_id", "members").orderBy(F.col("start_date").desc(), "id", "page")
 
 
 def to_json_docs(df: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from garbline.functions.bands import band
 from garbline.functions.dates import in_month, ntz
-from garbline.functions.spread import join_heavy_apart, join_spread_nulls, number_rows
+from garbline.functions.spread import join_spread_nulls, number_rows
 from garbline.operators.joins import acting_pairs, worker_names
 from garbline.operators.filters import active_delegations, garment_state
 from garbline.schemas import (
@@ -63,28 +63,23 @@ def open_cart_units(items: DataFrame, carts: DataFrame, by: str) -> DataFrame:
     return rows.groupBy(by).agg(F.sum("q").cast("bigint").alias("units"))
 
 
-MAX_NAMES = 10_000
-
-
-def order_workers(t, carts: DataFrame) -> DataFrame:
-    """The distinct workers on the lines of the given carts: columns of ``carts`` (one row per
-    ``cart_id``), worker_id and name."""
+def order_workers(t, carts: DataFrame | None = None) -> DataFrame:
+    """(cart_id, worker_id, name): every worker on the lines of the orders, or of the given ``cart_id``s, once."""
     lines = t.order_items.where(F.col("team_member_id").isNotNull()).select(
         "cart_id", F.col("team_member_id").alias("worker_id")
     )
-    pairs = join_heavy_apart(lines, carts, ["cart_id"], "inner").distinct()
-    return pairs.join(
-        worker_names(t.team_members).select("worker_id", F.col("worker_name").alias("name")), "worker_id"
-    )
+    if carts is not None:
+        lines = lines.join(carts.select("cart_id"), "cart_id", "left_semi")
+    names = worker_names(t.team_members).select("worker_id", F.col("worker_name").alias("name"))
+    return lines.distinct().join(names, "worker_id").select("cart_id", "worker_id", "name")
 
 
-def order_list(t, carts: DataFrame | None = None, max_names: int = MAX_NAMES) -> DataFrame:
-    """The order list: owner, worker name(s), employee number and number of lines.
+def order_list(t, carts: DataFrame | None = None) -> DataFrame:
+    """The order list: owner, worker, employee number, number of lines and of workers on them.
 
-    Line counts come from one pre-aggregate per cart. Names of the line workers are only
-    looked up for carts without a named worker, as distinct (cart, worker) pairs. A cell
-    holds up to ``max_names`` names; beyond that it says how many workers there are, and
-    ``order_workers`` lists them.
+    The worker is the order's own, else the first by name on its lines; ``order_workers`` lists
+    all. Lines are counted per order and worker before any join, so the columns are the
+    same however many workers an order has.
     """
     carts = t.order_carts if carts is None else carts
     owners = t.users.select(F.col("id").alias("supervisor_id"), F.col("full_name").alias("supervisor_name"))
@@ -94,31 +89,27 @@ def order_list(t, carts: DataFrame | None = None, max_names: int = MAX_NAMES) ->
         F.col("id").alias("cart_id"), "status", "created_at", "total_price", "supervisor_name", "worker_name",
         "employee_number",
     )
-    counts = t.order_items.groupBy("cart_id").agg(F.count("*").alias("item_count"))
-    counted_carts = headed.join(counts, "cart_id", "left")
-    unnamed = counted_carts.where(F.col("worker_name").isNull() & F.col("item_count").isNotNull()).select(
-        "cart_id", (F.col("item_count") > max_names).alias("large")
-    )
-    names = order_workers(t, unnamed).select("cart_id", "large", "name")
-    listed = names.where(~F.col("large")).groupBy("cart_id").agg(
-        F.array_join(F.sort_array(F.collect_set("name")), ", ").alias("line_workers")
-    )
-    counted = names.where("large").distinct().groupBy("cart_id").agg(
-        F.concat(F.count("*").cast("string"), F.lit(" workers")).alias("line_workers")
-    )
-    return (
-        counted_carts.join(listed.unionByName(counted), "cart_id", "left")
-        .select(
-            F.col("cart_id").alias("id"),
-            "status",
-            "created_at",
-            F.col("total_price").cast("double").alias("total_price"),
-            "supervisor_name",
-            F.coalesce("worker_name", "line_workers").alias("worker_name"),
-            "employee_number",
-            _zero("item_count").cast("bigint").alias("item_count"),
+    counts = t.order_items.groupBy("cart_id", "team_member_id").agg(F.count("*").alias("n"))
+    names = worker_names(t.team_members).select("worker_id", F.col("worker_name").alias("name"))
+    lines = (
+        join_spread_nulls(counts, names, "team_member_id", "worker_id")
+        .groupBy("cart_id")
+        .agg(
+            F.sum("n").alias("item_count"), F.min("name").alias("line_worker"),
+            F.count("worker_id").alias("worker_count"),
         )
     )
+    return headed.join(lines, "cart_id", "left").select(
+        F.col("cart_id").alias("id"),
+        "status",
+        "created_at",
+        F.col("total_price").cast("double").alias("total_price"),
+        "supervisor_name",
+        F.coalesce("worker_name", "line_worker").alias("worker_name"),
+        "employee_number",
+        _zero("item_count").cast("bigint").alias("item_count"),
+        _zero("worker_count").cast("bigint").alias("worker_count"),
+    )
 
 
 # Fixed sort keys of the order list.
@@ -472,4 +463,4 @@ def recommended_size(products: DataFrame, sizes: DataFrame, worker: int) -> Data
         .agg(F.max("size").alias("recommended_size"))
     )
     typed = products.withColumn("_type", F.upper(F.coalesce("type", F.lit(""))))
-    return join_heavy_apart(typed, saved, ["_type"], "left").drop("_type")
+    return typed.join(saved, "_type", "left").drop("_type")

@@ -89,23 +89,24 @@ def restock(skus: DataFrame, returns: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("_back"))
     )
     return skus.join(back, "id", "left").withColumn(
-        "stock", (F.col("stock") + F.coalesce("_back", F.lit(0))).cast("int")
+        "stock", (F.col("stock") + F.coalesce("_back", F.lit(0))).cast("bigint")
     ).drop("_back")
 
 
 def apply_returns(
     garments: DataFrame, skus: DataFrame, returns: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """(garments, skus) after ``returns``: garment_id, reason, path, at.
+    """(garments, skus) after ``returns``: seq, garment_id, reason, path, at.
 
-    The latest return of a garment sets its status and time; each one counts for stock.
+    The latest return of a garment, of equally late ones that with the largest ``seq``,
+    sets its status and time; each one counts for stock.
     """
     known = returns.join(
         garments.select(F.col("id").alias("garment_id"), "product_size_id"), "garment_id"
     )
     last = returns.groupBy(F.col("garment_id").alias("id")).agg(
-        F.max("at").alias("_at"), F.max_by("reason", "at").alias("_reason")
-    )
+        F.max(F.struct("at", "seq", "reason")).alias("_last")
+    ).select("id", F.col("_last.at").alias("_at"), F.col("_last.reason").alias("_reason"))
     done = F.col("_reason").isNotNull()
     updated = garments.join(last, "id", "left").withColumns(
         {

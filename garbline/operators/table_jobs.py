@@ -5,13 +5,13 @@ from __future__ import annotations
 from functools import reduce
 from types import SimpleNamespace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from garbline.functions.spread import join_heavy_apart, join_spread_nulls, number_rows
+from garbline.functions.spread import join_reduced, join_spread_nulls, number_rows
 from garbline.functions.text import is_digits
 from garbline.schemas import ROLE_PACKER
-from garbline.session import cut_lineage
+from garbline.session import cut_and_count, cut_lineage, scratch_path
 
 
 def next_id(df: DataFrame, key: str = "id") -> Column:
@@ -29,7 +29,7 @@ def receive_stock(skus: DataFrame, receipts: DataFrame, digits_only: bool = True
     valid = receipts.where(is_digits(F.col("amount"))) if digits_only else receipts.where(amount.isNotNull())
     sums = valid.groupBy(F.col("product_size_id").alias("id")).agg(F.sum(amount).alias("_in"))
     return skus.join(sums, "id", "left").withColumn(
-        "stock", (F.col("stock") + F.coalesce("_in", F.lit(0))).cast("int")
+        "stock", (F.col("stock") + F.coalesce("_in", F.lit(0))).cast("bigint")
     ).drop("_in")
 
 
@@ -79,10 +79,35 @@ def maintain_delegations(delegations: DataFrame, commands: DataFrame) -> DataFra
 def merge_delegations(
     delegations: DataFrame, commands: DataFrame, inserts: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """A batch of delegation commands: owners' changes and removals first, then inserts."""
-    kept = maintain_delegations(delegations, commands)
-    news, refused = insert_delegations(kept, inserts)
-    return kept.unionByName(news), refused
+    """(delegations, refused inserts) after a batch of commands and inserts, one after the other by ``seq``.
+
+    An insert is refused while an exact copy exists: a delegation with these dates at that
+    point of the batch, or an earlier accepted insert.
+    """
+    owned = commands.withColumnRenamed("delegation_id", "id").join(
+        delegations.select("id", F.col("from_supervisor_id").alias("actor_id")), ["id", "actor_id"], "left_semi"
+    )
+    # Each delegation as it stands between its changes: from one seq up to the next.
+    never = F.lit(-(1 << 62))
+    states = delegations.select(*DELEGATION_KEY, "id", never.alias("since"), F.lit(False).alias("gone")).unionByName(
+        owned.where(F.col("action").isin("delete", "extend"))
+        .join(delegations.select("id", *DELEGATION_KEY[:3]), "id")
+        .select(*DELEGATION_KEY[:3], "end_date", "id", F.col("seq").alias("since"), (F.col("action") == "delete").alias("gone"))
+    )
+    later = Window.partitionBy("id").orderBy("since")
+    so_far = later.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    states = states.withColumns(
+        {"until": F.coalesce(F.lead("since").over(later), F.lit(1 << 62)), "over": F.max("gone").over(so_far)}
+    ).where(~F.col("over"))
+    standing = states.select(*DELEGATION_KEY, "since", "until")
+    meets = (F.col("seq") >= F.col("since")) & (F.col("seq") < F.col("until"))
+    tested = inserts.join(standing, DELEGATION_KEY, "left").groupBy("seq", *DELEGATION_KEY).agg(
+        F.bool_or(F.coalesce(meets, F.lit(False))).alias("blocked")
+    )
+    first = tested.where(~F.col("blocked")).groupBy(*DELEGATION_KEY).agg(F.min("seq").alias("seq"))
+    refused = inserts.join(first.select("seq"), "seq", "left_anti")
+    news = number_rows(first, [F.col("seq").asc()], "id", next_id(delegations)).drop("seq")
+    return maintain_delegations(delegations, commands).unionByName(news.select(*delegations.columns)), refused
 
 
 def toggle_state(clicks: DataFrame, keys: list[str], base: DataFrame | None = None) -> DataFrame:
@@ -105,36 +130,56 @@ def first_seen(marks: DataFrame, keys: list[str], ts: str) -> DataFrame:
 
 
 def unpivot_sizes(incoming: DataFrame, ids: list[str]) -> DataFrame:
-    """SKU rows from wide ``size_<x>`` columns of text; empty is 0, NULL means the size was not given."""
+    """SKU rows from wide ``size_<x>`` columns of text; empty is 0, NULL means the size was not given.
+
+    ``stock`` is NULL where the text is no whole number (see ``with_bad_sizes``).
+    """
     columns = [c for c in incoming.columns if c.startswith("size_")]
     long = incoming.unpivot(ids, columns, "size", "amount").where(F.col("amount").isNotNull())
     return long.select(
         *ids,
         F.replace("size", F.lit("size_"), F.lit("")).alias("size"),
-        F.coalesce(F.nullif("amount", F.lit("")).cast("int"), F.lit(0)).alias("stock"),
+        F.when(F.trim("amount") == "", 0).otherwise(F.expr("try_cast(trim(amount) AS BIGINT)")).cast("bigint").alias("stock"),
     )
 
 
-def accept_first(incoming: DataFrame, seq: str, keys: list[str]) -> DataFrame:
+def with_bad_sizes(incoming: DataFrame) -> DataFrame:
+    """Add ``bad_size``: whether any size text of the row is neither empty nor a whole number."""
+    bad = F.lit(False)
+    for c in (c for c in incoming.columns if c.startswith("size_")):
+        text = F.trim(c)
+        bad = bad | (text.isNotNull() & (text != "") & text.try_cast("bigint").isNull())
+    return incoming.withColumn("bad_size", bad)
+
+
+def accept_first(incoming: DataFrame, seq: str, keys: list[str], seen: list | None = None) -> DataFrame:
     """Add ``accepted``: process rows by ``seq``, refusing one that shares any key with an accepted row.
 
-    Rounds over the undecided rows: a row that is earliest in all its key groups is
-    accepted, and whatever shares a key with it is refused. The earliest undecided row
-    always qualifies, so every round decides some.
+    Rounds over the open rows: a row that is earliest in all its key groups is accepted, and
+    whatever shares a key with it is refused; both leave. A row that shares no key with
+    another open one leaves in the next round. The earliest open row always qualifies,
+    so there are at most as many rounds as the longest chain of rows that wait for each
+    other. ``seen`` collects the open rows of each round.
     """
-    open_rows = cut_lineage(incoming.select(seq, *keys))
-    accepted = []
-    while not open_rows.isEmpty():
+    spark = incoming.sparkSession
+    open_rows, rows = cut_and_count(incoming.select(seq, *keys))
+    taken, turn = scratch_path(spark, "accepted"), 0
+    while rows:
+        if seen is not None:
+            seen.append(rows)
         firsts = [open_rows.groupBy(k).agg(F.min(seq).alias(seq)).select(seq) for k in keys]
         first_in_all = reduce(lambda a, b: a.join(b, seq, "left_semi"), firsts)
-        winners = cut_lineage(open_rows.join(first_in_all, seq, "left_semi"))
-        accepted.append(winners.select(seq))
+        path = f"{taken}/turn={turn}"
+        open_rows.join(first_in_all, seq, "left_semi").write.parquet(path)
+        winners = spark.read.schema(open_rows.schema).parquet(path)
+        turn += 1
         for key in keys:
             open_rows = open_rows.join(winners.select(key), key, "left_anti")
-        open_rows = cut_lineage(open_rows)
-    if not accepted:
+        open_rows, rows = cut_and_count(open_rows)
+    if not turn:
         return incoming.withColumn("accepted", F.lit(True))
-    winners = reduce(DataFrame.union, accepted).withColumn("accepted", F.lit(True))
+    kind = dict(incoming.dtypes)[seq]
+    winners = spark.read.schema(f"`{seq}` {kind}, turn INT").parquet(taken).select(seq, F.lit(True).alias("accepted"))
     return incoming.join(winners, seq, "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
@@ -143,17 +188,18 @@ def load_products(base: DataFrame, incoming: DataFrame) -> SimpleNamespace:
 
     ``incoming``: seq, article_number, name, type, price, job_role_ids (array) and wide
     ``size_<x>`` text columns. A name or article number already present, in the base or in
-    an earlier accepted row, refuses the row; the name is tested first.
+    an earlier accepted row, refuses the row; the name is tested first. A size text that is no
+    whole number refuses its row before all else, and so blocks no other.
     """
-    rows = incoming.withColumns(
+    rows = with_bad_sizes(incoming).withColumns(
         {c: F.trim(F.coalesce(c, F.lit(""))) for c in ("article_number", "name")}
     )
     for key in ("name", "article_number"):
         taken = base.select(key, F.lit(True).alias(f"_base_{key}")).distinct()
-        rows = join_heavy_apart(rows, taken, [key], "left")
+        rows = join_reduced(rows, taken, [key], "left")
     in_base = F.coalesce("_base_name", "_base_article_number").isNotNull()
-    fresh = accept_first(rows.where(~in_base), "seq", ["name", "article_number"])
-    won = fresh.where("accepted").drop("accepted")
+    fresh = accept_first(rows.where(~in_base & ~F.col("bad_size")), "seq", ["name", "article_number"])
+    won = fresh.where("accepted").drop("accepted", "bad_size")
     # Accepted names are unique, so this join keeps the rows as they are.
     namesakes = won.select("name", F.col("seq").alias("_by"))
     refused = rows.join(won.select("seq"), "seq", "left_anti").join(namesakes, "name", "left")
@@ -162,7 +208,10 @@ def load_products(base: DataFrame, incoming: DataFrame) -> SimpleNamespace:
         "seq",
         "name",
         "article_number",
-        F.when(same_name, "name exists").otherwise("article number exists").alias("reason"),
+        F.when(F.col("bad_size"), "invalid size amount")
+        .when(same_name, "name exists")
+        .otherwise("article number exists")
+        .alias("reason"),
     )
     numeric = dict(base.dtypes)["id"] != "string"
     start = next_id(base) if numeric else F.lit(1)
@@ -281,17 +330,21 @@ def unreferenced(dim: DataFrame, refs: list[tuple[DataFrame, str]]) -> DataFrame
     return dim
 
 
-def apply_updates(base: DataFrame, changes: DataFrame, key: str, keep_if_null: tuple[str, ...] = ()) -> DataFrame:
-    """``base`` with the columns of ``changes`` (one row per key) written over it.
+def apply_updates(
+    base: DataFrame, changes: DataFrame, key: str, only_if: str | None = None, blank_is_null: tuple[str, ...] = ()
+) -> DataFrame:
+    """``base`` with the columns of ``changes`` (one row per key) written over it, NULL too.
 
-    A NULL overwrites, except in ``keep_if_null`` columns, which keep the old value.
+    A change whose ``only_if`` column is NULL or blank changes nothing at all. Texts are
+    written without outer blanks; in ``blank_is_null`` columns an empty one becomes NULL.
     """
     written = [c for c in changes.columns if c != key]
-    fresh = changes.select(key, *[F.col(c).alias(f"_{c}") for c in written], F.lit(True).alias("_hit"))
-    columns = {}
-    for c in written:
-        value = F.coalesce(f"_{c}", c) if c in keep_if_null else F.col(f"_{c}")
-        columns[c] = F.when(F.col("_hit"), value).otherwise(F.col(c))
+    if only_if is not None:
+        changes = changes.where(F.trim(F.coalesce(only_if, F.lit(""))) != "")
+    value = {c: F.trim(c) if dict(changes.dtypes)[c] == "string" else F.col(c) for c in written}
+    value |= {c: F.nullif(value[c], F.lit("")) for c in blank_is_null}
+    fresh = changes.select(key, *[value[c].alias(f"_{c}") for c in written], F.lit(True).alias("_hit"))
+    columns = {c: F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)) for c in written}
     return base.join(fresh, key, "left").withColumns(columns).select(*base.columns)
 
 

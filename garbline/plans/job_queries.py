@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from garbline.operators import cart_jobs, status_jobs, table_jobs
-from garbline.plans.registry import AS_OF, query
+from garbline.plans.registry import AS_OF, SUPERVISOR, query
 from garbline.plans.views import add_view
 from garbline.sources.events import status_commands
 
@@ -231,19 +231,19 @@ def incoming_users(t):
 add_view(
     "member_changes",
     """
-SELECT user_id AS id, CASE WHEN event_type = 'error' THEN NULL ELSE 'Renamed ' || CAST(event_id AS VARCHAR) END AS full_name,
-       CASE WHEN event_type = 'view' THEN NULL ELSE 'N' || CAST(event_id AS VARCHAR) END AS employee_number
+SELECT user_id AS id, CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'click' THEN '  ' ELSE ' Renamed ' || CAST(event_id AS VARCHAR) END AS full_name,
+       CASE WHEN event_type = 'view' THEN NULL WHEN event_type = 'signup' THEN ' ' ELSE 'N' || CAST(event_id AS VARCHAR) END AS employee_number
 FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""",
 )
 
 
 def member_changes(t):
     last = t.events.groupBy(F.col("user_id").alias("id")).agg(F.max(F.struct("event_id", "event_type")).alias("e"))
-    number = F.col("e.event_id").cast("string")
+    number, kind = F.col("e.event_id").cast("string"), F.col("e.event_type")
     return last.select(
         "id",
-        F.when(F.col("e.event_type") != "error", F.concat(F.lit("Renamed "), number)).alias("full_name"),
-        F.when(F.col("e.event_type") != "view", F.concat(F.lit("N"), number)).alias("employee_number"),
+        F.when(kind == "click", "  ").when(kind != "error", F.concat(F.lit(" Renamed "), number)).alias("full_name"),
+        F.when(kind == "signup", " ").when(kind != "view", F.concat(F.lit("N"), number)).alias("employee_number"),
     )
 
 
@@ -293,61 +293,97 @@ def cart_coalesce(t):
 @query(
     "cart_rejects",
     """
-SELECT CASE WHEN actor_role = 'admin' THEN 'admins cannot order'
-            WHEN product_size_id IS NULL THEN 'no size selected' ELSE 'invalid team member' END AS reason,
-       count(*) AS requests
+SELECT seq, actor_id, team_member_id, product_size_id,
+       CASE WHEN actor_role = 'admin' THEN 'admins cannot order'
+            WHEN product_size_id IS NULL THEN 'no size selected' ELSE 'invalid team member' END AS reason
 FROM cart_requests r
 WHERE actor_role = 'admin' OR product_size_id IS NULL OR NOT EXISTS (
   SELECT 1 FROM team_members tm WHERE tm.id = r.team_member_id AND (tm.supervisor_id = r.actor_id OR EXISTS (
     SELECT 1 FROM supervisor_delegations d WHERE d.from_supervisor_id = tm.supervisor_id
       AND d.to_supervisor_id = r.actor_id
-      AND d.start_date <= DATE '1998-06-15' AND d.end_date >= DATE '1998-06-15')))
-GROUP BY 1""",
+      AND d.start_date <= DATE '1998-06-15' AND d.end_date >= DATE '1998-06-15')))""",
 )
 def cart_rejects(t):
     checked = cart_jobs.check_cart_requests(cart_requests(t), t, AS_OF)
-    return checked.where(F.col("reason").isNotNull()).groupBy("reason").agg(F.count("*").alias("requests"))
+    return checked.where(F.col("reason").isNotNull()).select("seq", "actor_id", "team_member_id", "product_size_id", "reason")
 
 
-def _bulk(t):
+def _bulk_workers(t):
+    return t.team_members.select(F.col("supervisor_id").alias("order_id"), F.col("id").alias("team_member_id"))
+
+
+def _bulk(t, lines=None):
     orders = t.users.where(F.col("system_role") == "supervisor").select(
         F.col("id").alias("order_id"), F.col("id").alias("supervisor_id")
     )
-    workers = t.team_members.select(F.col("supervisor_id").alias("order_id"), F.col("id").alias("team_member_id"))
-    return cart_jobs.bulk_order(orders, workers, bulk_lines(t), t)
+    return cart_jobs.bulk_order(orders, _bulk_workers(t), bulk_lines(t) if lines is None else lines, t)
 
 
-_BULK = """
-SELECT tm.supervisor_id AS cart_id, bl.product_size_id, tm.id AS team_member_id, bl.quantity,
-       CAST(coalesce(p.price, 0) AS DOUBLE) AS price_at_time, coalesce(p.price, 0) AS price
-FROM team_members tm
-JOIN (SELECT order_id, product_size_id, coalesce(CAST(nullif(quantity, '') AS INT), 1) AS quantity FROM bulk_lines) bl
-  ON bl.order_id = tm.supervisor_id AND bl.quantity > 0
-LEFT JOIN product_sizes ps ON ps.id = bl.product_size_id LEFT JOIN products p ON p.id = ps.product_id"""
+_BULK_LINES = """
+bulk AS (
+  SELECT p_partkey % (SELECT count(*) FROM supplier) AS order_id, p_partkey AS product_size_id,
+         CASE p_partkey % 7 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN -2 ELSE p_size % 5 + 1 END AS quantity,
+         min(CAST(p_retailprice AS DECIMAL(12,2))) OVER (PARTITION BY p_brand, p_name) AS price
+  FROM part),
+heads AS (SELECT c_custkey % (SELECT count(*) FROM supplier) AS order_id, count(*) AS workers FROM customer GROUP BY 1)"""
 
 
 @query(
     "bulk_order",
-    f"SELECT cart_id, product_size_id, team_member_id, quantity, price_at_time FROM ({_BULK})",
+    f"""
+WITH {_BULK_LINES}
+SELECT order_id, product_size_id, CAST(quantity AS INT) AS quantity, CAST(price AS DOUBLE) AS price_at_time FROM bulk WHERE quantity > 0""",
 )
 def bulk_order(t):
-    items, _ = _bulk(t)
-    return items.withColumn("price_at_time", F.col("price_at_time").cast("double"))
+    _, lines, _ = _bulk(t)
+    return lines.withColumn("price_at_time", F.col("price_at_time").cast("double"))
 
 
 @query(
     "bulk_order_carts",
     f"""
-SELECT u.id, u.id AS supervisor_id, 'created' AS status,
-       CAST(coalesce((SELECT sum(quantity * price) FROM ({_BULK}) b WHERE b.cart_id = u.id), 0) AS DOUBLE) AS total_price
-FROM users u WHERE u.system_role = 'supervisor'
-  AND u.id IN (SELECT supervisor_id FROM team_members) AND u.id IN (SELECT order_id FROM bulk_lines)""",
+WITH {_BULK_LINES}
+SELECT h.order_id AS id, h.order_id AS supervisor_id, 'created' AS status, h.workers,
+       count(*) FILTER (quantity > 0) AS lines,
+       CAST(coalesce(sum(quantity * price) FILTER (quantity > 0) * any_value(h.workers), 0) AS DOUBLE) AS total_price
+FROM heads h JOIN bulk b ON b.order_id = h.order_id GROUP BY h.order_id, h.workers""",
 )
 def bulk_order_carts(t):
-    _, carts = _bulk(t)
+    carts, _, _ = _bulk(t)
     return carts.withColumn("total_price", F.col("total_price").cast("double"))
 
 
+@query(
+    "bulk_items",
+    f"""
+WITH {_BULK_LINES}
+SELECT b.order_id AS cart_id, b.product_size_id, c_custkey AS team_member_id, CAST(b.quantity AS INT) AS quantity,
+       CAST(b.price AS DOUBLE) AS price_at_time
+FROM bulk b JOIN customer ON c_custkey % (SELECT count(*) FROM supplier) = b.order_id
+WHERE b.quantity > 0 AND b.order_id = {SUPERVISOR}""",
+)
+def bulk_items(t):
+    carts, lines, _ = _bulk(t)
+    asked = carts.where(F.col("id") == SUPERVISOR)
+    items = cart_jobs.bulk_items(asked, _bulk_workers(t), lines)
+    return items.withColumn("price_at_time", F.col("price_at_time").cast("double"))
+
+
+@query(
+    "bulk_rejects",
+    """
+SELECT DISTINCT p_partkey % (SELECT count(*) FROM supplier) AS order_id,
+       p_partkey % (SELECT count(*) FROM supplier) AS supervisor_id, 'invalid quantity' AS reason
+FROM part WHERE p_partkey % 30 = 7""",
+)
+def bulk_rejects(t):
+    # some quantities are no numbers
+    broken = bulk_lines(t).withColumn(
+        "quantity", F.when(F.col("product_size_id") % 30 == 7, F.concat_ws("", F.lit("4"), F.lit("x"))).otherwise(F.col("quantity"))
+    )
+    return _bulk(t, broken)[2]
+
+
 _VERDICTS = """
 verdicts AS (
   SELECT s.cart_id, s.submitted_at, oc.supervisor_id, coalesce(li.total, 0) AS total, coalesce(us.used, 0) AS used,
@@ -440,7 +476,7 @@ def checkout_carts(t):
     "checkout_skus",
     f"""{_STOCK_WALK},
 taken AS (SELECT sku, sum(need) AS units FROM need WHERE cart_id NOT IN (SELECT cart_id FROM refused) GROUP BY sku)
-SELECT ps.id, CAST(ps.stock - coalesce(t.units, 0) AS INT) AS stock FROM product_sizes ps LEFT JOIN taken t ON t.sku = ps.id""",
+SELECT ps.id, CAST(ps.stock - coalesce(t.units, 0) AS BIGINT) AS stock FROM product_sizes ps LEFT JOIN taken t ON t.sku = ps.id""",
 )
 def checkout_skus(t):
     _, skus, _ = cart_jobs.checkout(submissions(t), t, AS_OF)
@@ -484,7 +520,7 @@ def issue_garments(t):
 @query(
     "returns_restock",
     """
-SELECT ps.id, ps.product_id, ps.size, CAST(ps.stock + coalesce(r.n, 0) AS INT) AS stock
+SELECT ps.id, ps.product_id, ps.size, CAST(ps.stock + coalesce(r.n, 0) AS BIGINT) AS stock
 FROM product_sizes ps LEFT JOIN (
   SELECT product_size_id, count(*) AS n FROM garment_returns
   WHERE reason <> 'lost' AND (path = 'self' OR reason <> 'stolen') GROUP BY product_size_id) r ON r.product_size_id = ps.id""",
@@ -493,10 +529,71 @@ def returns_restock(t):
     return status_jobs.restock(t.product_sizes, garment_returns(t))
 
 
+_GARMENTS = """
+garments AS (
+  SELECT l_orderkey * 8 + l_linenumber AS id, l_partkey AS sku, l_linenumber AS line, min(l_shipdate) AS issued
+  FROM lineitem WHERE l_linenumber <> 7 GROUP BY ALL),
+marks AS (
+  SELECT g.id, g.sku, g.issued + to_days(CAST(30 + g.id % 2 * k AS INT)) AS back, g.id * 2 + k AS seq,
+         CASE (g.id + k) % 4 WHEN 0 THEN 'worn_out' WHEN 1 THEN 'lost' WHEN 2 THEN 'stolen' ELSE 'damaged' END AS reason
+  FROM garments g, (VALUES (0), (1)) AS v(k) WHERE g.id % 3 <> 0)"""
+
+
+def _garments(t):
+    """Garments with a number each, and up to two returns of most of them, some at the same time."""
+    garments = (
+        t.lineitem.where(F.col("l_linenumber") != 7)
+        .groupBy((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("product_size_id"))
+        .agg(F.min("l_shipdate").alias("issued_at"))
+        .withColumns({"status": F.lit("active"), "returned_at": F.lit(None).cast("timestamp_ntz")})
+    )
+    twice = garments.where(F.col("id") % 3 != 0).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    turn = (F.col("id") + F.col("k")) % 4
+    returns = twice.select(
+        (F.col("id") * 2 + F.col("k")).alias("seq"),
+        F.col("id").alias("garment_id"),
+        F.when(turn == 0, "worn_out").when(turn == 1, "lost").when(turn == 2, "stolen").otherwise("damaged").alias("reason"),
+        F.lit("self").alias("path"),
+        (F.col("issued_at") + F.make_interval(days=(F.lit(30) + F.col("id") % 2 * F.col("k")).cast("int"))).alias("at"),
+    )
+    return garments, returns
+
+
+@query(
+    "returns_garments",
+    f"""
+WITH {_GARMENTS},
+last AS (SELECT id, sku, arg_max(reason, (back, seq)) AS reason, max(back) AS back FROM marks GROUP BY ALL)
+SELECT g.id, g.sku AS product_size_id, coalesce('returned_' || l.reason, 'active') AS status, l.back AS returned_at
+FROM garments g LEFT JOIN last l ON l.id = g.id AND l.sku = g.sku
+WHERE g.id IN (SELECT id FROM garments GROUP BY id HAVING count(*) = 1)""",
+)
+def returns_garments(t):
+    garments, returns = _garments(t)
+    # an order line may hold several SKUs under one number here
+    single = garments.groupBy("id").agg(F.count("*").alias("n")).where("n = 1").select("id")
+    after, _ = status_jobs.apply_returns(garments, t.product_sizes, returns)
+    return after.join(single, "id", "left_semi").select("id", "product_size_id", "status", "returned_at")
+
+
+@query(
+    "replacements",
+    f"""
+WITH {_GARMENTS}
+SELECT id, sku AS product_size_id, CASE WHEN id % 5 = 1 THEN 'lost' ELSE 'active' END AS status,
+       CAST(NULL AS TIMESTAMP) AS returned_at
+FROM garments""",
+)
+def replacements(t):
+    garments, _ = _garments(t)
+    asked = garments.where(F.col("id") % 5 == 1).select(F.col("id").alias("garment_id"))
+    return status_jobs.request_replacement(garments, asked).select("id", "product_size_id", "status", "returned_at")
+
+
 @query(
     "stock_receipts",
     """
-SELECT ps.id, ps.product_id, ps.size, CAST(ps.stock + coalesce(r.n, 0) AS INT) AS stock
+SELECT ps.id, ps.product_id, ps.size, CAST(ps.stock + coalesce(r.n, 0) AS BIGINT) AS stock
 FROM product_sizes ps LEFT JOIN (
   SELECT product_size_id, sum(CAST(amount AS BIGINT)) AS n FROM receipts
   WHERE regexp_full_match(amount, '[0-9]+') GROUP BY product_size_id) r ON r.product_size_id = ps.id""",
@@ -551,6 +648,40 @@ def delegation_maintain(t):
     return table_jobs.maintain_delegations(t.supervisor_delegations, delegation_commands(t))
 
 
+# The oracle replays the batch for each insert: the delegation's dates after its last change before the insert.
+@query(
+    "delegation_merge",
+    """
+WITH cmds AS (
+  SELECT id * 10 AS seq, id, id % 4 = 0 AS gone, CAST(end_date + INTERVAL 30 DAY AS DATE) AS to_end FROM supervisor_delegations
+  WHERE id % 7 <> 0 OR to_supervisor_id = from_supervisor_id),
+ins AS (
+  SELECT id * 10 + CASE WHEN id % 2 = 0 THEN -3 ELSE 5 END AS seq, from_supervisor_id, to_supervisor_id, start_date,
+         CASE WHEN id % 3 = 0 THEN CAST(end_date + INTERVAL 30 DAY AS DATE) ELSE end_date END AS end_date
+  FROM supervisor_delegations),
+free AS (
+  SELECT i.* FROM ins i WHERE NOT EXISTS (
+    SELECT 1 FROM supervisor_delegations d
+    WHERE d.from_supervisor_id = i.from_supervisor_id AND d.to_supervisor_id = i.to_supervisor_id AND d.start_date = i.start_date
+      AND NOT EXISTS (SELECT 1 FROM cmds c WHERE c.id = d.id AND c.gone AND c.seq <= i.seq)
+      AND coalesce((SELECT max_by(to_end, seq) FROM cmds c WHERE c.id = d.id AND c.seq <= i.seq), d.end_date) = i.end_date)),
+news AS (SELECT from_supervisor_id, to_supervisor_id, start_date, end_date, min(seq) AS seq FROM free GROUP BY ALL)
+SELECT d.id, from_supervisor_id, to_supervisor_id, start_date, coalesce(c.to_end, d.end_date) AS end_date
+FROM supervisor_delegations d LEFT JOIN cmds c ON c.id = d.id WHERE NOT coalesce(c.gone, false)
+UNION ALL
+SELECT (SELECT max(id) FROM supervisor_delegations) + row_number() OVER (ORDER BY seq), from_supervisor_id, to_supervisor_id,
+       start_date, end_date FROM news""",
+)
+def delegation_merge(t):
+    key = F.col("id")
+    commands = delegation_commands(t).withColumn("seq", F.col("seq") * 10)
+    inserts = t.supervisor_delegations.select(
+        (key * 10 + F.when(key % 2 == 0, -3).otherwise(5)).alias("seq"), "from_supervisor_id", "to_supervisor_id", "start_date",
+        F.when(key % 3 == 0, F.date_add("end_date", 30)).otherwise(F.col("end_date")).alias("end_date"),
+    )
+    return table_jobs.merge_delegations(t.supervisor_delegations, commands, inserts)[0]
+
+
 @query("like_toggle", "SELECT post_id, user_id FROM news_likes")
 def like_toggle(t):
     return table_jobs.toggle_state(t.news_like_clicks, ["post_id", "user_id"])
@@ -583,11 +714,11 @@ def read_marks(t):
 @query(
     "size_unpivot",
     """
-SELECT seq, 'S' AS size, coalesce(CAST(nullif("size_S", '') AS INT), 0) AS stock FROM incoming_products WHERE "size_S" IS NOT NULL
+SELECT seq, 'S' AS size, coalesce(CAST(nullif("size_S", '') AS BIGINT), 0) AS stock FROM incoming_products WHERE "size_S" IS NOT NULL
 UNION ALL
-SELECT seq, 'M', coalesce(CAST(nullif("size_M", '') AS INT), 0) FROM incoming_products WHERE "size_M" IS NOT NULL
+SELECT seq, 'M', coalesce(CAST(nullif("size_M", '') AS BIGINT), 0) FROM incoming_products WHERE "size_M" IS NOT NULL
 UNION ALL
-SELECT seq, 'L', coalesce(CAST(nullif("size_L", '') AS INT), 0) FROM incoming_products WHERE "size_L" IS NOT NULL""",
+SELECT seq, 'L', coalesce(CAST(nullif("size_L", '') AS BIGINT), 0) FROM incoming_products WHERE "size_L" IS NOT NULL""",
 )
 def size_unpivot(t):
     return table_jobs.unpivot_sizes(incoming_products(t), ["seq"])
@@ -623,6 +754,18 @@ def product_load(t):
     )
 
 
+@query(
+    "product_load_rejects",
+    """
+SELECT seq, name, article_number, 'invalid size amount' AS reason FROM incoming_products WHERE seq % 9 = 4""",
+)
+def product_load_rejects(t):
+    # every ninth row says its size in words
+    broken = incoming_products(t).withColumn("size_L", F.when(F.col("seq") % 9 == 4, F.concat(F.col("size_L"), F.lit("x"))).otherwise(F.col("size_L")))
+    rejects = table_jobs.load_products(t.products, broken).rejects
+    return rejects.where(F.col("reason") == "invalid size amount")
+
+
 _USERS_FREE = """
 first AS (SELECT email, min(seq) AS seq FROM incoming_users GROUP BY email),
 free AS (SELECT seq, (SELECT max(id) FROM users) + row_number() OVER (ORDER BY seq) AS id FROM first
@@ -655,71 +798,76 @@ def user_load_sites(t):
     return table_jobs.load_users(t.users, incoming_users(t), t.job_roles).user_sites
 
 
+def _left(tables, keys):
+    """What is left of each table: its keys as text, with the number of rows of each."""
+    rows = None
+    for name, df in tables.items():
+        key = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in keys.get(name, ["id"])])
+        part = df.groupBy(key.alias("key")).agg(F.count("*").alias("rows_left")).select(F.lit(name).alias("table_name"), "key", "rows_left")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def _left_sql(parts: dict[str, tuple[str, str]]) -> str:
+    """The same from DuckDB: key expression and condition by table."""
+    return "\nUNION ALL\n".join(
+        f"SELECT '{name}' AS table_name, {key} AS key, count(*) AS rows_left FROM {name} WHERE {kept} GROUP BY ALL"
+        for name, (key, kept) in parts.items()
+    )
+
+
 _DOOMED = """
 doomed AS (SELECT id FROM users WHERE monthly_budget IS NULL AND id <> -1),
 members AS (SELECT id FROM team_members WHERE supervisor_id IN (SELECT id FROM doomed)),
 gone_carts AS (SELECT id FROM order_carts WHERE supervisor_id IN (SELECT id FROM doomed))"""
+_NOT_MEMBERS = "(team_member_id IS NULL OR team_member_id NOT IN (SELECT id FROM members))"
 
 
 @query(
     "cascade_delete",
-    f"""
-WITH {_DOOMED}
-SELECT 'users' AS table_name, count(*) AS rows_left, CAST(sum(id) AS BIGINT) AS key_sum
-FROM users WHERE id NOT IN (SELECT id FROM doomed)
-UNION ALL
-SELECT 'team_members', count(*), CAST(sum(id) AS BIGINT) FROM team_members WHERE id NOT IN (SELECT id FROM members)
-UNION ALL
-SELECT 'worker_sizes', count(*), CAST(sum(team_member_id) AS BIGINT) FROM worker_sizes
-WHERE team_member_id NOT IN (SELECT id FROM members)
-UNION ALL
-SELECT 'user_uniforms', count(*), CAST(sum(product_size_id) AS BIGINT) FROM user_uniforms
-WHERE team_member_id IS NULL OR team_member_id NOT IN (SELECT id FROM members)
-UNION ALL
-SELECT 'order_items', count(*), CAST(sum(cart_id) AS BIGINT) FROM order_items
-WHERE (team_member_id IS NULL OR team_member_id NOT IN (SELECT id FROM members))
-  AND cart_id NOT IN (SELECT id FROM gone_carts)
-UNION ALL
-SELECT 'order_carts', count(*), CAST(sum(id) AS BIGINT) FROM order_carts WHERE id NOT IN (SELECT id FROM gone_carts)""",
+    f"WITH {_DOOMED}\n"
+    + _left_sql(
+        {
+            "users": ("id::VARCHAR", "id NOT IN (SELECT id FROM doomed)"),
+            "team_members": ("id::VARCHAR", "id NOT IN (SELECT id FROM members)"),
+            "worker_sizes": ("team_member_id || '/' || product_type", "team_member_id NOT IN (SELECT id FROM members)"),
+            "user_uniforms": ("product_size_id || '/' || coalesce(team_member_id::VARCHAR, '-')", _NOT_MEMBERS),
+            "order_items": (
+                "cart_id || '/' || product_size_id || '/' || coalesce(team_member_id::VARCHAR, '-')",
+                f"{_NOT_MEMBERS} AND cart_id NOT IN (SELECT id FROM gone_carts)",
+            ),
+            "order_carts": ("id::VARCHAR", "id NOT IN (SELECT id FROM gone_carts)"),
+        }
+    ),
 )
 def cascade_delete(t):
     requests = t.users.where(F.col("monthly_budget").isNull()).select(
         F.col("id").alias("seq"), F.lit(-1).cast("bigint").alias("actor_id"), F.col("id").alias("user_id")
     )
     doomed, _ = table_jobs.guard_user_deletes(t.users, requests)
-    left = table_jobs.cascade_delete(t, "users", doomed)
-    keys = {"worker_sizes": "team_member_id", "user_uniforms": "product_size_id", "order_items": "cart_id"}
-    return _summary(left, keys)
-
-
-def _summary(tables, keys):
-    rows = None
-    for name, df in tables.items():
-        row = df.agg(
-            F.count("*").alias("rows_left"),
-            F.sum(keys.get(name, "id")).cast("bigint").alias("key_sum"),
-        ).select(F.lit(name).alias("table_name"), "rows_left", "key_sum")
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+    keys = {
+        "worker_sizes": ["team_member_id", "product_type"],
+        "user_uniforms": ["product_size_id", "team_member_id"],
+        "order_items": ["cart_id", "product_size_id", "team_member_id"],
+    }
+    return _left(table_jobs.cascade_delete(t, "users", doomed), keys)
 
 
 @query(
     "cascade_delete_posts",
-    """
-WITH doomed AS (SELECT id FROM news_posts WHERE pinned = 0)
-SELECT 'news_posts' AS table_name, count(*) AS rows_left, CAST(sum(id) AS BIGINT) AS key_sum
-FROM news_posts WHERE id NOT IN (SELECT id FROM doomed)
-UNION ALL
-SELECT 'news_comments', count(*), CAST(sum(post_id) AS BIGINT) FROM news_comments WHERE post_id NOT IN (SELECT id FROM doomed)
-UNION ALL
-SELECT 'news_likes', count(*), CAST(sum(post_id) AS BIGINT) FROM news_likes WHERE post_id NOT IN (SELECT id FROM doomed)
-UNION ALL
-SELECT 'news_reads', count(*), CAST(sum(post_id) AS BIGINT) FROM news_reads WHERE post_id NOT IN (SELECT id FROM doomed)""",
+    "WITH doomed AS (SELECT id FROM news_posts WHERE pinned = 0)\n"
+    + _left_sql(
+        {
+            "news_posts": ("id::VARCHAR", "id NOT IN (SELECT id FROM doomed)"),
+            "news_comments": ("id::VARCHAR", "post_id NOT IN (SELECT id FROM doomed)"),
+            "news_likes": ("post_id || '/' || user_id", "post_id NOT IN (SELECT id FROM doomed)"),
+            "news_reads": ("post_id || '/' || user_id", "post_id NOT IN (SELECT id FROM doomed)"),
+        }
+    ),
 )
 def cascade_delete_posts(t):
     doomed = t.news_posts.where(F.col("pinned") == 0).select(F.col("id").alias("post_id"))
-    left = table_jobs.cascade_delete(t, "posts", doomed)
-    return _summary(left, {n: "post_id" for n in ("news_comments", "news_likes", "news_reads")})
+    return _left(table_jobs.cascade_delete(t, "posts", doomed), {n: ["post_id", "user_id"] for n in ("news_likes", "news_reads")})
 
 
 @query(
@@ -727,24 +875,20 @@ def cascade_delete_posts(t):
     """
 WITH doomed AS (SELECT id FROM products WHERE type IS NULL),
 skus AS (SELECT id FROM product_sizes WHERE product_id IN (SELECT id FROM doomed))
-SELECT 'products' AS table_name, count(*) AS rows_left, CAST(sum(length(id)) AS BIGINT) AS key_sum
-FROM products WHERE id NOT IN (SELECT id FROM doomed)
-UNION ALL
-SELECT 'product_sizes', count(*), CAST(sum(length(product_id)) AS BIGINT) FROM product_sizes
-WHERE product_id NOT IN (SELECT id FROM doomed)
-UNION ALL
-SELECT 'product_job_roles', count(*), CAST(sum(length(product_id)) AS BIGINT) FROM product_job_roles
-WHERE product_id NOT IN (SELECT id FROM doomed)
-UNION ALL
-SELECT 'order_items', count(*), CAST(sum(product_size_id) AS BIGINT) FROM order_items
-WHERE product_size_id NOT IN (SELECT id FROM skus)""",
+"""
+    + _left_sql(
+        {
+            "products": ("id", "id NOT IN (SELECT id FROM doomed)"),
+            "product_sizes": ("id::VARCHAR", "product_id NOT IN (SELECT id FROM doomed)"),
+            "product_job_roles": ("product_id || '/' || job_role_id", "product_id NOT IN (SELECT id FROM doomed)"),
+            "order_items": ("cart_id || '/' || product_size_id", "product_size_id NOT IN (SELECT id FROM skus)"),
+        }
+    ),
 )
 def cascade_delete_products(t):
     doomed = t.products.where(F.col("type").isNull()).select(F.col("id").alias("product_id"))
-    left = table_jobs.cascade_delete(t, "products", doomed)
-    keys = {"products": F.length("id"), "product_sizes": F.length("product_id"),
-            "product_job_roles": F.length("product_id"), "order_items": "product_size_id"}
-    return _summary(left, keys)
+    keys = {"product_job_roles": ["product_id", "job_role_id"], "order_items": ["cart_id", "product_size_id"]}
+    return _left(table_jobs.cascade_delete(t, "products", doomed), keys)
 
 
 @query(
@@ -779,13 +923,15 @@ def unreferenced_dims(t):
 @query(
     "partial_update",
     """
-SELECT tm.id, CASE WHEN c.id IS NULL THEN tm.full_name ELSE coalesce(c.full_name, tm.full_name) END AS full_name,
-       CASE WHEN c.id IS NULL THEN tm.employee_number ELSE c.employee_number END AS employee_number,
+SELECT tm.id, CASE WHEN named THEN trim(c.full_name) ELSE tm.full_name END AS full_name,
+       CASE WHEN named THEN nullif(trim(c.employee_number), '') ELSE tm.employee_number END AS employee_number,
        tm.supervisor_id, tm.facility_id, tm.job_role_id
-FROM team_members tm LEFT JOIN member_changes c ON c.id = tm.id""",
+FROM team_members tm LEFT JOIN (SELECT *, coalesce(length(trim(full_name)), 0) > 0 AS named FROM member_changes) c ON c.id = tm.id""",
 )
 def partial_update(t):
-    return table_jobs.apply_updates(t.team_members, member_changes(t), "id", keep_if_null=("full_name",))
+    return table_jobs.apply_updates(
+        t.team_members, member_changes(t), "id", only_if="full_name", blank_is_null=("employee_number",)
+    )
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from garbline.operators import nested
+from garbline.operators import nested, reports
 from garbline.plans import pages
 from garbline.plans.registry import AS_OF, JOB_ROLE, SEARCH, SUPERVISOR, VIEWER_ROLE, WORKER, query
 
@@ -16,32 +16,68 @@ def _joined(array: str, *fields: str):
     )
 
 
-@query(
+def _paged(key: str, sql: str):
+    """Register under ``key`` with the usual page size and under ``key_by_three`` with pages of three."""
+
+    def register(build):
+        query(key, sql.replace("PAGE", str(nested.PAGE_ITEMS)))(lambda t: build(t, nested.PAGE_ITEMS))
+        query(f"{key}_by_three", sql.replace("PAGE", "3"))(lambda t: build(t, 3))
+        return build
+
+    return register
+
+
+# In the oracles a child's page is its rank within the parent, from the base tables, cut by the page size.
+_SIZES = """
+sku AS (SELECT p_brand || '/' || p_name AS product, p_partkey AS k, p_size::VARCHAR || ':' || ((p_partkey * 37) % 1500)::VARCHAR AS what
+        FROM part),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY product ORDER BY k) - 1) // PAGE AS page FROM sku),
+sizes AS (SELECT product, page, string_agg(k::VARCHAR || ':' || what, '|' ORDER BY k) AS sizes, count(*) AS size_count
+          FROM ranked GROUP BY ALL)"""
+_ROLES = """
+pairs AS (SELECT DISTINCT p_brand || '/' || p_name AS product, CASE WHEN p_size % 9 = 0 THEN 6 ELSE p_size % 5 + 1 END AS r FROM part),
+turns AS (SELECT *, (row_number() OVER (PARTITION BY product ORDER BY r) - 1) // PAGE AS page FROM pairs),
+roles AS (SELECT product, page, string_agg(r::VARCHAR, '|' ORDER BY r) AS role_ids FROM turns GROUP BY ALL)"""
+
+
+@_paged(
     "products_with_sizes",
-    """
-SELECT p.id, p.name, coalesce(string_agg(ps.id || ':' || ps.size || ':' || ps.stock, '|' ORDER BY ps.id), '') AS sizes,
-       count(ps.id) AS size_count
-FROM products p LEFT JOIN product_sizes ps ON ps.product_id = p.id GROUP BY p.id, p.name""",
+    f"""
+WITH {_SIZES}
+SELECT id, name, CAST(page AS INT) AS page, sizes, size_count FROM products JOIN sizes ON product = id""",
 )
-def products_with_sizes(t):
-    return nested.products_with_sizes(t.products, t.product_sizes).select(
-        "id", "name", _joined("sizes", "id", "size", "stock").alias("sizes"),
+def products_with_sizes(t, page_items):
+    return nested.products_with_sizes(t.products, t.product_sizes, page_items).select(
+        "id", "name", "page", _joined("sizes", "id", "size", "stock").alias("sizes"),
         F.size("sizes").cast("bigint").alias("size_count"),
     )
 
 
-@query(
+@_paged(
     "products_with_roles",
-    """
-SELECT p.id, coalesce(string_agg(CAST(pj.job_role_id AS VARCHAR), '|' ORDER BY pj.job_role_id), '') AS role_ids
-FROM products p LEFT JOIN product_job_roles pj ON pj.product_id = p.id GROUP BY p.id""",
+    f"""
+WITH {_ROLES}
+SELECT product AS id, CAST(page AS INT) AS page, role_ids FROM roles""",
 )
-def products_with_roles(t):
-    return nested.products_with_roles(t.products, t.product_job_roles).select(
-        "id", F.array_join("role_ids", "|").alias("role_ids")
+def products_with_roles(t, page_items):
+    return nested.products_with_roles(t.products, t.product_job_roles, page_items).select(
+        "id", "page", F.array_join("role_ids", "|").alias("role_ids")
     )
 
 
+@_paged(
+    "catalogue_nested",
+    f"""
+WITH {_SIZES}, {_ROLES}
+SELECT coalesce(s.product, r.product) AS id, CAST(coalesce(s.page, r.page) AS INT) AS page, coalesce(sizes, '') AS sizes,
+       coalesce(role_ids, '') AS role_ids
+FROM sizes s FULL JOIN roles r ON r.product = s.product AND r.page = s.page""",
+)
+def catalogue_nested(t, page_items):
+    shown = pages.catalogue_nested(t, "admin", page_items)
+    return shown.select("id", "page", _joined("sizes", "id", "size", "stock").alias("sizes"), F.array_join("role_ids", "|").alias("role_ids"))
+
+
 @query(
     "size_map",
     """
@@ -53,22 +89,43 @@ def size_map(t):
     return entries.select("team_member_id", _joined("entries", "key", "value").alias("sizes"))
 
 
-@query(
+@_paged(
     "delegations_with_members",
     """
-SELECT sd.id, sd.to_supervisor_id, u.full_name AS owner_name,
-       coalesce(string_agg(tm.full_name || coalesce(':' || tm.employee_number, ''), '|' ORDER BY tm.full_name), '') AS members
-FROM supervisor_delegations sd JOIN users u ON sd.from_supervisor_id = u.id
-LEFT JOIN team_members tm ON tm.supervisor_id = sd.from_supervisor_id
-WHERE sd.start_date <= DATE '1998-06-15' AND sd.end_date >= DATE '1998-06-15'
-GROUP BY sd.id, sd.to_supervisor_id, u.full_name""",
+WITH mine AS (
+  SELECT c_custkey % (SELECT count(*) FROM supplier) AS boss, c_name || CASE WHEN c_custkey % 13 = 0 THEN '' ELSE ':E' || c_custkey END AS who,
+         c_name, c_custkey FROM customer),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY boss ORDER BY c_name, c_custkey) - 1) // PAGE AS page FROM mine)
+SELECT sd.id, sd.to_supervisor_id, (SELECT s_name FROM supplier WHERE s_suppkey = sd.from_supervisor_id) AS owner_name,
+       CAST(coalesce(r.page, 0) AS INT) AS page, coalesce(string_agg(r.who, '|' ORDER BY r.c_name, r.c_custkey), '') AS members
+FROM supervisor_delegations sd LEFT JOIN ranked r ON r.boss = sd.from_supervisor_id
+WHERE sd.start_date <= DATE '1998-06-15' AND sd.end_date >= DATE '1998-06-15' GROUP BY ALL""",
 )
-def delegations_with_members(t):
-    return nested.delegations_with_members(t, AS_OF).select(
-        "id", "to_supervisor_id", "owner_name", _joined("members", "full_name", "employee_number").alias("members")
+def delegations_with_members(t, page_items):
+    return nested.delegations_with_members(t, AS_OF, page_items=page_items).select(
+        "id", "to_supervisor_id", "owner_name", "page", _joined("members", "full_name", "employee_number").alias("members")
     )
 
 
+@_paged(
+    "delegated_groups",
+    """
+WITH live AS (
+  SELECT s_suppkey AS boss, s_name AS owner_name, s_suppkey * 2 + m AS delegation FROM supplier, (VALUES (0), (1)) AS v(m)
+  WHERE make_date(CAST(1996 + s_suppkey % 4 AS INT), CAST(1 + s_suppkey % 12 AS INT), 1) <= DATE '1998-06-15'
+    AND make_date(CAST(1996 + s_suppkey % 4 + m AS INT), 12, 31) >= DATE '1998-06-15'),
+members AS (SELECT owner_name, delegation, c_custkey, c_name FROM live
+            JOIN customer ON c_custkey % (SELECT count(*) FROM supplier) = boss),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY owner_name ORDER BY delegation, c_custkey) - 1) // PAGE AS page FROM members)
+SELECT owner_name AS supervisor_name, CAST(page AS INT) AS page, string_agg(delegation || ':' || c_custkey || ':' || c_name, '|' ORDER BY delegation, c_custkey) AS workers
+FROM ranked GROUP BY ALL""",
+)
+def delegated_groups(t, page_items):
+    rosters = reports.delegated_team_sizes(t, AS_OF).select("supervisor_name", "delegation_id", "id", "full_name")
+    grouped = nested.group_rows(rosters, "supervisor_name", "workers", page_items)
+    return grouped.select("supervisor_name", "page", _joined("workers", "delegation_id", "id", "full_name").alias("workers"))
+
+
 @query(
     "news_feed",
     f"""
@@ -84,17 +141,20 @@ def news_feed(t):
     return pages.news_feed(t, SUPERVISOR, VIEWER_ROLE)
 
 
-@query(
+@_paged(
     "news_feed_comments",
-    f"""
-SELECT np.id,
-       coalesce((SELECT string_agg(c.id || ':' || cu.full_name || ':' || c.comment, '|' ORDER BY c.created_at, c.id)
-        FROM news_comments c JOIN users cu ON c.user_id = cu.id WHERE c.post_id = np.id), '') AS comments
-FROM news_posts np WHERE np.target_role IN ('all', '{VIEWER_ROLE}')""",
+    """
+WITH said AS (
+  SELECT event_id % (SELECT count(*) FROM documents) AS post, event_id, ts,
+         event_id || ':' || (SELECT s_name FROM supplier WHERE s_suppkey = user_id) || ':' || props AS what
+  FROM events WHERE event_type = 'purchase' AND user_id IN (SELECT s_suppkey FROM supplier)),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY post ORDER BY ts, event_id) - 1) // PAGE AS page FROM said)
+SELECT doc_id AS id, CAST(coalesce(page, 0) AS INT) AS page, coalesce(string_agg(what, '|' ORDER BY ts, event_id), '') AS comments
+FROM documents LEFT JOIN ranked ON post = doc_id WHERE lang IN ('en', 'de') GROUP BY ALL""",
 )
-def news_feed_comments(t):
-    feed = pages.news_feed_nested(t, SUPERVISOR, VIEWER_ROLE)
-    return feed.select("id", _joined("comments", "id", "full_name", "comment").alias("comments"))
+def news_feed_comments(t, page_items):
+    feed = pages.news_feed_nested(t, SUPERVISOR, VIEWER_ROLE, page_items)
+    return feed.select("id", "page", _joined("comments", "id", "full_name", "comment").alias("comments"))
 
 
 _STOCK = """LEFT JOIN (SELECT product_id, count(*) AS n, sum(stock) AS stock FROM product_sizes GROUP BY product_id) s

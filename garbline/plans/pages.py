@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from garbline.operators.filters import audience, search_products
 from garbline.operators.joins import eligible_products, post_comments, products_for_role, with_flags
-from garbline.operators.nested import attach, nest, products_with_roles, products_with_sizes
+from garbline.operators.nested import PAGE_ITEMS, attach, nest, role_pages, size_pages
 from garbline.operators.reports import recommended_size, with_engagement
 
 
@@ -68,33 +68,52 @@ def catalogue(
     ).orderBy("article_number")
 
 
-def catalogue_nested(t, role: str, **filters) -> DataFrame:
-    """The catalogue's products with their arrays of sizes and of role ids."""
+def catalogue_nested(t, role: str, page_items: int = PAGE_ITEMS, **filters) -> DataFrame:
+    """The catalogue's products with their arrays of sizes and of role ids, by article number.
+
+    Page ``p`` of a product holds page ``p`` of either array; where one has fewer pages it is empty.
+    """
+    sizes, roles = size_pages(t.product_sizes, page_items), role_pages(t.product_job_roles, page_items)
+    both = sizes.join(roles, ["product_id", "page"], "full_outer")
     shown = catalogue_products(t, role, **filters)
-    sized = products_with_sizes(shown, t.product_sizes).withColumnRenamed("page", "size_page")
-    return products_with_roles(sized, t.product_job_roles)
+    rows = shown.join(both.withColumnRenamed("product_id", "_key"), shown["id"] == F.col("_key"), "left").drop("_key")
+    empty = {name: F.coalesce(name, F.array().cast(both.schema[name].dataType)) for name in ("sizes", "role_ids")}
+    return rows.withColumns(empty | {"page": F.coalesce("page", F.lit(0))}).orderBy("article_number", "id", "page")
 
 
-def news_feed(t, viewer: int, role: str) -> DataFrame:
-    """Posts for the viewer, pinned first, then newest: author, flags, likes, number of comments."""
-    shown = audience(t.news_posts, role)
+FEED_ORDER = ["pinned", "created_at", "id"]
+
+
+def _marked_posts(t, viewer: int, role: str) -> DataFrame:
+    """The viewer's posts with flags, likes and number of comments, but without their text."""
     authors = t.users.select(F.col("id").alias("created_by"), "full_name")
     known = t.users.select(F.col("id").alias("user_id"))
-    shown_comments = t.news_comments.join(known, "user_id", "left_semi")
-    marked = with_engagement(with_flags(shown, t.news_reads, t.news_likes, viewer), t.news_likes, shown_comments)
-    return (
-        marked.join(authors, "created_by", "left")
-        .withColumn("pinned", F.coalesce("pinned", F.lit(0)))
-        .select(
-            "id", "title", "content", "target_role", "created_at", "pinned", "full_name", "is_read", "like_count",
-            "user_liked", "comment_count",
-        )
-        .orderBy(F.col("pinned").desc(), F.col("created_at").desc(), F.col("id").desc())
-    )
+    said = t.news_comments.join(known, "user_id", "left_semi")
+    shown = audience(t.news_posts, role).drop("content")
+    marked = with_engagement(with_flags(shown, t.news_reads, t.news_likes, viewer), t.news_likes, said)
+    return marked.join(authors, "created_by", "left").withColumn("pinned", F.coalesce("pinned", F.lit(0)))
+
+
+def _with_text(t, posts: DataFrame) -> DataFrame:
+    """The text is joined once, when everything else is known."""
+    return posts.join(t.news_posts.select("id", "content"), "id")
+
+
+FEED = [
+    "id", "title", "content", "target_role", "created_at", "pinned", "full_name", "is_read", "like_count", "user_liked",
+    "comment_count",
+]
+
+
+def news_feed(t, viewer: int, role: str) -> DataFrame:
+    """Posts for the viewer, pinned first, then newest: author, flags, likes, number of comments."""
+    return _with_text(t, _marked_posts(t, viewer, role)).select(*FEED).orderBy(*[F.col(c).desc() for c in FEED_ORDER])
 
 
-def news_feed_nested(t, viewer: int, role: str) -> DataFrame:
-    """The news feed with the array ``comments`` (oldest first), paged when a post has very many."""
+def news_feed_nested(t, viewer: int, role: str, page_items: int = PAGE_ITEMS) -> DataFrame:
+    """The news feed with the array ``comments`` (oldest first), in pages by position."""
     said = post_comments(t.news_comments, t.users)
-    comments = nest(said, "post_id", ["created_at", "id", "user_id", "full_name", "comment"], "comments")
-    return attach(news_feed(t, viewer, role), comments, "id", "post_id", "comments")
+    comments = nest(said, "post_id", ["created_at", "id", "user_id", "full_name", "comment"], "comments", page_items)
+    paged = attach(_marked_posts(t, viewer, role), comments, "id", "post_id", "comments")
+    rows = _with_text(t, paged).select(*FEED, "page", "comments")
+    return rows.orderBy(*[F.col(c).desc() for c in FEED_ORDER], "page")

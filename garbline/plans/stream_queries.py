@@ -10,10 +10,16 @@ from garbline.streaming import jobs
 from garbline.streaming.sinks import append_to_table, batches_to_table, changes_to_table, latest_rows
 
 WATERMARK = "2 days"
+# A backlog is worked off in steps of so many files.
+FILES_PER_BATCH = 64
+
+
+def _events(t, watermark=None):
+    return ev.read_events(t.spark, t.path, watermark, FILES_PER_BATCH)
 
 
 def _stream(t):
-    return ev.read_events(t.spark, t.path, WATERMARK)
+    return _events(t, WATERMARK)
 
 
 def _plain(column: str):
@@ -27,7 +33,7 @@ SELECT e.event_id, e.ts, e.user_id AS order_id, c.command, CAST(e.value AS DOUBL
 FROM events e JOIN commands c ON c.event_id = e.event_id""",
 )
 def events_scan(t):
-    events = ev.read_events(t.spark, t.path)
+    events = _events(t)
     scanned = events.select(
         "event_id", _plain("ts"), F.col("user_id").alias("order_id"), ev.command().alias("command"), "value"
     )
@@ -46,21 +52,21 @@ FROM (SELECT order_id, max((ts, event_id)) FILTER (command <> 'cancelled') AS la
       FROM commands GROUP BY order_id)""",
 )
 def stream_status(t):
-    changes = changes_to_table(jobs.status_stream(ev.status_commands(ev.read_events(t.spark, t.path))))
+    changes = changes_to_table(jobs.status_stream(ev.status_commands(_events(t))))
     return latest_rows(changes, ["order_id"])
 
 
 @query(
     "stream_stock",
     """
-SELECT event_id % 50 AS sku,
+SELECT event_id % (SELECT count(*) FROM part) AS sku,
        CAST(sum(CASE event_type WHEN 'purchase' THEN -1 WHEN 'signup' THEN 1
                 ELSE CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END END) AS BIGINT) AS net,
        count(*) AS movements
 FROM events WHERE event_type IN ('purchase', 'signup', 'error') GROUP BY 1""",
 )
 def stream_stock(t):
-    changes = changes_to_table(jobs.stock_stream(ev.stock_movements(ev.read_events(t.spark, t.path))))
+    changes = changes_to_table(jobs.stock_stream(ev.stock_movements(_events(t), t.n_skus)))
     return latest_rows(changes, ["sku"])
 
 
@@ -81,7 +87,7 @@ def stream_spend_daily(t):
     "stream_engagement",
     """
 WITH marks AS (
-  SELECT event_id % 50 AS post_id, ts,
+  SELECT (user_id * 13 + event_id % 3) % (SELECT count(*) FROM documents) AS post_id, ts,
          CASE event_type WHEN 'click' THEN 'like' WHEN 'view' THEN 'read' ELSE 'comment' END AS kind
   FROM events WHERE event_type IN ('click', 'view', 'purchase')),
 hours AS (SELECT post_id, kind, ts, unnest(range(0, 6)) AS back FROM marks)
@@ -91,17 +97,17 @@ SELECT date_trunc('hour', ts) - to_hours(CAST(back AS INT)) AS window_start,
 FROM hours GROUP BY ALL""",
 )
 def stream_engagement(t):
-    changes = changes_to_table(jobs.engagement_stream(ev.engagement_events(_stream(t))))
+    changes = changes_to_table(jobs.engagement_stream(ev.engagement_events(_stream(t), t.n_posts)))
     rows = latest_rows(changes, ["window_start", "window_end", "post_id", "kind"])
     return rows.select(_plain("window_start"), _plain("window_end"), "post_id", "kind", "marks")
 
 
 @query(
     "stream_read_marks",
-    "SELECT DISTINCT event_id % 50 AS post_id, user_id FROM events WHERE event_type = 'view'",
+    "SELECT DISTINCT (user_id * 13 + event_id % 3) % (SELECT count(*) FROM documents) AS post_id, user_id FROM events WHERE event_type = 'view'",
 )
 def stream_read_marks(t):
-    reads = ev.engagement_events(_stream(t)).where(F.col("kind") == "read")
+    reads = ev.engagement_events(_stream(t), t.n_posts).where(F.col("kind") == "read")
     marks = append_to_table(jobs.read_mark_stream(reads))
     # Marks further apart than the watermark may come twice; the table holds each once.
     return marks.select("post_id", "user_id").distinct()
@@ -110,15 +116,24 @@ def stream_read_marks(t):
 @query(
     "outbox",
     """
-SELECT c.event_id, c.order_id, 'new order' AS kind, u.id AS recipient_id, u.email AS recipient
-FROM commands c JOIN users u ON u.system_role = 'packer' WHERE c.command = 'submitted'
+SELECT event_id, order_id, 'new order' AS kind, 'packer' AS audience, CAST(NULL AS BIGINT) AS recipient_id,
+       CAST(NULL AS VARCHAR) AS recipient
+FROM commands WHERE command = 'submitted'
 UNION ALL
-SELECT c.event_id, c.order_id, c.command, u.id, u.email
+SELECT c.event_id, c.order_id, c.command, NULL, u.id, u.email
 FROM commands c JOIN order_carts oc ON oc.id = c.order_id JOIN users u ON u.id = oc.supervisor_id
 WHERE c.command IN ('packed', 'completed')""",
 )
 def outbox(t):
-    commands = ev.status_commands(ev.read_events(t.spark, t.path))
+    commands = ev.status_commands(_events(t))
     return batches_to_table(
         commands, lambda batch: jobs.outbox(batch, t.order_carts, t.users), jobs.OUTBOX_SCHEMA
     )
+
+
+@query(
+    "audience_members",
+    "SELECT 'packer' AS audience, id AS recipient_id, email AS recipient FROM users WHERE system_role = 'packer'",
+)
+def audience_members(t):
+    return jobs.audience_members(t.users)

@@ -47,7 +47,7 @@ SELECT p_brand || '/' || p_name AS id, p_name AS name, p_brand || '/' || p_name
 FROM part GROUP BY p_brand, p_name""",
     "product_sizes": """
 SELECT p_partkey AS id, p_brand || '/' || p_name AS product_id,
-       CAST(p_size AS VARCHAR) AS size, CAST((p_partkey * 37) % 1500 AS INT) AS stock
+       CAST(p_size AS VARCHAR) AS size, CAST((p_partkey * 37) % 1500 AS BIGINT) AS stock
 FROM part""",
     "product_job_roles": """
 SELECT DISTINCT p_brand || '/' || p_name AS product_id,
@@ -97,7 +97,7 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
 SELECT DISTINCT event_id % (SELECT count(*) FROM documents) AS post_id, user_id
 FROM events WHERE event_type = 'view'""",
     "news_like_clicks": """
-SELECT event_id % 50 AS post_id, user_id % 20 AS user_id, ts FROM events WHERE event_type = 'click'""",
+SELECT (user_id * 13 + event_id % 3) % (SELECT count(*) FROM documents) AS post_id, user_id, ts FROM events WHERE event_type = 'click'""",
     "news_likes": """
 SELECT post_id, user_id FROM news_like_clicks GROUP BY post_id, user_id HAVING count(*) % 2 = 1""",
     "news_comments": """
@@ -135,3 +135,34 @@ def with_views(body: str) -> str:
     if own:
         return f"WITH{own.group(1) or ''} {ctes},\n{body[own.end():]}"
     return f"WITH {ctes}\n{body}"
+
+
+# Orders and their lines straight from the base tables, every name looked up where it is needed. Oracles
+# of line listings use these instead of joining the domain views.
+FACTS = """
+heads AS (
+  SELECT o_orderkey AS o, o_orderdate AS day, CAST(o_totalprice AS DECIMAL(12,2)) AS total,
+         o_custkey % (SELECT count(*) FROM supplier) AS boss, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END AS named,
+         CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'packed'
+              ELSE CASE o_orderpriority WHEN '5-LOW' THEN 'created' WHEN '4-NOT SPECIFIED' THEN 'cancelled' ELSE 'submitted' END
+         END AS state
+  FROM orders),
+people AS (SELECT c_custkey AS w, c_name AS who, CASE WHEN c_custkey % 13 <> 0 THEN 'E' || c_custkey END AS badge FROM customer),
+goods AS (SELECT p_partkey AS sku, p_name AS what, p_brand || '/' || p_name AS article, CAST(p_size AS VARCHAR) AS fit FROM part),
+lines AS (
+  SELECT l_orderkey AS o, l_partkey AS sku, CAST(l_quantity AS INT) AS q, CAST(l_extendedprice AS DECIMAL(12,2)) AS price,
+         CASE WHEN l_linenumber <> 7 THEN l_suppkey * 15 + l_linenumber END AS w
+  FROM lineitem),
+told AS (
+  SELECT o, sku, w, q, CAST(price AS DOUBLE) AS price, CAST(q * price AS DOUBLE) AS worth,
+         (SELECT what FROM goods g WHERE g.sku = l.sku) AS what, (SELECT article FROM goods g WHERE g.sku = l.sku) AS article,
+         (SELECT fit FROM goods g WHERE g.sku = l.sku) AS fit,
+         (SELECT who FROM people p WHERE p.w = l.w) AS who, (SELECT badge FROM people p WHERE p.w = l.w) AS badge
+  FROM lines l)"""
+# A line with its order.
+WIDE = f"""
+WITH {FACTS}
+SELECT o AS order_id, h.state AS status, h.day AS created_at, CAST(h.total AS DOUBLE) AS total_price,
+       (SELECT s_name FROM supplier WHERE s_suppkey = h.boss) AS supervisor, what AS product, article AS article_number,
+       fit AS size, q AS quantity, price AS price_at_time, worth AS subtotal, who AS worker, badge AS employee_number
+FROM told JOIN heads h USING (o)"""

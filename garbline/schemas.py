@@ -37,7 +37,7 @@ _DDL = {
     "job_roles": "id BIGINT, name STRING",
     "worker_sizes": "team_member_id BIGINT, product_type STRING, size STRING",
     "products": "id STRING, name STRING, article_number STRING, type STRING, price DECIMAL(12,2)",
-    "product_sizes": "id BIGINT, product_id STRING, size STRING, stock INT",
+    "product_sizes": "id BIGINT, product_id STRING, size STRING, stock BIGINT",
     "product_job_roles": "product_id STRING, job_role_id BIGINT",
     "order_carts": "id BIGINT, supervisor_id BIGINT, team_member_id BIGINT, status STRING,"
     " total_price DECIMAL(12,2), created_at TIMESTAMP_NTZ",

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime settings only: nothing here needs a new session.
 SETTINGS = {
@@ -30,11 +31,16 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    # A cluster whose shuffles were never sized would run every one with 200 partitions. Many small
+    # ones to begin with cost little: adaptive execution merges them.
+    if spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        first = str(max(200, 3 * spark.sparkContext.defaultParallelism))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", first)
     return spark
 
 
-def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session for tests and the benchmark."""
+def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g", shared: str | None = None) -> SparkSession:
+    """A local session for tests and the benchmark; ``shared`` is its folder for intermediate tables."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("garbline")
@@ -43,6 +49,8 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
+    if shared is not None:
+        builder = builder.config("spark.checkpoint.dir", shared)
     spark = configure(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -83,6 +91,13 @@ def clear_scratch(spark: SparkSession) -> None:
         remove_path(spark, path)
 
 
+def cut_and_count(df: DataFrame, kind: str = "cut") -> tuple[DataFrame, int]:
+    """``cut_lineage`` with the number of rows, counted while they are written."""
+    seen = Observation()
+    cut = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("n")), kind)
+    return cut, seen.get["n"]
+
+
 def cut_lineage(df: DataFrame, kind: str = "cut") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and continue from there.
 

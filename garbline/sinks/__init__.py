@@ -1 +1 @@
-"""Exports and versioned table writes."""
+"""Exports."""

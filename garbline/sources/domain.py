@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from garbline.schemas import MONEY, conform
 from garbline.session import configure
+from garbline.sources.events import post_of_event
 
 # Fixed values of the derivation.
 STAFF = [(-1, "admin1", "admin"), (-2, "packer1", "packer"), (-3, "packer2", "packer")]
@@ -62,6 +63,10 @@ class DomainTables:
     def n_posts(self) -> Column:
         return self._count("documents")
 
+    @cached_property
+    def n_skus(self) -> Column:
+        return self._count("part")
+
     @cached_property
     def supplier(self) -> DataFrame:
         return self.raw("supplier")
@@ -289,7 +294,7 @@ class DomainTables:
     def news_like_clicks(self) -> DataFrame:
         return conform(
             self._events_of("click").select(
-                (F.col("event_id") % 50).alias("post_id"), (F.col("user_id") % 20).alias("user_id"), "ts"
+                post_of_event(self.n_posts).alias("post_id"), "user_id", "ts"
             ),
             "news_like_clicks",
         )

@@ -17,7 +17,6 @@ COMMAND_OF_EVENT = {
     "error": "cancelled",
 }
 ENGAGEMENT_OF_EVENT = {"click": "like", "view": "read", "purchase": "comment"}
-SKUS = 50
 
 
 def _mapped(mapping: dict[str, str]) -> Column:
@@ -54,13 +53,16 @@ def status_commands(events: DataFrame) -> DataFrame:
     )
 
 
-def stock_movements(events: DataFrame) -> DataFrame:
-    """sku, ts, event_id, delta: issue takes one, receipt and return add one, a lost garment adds none."""
+def stock_movements(events: DataFrame, n_skus: Column) -> DataFrame:
+    """sku, ts, event_id, delta: issue takes one, receipt and return add one, a lost garment adds none.
+
+    An event concerns one of the ``n_skus`` SKUs, by its number.
+    """
     kind = F.col("event_type")
     delta = F.when(kind == "purchase", -1).when(kind == "signup", 1).when(
         kind == "error", F.when(F.col("event_id") % 3 == 0, 0).otherwise(1)
     )
-    moved = events.select((F.col("event_id") % SKUS).alias("sku"), "ts", "event_id", delta.alias("delta"))
+    moved = events.select((F.col("event_id") % n_skus).alias("sku"), "ts", "event_id", delta.alias("delta"))
     return moved.where(F.col("delta").isNotNull())
 
 
@@ -70,10 +72,15 @@ def spend_events(events: DataFrame) -> DataFrame:
     return bought.select("user_id", "ts", "event_id", F.col("value").cast(MONEY).alias("amount"))
 
 
-def engagement_events(events: DataFrame) -> DataFrame:
+def post_of_event(n_posts: Column) -> Column:
+    """The post an event is about: every user comes back to three posts."""
+    return (F.col("user_id") * 13 + F.col("event_id") % 3) % n_posts
+
+
+def engagement_events(events: DataFrame, n_posts: Column) -> DataFrame:
     """post_id, kind (like, read, comment), user_id, ts, event_id."""
     rows = events.select(
-        (F.col("event_id") % SKUS).alias("post_id"), _mapped(ENGAGEMENT_OF_EVENT).alias("kind"), "user_id", "ts",
+        post_of_event(n_posts).alias("post_id"), _mapped(ENGAGEMENT_OF_EVENT).alias("kind"), "user_id", "ts",
         "event_id",
     )
     return rows.where(F.col("kind").isNotNull())

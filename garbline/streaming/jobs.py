@@ -9,11 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from garbline.functions.spread import join_heavy_apart
 from garbline.operators.status_jobs import final_status, status_aggregates
 
-PLACES = 32
-
 
 def status_stream(commands: DataFrame) -> DataFrame:
     """Current status per order from status commands (update mode)."""
@@ -57,43 +54,42 @@ def read_mark_stream(reads: DataFrame) -> DataFrame:
     """Read marks once per (post, user) within the watermark.
 
     A first pass per place spreads the copies of a hot mark; the second sees at most one
-    copy per place.
+    copy per place. There are as many places as shuffle partitions.
     """
-    dealt = reads.withColumn("_place", F.pmod(F.xxhash64("event_id"), F.lit(PLACES)))
+    places = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = reads.withColumn("_place", F.pmod(F.xxhash64("event_id"), F.lit(places)))
     keys = ["post_id", "user_id"]
     thinned = dealt.dropDuplicatesWithinWatermark([*keys, "_place"])
     return thinned.dropDuplicatesWithinWatermark(keys).drop("_place")
 
 
-OUTBOX_SCHEMA = "event_id BIGINT, order_id BIGINT, kind STRING, recipient_id BIGINT, recipient STRING"
+OUTBOX_SCHEMA = "event_id BIGINT, order_id BIGINT, kind STRING, audience STRING, recipient_id BIGINT, recipient STRING"
+
+
+def audience_members(users: DataFrame, role: str = "packer") -> DataFrame:
+    """Who a notice to an audience reaches: one row per user of the role."""
+    return users.where(F.col("system_role") == role).select(
+        F.lit(role).alias("audience"), F.col("id").alias("recipient_id"), F.col("email").alias("recipient")
+    )
 
 
 def outbox(commands: DataFrame, carts: DataFrame, users: DataFrame) -> DataFrame:
-    """Notices due for a batch of status commands: packers on submit, the owner on pack and complete.
+    """Notices due for a batch of status commands: the packers on submit, the owner on pack and complete.
 
-    Every packer gets every submitted order; both sides are dealt to ``PLACES`` join keys,
-    so the pairing spreads over tasks however many orders or packers there are.
+    A submitted order is one notice to the audience ``packer``, whose members are
+    ``audience_members``, so the outbox grows with the orders alone.
     """
-    packers = users.where(F.col("system_role") == "packer").select(
-        F.col("id").alias("recipient_id"),
-        F.col("email").alias("recipient"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PLACES - 1).cast("bigint"))).alias("place"),
-    )
-    submitted = commands.where(F.col("command") == "submitted").withColumn(
-        "place", F.pmod(F.xxhash64("event_id"), F.lit(PLACES)).cast("bigint")
-    )
-    to_packers = submitted.join(packers, "place").select(
-        "event_id", "order_id", F.lit("new order").alias("kind"), "recipient_id", "recipient"
+    nobody = [F.lit(None).cast("bigint").alias("recipient_id"), F.lit(None).cast("string").alias("recipient")]
+    to_packers = commands.where(F.col("command") == "submitted").select(
+        "event_id", "order_id", F.lit("new order").alias("kind"), F.lit("packer").alias("audience"), *nobody
     )
     # Commands meet the carts first, so only their orders reach the users.
-    owned = join_heavy_apart(
-        commands.where(F.col("command").isin("packed", "completed")),
-        carts.select(F.col("id").alias("order_id"), F.col("supervisor_id").alias("recipient_id")),
-        ["order_id"],
-        "inner",
+    owned = commands.where(F.col("command").isin("packed", "completed")).join(
+        carts.select(F.col("id").alias("order_id"), F.col("supervisor_id").alias("recipient_id")), "order_id"
     )
     contacts = users.select(F.col("id").alias("recipient_id"), F.col("email").alias("recipient"))
     to_owners = owned.join(contacts, "recipient_id").select(
-        "event_id", "order_id", F.col("command").alias("kind"), "recipient_id", "recipient"
+        "event_id", "order_id", F.col("command").alias("kind"), F.lit(None).cast("string").alias("audience"),
+        "recipient_id", "recipient",
     )
     return to_packers.unionByName(to_owners)

@@ -58,7 +58,10 @@ def batches_to_table(
     root = root or scratch_path(spark, "stream")
 
     def write(rows: DataFrame, batch: int) -> None:
-        transform(rows).write.mode("overwrite").parquet(f"{root}/rows/batch={batch}")
+        # a transform may read its batch several times
+        held = rows.persist()
+        transform(held).write.mode("overwrite").parquet(f"{root}/rows/batch={batch}")
+        held.unpersist()
 
     job = (
         stream.writeStream.foreachBatch(write)

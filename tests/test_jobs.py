@@ -35,7 +35,7 @@ def test_add_to_carts(spark):
         order_items=[{"cart_id": 8, "product_size_id": 1, "team_member_id": 10, "quantity": 1, "price_at_time": D("7.00")}],
     )
     asked = spark.createDataFrame(
-        [(1, 1, "supervisor", 10, 1, 2), (2, 1, "supervisor", 10, 2, 1), (3, 1, "supervisor", 10, 2, 4),
+        [(1, 1, "supervisor", 10, 1, 2), (2, 1, "supervisor", 10, 2, None), (3, 1, "supervisor", 10, 2, 4),
          (4, 1, "supervisor", 20, 1, 1), (5, 2, "supervisor", 20, 1, 3), (6, 2, "admin", 20, 1, 3),
          (7, 2, "supervisor", 20, None, 3), (8, 5, "worker", 20, 1, 1), (9, 5, "worker", 99, 1, 1)],
         REQUEST,
@@ -52,17 +52,20 @@ def test_add_to_carts(spark):
 
 def test_bulk_order_quantities(spark):
     t = shop(spark)
-    orders = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "order_id BIGINT, supervisor_id BIGINT")
-    workers = spark.createDataFrame([(1, 10), (1, 11), (2, 20)], "order_id BIGINT, team_member_id BIGINT")
+    orders = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 3)], "order_id BIGINT, supervisor_id BIGINT")
+    workers = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (4, 20)], "order_id BIGINT, team_member_id BIGINT")
     lines = spark.createDataFrame(
-        [(1, 1, ""), (1, 2, "0"), (1, 3, None), (1, 2, "4"), (1, 1, "-1"), (3, 1, "1")],
+        [(1, 1, ""), (1, 2, "0"), (1, 3, None), (1, 2, " 4 "), (1, 1, "-1"), (3, 1, "1"), (4, 1, "2"), (4, 2, "4x")],
         "order_id BIGINT, product_size_id BIGINT, quantity STRING",
     )
-    items, carts = cart_jobs.bulk_order(orders, workers, lines, t)
+    carts, priced, rejects = cart_jobs.bulk_order(orders, workers, lines, t)
+    assert rows(rejects) == [(4, 3, "invalid quantity")]
+    assert rows(priced, "order_id", "product_size_id", "quantity") == [(1, 1, 1), (1, 2, 4), (1, 3, 1), (3, 1, 1)]
+    items = cart_jobs.bulk_items(carts, workers, priced)
     assert rows(items, "cart_id", "team_member_id", "product_size_id", "quantity", "price_at_time") == sorted(
         [(1, w, 1, 1, D("10.00")) for w in (10, 11)] + [(1, w, 2, 4, D("0.00")) for w in (10, 11)]
         + [(1, w, 3, 1, D("0.00")) for w in (10, 11)], key=repr)
-    assert rows(carts, "id", "total_price") == [(1, D("20.00"))]
+    assert rows(carts, "id", "workers", "lines", "total_price") == [(1, 2, 3, D("20.00"))]
 
 
 def budget_case(spark, used, total, supervisor=1):
@@ -149,6 +152,36 @@ def test_allocation_equals_one_by_one(spark):
         assert dict(rows(cart_jobs.allocate_stock(need, skus, chunk))) == want
 
 
+def test_chain_of_carts(spark):
+    """Each cart waits for the one before it, so a round decides two of them; what is windowed shrinks."""
+    links = 24
+    lines, stocks = [], [{"id": i, "stock": 1} for i in range(links + 1)]
+    for cart in range(links):
+        lines += [(cart, at("2024-05-15") + dt.timedelta(minutes=cart), sku, 1) for sku in (cart, cart + 1)]
+    # short chains leave within two rounds
+    for cart in range(100, 130):
+        stocks.append({"id": cart, "stock": 1})
+        lines += [(cart * 10 + k, at("2024-05-15") + dt.timedelta(minutes=k), cart, 1) for k in range(3)]
+    schema = "cart_id BIGINT, submitted_at TIMESTAMP_NTZ, product_size_id BIGINT, quantity INT"
+    need = cart_jobs.cart_demand(spark.createDataFrame(lines, schema))
+    seen = []
+    got = dict(rows(cart_jobs.allocate_stock(need, table(spark, "product_sizes", stocks), seen=seen)))
+    assert [got[c] for c in range(links)] == [c % 2 == 0 for c in range(links)]
+    assert all(got[c * 10 + k] == (k == 0) for c in range(100, 130) for k in range(3))
+    assert seen == sorted(seen, reverse=True) and len(set(seen)) == len(seen) and seen[2] < 2 * links
+    assert len(seen) <= links
+
+
+def test_accepted_rows_shrink_by_rounds(spark):
+    incoming = spark.createDataFrame(
+        [(i, f"n{i // 2}", f"a{(i + 1) // 2}") for i in range(30)] + [(100 + i, f"x{i}", f"y{i}") for i in range(40)], "seq BIGINT, name STRING, article STRING"
+    )
+    seen = []
+    got = dict(rows(table_jobs.accept_first(incoming, "seq", ["name", "article"], seen), "seq", "accepted"))
+    assert got == {i: i % 2 == 0 for i in range(30)} | {100 + i: True for i in range(40)}
+    assert seen == sorted(seen, reverse=True) and seen[1] < 30
+
+
 def walk(base, commands):
     status = base
     for _, _, command in sorted(commands):
@@ -188,14 +221,16 @@ def test_returns(spark):
         "id BIGINT, product_size_id BIGINT, status STRING, returned_at TIMESTAMP_NTZ",
     )
     returns = spark.createDataFrame(
-        [(1, "lost", "self", at("2024-05-01")), (2, "stolen", "self", at("2024-05-01")), (3, "stolen", "worker", at("2024-05-01")),
-         (4, "other", "worker", at("2024-05-01")), (4, "lost", "worker", at("2024-05-02")), (99, "other", "self", at("2024-05-01"))],
-        "garment_id BIGINT, reason STRING, path STRING, at TIMESTAMP_NTZ",
+        [(1, 1, "lost", "self", at("2024-05-01")), (2, 2, "stolen", "self", at("2024-05-01")),
+         (3, 3, "stolen", "worker", at("2024-05-01")), (4, 4, "other", "worker", at("2024-05-01")),
+         (6, 4, "lost", "worker", at("2024-05-02")), (5, 4, "damaged", "worker", at("2024-05-02")),
+         (7, 99, "other", "self", at("2024-05-01"))],
+        "seq BIGINT, garment_id BIGINT, reason STRING, path STRING, at TIMESTAMP_NTZ",
     )
     updated, stock = status_jobs.apply_returns(garments, skus, returns)
     assert rows(updated, "id", "status") == [
         (1, "returned_lost"), (2, "returned_stolen"), (3, "returned_stolen"), (4, "returned_lost"), (5, "active"), (6, "active")]
-    assert stock.first()["stock"] == 7
+    assert stock.first()["stock"] == 8
     asked = spark.createDataFrame([(5,), (5,)], "garment_id BIGINT")
     assert rows(status_jobs.request_replacement(garments, asked).where("status = 'lost'"), "id") == [(5,)]
 
@@ -237,6 +272,20 @@ def test_delegation_jobs(spark):
     assert rows(refused, "seq") == [(1,), (3,)]
 
 
+def test_delegation_batch_in_sequence(spark):
+    day, later = dt.date(2024, 5, 1), dt.date(2024, 6, 1)
+    base = table(spark, "supervisor_delegations", [{"id": 1, "from_supervisor_id": 1, "to_supervisor_id": 2, "start_date": day, "end_date": day}])
+    commands = spark.createDataFrame(
+        [(10, 1, "extend", 1, later), (20, 1, "delete", 1, None)],
+        "seq BIGINT, actor_id BIGINT, action STRING, delegation_id BIGINT, end_date DATE",
+    )
+    schema = "seq BIGINT, from_supervisor_id BIGINT, to_supervisor_id BIGINT, start_date DATE, end_date DATE"
+    # a copy is refused only while its original stands as it is
+    for seq, end, taken in ((5, day, False), (15, day, True), (5, later, True), (15, later, False), (25, later, True)):
+        after, refused = table_jobs.merge_delegations(base, commands, spark.createDataFrame([(seq, 1, 2, day, end)], schema))
+        assert (refused.count() == 0) == taken and after.count() == int(taken)
+
+
 def test_toggles(spark):
     clicks = spark.createDataFrame([(1, 1)] * 3 + [(1, 2)] * 2 + [(2, 1)], "post_id BIGINT, user_id BIGINT")
     assert rows(table_jobs.toggle_state(clicks, ["post_id", "user_id"])) == [(1, 1), (2, 1)]
@@ -275,6 +324,16 @@ def test_product_load_equals_one_by_one(spark):
     assert rows(loaded.skus.where("product_id = 8"), "size", "stock") == [("M", 0), ("S", 4)]
 
 
+def test_bad_size_text_refuses_its_row_only(spark):
+    incoming = spark.createDataFrame(
+        [(1, "a1", "n1", "4x"), (2, "a1", "n1", " 7 "), (3, "a3", "n3", "")], "seq BIGINT, article_number STRING, name STRING, size_S STRING"
+    ).withColumns({"type": F.lit("Shirt"), "price": F.lit(1).cast("decimal(12,2)"), "job_role_ids": F.array(F.lit(1))})
+    base = spark.createDataFrame([(7, "n", "a")], "id BIGINT, name STRING, article_number STRING")
+    loaded = table_jobs.load_products(base, incoming)
+    assert rows(loaded.rejects, "seq", "reason") == [(1, "invalid size amount")]
+    assert rows(loaded.skus, "product_id", "stock") == [(8, 7), (9, 0)]
+
+
 def test_user_load(spark):
     base = table(spark, "users", [{"id": 4, "email": "old@x"}])
     roles = table(spark, "job_roles", [{"id": 7, "name": "Packer"}])
@@ -317,9 +376,13 @@ def test_cascade(spark):
 
 def test_updates(spark):
     base = table(spark, "products", [{"id": "a", "name": "A", "price": D("1.00")}, {"id": "b", "name": "B", "price": D("2.00")}])
-    changes = spark.createDataFrame([("a", None, None)], "id STRING, name STRING, price DECIMAL(12,2)")
-    got = rows(table_jobs.apply_updates(base, changes, "id", keep_if_null=("name",)), "id", "name", "price")
-    assert got == [("a", "A", None), ("b", "B", D("2.00"))]
+    changes = spark.createDataFrame([("a", " ", None), ("b", " C ", None)], "id STRING, name STRING, price DECIMAL(12,2)")
+    got = rows(table_jobs.apply_updates(base, changes, "id", only_if="name"), "id", "name", "price")
+    assert got == [("a", "A", D("1.00")), ("b", "C", None)]
+    people = table(spark, "team_members", [{"id": 1, "full_name": "x", "employee_number": "E1"}])
+    news = spark.createDataFrame([(1, "y", " ")], "id BIGINT, full_name STRING, employee_number STRING")
+    got = table_jobs.apply_updates(people, news, "id", only_if="full_name", blank_is_null=("employee_number",)).first()
+    assert (got["full_name"], got["employee_number"]) == ("y", None)
     gone = spark.createDataFrame([("a", "A"), ("b", "X")], "id STRING, name STRING")
     assert rows(table_jobs.apply_deletes(base, gone, ["id", "name"]), "id") == [("b",)]
 

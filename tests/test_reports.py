@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from garbline.functions.spread import join_heavy_apart, join_spread_nulls, number_rows, sum_before
+from garbline.functions.spread import join_reduced, join_spread_nulls, number_rows, sum_before
 from garbline.operators import joins, nested, reports
 from garbline.plans import pages
 from tests.data import at, rows, table, tables
@@ -84,9 +84,9 @@ def test_order_list_names(spark):
         ],
     )
     listed = reports.order_list(t)
-    assert rows(listed, "id", "worker_name", "item_count") == [(1, "Ann", 1), (2, "Ann, Bob", 4), (3, None, 0)]
-    short = rows(reports.order_list(t, max_names=3), "id", "worker_name")
-    assert short == [(1, "Ann"), (2, "2 workers"), (3, None)]
+    got = rows(listed, "id", "worker_name", "item_count", "worker_count")
+    assert got == [(1, "Ann", 1, 1), (2, "Ann", 4, 3), (3, None, 0, 0)]
+    assert rows(reports.order_workers(t)) == [(1, 2, "Bob"), (2, 1, "Ann"), (2, 2, "Bob"), (2, 3, "Bob")]
     asked = t.order_carts.where("id = 2").select(F.col("id").alias("cart_id"))
     assert rows(reports.order_workers(t, asked), "worker_id") == [(1,), (2,), (3,)]
     assert [r["id"] for r in reports.sort_orders(listed, "id", "asc").collect()] == [1, 2, 3]
@@ -112,7 +112,7 @@ def test_unread_and_feed(spark):
     assert rows(joins.unread_posts(t.news_posts, t.news_reads, 1, "supervisor"), "id") == [(2,), (4,)]
     counts = rows(joins.unread_counts(t.news_posts, t.news_reads, t.users), "user_id", "unread_news_count")
     assert counts == [(1, 2), (2, 2)]
-    feed = pages.news_feed_nested(t, 1, "supervisor").orderBy(F.col("pinned").desc(), F.col("created_at").desc()).collect()
+    feed = pages.news_feed_nested(t, 1, "supervisor").collect()
     assert [r["id"] for r in feed] == [2, 4, 1]
     assert [(r["is_read"], r["user_liked"], r["like_count"], r["comment_count"]) for r in feed][2] == (True, True, 2, 2)
     assert [c["comment"] for c in feed[2]["comments"]] == ["y", "x"]
@@ -173,12 +173,31 @@ def test_returns_report_one_row_per_garment(spark):
     assert counts == {"total": 3, "worn_out": 0, "damaged": 0, "size_exchange": 0, "stolen": 1, "other": 2}
 
 
-def test_nest_pages_hold_everything(spark):
-    children = spark.createDataFrame([("hot", i) for i in range(250)] + [("cold", 1)], "k STRING, v BIGINT")
-    paged = nested.nest(children, "k", ["v"], "vs", page_items=100).collect()
-    hot = [r for r in paged if r["k"] == "hot"]
-    assert len(hot) == 3 and sorted(e["v"] for r in hot for e in r["vs"]) == list(range(250))
-    assert [r["page"] for r in paged if r["k"] == "cold"] == [0]
+def test_nest_pages_by_position(spark):
+    children = spark.createDataFrame([("hot", i) for i in reversed(range(250))] + [("cold", 1), (None, 3)], "k STRING, v BIGINT")
+    paged = nested.nest(children, "k", ["v"], "vs", page_items=100).orderBy("k", "page").collect()
+    assert [(r["k"], r["page"], len(r["vs"])) for r in paged] == [("cold", 0, 1), ("hot", 0, 100), ("hot", 1, 100), ("hot", 2, 50)]
+    assert [e["v"] for r in paged[1:] for e in r["vs"]] == list(range(250))
+
+
+def test_nested_results_are_ordered(spark):
+    t = tables(
+        spark,
+        users=[{"id": i, "full_name": f"u{i}", "system_role": "supervisor"} for i in range(6)],
+        team_members=[{"id": i, "full_name": f"w{9 - i}", "supervisor_id": i % 3} for i in range(9)],
+        supervisor_delegations=[
+            {"id": i, "from_supervisor_id": i % 3, "to_supervisor_id": 5, "start_date": dt.date(2024, 1, 1 + i * 7 % 5), "end_date": dt.date(2024, 9, 9)}
+            for i in range(8)
+        ],
+    )
+    got = nested.delegations_with_members(t, dt.date(2024, 5, 5), page_items=2).collect()
+    keys = [(-r["start_date"].toordinal(), r["id"], r["page"]) for r in got]
+    assert keys == sorted(keys) and len(got) == 16
+    assert all([m["full_name"] for m in r["members"]] == sorted(m["full_name"] for m in r["members"]) for r in got)
+    posts = [{"id": i, "created_by": 1, "target_role": "all", "pinned": i % 2, "created_at": dt.date(2024, 1, 1 + i % 4)} for i in range(12)]
+    feed = pages.news_feed(tables(spark, users=[{"id": 1, "full_name": "s"}], news_posts=posts), 1, "supervisor").collect()
+    order = [(-r["pinned"], -r["created_at"].toordinal(), -r["id"]) for r in feed]
+    assert order == sorted(order) and len(feed) == 12
 
 
 def test_size_map_ignores_case(spark):
@@ -199,15 +218,19 @@ def test_joins_for_hot_and_null_keys(spark):
     left = spark.createDataFrame([(1, i) for i in range(60)] + [(2, 1), (None, 2), (None, 3), (9, 4)], "k BIGINT, v BIGINT")
     right = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k BIGINT, w STRING")
     plain = rows(left.join(right, "k", "left"), "k", "v", "w")
-    assert rows(join_heavy_apart(left, right, ["k"], "left", share=3), "k", "v", "w") == plain
+    counted = right.groupBy("k").agg(F.max("w").alias("w"))
+    assert rows(join_reduced(left, counted, ["k"], "left"), "k", "v", "w") == plain
     for how in ("inner", "left_semi"):
-        assert rows(join_heavy_apart(left, right, ["k"], how, share=3)) == rows(left.join(right, "k", how))
+        assert rows(join_reduced(left, counted, ["k"], how)) == rows(left.join(right, "k", how))
     renamed = right.withColumnRenamed("k", "rk")
     assert rows(join_spread_nulls(left, renamed, "k", "rk", how="left_anti")) == rows(left.join(right, "k", "left_anti"))
     spread = join_spread_nulls(left, renamed, "k", "rk", ["v"])
     assert rows(spread, "k", "v", "w") == plain
     plan = spread._jdf.queryExecution().optimizedPlan().toString()
     assert "_home" in plan, "the place must stay a join column"
+    two = spark.createDataFrame([(1, 5, True), (2, 1, True)], "rk BIGINT, v BIGINT, hit BOOLEAN")
+    both = join_spread_nulls(left, two, "k", "rk", also=["v"]).where("hit")
+    assert rows(both, "k", "v") == [(1, 5), (2, 1)]
 
 
 @settings(max_examples=6, deadline=None)
@@ -216,5 +239,5 @@ def test_sum_before_in_chunks(spark, cells):
     unique = list({(k, r): v for k, r, v in cells}.items())
     df = spark.createDataFrame([(k, r, v) for (k, r), v in unique], "k INT, r BIGINT, v BIGINT")
     want = sorted((k, r, sum(v2 for (k2, r2), v2 in unique if k2 == k and r2 < r)) for (k, r), _ in unique)
-    for chunk in (4, None):
+    for chunk in (4, 1000):
         assert sorted(tuple(x) for x in sum_before(df, "k", "r", {"s": F.col("v")}, chunk).select("k", "r", "s").collect()) == want

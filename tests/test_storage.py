@@ -1,30 +1,15 @@
 from decimal import Decimal
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from garbline.schemas import SCHEMAS
-from garbline.session import scratch_path, shared_dir
-from garbline.sinks import exports, versioned
+from garbline.session import cut_and_count, remove_path, scratch_path, shared_dir
+from garbline.sinks import exports
 from garbline.sources import tables as src
 from tests.data import at, rows, table, tables
 
 
-def test_versions_appear_together(spark, tmp_path):
-    root = str(tmp_path)
-    assert versioned.latest_version(spark, root) is None
-    sites = table(spark, "sites", [{"id": 1, "name": "a"}])
-    assert versioned.write_version(spark, root, {"sites": sites}) == 1
-    more = sites.union(table(spark, "sites", [{"id": 2, "name": "b"}]))
-    assert versioned.write_version(spark, root, {"sites": more, "facilities": sites}) == 2
-    assert versioned.read_version(spark, root, "sites").count() == 2
-    assert versioned.read_version(spark, root, "sites", version=1).count() == 1
-    # A version without its log row does not count.
-    sites.limit(0).write.parquet(f"{root}/v3/sites")
-    assert versioned.read_version(spark, root, "sites").count() == 2
-    with pytest.raises(ValueError):
-        versioned.read_version(spark, root, "users")
-
-
 def test_load_checks_and_casts(spark, tmp_path):
     spark.createDataFrame([(1, "a")], "id INT, name STRING").write.parquet(f"{tmp_path}/sites")
     spark.createDataFrame([(1,)], "id INT").write.parquet(f"{tmp_path}/facilities")
@@ -71,7 +56,17 @@ def test_exports(spark, tmp_path):
 
 
 def test_shared_folder_is_the_named_one(spark):
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is not None:
-        assert named in shared_dir(spark)
-    assert scratch_path(spark, "x") != scratch_path(spark, "x")
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    path = scratch_path(spark, "x")
+    assert path.startswith(shared_dir(spark)) and path != scratch_path(spark, "x")
+
+
+def test_cut_lineage_keeps_schema_and_counts(spark):
+    df = spark.sql("SELECT id, id * 2 AS n, NULL AS nothing, array(id) AS a FROM range(7)")
+    cut, n = cut_and_count(df)
+    assert n == 7 and cut.columns == df.columns and sorted(r["n"] for r in cut.collect()) == [2 * i for i in range(7)]
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    remove_path(spark, path)
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(path)

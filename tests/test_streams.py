@@ -42,8 +42,8 @@ def test_status_stream_agrees_with_batch_job(spark):
 
 
 def test_stock_over_batches(spark, split_events):
-    changes = changes_to_table(jobs.stock_stream(ev.stock_movements(ev.read_events(spark, split_events, files_per_batch=1))))
-    assert rows(latest_rows(changes, ["sku"])) == rows(jobs.stock_stream(ev.stock_movements(batch_events(spark))))
+    changes = changes_to_table(jobs.stock_stream(ev.stock_movements(ev.read_events(spark, split_events, files_per_batch=1), F.lit(50))))
+    assert rows(latest_rows(changes, ["sku"])) == rows(jobs.stock_stream(ev.stock_movements(batch_events(spark), F.lit(50))))
 
 
 def test_outbox_over_batches(spark, split_events):
@@ -81,18 +81,18 @@ def test_late_spend_is_dropped(spark, tmp_path):
 
 def test_read_marks_once_within_watermark(spark, tmp_path):
     write_batches(spark, tmp_path, [
-        [event(50 * i, "2024-01-01 10:00", "view") for i in range(40)],
-        [event(50, "2024-01-01 11:00", "view"), event(51, "2024-01-01 11:00", "view")],
+        [event(3 * i, "2024-01-01 10:00", "view") for i in range(40)],
+        [event(300, "2024-01-01 11:00", "view"), event(301, "2024-01-01 11:00", "view")],
     ])
-    marks = ev.engagement_events(ev.read_events(spark, str(tmp_path), "1 day", files_per_batch=1))
+    marks = ev.engagement_events(ev.read_events(spark, str(tmp_path), "1 day", files_per_batch=1), F.lit(1000))
     got = append_to_table(jobs.read_mark_stream(marks))
-    assert rows(got, "post_id", "user_id") == [(0, 1), (1, 1)]
+    assert rows(got, "post_id", "user_id") == [(13, 1), (14, 1)]
 
 
 def test_stream_resumes_where_it_stopped(spark, tmp_path):
     source, root = tmp_path / "in", str(tmp_path / "out")
     write_batches(spark, source, [[event(1, "2024-01-01 10:00", "signup")]])
-    build = lambda: jobs.stock_stream(ev.stock_movements(ev.read_events(spark, str(source))))
+    build = lambda: jobs.stock_stream(ev.stock_movements(ev.read_events(spark, str(source)), F.lit(50)))
     assert rows(latest_rows(changes_to_table(build(), root), ["sku"])) == [(1, 1, 1)]
     write_batches(spark, source, [[event(51, "2024-01-01 11:00", "purchase")]])
     assert rows(latest_rows(changes_to_table(build(), root), ["sku"])) == [(1, 0, 2)]
