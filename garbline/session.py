@@ -85,6 +85,21 @@ def remove_path(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def scratch_mark() -> int:
+    """A point in time, for ``discard_since``."""
+    return len(_OWN)
+
+
+def discard_since(spark: SparkSession, mark: int, keep: int = 1) -> None:
+    """Delete the scratch paths made since ``mark`` but for the ``keep`` newest.
+
+    For a job that has written out all that its result reads: no lineage leads back to the
+    deleted tables.
+    """
+    for path in _OWN[mark : len(_OWN) - keep]:
+        remove_path(spark, path)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete every scratch path of this process. For the owner of a finished job."""
     for path in list(_OWN):
