@@ -14,12 +14,17 @@ inverted lists of the single grams. The boundary is the size at which enumeratin
 more than scanning, from the numbers of documents by size and the mean length of the lists.
 Sets a little below it do both, as their partners may be above.
 
-A list of up to ``LIGHT`` sets gives all its pairs. A longer one (copies with small edits, or
-texts made of common passages) is compared with one of its members; sets that link become one
-component, and only members of different components are compared further, with another
-member for some rounds and then pair by pair, leaving out what the triangle inequality
-of the Jaccard distance excludes. No link between different components is lost, whatever
-the length of a list.
+A list of up to ``LIGHT`` sets gives all its pairs; a pair must share enough of its first
+grams to reach its overlap with all that may follow. A longer list (copies with small edits, or
+texts made of common passages) is compared with the member that shares most grams with
+others, the least edited copy. Sets that link become one component, and only where a list
+holds several is it compared with another member for some rounds and at last pair by pair
+across components. A member leaves a list in which nobody can have enough first grams in
+common with it, and a pair across components is left out where the triangle inequality of
+the Jaccard distance or the sketches of the two sets exclude a link: a sketch has a bit for each
+of ``SKETCH`` places, set if an odd number of grams fall on it, so two sketches never differ
+in more bits than the sets do in grams. No link between different components is lost,
+whatever the length of a list.
 
 N-grams are 64-bit hashes of the words, classes 64-bit hashes of the sets. Every candidate is
 verified on the whole sets. The order needs only to be the same everywhere, so the frequent
@@ -43,12 +48,13 @@ from pyspark.sql import functions as F
 from garbline.llm.common import U64, Words, in_bitmap, mix64, row_key, slices, sparse_counts, table
 from garbline.llm.components import components
 from garbline.llm.registry import query
-from garbline.session import cut_lineage
+from garbline.session import cut_and_count, cut_lineage, discard_since, scratch_mark
 
 N = 5
 PERCENT = 80
 LIGHT = 32  # longest list of which all pairs are taken; grams in more documents are late in the order
-ROUNDS = 4
+ROUNDS = 1
+SKETCH = 2048
 BITMAP_BITS = 24
 PER_RANGE = 1 << 21  # grams counted together
 FLUSH = 1 << 22  # grams a task holds before it passes them on
@@ -191,7 +197,8 @@ def boundary(by_size: dict[int, int], mean_list: float, percent: int = PERCENT)
 
 
 def signatures(texts: DataFrame, n: int, percent: int, bitmap: np.ndarray, limit: int) -> DataFrame:
-    """``sig``, ``cls``, ``n``: the grams, or pairs of grams, in which a set may meet a partner."""
+    """``sig``, ``cls``, ``n``: the grams, or pairs of grams, in which a set may meet a partner. Grams are odd, pairs even."""
+    one = U64(1)
     def run(batches):
         sigs, names, sizes, held = [], [], [], 0
 
@@ -210,11 +217,11 @@ def signatures(texts: DataFrame, n: int, percent: int, bitmap: np.ndarray, limit
             spare = size - need(size, percent)
             mine = []
             if size >= need(limit, percent):
-                mine.append(mix64(grams[: spare + 1]))
+                mine.append(mix64(grams[: spare + 1]) | one)
             # a set that shares less than two grams with a partner equals it
             if size < limit and need(size, percent) >= 2:
                 i, j = np.triu_indices(min(spare + 2, size), 1)
-                mine.append(mix64(mix64(grams[i]) * U64(3) + grams[j]))
+                mine.append(mix64(mix64(grams[i]) * U64(3) + grams[j]) & ~one)
             if mine:
                 sigs.append(np.concatenate(mine))
                 names.append(name)
@@ -230,8 +237,8 @@ def signatures(texts: DataFrame, n: int, percent: int, bitmap: np.ndarray, limit
 
 
 def met_lists(entries: DataFrame, light: int = LIGHT) -> DataFrame:
-    """The entries of lists with two sets or more: ``sig``, ``cls``, ``n``, the list's ``members`` and first set ``center``, and
-    ``later``, the sets that follow in the list (NULL in long lists).
+    """The entries of lists with two sets or more: ``sig``, ``cls``, ``n``, the list's ``members`` and ``later``, the sets that
+    follow in the list (NULL in long lists).
 
     One shuffle, by signature; copies of a class from several tasks are one entry.
     """
@@ -241,17 +248,62 @@ def met_lists(entries: DataFrame, light: int = LIGHT) -> DataFrame:
     shared = entries.withColumn("members", F.count("*").over(whole)).where("members > 1")
     item = F.struct("cls", "n")
     following = F.collect_list(item).over(rising.rowsBetween(1, light - 1))
-    return shared.select("*", F.first(item).over(rising).alias("center"), F.when(F.col("members") <= light, following).alias("later"))
+    return shared.select("*", F.when(F.col("members") <= light, following).alias("later"))
 
 
-def _pairs(left: DataFrame, percent: int, *more: str) -> DataFrame:
-    """Ordered, different pairs ``a`` < ``b`` (with sizes) whose sizes allow a link."""
+def _pairs(left: DataFrame, percent: int) -> DataFrame:
+    """Ordered pairs ``a`` < ``b`` of different sets, with their sizes, whose sizes allow a link; once each, with the sum of ``k``."""
     fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     swap = F.col("a") > F.col("b")
-    return left.where(fits & (F.col("a") != F.col("b"))).select(
+    ordered = left.where(fits & (F.col("a") != F.col("b"))).select(
         F.least("a", "b").alias("a"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"),
-        F.greatest("a", "b").alias("b"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb"), *more,
-    ).distinct()
+        F.greatest("a", "b").alias("b"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb"), "k",
+    )
+    return ordered.groupBy("a", "na", "b", "nb").agg(F.sum("k").alias("k"))
+
+
+def _least_shared(na: str, nb: str, percent: int) -> str:
+    """SQL for the number of first grams that linked sets of these sizes share at least.
+
+    Take the set whose first grams end earlier in the order: with its first
+    ``n - need(n) + 1`` grams it shares what both have among their first ones, and with the rest at
+    most ``need(n) - 1``.
+    """
+    overlap = f"(({percent} * ({na} + {nb}) + {99 + percent}) div {100 + percent})"
+    return f"({overlap} - (({percent} * greatest({na}, {nb}) + 99) div 100) + 1)"
+
+
+def enough_shared(pairs: DataFrame, heavy: DataFrame, percent: int, limit: int) -> DataFrame:
+    """The pairs that share enough of their first grams to link.
+
+    ``k`` counts the short lists of single grams in which a pair meets; ``heavy`` (``cls``, ``lists``) the
+    long ones that a set is in, in each of which it may meet a partner too.
+    """
+    long_lists = pairs
+    for end in ("a", "b"):
+        long_lists = long_lists.join(heavy.select(F.col("cls").alias(end), F.col("lists").alias(f"_{end}")), end, "left")
+    shared = "k + least(coalesce(_a, 0), coalesce(_b, 0))"
+    enough = f"least(na, nb) < {need(limit, percent)} or {shared} >= {_least_shared('na', 'nb', percent)}"
+    return long_lists.where(enough).select(*pairs.columns)
+
+
+def able_to_link(long: DataFrame, met: DataFrame, percent: int, limit: int) -> DataFrame:
+    """The entries of long lists whose set may link with one of another size in the list, with ``t`` and ``center``.
+
+    ``t`` is the number of lists of single grams that a set shares with anyone. Copies with so many
+    edits that they share too few grams leave here, before anything is compared. The
+    list's ``center`` is the set with the largest ``t``.
+    """
+    own = met.where("sig % 2 <> 0").groupBy(F.col("cls").alias("_cls")).agg(F.count("*").alias("t"))
+    counted = long.join(cut_lineage(own, "shared"), F.col("cls") == F.col("_cls"), "left").withColumn("t", F.coalesce("t", F.lit(0)))
+    center = F.max_by(F.struct("cls", "n"), F.struct("t", "cls")).alias("center")
+    span = counted.groupBy(F.col("sig").alias("_sig")).agg(F.min("n").alias("_low"), F.max("n").alias("_high"), center)
+    rows = counted.join(cut_lineage(span, "span"), F.col("sig") == F.col("_sig"))
+    # the farther apart the sizes, the fewer grams need be shared
+    small = _least_shared("n", f"greatest(_low, ({percent} * n + 99) div 100)", percent)
+    large = _least_shared("n", f"least(_high, (100 * n) div {percent})", percent)
+    able = f"sig % 2 = 0 or n < {need(limit, percent)} or t >= least({small}, {large})"
+    return rows.where(able).select("sig", "cls", "n", "t", "center")
 
 
 def candidate_sets(texts: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
@@ -278,6 +330,22 @@ def candidate_sets(texts: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
     return sets.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("grams").alias("grams"))
 
 
+def sketches(sets: DataFrame, bits: int = SKETCH) -> DataFrame:
+    """``cls`` and the words ``s0``, ``s1``, ... of the sketch of each set."""
+    names = [f"s{i}" for i in range(bits // 64)]
+    shift = U64(64 - (bits - 1).bit_length())
+
+    def run(batches):
+        for batch in batches:
+            odd = np.zeros((batch.num_rows, bits), np.uint8)
+            for row, grams in zip(odd, batch.column(1).to_pylist()):
+                row[:] = np.bincount((np.frombuffer(grams, U64) >> shift).astype(np.int64), minlength=bits) & 1
+            words = np.packbits(odd, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(c)) for c in words.T]], names=["cls", *names])
+
+    return sets.select("cls", "grams").mapInArrow(run, ", ".join(["cls long", *[f"{n} long" for n in names]]))
+
+
 def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``a``, ``b``, ``linked`` and ``apart`` (the Jaccard distance) of every pair, from the whole sets."""
 
@@ -298,55 +366,67 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def links(docs: DataFrame, found: DataFrame, id_column: str, text_column: str, n: int = N, percent: int = PERCENT, light: int = LIGHT, rounds: int = ROUNDS) -> DataFrame:
-    """Pairs ``a``, ``b`` of classes that link; with their transitive closure, every link between different texts."""
+    """Pairs ``a``, ``b`` of classes whose transitive closure has every link between different texts."""
     texts = docs.select(F.col(text_column).alias("text"))
     sizes = found.where("n_shingles > 0").select("cls", "n_shingles").distinct()
     small = {r["n_shingles"]: r["count"] for r in sizes.where("n_shingles <= 256").groupBy("n_shingles").count().collect()}
     total = found.agg(F.sum("n_shingles").alias("s")).first()["s"] or 0
     bitmap, mean_list = frequent_grams(texts, n, total, light)
-    met = cut_lineage(met_lists(signatures(texts, n, percent, bitmap, boundary(small, mean_list, percent)), light), "lists")
+    bound = boundary(small, mean_list, percent)
+    met = cut_lineage(met_lists(signatures(texts, n, percent, bitmap, bound), light), "lists")
     member = [F.col("cls").alias("a"), F.col("n").alias("na")]
-    short = met.where("later is not null").select(*member, F.explode("later").alias("o")).select("a", "na", F.col("o.cls").alias("b"), F.col("o.n").alias("nb"))
-    long = met.where("later is null").select("sig", "cls", "n", "center")
-    first = long.select(*member, F.col("center.cls").alias("b"), F.col("center.n").alias("nb"))
-    pairs = cut_lineage(_pairs(short.unionByName(first), percent), "pairs")
-    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(long.select("cls"))
-    wanted = cut_lineage(ends.distinct(), "wanted")
-    sets = cut_lineage(candidate_sets(texts, n, wanted), "sets")
+    single = F.pmod("sig", F.lit(2)).alias("k")
+    short = met.where("later is not null").select(*member, single, F.explode("later").alias("o")).select("a", "na", F.col("o.cls").alias("b"), F.col("o.n").alias("nb"), "k")
+    long = cut_lineage(able_to_link(met.where("later is null").select("sig", "cls", "n"), met, percent, bound), "long")
+    heavy = cut_lineage(long.groupBy("cls").agg(F.sum(F.pmod("sig", F.lit(2))).alias("lists")), "heavy")
+    first = long.select(*member, F.col("center.cls").alias("b"), F.col("center.n").alias("nb"), F.lit(0).cast("long").alias("k"))
+    pairs = cut_lineage(enough_shared(_pairs(short.unionByName(first), percent), heavy, percent, bound), "pairs")
+    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(heavy.select("cls"))
+    sets = cut_lineage(candidate_sets(texts, n, cut_lineage(ends.distinct(), "wanted")), "sets")
     tested = cut_lineage(compare(pairs, sets, percent), "tested")
-    if long.isEmpty():
-        return tested.where("linked").select("a", "b")
+    edges = tested.where("linked").select("a", "b")
+    if heavy.isEmpty():
+        return edges
     # distance of each member of a long list from its center, to spare comparisons later
     away = tested.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "apart")
     ends = (F.least("cls", "center.cls") == F.col("_a")) & (F.greatest("cls", "center.cls") == F.col("_b"))
-    lists = cut_lineage(
-        long.join(away, ends, "left").select("sig", "cls", "n", F.when(F.expr("cls = center.cls"), 0.0).otherwise(F.col("apart")).alias("apart")), "long"
-    )
+    distance = F.when(F.expr("cls = center.cls"), 0.0).otherwise(F.col("apart")).alias("apart")
+    drawn = cut_lineage(sketches(sets.join(heavy.select("cls"), "cls", "left_semi")), "sketches")
+    marks = drawn.columns[1:]
+    lists = cut_lineage(long.join(away, ends, "left").select("sig", "cls", "n", "t", distance).join(drawn, "cls"), "long")
+    apart_at_least = " + ".join(f"bit_count({m} ^ _{m})" for m in marks)
     for turn in range(rounds + 1):
-        roots = cut_lineage(components(tested.where("linked")), "roots")
+        roots = cut_lineage(components(edges), "roots")
+        edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         named = lists.join(roots, lists["cls"] == roots["node"], "left").select(*lists.columns, F.coalesce("root", "cls").alias("root"))
         mixed = named.groupBy("sig").agg(F.min("root").alias("_r"), F.max("root").alias("_s")).where("_r <> _s").select("sig")
-        lists = cut_lineage(lists.join(mixed, "sig", "left_semi"), "long")
-        if lists.isEmpty():
+        named, left = cut_and_count(named.join(mixed, "sig", "left_semi"), "named")
+        if not left:
             break
-        named = cut_lineage(named.join(mixed, "sig", "left_semi"), "named")
+        lists = named.drop("root")
         if turn < rounds:
-            pick = F.min_by(F.struct("cls", "n", "root", "apart"), F.xxhash64("cls", F.lit(turn)))
-            others = named.groupBy("sig").agg(pick.alias("o")).select("sig", "o.*").toDF("sig", "b", "nb", "other", "far")
+            pick = F.min_by(F.struct(*named.columns), F.xxhash64("cls", F.lit(turn)))
+            others = named.groupBy("sig").agg(pick.alias("o")).select("o.*")
         else:
-            others = named.toDF("sig", "b", "nb", "far", "other")
+            others = named
+        new_names = {"cls": "b", "n": "nb", "t": "tb", "apart": "far", "root": "other"} | {m: f"_{m}" for m in marks}
+        others = others.withColumnsRenamed(new_names)
         possible = F.col("apart").isNull() | F.col("far").isNull() | (F.abs(F.col("apart") - F.col("far")) * 100 <= 100 - percent + 1e-6)
-        met_again = named.join(others, "sig").where((F.col("root") != F.col("other")) & possible)
-        fresh = _pairs(met_again.select(F.col("cls").alias("a"), F.col("n").alias("na"), "b", "nb"), percent)
+        fits = F.expr(f"least(n, nb) < {need(bound, percent)} or least(t, tb) >= {_least_shared('n', 'nb', percent)}")
+        # with an overlap of need, the sets differ in the other grams of both
+        unlike = F.expr(f"{apart_at_least} <= n + nb - 2 * (({percent} * (n + nb) + {99 + percent}) div {100 + percent})")
+        met_again = named.join(others, "sig").where((F.col("root") != F.col("other")) & (F.col("cls") != F.col("b")) & possible & fits & unlike)
+        fresh = _pairs(met_again.select(F.col("cls").alias("a"), F.col("n").alias("na"), "b", "nb", F.lit(0).cast("long").alias("k")), percent)
         fresh = cut_lineage(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not fresh.isEmpty():
-            tested = cut_lineage(tested.unionByName(compare(fresh, sets, percent)), "tested")
-    return tested.where("linked").select("a", "b")
+        more = cut_lineage(compare(fresh, sets, percent), "tested")
+        tested, edges = tested.unionByName(more), edges.unionByName(more.where("linked").select("a", "b"))
+    return edges
 
 
 def grouped(docs: DataFrame, id_column: str, text_column: str, n: int, percent: int, light: int, rounds: int) -> DataFrame:
     """``row``, ``doc_id``, ``n_shingles``, ``root`` (of the component; NULL without words) and ``component_id`` of every row."""
     found = cut_lineage(classes(docs, id_column, text_column, n), "classes")
+    mark = scratch_mark()
     named = cut_lineage(found.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id")), "names")
     roots = components(links(docs, found, id_column, text_column, n, percent, light, rounds))
     joined = cut_lineage(
@@ -354,6 +434,7 @@ def grouped(docs: DataFrame, id_column: str, text_column: str, n: int, percent:
     )
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_class = cut_lineage(joined.join(least, "root").select("cls", "root", "component_id"), "components")
+    discard_since(docs.sparkSession, mark)
     # rows without a class meet nothing and stay where they are
     nothing = F.lit(None).cast("long")
     blank = found.where("cls is null").select("row", "doc_id", "n_shingles", nothing.alias("root"), F.col("doc_id").alias("component_id"))
