@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from garbline.llm.common import table
 from garbline.llm.registry import query
-from garbline.session import cut_lineage
+from garbline.session import cut_lineage, discard_since, scratch_mark
 
 BITS = 128
 RADIUS = 3
@@ -157,6 +157,7 @@ def edited_texts(docs: DataFrame) -> DataFrame:
 @query("op9_fingerprints")
 def op9_fingerprints(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    mark = scratch_mark()
     both = edited_texts(docs).select(
         "doc_id",
         "next_id",
@@ -173,6 +174,7 @@ def op9_fingerprints(spark, sf_dir) -> DataFrame:
         ),
         "fingerprints",
     )
+    discard_since(spark, mark)
     following = prints.select(F.col("doc_id").alias("next_id"), F.col("high").alias("n_high"), F.col("low").alias("n_low"))
     asked = prints.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("id"), "high", "low")
     found = within(prints.select("high", "low"), asked).select(F.col("id").alias("doc_id"), "n_within")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from garbline.llm.common import WORD, row_key, table
 from garbline.llm.registry import query
-from garbline.session import cut_lineage
+from garbline.session import cut_lineage, discard_since, scratch_mark
 
 BLOCK = 256
 LIMIT = 3
@@ -227,10 +227,12 @@ def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows equal in id, source and text share what the mix takes of them.
     """
+    mark = scratch_mark()
     plan = mix(docs.select("doc_id", "source", "text"))
     often = cut_lineage(
         plan.groupBy(F.col("row").alias("__row_key")).agg(F.sum("passes").alias("__passes"), F.count("*").alias("__rows")).where("__passes > 0"), "often"
     )
+    discard_since(spark, mark)
     keyed = docs.withColumn("__row_key", row_key("doc_id", "source", "text"))
     single = keyed.join(often.where("__rows = 1"), "__row_key")
     shared = keyed.join(often.where("__rows > 1"), "__row_key").dropDuplicates(["__row_key"])
