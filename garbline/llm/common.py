@@ -70,7 +70,7 @@ def segment_sums(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     return sums
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each piece holds about ``limit`` bytes of text, one row at least."""
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
@@ -152,7 +152,7 @@ def in_bitmap(bitmap: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     return (bitmap[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) == 1
 
 
-def score_texts(df: DataFrame, text: str, added: str, score, limit: int = 4 << 20) -> DataFrame:
+def score_texts(df: DataFrame, text: str, added: str, score, limit: int = 2 << 20) -> DataFrame:
     """``df`` with the columns of the DDL ``added``, which replace columns of the same names.
 
     ``score`` gets the column ``text`` of a slice of rows as an Arrow array and returns one

@@ -56,8 +56,8 @@ LIGHT = 32  # longest list of which all pairs are taken; grams in more documents
 ROUNDS = 1
 SKETCH = 2048
 BITMAP_BITS = 24
-PER_RANGE = 1 << 21  # grams counted together
-FLUSH = 1 << 22  # grams a task holds before it passes them on
+PER_RANGE = 1 << 19  # grams counted together
+FLUSH = 1 << 21  # grams a task holds before it passes them on
 _FACTORS = mix64(np.arange(1, 65, dtype=U64)) | U64(1)
 
 
@@ -197,58 +197,69 @@ def boundary(by_size: dict[int, int], mean_list: float, percent: int = PERCENT)
 
 
 def signatures(texts: DataFrame, n: int, percent: int, bitmap: np.ndarray, limit: int) -> DataFrame:
-    """``sig``, ``cls``, ``n``: the grams, or pairs of grams, in which a set may meet a partner. Grams are odd, pairs even."""
+    """``sig``, ``cls``, ``n``, ``late``: the grams, or pairs of grams, in which a set may meet a partner.
+
+    Grams are odd, pairs even. ``late`` tells that a frequent gram is among them.
+    """
     one = U64(1)
     def run(batches):
-        sigs, names, sizes, held = [], [], [], 0
+        sigs, flags, names, sizes, held = [], [], [], [], 0
 
         def out():
             reach = [len(s) for s in sigs]
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(names, reach)), pa.array(np.repeat(sizes, reach).astype(np.int32))],
-                names=["sig", "cls", "n"],
+                [
+                    pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(names, reach)),
+                    pa.array(np.repeat(sizes, reach).astype(np.int32)), pa.array(np.concatenate(flags)),
+                ],
+                names=["sig", "cls", "n", "late"],
             )
 
         for name, grams in _new_sets(batches, n):
             size = len(grams)
             late = in_bitmap(bitmap, grams)
             # order of the grams, of which only the first are needed
-            grams = np.concatenate([grams[~late], grams[late]])
+            grams, late = np.concatenate([grams[~late], grams[late]]), np.sort(late)
             spare = size - need(size, percent)
-            mine = []
+            mine, slow = [], []
             if size >= need(limit, percent):
                 mine.append(mix64(grams[: spare + 1]) | one)
+                slow.append(late[: spare + 1])
             # a set that shares less than two grams with a partner equals it
             if size < limit and need(size, percent) >= 2:
                 i, j = np.triu_indices(min(spare + 2, size), 1)
                 mine.append(mix64(mix64(grams[i]) * U64(3) + grams[j]) & ~one)
+                slow.append(late[i] & late[j])
             if mine:
                 sigs.append(np.concatenate(mine))
+                flags.append(np.concatenate(slow))
                 names.append(name)
                 sizes.append(size)
                 held += len(sigs[-1])
             if held > 1 << 18:
                 yield out()
-                sigs, names, sizes, held = [], [], [], 0
+                sigs, flags, names, sizes, held = [], [], [], [], 0
         if held:
             yield out()
 
-    return texts.mapInArrow(run, "sig long, cls long, n int")
+    return texts.mapInArrow(run, "sig long, cls long, n int, late boolean")
 
 
 def met_lists(entries: DataFrame, light: int = LIGHT) -> DataFrame:
-    """The entries of lists with two sets or more: ``sig``, ``cls``, ``n``, the list's ``members`` and ``later``, the sets that
-    follow in the list (NULL in long lists).
+    """The entries that may be in lists with two sets or more: ``sig``, ``cls``, ``n`` and ``later``, the sets that follow in the list.
 
-    One shuffle, by signature; copies of a class from several tasks are one entry.
+    ``later`` is NULL in long lists, and in those of late signatures, which may be of any length.
+    One shuffle, by signature; entries of late signatures are dealt out by set as well, so that
+    no list meets in one task. Copies of a class from several tasks are one entry.
     """
-    whole = Window.partitionBy("sig")
-    rising = whole.orderBy("cls")
-    entries = entries.repartition("sig").groupBy("sig", "cls").agg(F.min("n").alias("n"))
-    shared = entries.withColumn("members", F.count("*").over(whole)).where("members > 1")
-    item = F.struct("cls", "n")
-    following = F.collect_list(item).over(rising.rowsBetween(1, light - 1))
-    return shared.select("*", F.when(F.col("members") <= light, following).alias("later"))
+    places = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = F.when(F.col("late"), F.pmod(F.xxhash64("cls"), F.lit(places))).otherwise(F.lit(-1)).cast("int")
+    once = entries.select("sig", "cls", "n", dealt.alias("place")).repartition("sig", "place").groupBy("sig", "place", "cls").agg(F.min("n").alias("n"))
+    here = Window.partitionBy("sig", "place")
+    shared = once.withColumn("members", F.count("*").over(here)).where("members > 1 or place >= 0")
+    following = F.collect_list(F.struct("cls", "n")).over(here.orderBy("cls").rowsBetween(1, light - 1))
+    whole = (F.col("place") < 0) & (F.col("members") <= light)
+    return shared.select("sig", "cls", "n", F.when(whole, following).alias("later"))
 
 
 def _pairs(left: DataFrame, percent: int) -> DataFrame:
@@ -287,23 +298,28 @@ def enough_shared(pairs: DataFrame, heavy: DataFrame, percent: int, limit: int)
     return long_lists.where(enough).select(*pairs.columns)
 
 
-def able_to_link(long: DataFrame, met: DataFrame, percent: int, limit: int) -> DataFrame:
+def able_to_link(met: DataFrame, percent: int, limit: int) -> DataFrame:
     """The entries of long lists whose set may link with one of another size in the list, with ``t`` and ``center``.
 
     ``t`` is the number of lists of single grams that a set shares with anyone. Copies with so many
     edits that they share too few grams leave here, before anything is compared. The
     list's ``center`` is the set with the largest ``t``.
     """
-    own = met.where("sig % 2 <> 0").groupBy(F.col("cls").alias("_cls")).agg(F.count("*").alias("t"))
+    open_lists = met.where("later is null").select("sig", "cls", "n")
+    span = open_lists.groupBy(F.col("sig").alias("_sig")).agg(F.count("*").alias("_m"), F.min("n").alias("_low"), F.max("n").alias("_high"))
+    long = open_lists.join(cut_lineage(span.where("_m > 1"), "span"), F.col("sig") == F.col("_sig")).drop("_sig", "_m")
+    long = cut_lineage(long, "long")
+    single = met.where("later is not null").select("sig", "cls").unionByName(long.select("sig", "cls")).where("sig % 2 <> 0")
+    own = single.groupBy(F.col("cls").alias("_cls")).agg(F.count("*").alias("t"))
     counted = long.join(cut_lineage(own, "shared"), F.col("cls") == F.col("_cls"), "left").withColumn("t", F.coalesce("t", F.lit(0)))
-    center = F.max_by(F.struct("cls", "n"), F.struct("t", "cls")).alias("center")
-    span = counted.groupBy(F.col("sig").alias("_sig")).agg(F.min("n").alias("_low"), F.max("n").alias("_high"), center)
-    rows = counted.join(cut_lineage(span, "span"), F.col("sig") == F.col("_sig"))
     # the farther apart the sizes, the fewer grams need be shared
     small = _least_shared("n", f"greatest(_low, ({percent} * n + 99) div 100)", percent)
     large = _least_shared("n", f"least(_high, (100 * n) div {percent})", percent)
     able = f"sig % 2 = 0 or n < {need(limit, percent)} or t >= least({small}, {large})"
-    return rows.where(able).select("sig", "cls", "n", "t", "center")
+    rows = cut_lineage(counted.where(able).select("sig", "cls", "n", "t"), "able")
+    center = F.max_by(F.struct("cls", "n"), F.struct("t", "cls")).alias("center")
+    centers = rows.groupBy(F.col("sig").alias("_sig")).agg(center)
+    return rows.join(cut_lineage(centers, "centers"), F.col("sig") == F.col("_sig")).drop("_sig")
 
 
 def candidate_sets(texts: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
@@ -377,7 +393,7 @@ def links(docs: DataFrame, found: DataFrame, id_column: str, text_column: str, n
     member = [F.col("cls").alias("a"), F.col("n").alias("na")]
     single = F.pmod("sig", F.lit(2)).alias("k")
     short = met.where("later is not null").select(*member, single, F.explode("later").alias("o")).select("a", "na", F.col("o.cls").alias("b"), F.col("o.n").alias("nb"), "k")
-    long = cut_lineage(able_to_link(met.where("later is null").select("sig", "cls", "n"), met, percent, bound), "long")
+    long = cut_lineage(able_to_link(met, percent, bound), "long")
     heavy = cut_lineage(long.groupBy("cls").agg(F.sum(F.pmod("sig", F.lit(2))).alias("lists")), "heavy")
     first = long.select(*member, F.col("center.cls").alias("b"), F.col("center.n").alias("nb"), F.lit(0).cast("long").alias("k"))
     pairs = cut_lineage(enough_shared(_pairs(short.unionByName(first), percent), heavy, percent, bound), "pairs")
