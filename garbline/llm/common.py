@@ -70,15 +70,18 @@ def segment_sums(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     return sums
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each piece holds about ``limit`` bytes of text, one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that each piece holds about ``limit`` bytes of text, one row at least.
+
+    Pieces are copies of their own: Arrow's text functions misread arrays that begin inside a buffer.
+    """
     for batch in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
         start = 0
         while start < batch.num_rows:
             base = sizes[start - 1] if start else 0
             end = max(start + 1, int(np.searchsorted(sizes, base + limit, "right")))
-            yield batch.slice(start, end - start)
+            yield batch.take(pa.array(np.arange(start, min(end, batch.num_rows))))
             start = end
 
 
@@ -86,7 +89,7 @@ class Words:
     """The words of a column of texts: distinct ones, a code for each word, the bounds of each text."""
 
     def __init__(self, texts: pa.Array, fold: str = "ascii") -> None:
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
         if fold != "none":
             texts = pc.ascii_lower(texts) if fold == "ascii" else pc.utf8_lower(texts)
         if fold == "alnum":
@@ -152,7 +155,7 @@ def in_bitmap(bitmap: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     return (bitmap[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) == 1
 
 
-def score_texts(df: DataFrame, text: str, added: str, score, limit: int = 2 << 20) -> DataFrame:
+def score_texts(df: DataFrame, text: str, added: str, score, limit: int = 4 << 20) -> DataFrame:
     """``df`` with the columns of the DDL ``added``, which replace columns of the same names.
 
     ``score`` gets the column ``text`` of a slice of rows as an Arrow array and returns one

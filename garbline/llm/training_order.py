@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from garbline.llm.common import U64, mix64, slices, table
 from garbline.llm.registry import query
-from garbline.session import cut_lineage, scratch_path
+from garbline.session import cut_lineage, discard_since, scratch_mark, scratch_path
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256
@@ -37,6 +37,7 @@ LENGTH = 1024
 STRIDE = 8192
 KEY = 2024
 NETWORK_ROUNDS = 6
+LEVEL = 6  # of the compression of sequences that wait for their slot
 # Fixed: how the vocabulary splits texts before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -80,6 +81,7 @@ def encoded(docs: DataFrame, path: str, length: int, end: int) -> DataFrame:
 
     def run(batches):
         task, at, tokenizer = TaskContext.get().partitionId(), 0, encoding(path)
+        codec = pa.Codec("zstd", LEVEL)
         for piece in slices(batches, "text"):
             rows = []
             for doc, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
@@ -88,7 +90,7 @@ def encoded(docs: DataFrame, path: str, length: int, end: int) -> DataFrame:
                 tokens = np.append(encode(text, tokenizer), end).astype(kind)
                 for part, first in enumerate(range(0, len(tokens), length)):
                     some = tokens[first : first + length]
-                    rows.append((task, at, doc, part, len(some), pa.compress(some.tobytes(), "zstd", asbytes=True)))
+                    rows.append((task, at, doc, part, len(some), codec.compress(some.tobytes(), asbytes=True)))
                     at += 1
             if rows:
                 columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), shape.types)]
@@ -108,6 +110,7 @@ def in_training_order(docs: DataFrame, target: str, path: str = VOCABULARY, leng
     after a failure starts from the table of encoded sequences only within the same job.
     """
     spark = docs.sparkSession
+    mark = scratch_mark()
     held = cut_lineage(encoded(docs, path, length, end), "encoded")
     counts = {r["task"]: r["n"] for r in held.groupBy("task").agg(F.count("*").alias("n")).collect()}
     before, total = {}, 0
@@ -136,9 +139,12 @@ def in_training_order(docs: DataFrame, target: str, path: str = VOCABULARY, leng
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(full, pa.binary())], names=["slot", "shard", "doc_id", "part", "n_tokens", "tokens"])
 
     columns = "slot long, shard long, doc_id long, part int, n_tokens int"
-    placed = held.mapInArrow(place, f"{columns}, packed binary").repartition("shard")
+    # one task for each shard, however many there are
+    shards = max(1, -(-total // stride))
+    placed = held.mapInArrow(place, f"{columns}, packed binary").repartitionById(shards, F.col("shard").cast("int"))
     whole = placed.mapInArrow(unpack, f"{columns}, tokens binary").sortWithinPartitions("shard", "slot")
     whole.write.option("compression", "zstd").partitionBy("shard").parquet(target)
+    discard_since(spark, mark, keep=0)
     return spark.read.schema(f"slot long, doc_id long, part int, n_tokens int, tokens binary, shard long").parquet(target)
 
 

@@ -8,7 +8,7 @@ import corpus_pipeline
 from garbline.llm import (
     decontamination, fingerprints, language, mixing, ngram_join, personal, registry, resampling, secrets, tagger, toxicity, training_order,
 )
-from garbline.llm.common import Words, hash_strings, in_bitmap, sparse_counts
+from garbline.llm.common import Words, hash_strings, in_bitmap, slices, sparse_counts
 from garbline.llm.components import components
 from garbline.session import scratch_path
 from tests.llm.conftest import LONG, ODD, write_tables
@@ -132,6 +132,17 @@ def test_words_split_on_ascii_white_space_only():
     assert got == ["a", "b", "c d\x1ce", "f", "a", "b"] and words.lengths.tolist() == [4, 0, 0, 0, 2]
 
 
+def test_words_do_not_depend_on_the_slices():
+    rng = np.random.default_rng(12)
+    texts = pa.array([None if i % 17 == 0 else " ".join(f"W\u00f6rt{rng.integers(50)}" for _ in range(int(rng.integers(0, 40)))) for i in range(300)])
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    for fold in ("ascii", "utf8", "alnum", "none"):
+        whole = Words(texts, fold).hashes().tolist()
+        cut = [h for piece in slices(iter([batch]), "text", 500) for h in Words(piece.column(0), fold).hashes().tolist()]
+        direct = [h for i in range(0, 300, 7) for h in Words(texts.slice(i, 7), fold).hashes().tolist()]
+        assert cut == whole and direct == whole
+
+
 def test_hashes_do_not_depend_on_the_array():
     values = pa.array(["", "a", "ab", "b", "a" * 500, "é"])
     whole = hash_strings(values)
