@@ -5,11 +5,10 @@ endpoints that prove nothing alone (``PARTS``) are weak candidates. Every part i
 interval of its text; weak ones are interval-joined to the parts of a complementary role
 within ``scope`` characters and are reported only where one is found.
 
-The join never pairs parts with parts. A text is cut into blocks as wide as the scope, and
-each block keeps, for each role, its first start and last end. A part of the same block is
-always within the scope; from the block before, only the last end matters, and from the
-block after, only the first start. So a candidate meets three rows at most for each
-complementary role, however many parts a text has, and the answer is exact.
+The join never pairs parts with parts. A candidate has a partner exactly if, of the parts of a
+complementary role that start no later than ``scope`` behind its end, one ends no earlier
+than ``scope`` before its start. So each text's parts, by start, and candidates, by end, are
+walked once with the largest end so far of each role, whatever their lengths and number.
 
 NULL and empty texts have no spans. Rows that repeat are scanned and returned each on its
 own; a NULL id is kept. Whole texts are scanned; positions are code points, the end excluded.
@@ -17,7 +16,7 @@ own; a NULL id is kept. Whole texts are scanned; positions are code points, the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from garbline.llm.common import table
@@ -112,21 +111,17 @@ def link(scanned: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``row`` and ``linked``: the weak candidates with a complementary part within ``scope`` characters."""
     roles = F.array(*[F.lit(ROLES[k]) for k in KINDS])
     parts = scanned.where(F.size("weak") > 0).select("row", F.explode(F.concat("base", "weak")).alias("s"))
-    parts = parts.select("row", "s", roles[F.col("s")["rank"]].alias("role"), F.expr(f"s.start div {scope}").alias("block"))
-    blocks = parts.groupBy("row", "block", "role").agg(F.min("s.start").alias("first"), F.max("s.end").alias("last"))
-    wanted = F.create_map(*[x for r, p in PARTNERS.items() for x in (F.lit(r), F.array(*[F.lit(q) for q in p]))])
-    probes = (
-        parts.where(F.col("s")["rank"] >= len(BASE))
-        .select("row", "s", "block", F.explode(wanted[F.col("role")]).alias("role"))
-        .select("row", "s", "role", F.col("block").alias("home"), F.explode(F.expr("sequence(block - 1, block + 1)")).alias("block"))
-    )
-    near = (
-        ((F.col("block") == F.col("home")))
-        | ((F.col("block") < F.col("home")) & (F.col("last") + scope >= F.col("s.start")))
-        | ((F.col("block") > F.col("home")) & (F.col("first") <= F.col("s.end") + scope))
-    )
-    met = probes.join(blocks, ["row", "block", "role"]).where(near)
-    return met.groupBy("row").agg(F.array_sort(F.collect_set("s")).alias("linked"))
+    here = F.struct(F.col("s.start").alias("at"), F.lit(False).alias("probe"))
+    there = F.struct((F.col("s.end") + scope).alias("at"), F.lit(True).alias("probe"))
+    points = F.when(F.col("s")["rank"] >= len(BASE), F.array(here, there)).otherwise(F.array(here))
+    events = parts.select("row", "s", roles[F.col("s")["rank"]].alias("role"), F.explode(points).alias("point"))
+    # a part that starts where a candidate's scope ends comes first
+    before = Window.partitionBy("row").orderBy("point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = {role: F.max(F.when((F.col("role") == role) & ~F.col("point.probe"), F.col("s.end"))).over(before) for role in PARTNERS}
+    walked = events.select("*", *[end.alias(f"last_{role}") for role, end in reach.items()])
+    ends = F.create_map(*[x for r, p in PARTNERS.items() for x in (F.lit(r), F.array(*[F.col(f"last_{q}") for q in p]))])
+    near = F.exists(ends[F.col("role")], lambda end: F.coalesce(end + scope >= F.col("s.start"), F.lit(False)))
+    return walked.where(F.col("point.probe") & near).groupBy("row").agg(F.array_sort(F.collect_set("s")).alias("linked"))
 
 
 def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", scope: int = SCOPE) -> DataFrame:

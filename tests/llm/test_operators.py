@@ -199,6 +199,27 @@ def test_linking_equals_all_pairs(spark):
             assert any(p["start"] // secrets.SCOPE == s[0] // secrets.SCOPE for p in every)
 
 
+@pytest.mark.parametrize("scope", [50, 200])
+def test_linking_of_long_parts_equals_all_pairs(spark, scope):
+    rng = np.random.default_rng(6)
+    blob = lambda n: "aB3" * (n // 3)
+    texts = [
+        f"{blob(600)} login: bob", f"login: bob {blob(600)}", f"https://host/{'p/' * 400} pwd: abcd", f"password={'7f' * 256} login: bob",
+        f"https://host/{'p/' * 400} {'z ' * 101}pwd: abcd", f"{blob(600)} {'z' * 187} login=bob", "login=bob " + "z " * 60 + "pwd=abcd",
+    ]
+    parts = [lambda n: blob(n + 21), lambda n: "https://h/" + "p/" * n, lambda n: "login=" + "b" * (n + 3), lambda n: "pwd=" + "c" * (n + 4), lambda n: "z" * n]
+    texts += [" ".join(parts[int(k)](int(n)) for k, n in zip(rng.integers(0, 5, 12), rng.integers(0, 500, 12))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    scanned = {r["id"]: r for r in secrets.scan(docs).collect()}
+    role = lambda s: secrets.ROLES[secrets.KINDS[s["rank"]]]
+    for r in secrets.find_secrets(docs, scope=scope).collect():
+        every = [*scanned[r["id"]]["base"], *scanned[r["id"]]["weak"]]
+        near = lambda w: any(role(p) in secrets.PARTNERS[role(w)] and max(p["start"] - w["end"], w["start"] - p["end"]) <= scope for p in every)  # noqa: B023, E731
+        assert r["linked"] == [w for w in scanned[r["id"]]["weak"] if near(w)]
+        if r["id"] < 3:
+            assert len(r["linked"]) == 2
+
+
 # fingerprints
 
 
