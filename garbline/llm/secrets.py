@@ -93,7 +93,8 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     """One row for each document: ``row`` (a number of its own), ``id``, and the sorted arrays
     ``base`` and ``weak`` of (start, rank of the kind, end). No shuffle.
 
-    A weak candidate that overlaps a base span is that span seen again, and is left out.
+    A weak candidate within a base span, or over one of its own role, is that span seen again and is
+    left out. One that merely holds or cuts a base span of another role stays.
     """
     text = F.coalesce(F.col("_text"), F.lit(""))
     found = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("_text")).select(
@@ -101,7 +102,10 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
         F.array_sort(F.concat(*[_tagged(k, find_all(text, p, g, n)) for k, (p, g, n) in BASE.items()])).alias("base"),
         F.concat(*[_tagged(k, find_all(text, p)) for k, (p, _) in PARTS.items()]).alias("_weak"),
     )
-    apart = lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
+    roles = F.array(*[F.lit(ROLES[k]) for k in KINDS])
+    over = lambda b, w: (b["start"] < w["end"]) & (w["start"] < b["end"])
+    again = lambda b, w: ((b["start"] <= w["start"]) & (w["end"] <= b["end"])) | (roles[b["rank"]] == roles[w["rank"]])
+    apart = lambda w: ~F.exists("base", lambda b: over(b, w) & again(b, w))
     return found.select(
         F.monotonically_increasing_id().alias("row"), "id", "base", F.array_sort(F.filter("_weak", apart)).alias("weak")
     )

@@ -220,6 +220,22 @@ def test_linking_of_long_parts_equals_all_pairs(spark, scope):
             assert len(r["linked"]) == 2
 
 
+def test_weak_parts_over_base_spans(spark):
+    run, key = "0123456789abcdef0", "AKIA" + "B7" * 8
+    texts = [
+        f"https://api.host/v1/{run} password: hunter2", f"https://api.host/?k:{key} pwd: hunter2", f"login: bob_{run}",
+        f"secret={run}", f"api_key=KX12345678ABCDEF {'z' * 9}", f"https://h/?token={run}&{'z/' * 200} pwd: hunter2",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["id"]: [(secrets.KINDS[s["rank"]], texts[r["id"]][s["start"] : s["end"]]) for s in r["linked"]] for r in secrets.find_secrets(docs).collect()}
+    assert got[0] == [("endpoint", f"https://api.host/v1/{run}"), ("value", "password: hunter2")]
+    assert got[1] == [("endpoint", f"https://api.host/?k:{key}"), ("value", "pwd: hunter2")]
+    assert got[2] == [("login", f"login: bob_{run}")]
+    # the same span seen again, or part of one
+    assert got[3] == got[4] == []
+    assert got[5] == [("endpoint", f"https://h/?token={run}&{'z/' * 200}"), ("value", "pwd: hunter2")]
+
+
 # fingerprints
 
 
