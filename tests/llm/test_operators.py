@@ -250,6 +250,40 @@ def test_within_radius(spark):
     assert got == {i: sum((v ^ w).bit_count() <= 3 for w in values) - 1 for i, v in enumerate(values)}
 
 
+@pytest.mark.parametrize(("radius", "near"), [(0, 1), (2, 6), (3, 11)])
+def test_within_wider_radius(spark, radius, near):
+    rng = np.random.default_rng(5)
+    base = [int.from_bytes(rng.bytes(16), "big") for _ in range(12)]
+    # bits turned anywhere, and packed into one block
+    turns = [rng.choice(size, k, replace=False) for k in (0, 1, 2, 3, 6, 7, 9, 11, 12) for size in (128, 32)]
+    values = [v ^ sum(1 << int(b) for b in bits) for v in base for bits in turns]
+    half = lambda v: v - (1 << 64) if v >= 1 << 63 else v
+    df = spark.createDataFrame([(i, half(v >> 64), half(v & ((1 << 64) - 1))) for i, v in enumerate(values)], "id int, high long, low long")
+    got = {r["id"]: (r["n_within"], r["n_near"]) for r in fingerprints.within(df, df, radius, near).collect()}
+    count = lambda v, most: sum((v ^ w).bit_count() <= most for w in values) - 1
+    assert got == {i: (count(v, radius), count(v, near)) for i, v in enumerate(values)}
+
+
+def test_near_copies_are_within_the_wider_radius(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(rng.integers(2, 10))))
+    rows, edited = [], {}
+    for words, edits in [(100, 1), (200, 1), (200, 2), (500, 3)]:
+        for _ in range(30):
+            text = [word() for _ in range(words)]
+            copy = list(text)
+            for at in rng.choice(words, edits, replace=False):
+                copy[at] = word()
+            rows += [(100 * len(rows), " ".join(text), "en", "s"), (100 * len(rows) + 1, " ".join(copy), "en", "s")]
+            edited[rows[-2][0]] = (words, edits)
+    docs = QUERIES["op9_fingerprints"](spark, write_tables(tmp_path, rows)).collect()
+    by_id = {r["doc_id"]: r for r in docs}
+    share = lambda name, kind: np.mean([by_id[d][name] > 0 for d, k in edited.items() if k == kind])
+    recall = {kind: (share("n_within", kind), share("n_near", kind)) for kind in set(edited.values())}
+    assert all(near >= 0.8 for _, near in recall.values()), recall
+    assert all(by_id[d]["n_near"] <= 1 for d in edited)
+
+
 # mixing
 
 
