@@ -284,6 +284,16 @@ def _least_shared(na: str, nb: str, percent: int) -> str:
     return f"({overlap} - (({percent} * greatest({na}, {nb}) + 99) div 100) + 1)"
 
 
+def _least_with_any(low: str, high: str, percent: int) -> str:
+    """SQL for a bound that ``_least_shared`` of a set of ``n`` keeps to with every partner of ``low`` to ``high`` grams, ``n`` among them.
+
+    Towards smaller partners it falls steadily. Towards larger ones it falls only but for the
+    roundings, which add less than one, so the difference is rounded as a whole.
+    """
+    large = f"(({percent} * (100 * n - {percent} * least({high}, (100 * n) div {percent}))) div {100 * (100 + percent)} + 1)"
+    return f"least({_least_shared('n', f'greatest({low}, ({percent} * n + 99) div 100)', percent)}, {large})"
+
+
 def enough_shared(pairs: DataFrame, heavy: DataFrame, percent: int, limit: int) -> DataFrame:
     """The pairs that share enough of their first grams to link.
 
@@ -313,9 +323,7 @@ def able_to_link(met: DataFrame, percent: int, limit: int) -> DataFrame:
     own = single.groupBy(F.col("cls").alias("_cls")).agg(F.count("*").alias("t"))
     counted = long.join(cut_lineage(own, "shared"), F.col("cls") == F.col("_cls"), "left").withColumn("t", F.coalesce("t", F.lit(0)))
     # the farther apart the sizes, the fewer grams need be shared
-    small = _least_shared("n", f"greatest(_low, ({percent} * n + 99) div 100)", percent)
-    large = _least_shared("n", f"least(_high, (100 * n) div {percent})", percent)
-    able = f"sig % 2 = 0 or n < {need(limit, percent)} or t >= least({small}, {large})"
+    able = f"sig % 2 = 0 or n < {need(limit, percent)} or t >= {_least_with_any('_low', '_high', percent)}"
     rows = cut_lineage(counted.where(able).select("sig", "cls", "n", "t"), "able")
     center = F.max_by(F.struct("cls", "n"), F.struct("t", "cls")).alias("center")
     centers = rows.groupBy(F.col("sig").alias("_sig")).agg(center)

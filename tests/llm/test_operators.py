@@ -103,6 +103,26 @@ def test_ngram_join_on_long_lists(spark, tmp_path, light, rounds):
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == want
 
 
+@pytest.mark.parametrize("percent", [70, 80, 90])
+def test_bound_holds_for_every_partner_of_a_list(spark, percent):
+    shared = lambda a, b: -(-percent * (a + b) // (100 + percent)) + 1 - ngram_join.need(max(a, b), percent)
+    rows = [(n, low, high) for n in range(20, 400, 3) for low in (n - 9, n) for high in range(n, 100 * n // percent + 3, 2)]
+    bound = ngram_join._least_with_any("low", "high", percent)
+    least = lambda n, low, high: min(shared(n, x) for x in range(max(low, ngram_join.need(n, percent)), min(high, 100 * n // percent) + 1))
+    for r in spark.createDataFrame(rows, "n int, low int, high int").selectExpr("n", "low", "high", f"{bound} as bound").collect():
+        want = least(r["n"], r["low"], r["high"])
+        assert want - 1 <= r["bound"] <= want, r
+
+
+def test_sets_that_may_link_stay_in_long_lists(spark):
+    # 100 grams need to share 8 first grams with 104, but 9 with 105
+    sizes = {1: 100, 2: 104, 3: 105}
+    schema = "sig long, cls long, n int, later array<struct<cls:long,n:int>>"
+    met = spark.createDataFrame([(2 * k + 1, c, n, None) for k in range(8) for c, n in sizes.items()], schema)
+    left = ngram_join.able_to_link(met, 80, 1)
+    assert {r["cls"] for r in left.select("cls").distinct().collect()} >= {1, 2}
+
+
 def test_boundary_by_cost():
     assert ngram_join.boundary({}, 0.0) == 1
     # long lists make enumerating worth while for larger sets
