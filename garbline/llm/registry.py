@@ -35,6 +35,7 @@ def load_all() -> None:
         personal,
         resampling,
         secrets,
+        token_counts,
         toxicity,
         training_order,
     )
