@@ -33,11 +33,13 @@ def load_all() -> None:
         mixing,
         ngram_join,
         personal,
+        prefix_trie,
         resampling,
         secrets,
         token_counts,
         toxicity,
         training_order,
+        whitening,
     )
 
 
