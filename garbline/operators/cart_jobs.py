@@ -7,11 +7,12 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from garbline.functions.spread import CHUNK, join_spread_nulls, number_rows, sum_before
+from garbline.functions.first_come import FOLD, first_come
+from garbline.functions.spread import CHUNK, join_spread_nulls, number_rows
 from garbline.operators.joins import acting_pairs, with_price
 from garbline.operators.reports import derive_cart_worker, month_usage, open_cart_latest, order_totals
 from garbline.schemas import MONEY
-from garbline.session import cut_and_count, cut_lineage, scratch_path
+from garbline.session import cut_lineage
 
 
 def check_cart_requests(requests: DataFrame, t, as_of: dt.date) -> DataFrame:
@@ -160,24 +161,13 @@ def cart_demand(lines: DataFrame) -> DataFrame:
     )
 
 
-def allocate_stock(need: DataFrame, skus: DataFrame, chunk: int = CHUNK, seen: list | None = None) -> DataFrame:
+def allocate_stock(need: DataFrame, skus: DataFrame, chunk: int = CHUNK, seen: list | None = None, fold: int = FOLD) -> DataFrame:
     """(cart_id, accepted): all-or-nothing stock for carts in order of submission.
 
     ``need``: as from ``cart_demand``. A cart that fails takes nothing, so its units stay
-    for later carts. Only carts that touch a SKU with more demand than stock can fail.
-    They are decided in rounds over what is still open:
-
-    * a cart that asks for more than is left of a SKU fails for good;
-    * a cart that fits even if every earlier open cart is served is accepted. Its units leave
-      the stock at once: whatever open carts stood before it were counted, so none
-      of them can miss these units;
-    * decided carts leave, and so do SKUs that can now serve all their open carts; a cart
-      whose last contested SKU has left is accepted.
-
-    The earliest open cart is always decided, so the number of rounds is at most the
-    longest chain of carts that wait for each other. ``seen`` collects the open rows of each round.
+    for later carts. Only carts that touch a SKU with more demand than stock can fail;
+    ``first_come`` decides them.
     """
-    spark = need.sparkSession
     stock = skus.select(F.col("id").alias("product_size_id"), "stock")
     # Written out, so that the joins below are between plain shuffles, which can be split.
     contested = cut_lineage(
@@ -189,49 +179,17 @@ def allocate_stock(need: DataFrame, skus: DataFrame, chunk: int = CHUNK, seen: l
         .select("product_size_id", "stock")
     )
     disputed = need.join(contested, "product_size_id")
-    ranked = number_rows(
-        disputed.groupBy("cart_id").agg(F.min("submitted_at").alias("submitted_at")),
-        [F.col("submitted_at").asc(), F.col("cart_id").asc()],
-        "rank",
-        0,
-    ).select("cart_id", "rank")
-    state, rows = cut_and_count(
-        disputed.join(ranked, "cart_id").select("cart_id", "rank", "product_size_id", "need", "stock")
-    )
-    lost, turn = scratch_path(spark, "lost"), 0
-    while rows:
-        if seen is not None:
-            seen.append(rows)
-        tested = sum_before(state, "product_size_id", "rank", {"before": F.col("need")}, chunk)
-        verdicts = cut_lineage(
-            tested.groupBy("cart_id")
-            .agg(
-                F.bool_or(F.col("need") > F.col("stock")).alias("fails"),
-                F.bool_and(F.col("before") + F.col("need") <= F.col("stock")).alias("fits"),
-            )
-            .where("fails OR fits")
-        )
-        verdicts.where("fails").select("cart_id").write.parquet(f"{lost}/turn={turn}")
-        turn += 1
-        told = state.join(verdicts, "cart_id", "left")
-        is_open = F.col("fails").isNull()
-        left = cut_lineage(
-            told.groupBy("product_size_id")
-            .agg(
-                (F.max("stock") - F.coalesce(F.sum(F.when(F.col("fits") & ~F.col("fails"), F.col("need"))), F.lit(0))).alias("stock"),
-                F.sum(F.when(is_open, F.col("need"))).alias("wanted"),
-            )
-            .where("wanted > stock")
-            .select("product_size_id", "stock")
-        )
-        state, rows = cut_and_count(told.where(is_open).drop("stock", "fails", "fits").join(left, "product_size_id"))
-    carts = need.select("cart_id").distinct()
-    if not turn:
-        return carts.withColumn("accepted", F.lit(True))
-    rejected = spark.read.schema(f"cart_id {dict(need.dtypes)['cart_id']}, turn INT").parquet(lost).select("cart_id")
-    return carts.join(rejected.withColumn("_lost", F.lit(True)), "cart_id", "left").select(
-        "cart_id", F.col("_lost").isNull().alias("accepted")
+    ranked = cut_lineage(
+        number_rows(
+            disputed.groupBy("cart_id").agg(F.min("submitted_at").alias("submitted_at")),
+            [F.col("submitted_at").asc(), F.col("cart_id").asc()],
+            "rank",
+            0,
+        ).select("cart_id", "rank")
     )
+    claims = disputed.join(ranked, "cart_id").select("rank", F.col("product_size_id").alias("resource"), "need", "stock")
+    rejected = ranked.join(first_come(claims, chunk, fold, seen), "rank").select("cart_id", F.lit(True).alias("_lost"))
+    return need.select("cart_id").distinct().join(rejected, "cart_id", "left").select("cart_id", F.col("_lost").isNull().alias("accepted"))
 
 
 def budget_verdicts(submissions: DataFrame, t, as_of: dt.date) -> DataFrame:

@@ -8,10 +8,11 @@ from types import SimpleNamespace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from garbline.functions.spread import join_reduced, join_spread_nulls, number_rows
+from garbline.functions.first_come import FOLD, first_come
+from garbline.functions.spread import join_reduced, number_rows
 from garbline.functions.text import is_digits
 from garbline.schemas import ROLE_PACKER
-from garbline.session import cut_and_count, cut_lineage, scratch_path
+from garbline.session import cut_lineage
 
 
 def next_id(df: DataFrame, key: str = "id") -> Column:
@@ -152,35 +153,21 @@ def with_bad_sizes(incoming: DataFrame) -> DataFrame:
     return incoming.withColumn("bad_size", bad)
 
 
-def accept_first(incoming: DataFrame, seq: str, keys: list[str], seen: list | None = None) -> DataFrame:
+def accept_first(incoming: DataFrame, seq: str, keys: list[str], seen: list | None = None, fold: int = FOLD) -> DataFrame:
     """Add ``accepted``: process rows by ``seq``, refusing one that shares any key with an accepted row.
 
-    Rounds over the open rows: a row that is earliest in all its key groups is accepted, and
-    whatever shares a key with it is refused; both leave. A row that shares no key with
-    another open one leaves in the next round. The earliest open row always qualifies,
-    so there are at most as many rounds as the longest chain of rows that wait for each
-    other. ``seen`` collects the open rows of each round.
+    Every value of a key is a resource of which there is one, and a row claims one of each of its keys, so
+    ``first_come`` matches rows to key values. NULL is no value. Only values that several rows share
+    are contested; a row without any is accepted.
     """
-    spark = incoming.sparkSession
-    open_rows, rows = cut_and_count(incoming.select(seq, *keys))
-    taken, turn = scratch_path(spark, "accepted"), 0
-    while rows:
-        if seen is not None:
-            seen.append(rows)
-        firsts = [open_rows.groupBy(k).agg(F.min(seq).alias(seq)).select(seq) for k in keys]
-        first_in_all = reduce(lambda a, b: a.join(b, seq, "left_semi"), firsts)
-        path = f"{taken}/turn={turn}"
-        open_rows.join(first_in_all, seq, "left_semi").write.parquet(path)
-        winners = spark.read.schema(open_rows.schema).parquet(path)
-        turn += 1
-        for key in keys:
-            open_rows = open_rows.join(winners.select(key), key, "left_anti")
-        open_rows, rows = cut_and_count(open_rows)
-    if not turn:
-        return incoming.withColumn("accepted", F.lit(True))
-    kind = dict(incoming.dtypes)[seq]
-    winners = spark.read.schema(f"`{seq}` {kind}, turn INT").parquet(taken).select(seq, F.lit(True).alias("accepted"))
-    return incoming.join(winners, seq, "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+    values = incoming.select(seq, F.explode(F.array(*[F.struct(F.lit(i).alias("key"), F.col(k).cast("string").alias("value")) for i, k in enumerate(keys)])).alias("resource"))
+    values = values.where("resource.value is not null").select(seq, "resource.key", "resource.value")
+    shared = cut_lineage(values.groupBy("key", "value").agg(F.count("*").alias("n")).where("n > 1").select("key", "value"))
+    claims = cut_lineage(values.join(shared, ["key", "value"]).select(seq, F.struct("key", "value").alias("resource")))
+    ranked = cut_lineage(number_rows(claims.select(seq).distinct(), [F.col(seq).asc()], "rank", 0).select(seq, "rank"))
+    lost = first_come(claims.join(ranked, seq).select("rank", "resource", F.lit(1).alias("need"), F.lit(1).alias("stock")), fold=fold, seen=seen)
+    refused = ranked.join(lost, "rank").select(seq, F.lit(True).alias("_lost"))
+    return incoming.join(refused, seq, "left").withColumn("accepted", F.col("_lost").isNull()).drop("_lost")
 
 
 def load_products(base: DataFrame, incoming: DataFrame) -> SimpleNamespace:
@@ -274,55 +261,6 @@ def guard_user_deletes(users: DataFrame, requests: DataFrame) -> tuple[DataFrame
     return doomed, requests.join(doomed, "user_id", "left_anti")
 
 
-def _without(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``column`` is not among the one-column ``keys``; NULLs stay."""
-    if dict(df.dtypes)[column] == "string":
-        return df.join(keys.toDF(column), column, "left_anti").select(*df.columns)
-    return join_spread_nulls(df, keys.toDF("_key"), column, "_key", how="left_anti")
-
-
-def delete_users(t, doomed: DataFrame) -> dict[str, DataFrame]:
-    """Tables left after deleting users (``user_id``) with their teams and orders.
-
-    The root keys feed every table's anti-join, so they are computed once.
-    """
-    ids = cut_lineage(doomed.select("user_id").distinct())
-    members = t.team_members.join(ids.toDF("supervisor_id"), "supervisor_id", "left_semi").select("id")
-    carts = t.order_carts.join(ids.toDF("supervisor_id"), "supervisor_id", "left_semi").select("id")
-    return {
-        "users": _without(t.users, "id", ids),
-        "team_members": _without(t.team_members, "supervisor_id", ids),
-        "worker_sizes": _without(t.worker_sizes, "team_member_id", members),
-        "user_uniforms": _without(t.user_uniforms, "team_member_id", members),
-        "order_items": _without(_without(t.order_items, "team_member_id", members), "cart_id", carts),
-        "order_carts": _without(t.order_carts, "supervisor_id", ids),
-    }
-
-
-def delete_products(t, doomed: DataFrame) -> dict[str, DataFrame]:
-    """Tables left after deleting products (``product_id``); issued garments stay."""
-    ids = cut_lineage(doomed.select("product_id").distinct())
-    skus = t.product_sizes.join(ids, "product_id", "left_semi").select("id")
-    return {
-        "products": _without(t.products, "id", ids),
-        "product_sizes": _without(t.product_sizes, "product_id", ids),
-        "product_job_roles": _without(t.product_job_roles, "product_id", ids),
-        "order_items": _without(t.order_items, "product_size_id", skus),
-    }
-
-
-def delete_posts(t, doomed: DataFrame) -> dict[str, DataFrame]:
-    """Tables left after deleting posts (``post_id``) with comments, likes and reads."""
-    ids = cut_lineage(doomed.select("post_id").distinct())
-    children = {name: _without(getattr(t, name), "post_id", ids) for name in ("news_comments", "news_likes", "news_reads")}
-    return {"news_posts": _without(t.news_posts, "id", ids), **children}
-
-
-def cascade_delete(t, kind: str, doomed: DataFrame) -> dict[str, DataFrame]:
-    """Delete roots of one kind and everything that hangs on them; affected tables as they remain."""
-    return {"users": delete_users, "products": delete_products, "posts": delete_posts}[kind](t, doomed)
-
-
 def unreferenced(dim: DataFrame, refs: list[tuple[DataFrame, str]]) -> DataFrame:
     """Dimension rows that no reference column points to, and so may be deleted."""
     for df, column in refs:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from garbline.operators import cart_jobs, status_jobs, table_jobs
+from garbline.operators import cart_jobs, cascade, status_jobs, table_jobs
 from garbline.plans.registry import AS_OF, SUPERVISOR, query
 from garbline.plans.views import add_view
 from garbline.sources.events import status_commands
@@ -850,7 +850,7 @@ def cascade_delete(t):
         "user_uniforms": ["product_size_id", "team_member_id"],
         "order_items": ["cart_id", "product_size_id", "team_member_id"],
     }
-    return _left(table_jobs.cascade_delete(t, "users", doomed), keys)
+    return _left(cascade.cascade_delete(t, "users", doomed)[0], keys)
 
 
 @query(
@@ -867,7 +867,7 @@ def cascade_delete(t):
 )
 def cascade_delete_posts(t):
     doomed = t.news_posts.where(F.col("pinned") == 0).select(F.col("id").alias("post_id"))
-    return _left(table_jobs.cascade_delete(t, "posts", doomed), {n: ["post_id", "user_id"] for n in ("news_likes", "news_reads")})
+    return _left(cascade.cascade_delete(t, "news_posts", doomed)[0], {n: ["post_id", "user_id"] for n in ("news_likes", "news_reads")})
 
 
 @query(
@@ -888,7 +888,44 @@ skus AS (SELECT id FROM product_sizes WHERE product_id IN (SELECT id FROM doomed
 def cascade_delete_products(t):
     doomed = t.products.where(F.col("type").isNull()).select(F.col("id").alias("product_id"))
     keys = {"product_job_roles": ["product_id", "job_role_id"], "order_items": ["cart_id", "product_size_id"]}
-    return _left(table_jobs.cascade_delete(t, "products", doomed), keys)
+    return _left(cascade.cascade_delete(t, "products", doomed)[0], keys)
+
+
+def _dimension_delete(t, table, rows):
+    """What is left of a dimension after a request for ``rows`` of it, and which were refused."""
+    left, refused = cascade.cascade_delete(t, table, rows)
+    kept = left[table].select("id", F.lit("left").alias("outcome"))
+    return kept.unionByName(refused.select(F.col("root_id").alias("id"), F.lit("refused").alias("outcome")))
+
+
+def _dimension_sql(table, rows, used):
+    return f"""
+WITH asked AS (SELECT id FROM {table} WHERE {rows}), used AS ({used})
+SELECT id, 'left' AS outcome FROM {table} WHERE id NOT IN (SELECT id FROM asked) OR id IN (SELECT id FROM used WHERE id IS NOT NULL)
+UNION ALL SELECT id, 'refused' FROM asked WHERE id IN (SELECT id FROM used WHERE id IS NOT NULL)"""
+
+
+@query(
+    "cascade_delete_facilities",
+    _dimension_sql("facilities", "id % 2 = 0", "SELECT facility_id AS id FROM users UNION SELECT facility_id FROM team_members"),
+)
+def cascade_delete_facilities(t):
+    return _dimension_delete(t, "facilities", t.facilities.where("id % 2 = 0").select("id"))
+
+
+@query(
+    "cascade_delete_roles",
+    _dimension_sql(
+        "job_roles", "true", "SELECT job_role_id AS id FROM users UNION SELECT job_role_id FROM team_members UNION SELECT job_role_id FROM product_job_roles"
+    ),
+)
+def cascade_delete_roles(t):
+    return _dimension_delete(t, "job_roles", t.job_roles.select("id"))
+
+
+@query("cascade_delete_sites", _dimension_sql("sites", "id <> 1", "SELECT site_id AS id FROM user_sites"))
+def cascade_delete_sites(t):
+    return _dimension_delete(t, "sites", t.sites.where("id <> 1").select("id"))
 
 
 @query(

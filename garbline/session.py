@@ -90,6 +90,11 @@ def scratch_mark() -> int:
     return len(_OWN)
 
 
+def scratch_since(mark: int) -> list[str]:
+    """The scratch paths made since ``mark``, the newest last."""
+    return _OWN[mark:]
+
+
 def discard_since(spark: SparkSession, mark: int, keep: int = 1) -> None:
     """Delete the scratch paths made since ``mark`` but for the ``keep`` newest.
 

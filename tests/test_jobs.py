@@ -1,10 +1,14 @@
 import datetime as dt
 import random
 from decimal import Decimal
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
+from garbline.functions.graph import components
 from garbline.operators import cart_jobs, status_jobs, table_jobs
+from garbline.operators.cascade import WORKWEAR, Plan, Reference, cascade_delete
 from tests.data import at, rows, table, tables
 
 D = Decimal
@@ -148,38 +152,111 @@ def test_allocation_equals_one_by_one(spark):
     schema = "cart_id BIGINT, submitted_at TIMESTAMP_NTZ, product_size_id BIGINT, quantity INT"
     df, skus = spark.createDataFrame(lines, schema), table(spark, "product_sizes", stocks)
     need = cart_jobs.cart_demand(df)
-    for chunk in (3, 100_000):
-        assert dict(rows(cart_jobs.allocate_stock(need, skus, chunk))) == want
-
-
-def test_chain_of_carts(spark):
-    """Each cart waits for the one before it, so a round decides two of them; what is windowed shrinks."""
-    links = 24
-    lines, stocks = [], [{"id": i, "stock": 1} for i in range(links + 1)]
-    for cart in range(links):
-        lines += [(cart, at("2024-05-15") + dt.timedelta(minutes=cart), sku, 1) for sku in (cart, cart + 1)]
-    # short chains leave within two rounds
-    for cart in range(100, 130):
-        stocks.append({"id": cart, "stock": 1})
-        lines += [(cart * 10 + k, at("2024-05-15") + dt.timedelta(minutes=k), cart, 1) for k in range(3)]
+    # walked as one, by sums and chains alone, and with components walked in part
+    for chunk, fold in ((100_000, 4096), (3, 0), (3, 12)):
+        assert dict(rows(cart_jobs.allocate_stock(need, skus, chunk, fold=fold))) == want
+
+
+def chain(spark, links):
+    """Carts in a row, each of which wants a unit of its own SKU and of the next, of which there is one."""
+    lines = [(cart, at("2024-05-15") + dt.timedelta(seconds=cart), sku, 1) for cart in range(links) for sku in (cart, cart + 1)]
     schema = "cart_id BIGINT, submitted_at TIMESTAMP_NTZ, product_size_id BIGINT, quantity INT"
     need = cart_jobs.cart_demand(spark.createDataFrame(lines, schema))
-    seen = []
-    got = dict(rows(cart_jobs.allocate_stock(need, table(spark, "product_sizes", stocks), seen=seen)))
-    assert [got[c] for c in range(links)] == [c % 2 == 0 for c in range(links)]
-    assert all(got[c * 10 + k] == (k == 0) for c in range(100, 130) for k in range(3))
-    assert seen == sorted(seen, reverse=True) and len(set(seen)) == len(seen) and seen[2] < 2 * links
-    assert len(seen) <= links
+    return need, table(spark, "product_sizes", [{"id": i, "stock": 1} for i in range(links + 1)])
 
 
-def test_accepted_rows_shrink_by_rounds(spark):
-    incoming = spark.createDataFrame(
-        [(i, f"n{i // 2}", f"a{(i + 1) // 2}") for i in range(30)] + [(100 + i, f"x{i}", f"y{i}") for i in range(40)], "seq BIGINT, name STRING, article STRING"
-    )
+def jobs_of(spark, run):
+    """What ``run`` returns, and the number of jobs it took."""
+    group = f"jobs-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    out = run()
+    count = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, count
+
+
+def test_jobs_do_not_grow_with_a_chain_of_carts(spark):
+    """The last fold of open rows is walked in one task, whatever waits for whatever."""
+    counts = {}
+    for links in (20, 1000):
+        need, skus = chain(spark, links)
+        got, counts[links] = jobs_of(spark, lambda: dict(rows(cart_jobs.allocate_stock(need, skus))))
+        assert got == {c: c % 2 == 0 for c in range(links)}
+    assert counts[1000] <= counts[20] + 2
+
+
+def test_chains_are_doubled(spark):
+    """Without walking, a chain takes two rounds of sums; its pointers are doubled between them."""
+    need, skus = chain(spark, 300)
     seen = []
-    got = dict(rows(table_jobs.accept_first(incoming, "seq", ["name", "article"], seen), "seq", "accepted"))
-    assert got == {i: i % 2 == 0 for i in range(30)} | {100 + i: True for i in range(40)}
-    assert seen == sorted(seen, reverse=True) and seen[1] < 30
+    got = dict(rows(cart_jobs.allocate_stock(need, skus, seen=seen, fold=0)))
+    assert got == {c: c % 2 == 0 for c in range(300)}
+    assert len(seen) <= 2
+
+
+def test_large_components_are_walked_in_parts(spark):
+    """Carts that each want three of few SKUs, so that neither sums nor chains decide much."""
+    rng = random.Random(8)
+    lines, stock, want = [], {s: 40 for s in range(6)}, {}
+    stocks = [{"id": s, "stock": v} for s, v in stock.items()]
+    for cart in range(200):
+        need = {s: rng.randint(1, 3) for s in rng.sample(range(6), 3)}
+        lines += [(cart, at("2024-05-15") + dt.timedelta(minutes=cart), s, q) for s, q in need.items()]
+        want[cart] = all(stock[s] >= q for s, q in need.items())
+        if want[cart]:
+            for s, q in need.items():
+                stock[s] -= q
+    schema = "cart_id BIGINT, submitted_at TIMESTAMP_NTZ, product_size_id BIGINT, quantity INT"
+    need, seen = cart_jobs.cart_demand(spark.createDataFrame(lines, schema)), []
+    got = dict(rows(cart_jobs.allocate_stock(need, table(spark, "product_sizes", stocks), seen=seen, fold=60)))
+    assert got == want
+    assert seen == sorted(seen, reverse=True) and len(seen) <= 1 + 600 // 57
+
+
+def test_accepted_rows_in_rounds(spark):
+    """Two keys: rows that share a name with the one before and an article with the one after."""
+    pairs = [(i, f"n{i // 2}", f"a{(i + 1) // 2}") for i in range(1000)] + [(2000 + i, f"x{i}", f"y{i}") for i in range(40)]
+    pairs += [(3000, None, "y1"), (3001, None, None), (3002, "y1", None)]
+    incoming = spark.createDataFrame(pairs, "seq BIGINT, name STRING, article STRING")
+    want = {i: i % 2 == 0 for i in range(1000)} | {2000 + i: True for i in range(40)} | {3000: False, 3001: True, 3002: True}
+    seen = []
+    got, jobs = jobs_of(spark, lambda: dict(rows(table_jobs.accept_first(incoming, "seq", ["name", "article"]), "seq", "accepted")))
+    short = incoming.where("seq < 20 or seq >= 2000")
+    _, few = jobs_of(spark, lambda: rows(table_jobs.accept_first(short, "seq", ["name", "article"]), "seq", "accepted"))
+    assert got == want and jobs <= few + 2
+    doubled = table_jobs.accept_first(incoming, "seq", ["name", "article"], seen, fold=0)
+    assert dict(rows(doubled, "seq", "accepted")) == want and len(seen) <= 2
+
+
+def test_accepted_rows_equal_one_by_one(spark):
+    rng = random.Random(11)
+    pairs = [(i, f"n{rng.randint(0, 60)}", f"a{rng.randint(0, 60)}") for i in rng.sample(range(5000), 400)]
+    names, articles, want = set(), set(), {}
+    for seq, name, article in sorted(pairs):
+        want[seq] = name not in names and article not in articles
+        if want[seq]:
+            names.add(name)
+            articles.add(article)
+    incoming = spark.createDataFrame(pairs, "seq BIGINT, name STRING, article STRING")
+    for fold in (4096, 50):
+        assert dict(rows(table_jobs.accept_first(incoming, "seq", ["name", "article"], fold=fold), "seq", "accepted")) == want
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(200)] + [(500, 500 + i) for i in range(300)] + [(rng.randint(1000, 1400), rng.randint(1000, 1400)) for _ in range(250)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = dict(rows(components(spark.createDataFrame(edges, "a BIGINT, b BIGINT"))))
+    assert got == {x: find(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
 
 
 def walk(base, commands):
@@ -366,14 +443,43 @@ def test_cascade(spark):
                      {"cart_id": 2, "product_size_id": 1}],
         user_uniforms=[{"team_member_id": 10, "product_size_id": 1}, {"team_member_id": None, "product_size_id": 1}],
     )
-    left = table_jobs.cascade_delete(t, "users", spark.createDataFrame([(1,)], "user_id BIGINT"))
+    left, _ = cascade_delete(t, "users", spark.createDataFrame([(1,), (None,), (77,)], "user_id BIGINT"))
     assert {n: df.count() for n, df in left.items()} == {
         "users": 2, "team_members": 1, "worker_sizes": 1, "user_uniforms": 1, "order_items": 1, "order_carts": 1}
-    left = table_jobs.cascade_delete(t, "products", spark.createDataFrame([("p",)], "product_id STRING"))
+    left, _ = cascade_delete(t, "products", spark.createDataFrame([("p",)], "product_id STRING"))
     assert {n: df.count() for n, df in left.items()} == {
         "products": 1, "product_sizes": 1, "product_job_roles": 0, "order_items": 1}
 
 
+def test_refused_roots_hold_back_only_themselves(spark):
+    """A root goes unless a row that it does not take along refers to something it would take."""
+    plan = Plan(
+        (Reference("b", "a_id", "a"), Reference("c", "b_id", "b"), Reference("c", "a_id", "a"), Reference("d", "c_id", "c", refuse=True), Reference("c", "keeper", "b", refuse=True)),
+        {"d": None},
+    )
+    t = SimpleNamespace(
+        a=spark.createDataFrame([(i,) for i in range(1, 6)], "id BIGINT"),
+        b=spark.createDataFrame([(10, 1), (20, 2), (30, 3), (31, 3), (40, None)], "id BIGINT, a_id BIGINT"),
+        c=spark.createDataFrame([(100, 10, None, 10), (200, 20, None, None), (300, 30, None, None), (301, None, 3, 30), (400, None, 4, 20), (500, 40, 5, None)], "id BIGINT, b_id BIGINT, a_id BIGINT, keeper BIGINT"),
+        d=spark.createDataFrame([(300,), (None,)], "c_id BIGINT"),
+    )
+    left, refused = cascade_delete(t, "a", spark.createDataFrame([(i,) for i in range(1, 6)], "id BIGINT"), plan)
+    # 2: row 400 keeps b 20 and hangs on another root; 3: d refers to c 300; 1's keeper goes along
+    assert rows(refused) == [(2,), (3,)]
+    assert {n: sorted(r[0] for r in rows(df, "id")) for n, df in left.items()} == {"a": [2, 3], "b": [20, 30, 31, 40], "c": [200, 300, 301]}
+
+
+def test_reference_circles_are_refused():
+    circle = Plan((Reference("b", "a_id", "a"), Reference("a", "b_id", "b")), {})
+    with pytest.raises(ValueError, match="circle"):
+        circle.order("a")
+    with pytest.raises(ValueError, match="no key"):
+        Plan((Reference("b", "a_id", "a"), Reference("c", "b_id", "b")), {"b": None}).order("a")
+    order = WORKWEAR.order("users")
+    assert order[0] == "users" and all(order.index(r.parent) < order.index(r.child) for r in WORKWEAR.references if not r.refuse and r.parent in order)
+    assert WORKWEAR.order("facilities") == ["facilities"]
+
+
 def test_updates(spark):
     base = table(spark, "products", [{"id": "a", "name": "A", "price": D("1.00")}, {"id": "b", "name": "B", "price": D("2.00")}])
     changes = spark.createDataFrame([("a", " ", None), ("b", " C ", None)], "id STRING, name STRING, price DECIMAL(12,2)")
