@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 from garbline.plans.registry import query
 from garbline.sources import events as ev
 from garbline.streaming import jobs
-from garbline.streaming.sinks import append_to_table, batches_to_table, changes_to_table, latest_rows
+from garbline.streaming.sinks import absent_to_table, append_to_table, batches_to_table, changes_to_table, latest_rows
 
 WATERMARK = "2 days"
-# A backlog is worked off in steps of so many files.
-FILES_PER_BATCH = 64
+# The given events arrive as so many files, one after the other, and a batch takes one.
+ARRIVALS = 3
 
 
 def _events(t, watermark=None):
-    return ev.read_events(t.spark, t.path, watermark, FILES_PER_BATCH)
+    return ev.read_events(t.spark, ev.staged_arrivals(t.events, ARRIVALS), watermark, 1)
 
 
 def _stream(t):
@@ -52,8 +52,7 @@ FROM (SELECT order_id, max((ts, event_id)) FILTER (command <> 'cancelled') AS la
       FROM commands GROUP BY order_id)""",
 )
 def stream_status(t):
-    changes = changes_to_table(jobs.status_stream(ev.status_commands(_events(t))))
-    return latest_rows(changes, ["order_id"])
+    return jobs.current_status(changes_to_table(jobs.status_stream(ev.status_commands(_stream(t)))))
 
 
 @query(
@@ -107,10 +106,8 @@ def stream_engagement(t):
     "SELECT DISTINCT (user_id * 13 + event_id % 3) % (SELECT count(*) FROM documents) AS post_id, user_id FROM events WHERE event_type = 'view'",
 )
 def stream_read_marks(t):
-    reads = ev.engagement_events(_stream(t), t.n_posts).where(F.col("kind") == "read")
-    marks = append_to_table(jobs.read_mark_stream(reads))
-    # Marks further apart than the watermark may come twice; the table holds each once.
-    return marks.select("post_id", "user_id").distinct()
+    reads = ev.engagement_events(_events(t), t.n_posts).where(F.col("kind") == "read")
+    return absent_to_table(reads, jobs.read_marks_table(t.spark))
 
 
 @query(
@@ -126,9 +123,8 @@ WHERE c.command IN ('packed', 'completed')""",
 )
 def outbox(t):
     commands = ev.status_commands(_events(t))
-    return batches_to_table(
-        commands, lambda batch: jobs.outbox(batch, t.order_carts, t.users), jobs.OUTBOX_SCHEMA
-    )
+    carts, users = jobs.outbox_sides(t.order_carts, t.users)
+    return batches_to_table(commands, lambda batch: jobs.outbox(batch, carts, users), jobs.OUTBOX_SCHEMA)
 
 
 @query(

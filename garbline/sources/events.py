@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from garbline.schemas import EVENTS_DDL, MONEY
-from garbline.session import configure
+from garbline.session import configure, scratch_path
 
 # Which event stands for which status command, movement and engagement.
 COMMAND_OF_EVENT = {
@@ -41,6 +41,25 @@ def read_events(
     return events if watermark is None else events.withWatermark("ts", watermark)
 
 
+def staged_arrivals(events: DataFrame, files: int) -> str:
+    """Write ``events`` as so many files in order of time, one after the other; returns their folder.
+
+    A table that lies there whole becomes what a stream meets: files that arrive in turn.
+    """
+    spark = events.sparkSession
+    path = scratch_path(spark, "arrivals")
+    moment = F.col("ts").cast("timestamp").cast("double")
+    cuts = events.select(moment.alias("at")).approxQuantile("at", [i / files for i in range(1, files)], 0.05)
+    for i in range(files):
+        kept = F.lit(True)
+        if i:
+            kept = kept & (moment >= cuts[i - 1])
+        if i < len(cuts):
+            kept = kept & (moment < cuts[i])
+        events.where(kept if i else kept | F.col("ts").isNull()).coalesce(1).write.parquet(f"{path}/events{i}.parquet")
+    return path
+
+
 def command() -> Column:
     """The status command an event stands for."""
     return _mapped(COMMAND_OF_EVENT)

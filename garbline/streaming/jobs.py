@@ -6,16 +6,29 @@ state as one row per task and batch.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from garbline.operators.status_jobs import final_status, status_aggregates
+from garbline.streaming.keyed import KeyedTable, keyed_copy
 
 
-def status_stream(commands: DataFrame) -> DataFrame:
-    """Current status per order from status commands (update mode)."""
-    folded = commands.groupBy("order_id").agg(*status_aggregates())
-    return folded.select("order_id", final_status().alias("status"))
+def status_stream(commands: DataFrame, period: str = "7 days") -> DataFrame:
+    """What the commands of each period say about an order (update mode); see ``current_status``.
+
+    The latest commands of a period are all that later ones need, so an order's state leaves when the
+    watermark passes the period's end, and what it said stays in the table. State is bounded by
+    the orders that have commands within a period and the watermark's delay, however long the stream runs.
+    """
+    folded = commands.groupBy(F.window("ts", period).alias("w"), "order_id").agg(*status_aggregates())
+    return folded.select("order_id", F.col("w.start").alias("period"), "last_set", "last_cancel")
+
+
+def current_status(said: DataFrame) -> DataFrame:
+    """Status per order from the periods or the change log of ``status_stream``: later entries only add."""
+    latest = said.groupBy("order_id").agg(F.max("last_set").alias("last_set"), F.max("last_cancel").alias("last_cancel"))
+    return latest.select("order_id", final_status().alias("status"))
 
 
 def stock_stream(movements: DataFrame) -> DataFrame:
@@ -50,17 +63,10 @@ def engagement_stream(marks: DataFrame, length: str = "6 hours", slide: str = "1
     )
 
 
-def read_mark_stream(reads: DataFrame) -> DataFrame:
-    """Read marks once per (post, user) within the watermark.
-
-    A first pass per place spreads the copies of a hot mark; the second sees at most one
-    copy per place. There are as many places as shuffle partitions.
-    """
-    places = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = reads.withColumn("_place", F.pmod(F.xxhash64("event_id"), F.lit(places)))
-    keys = ["post_id", "user_id"]
-    thinned = dealt.dropDuplicatesWithinWatermark([*keys, "_place"])
-    return thinned.dropDuplicatesWithinWatermark(keys).drop("_place")
+def read_marks_table(spark: SparkSession, root: str | None = None) -> KeyedTable:
+    """Read marks, one per post and user."""
+    schema = StructType().add("post_id", "long").add("user_id", "long")
+    return KeyedTable(spark, ["post_id", "user_id"], schema, root)
 
 
 OUTBOX_SCHEMA = "event_id BIGINT, order_id BIGINT, kind STRING, audience STRING, recipient_id BIGINT, recipient STRING"
@@ -73,21 +79,28 @@ def audience_members(users: DataFrame, role: str = "packer") -> DataFrame:
     )
 
 
-def outbox(commands: DataFrame, carts: DataFrame, users: DataFrame) -> DataFrame:
+def outbox_sides(carts: DataFrame, users: DataFrame) -> tuple[KeyedTable, KeyedTable]:
+    """Carts and users as the outbox looks them up, written once."""
+    owners = carts.select(F.col("id").alias("order_id"), F.col("supervisor_id").alias("recipient_id"))
+    contacts = users.select(F.col("id").alias("recipient_id"), F.col("email").alias("recipient"))
+    return keyed_copy(owners, ["order_id"]), keyed_copy(contacts, ["recipient_id"])
+
+
+def outbox(commands: DataFrame, carts: KeyedTable, users: KeyedTable) -> DataFrame:
     """Notices due for a batch of status commands: the packers on submit, the owner on pack and complete.
 
     A submitted order is one notice to the audience ``packer``, whose members are
-    ``audience_members``, so the outbox grows with the orders alone.
+    ``audience_members``, so the outbox grows with the orders alone. ``carts`` (order_id, recipient_id)
+    and ``users`` (recipient_id, recipient) are read in the buckets that the batch's orders, and
+    then their owners, fall into.
     """
     nobody = [F.lit(None).cast("bigint").alias("recipient_id"), F.lit(None).cast("string").alias("recipient")]
     to_packers = commands.where(F.col("command") == "submitted").select(
         "event_id", "order_id", F.lit("new order").alias("kind"), F.lit("packer").alias("audience"), *nobody
     )
-    # Commands meet the carts first, so only their orders reach the users.
-    owned = commands.where(F.col("command").isin("packed", "completed")).join(
-        carts.select(F.col("id").alias("order_id"), F.col("supervisor_id").alias("recipient_id")), "order_id"
-    )
-    contacts = users.select(F.col("id").alias("recipient_id"), F.col("email").alias("recipient"))
+    due = commands.where(F.col("command").isin("packed", "completed"))
+    owned = due.join(carts.near(due), "order_id")
+    contacts = users.near(owned)
     to_owners = owned.join(contacts, "recipient_id").select(
         "event_id", "order_id", F.col("command").alias("kind"), F.lit(None).cast("string").alias("audience"),
         "recipient_id", "recipient",

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from garbline.session import scratch_path
+from garbline.streaming.keyed import KeyedTable
 
 
 def append_to_table(stream: DataFrame, root: str | None = None) -> DataFrame:
@@ -30,8 +31,11 @@ def append_to_table(stream: DataFrame, root: str | None = None) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")
 
 
-def changes_to_table(stream: DataFrame, root: str | None = None) -> DataFrame:
-    """Update-mode job into a change log with the column ``batch``; returns the log."""
+def changes_to_table(stream: DataFrame, root: str | None = None, progress: list | None = None) -> DataFrame:
+    """Update-mode job into a change log with the column ``batch``; returns the log.
+
+    ``progress`` collects Spark's report on each batch.
+    """
     spark = stream.sparkSession
     root = root or scratch_path(spark, "stream")
 
@@ -46,6 +50,8 @@ def changes_to_table(stream: DataFrame, root: str | None = None) -> DataFrame:
         .start()
     )
     job.awaitTermination()
+    if progress is not None:
+        progress += job.recentProgress
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
     return spark.read.schema(f"{fields}, batch BIGINT").parquet(f"{root}/changes")
 
@@ -60,8 +66,10 @@ def batches_to_table(
     def write(rows: DataFrame, batch: int) -> None:
         # a transform may read its batch several times
         held = rows.persist()
-        transform(held).write.mode("overwrite").parquet(f"{root}/rows/batch={batch}")
-        held.unpersist()
+        try:
+            transform(held).write.mode("overwrite").parquet(f"{root}/rows/batch={batch}")
+        finally:
+            held.unpersist()
 
     job = (
         stream.writeStream.foreachBatch(write)
@@ -73,6 +81,23 @@ def batches_to_table(
     return spark.read.schema(f"{schema}, batch BIGINT").parquet(f"{root}/rows").drop("batch")
 
 
+def absent_to_table(stream: DataFrame, table: KeyedTable, root: str | None = None) -> DataFrame:
+    """Insert rows whose keys ``table`` does not have, batch by batch; returns the table's rows.
+
+    The table itself is the memory: no state is kept in the stream, so rows that repeat are
+    found at any distance in time, and a batch that is run again writes the same rows.
+    """
+    root = root or scratch_path(stream.sparkSession, "stream")
+    job = (
+        stream.writeStream.foreachBatch(table.insert_absent)
+        .option("checkpointLocation", f"{root}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    job.awaitTermination()
+    return table.read()
+
+
 def latest_rows(changes: DataFrame, keys: list[str]) -> DataFrame:
     """The current row of each key of a change log."""
     values = [c for c in changes.columns if c not in (*keys, "batch")]
