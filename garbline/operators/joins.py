@@ -273,6 +273,54 @@ def effective_team(
     )
 
 
+SPAN_DAYS = 32
+
+
+def interval_join(facts: DataFrame, spans: DataFrame, key: str, day: str, start: str, end: str, width: int = SPAN_DAYS) -> DataFrame:
+    """Facts with every span of the same ``key`` whose [``start``, ``end``] contains the fact's ``day``.
+
+    Days fall into buckets of ``width`` days. A span stands in every bucket it touches, a fact in one, so they
+    meet by an equi-join on key and bucket, which splits a hot key by time, and the bounds are
+    tested where they meet. Spans are cut to the days that facts have, so open-ended ones stay short.
+    NULL keys, days and bounds match nothing. Other columns of either side are kept.
+    """
+    bucket = lambda c: F.floor(F.unix_date(F.col(c).cast("date")) / width)
+    known = facts.agg(F.min(F.col(day).cast("date")).alias("low"), F.max(F.col(day).cast("date")).alias("high"))
+    low, high = known.select("low").scalar(), known.select("high").scalar()
+    touched = spans.where((F.col(end) >= low) & (F.col(start) <= high) & (F.col(start) <= F.col(end)))
+    first, last = F.greatest(F.col(start).cast("date"), low), F.least(F.col(end).cast("date"), high)
+    buckets = F.sequence(F.floor(F.unix_date(first) / width), F.floor(F.unix_date(last) / width))
+    dealt = touched.withColumn("_bucket", F.explode(buckets))
+    met = facts.withColumn("_bucket", bucket(day)).join(dealt, [key, "_bucket"])
+    return met.where(F.col(day).cast("date").between(F.col(start), F.col(end))).drop("_bucket")
+
+
+def merged_spans(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """Spans of equal ``keys`` that overlap or follow each other become one; inverted ones and NULL bounds go."""
+    by = Window.partitionBy(*keys).orderBy(start, end)
+    reach = F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(reach.isNull() | (F.col(start) > F.date_add(reach, 1)), 1).otherwise(0)
+    islands = spans.where(F.col(start) <= F.col(end)).withColumn("_new", new)
+    numbered = islands.withColumn("_island", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return numbered.groupBy(*keys, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+
+
+def orders_by_authority(carts: DataFrame, delegations: DataFrame, width: int = SPAN_DAYS) -> DataFrame:
+    """(order_id, owner_id, day, actor_id, reason): who could act for the owner on the day of each order.
+
+    The owner, and whoever held a delegation of the owner's that day, once each. Admins may act for anybody
+    on any day and are not listed. Orders without an owner or a date have no row but their owner's.
+    """
+    orders = carts.select(F.col("id").alias("order_id"), F.col("supervisor_id").alias("owner_id"), F.col("created_at").cast("date").alias("day"))
+    given = delegations.where(F.col("from_supervisor_id") != F.col("to_supervisor_id")).select(
+        F.col("from_supervisor_id").alias("owner_id"), F.col("to_supervisor_id").alias("actor_id"), "start_date", "end_date"
+    )
+    held = merged_spans(given, ["owner_id", "actor_id"], "start_date", "end_date")
+    delegates = interval_join(orders, held, "owner_id", "day", "start_date", "end_date", width)
+    own = orders.where(F.col("owner_id").isNotNull()).withColumn("actor_id", F.col("owner_id")).withColumn("reason", F.lit("self"))
+    return own.unionByName(delegates.withColumn("reason", F.lit("delegate")).drop("start_date", "end_date"))
+
+
 def authority_pairs(users: DataFrame, delegations: DataFrame, as_of: dt.date) -> DataFrame:
     """Who may act for which supervisor. An admin may act for all: one row with NULL for the supervisor."""
     own = users.where(F.col("system_role") == "supervisor").select(

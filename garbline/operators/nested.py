@@ -7,29 +7,37 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from garbline.functions.spread import number_rows
+from garbline.functions.spread import place_in_group
 from garbline.operators.joins import delegations_in
-from garbline.session import cut_lineage
 
 PAGE_ITEMS = 1000
 
 
 def nest(
-    children: DataFrame, key: str, fields: list[str], name: str, page_items: int = PAGE_ITEMS
+    children: DataFrame,
+    key: str,
+    fields: list[str],
+    name: str,
+    page_items: int = PAGE_ITEMS,
+    parents: DataFrame | None = None,
+    late: tuple[str, ...] = (),
 ) -> DataFrame:
     """(key, page, name): children as arrays of structs, in the order of ``fields``, in pages by position.
 
     Page ``p`` holds the children at positions ``p * page_items`` and on, so the pages of a key, one
-    after the other, are its sorted children, and no row has to hold a hot group. The
-    positions come from one global order, in which the children of a key are neighbours.
+    after the other, are its sorted children, and no row has to hold a hot group. Only
+    children of ``parents`` (one column of keys) are numbered, if it is given. ``late`` names columns of long
+    values, which do not take part in the order: they are joined by ``id`` to the numbered rows,
+    become the last fields, and are moved once.
     """
-    order = [F.col(c).asc() for c in (key, *fields)]
-    numbered = cut_lineage(number_rows(children.select(key, *fields), order, "_n", 0), "numbered")
-    starts = cut_lineage(numbered.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("_n").alias("_first")), "starts")
-    page = F.floor((F.col("_n") - F.col("_first")) / page_items).cast("int")
-    placed = numbered.join(starts, key).withColumn("page", page)
-    items = F.sort_array(F.collect_list(F.struct("_n", F.struct(*fields).alias("item"))))
-    return placed.groupBy(key, "page").agg(F.transform(items, lambda x: x["item"]).alias(name))
+    if parents is not None:
+        children = children.join(parents.toDF(key).distinct(), key, "left_semi")
+    placed = place_in_group(children.select(key, *fields), key, fields, "_n")
+    if late:
+        placed = placed.join(children.select("id", *late), "id")
+    paged = placed.withColumn("page", F.floor(F.col("_n") / page_items).cast("int"))
+    items = F.sort_array(F.collect_list(F.struct("_n", F.struct(*fields, *late).alias("item"))))
+    return paged.groupBy(key, "page").agg(F.transform(items, lambda x: x["item"]).alias(name))
 
 
 def attach(parents: DataFrame, nested: DataFrame, parent_key: str, key: str, name: str) -> DataFrame:
@@ -41,26 +49,26 @@ def attach(parents: DataFrame, nested: DataFrame, parent_key: str, key: str, nam
     ).drop("_key")
 
 
-def size_pages(skus: DataFrame, page_items: int = PAGE_ITEMS) -> DataFrame:
-    """(product_id, page, sizes)."""
-    return nest(skus, "product_id", ["id", "size", "stock"], "sizes", page_items)
+def size_pages(skus: DataFrame, page_items: int = PAGE_ITEMS, products: DataFrame | None = None) -> DataFrame:
+    """(product_id, page, sizes) of all products or of those in the column ``products``."""
+    return nest(skus, "product_id", ["id", "size", "stock"], "sizes", page_items, products)
 
 
-def role_pages(links: DataFrame, page_items: int = PAGE_ITEMS) -> DataFrame:
-    """(product_id, page, role_ids)."""
-    return nest(links, "product_id", ["job_role_id"], "role_ids", page_items).withColumn(
+def role_pages(links: DataFrame, page_items: int = PAGE_ITEMS, products: DataFrame | None = None) -> DataFrame:
+    """(product_id, page, role_ids) of all products or of those in the column ``products``."""
+    return nest(links, "product_id", ["job_role_id"], "role_ids", page_items, products).withColumn(
         "role_ids", F.transform("role_ids", lambda r: r["job_role_id"])
     )
 
 
 def products_with_sizes(products: DataFrame, skus: DataFrame, page_items: int = PAGE_ITEMS) -> DataFrame:
     """Products with the array ``sizes`` of (id, size, stock)."""
-    return attach(products, size_pages(skus, page_items), "id", "product_id", "sizes")
+    return attach(products, size_pages(skus, page_items, products.select("id")), "id", "product_id", "sizes")
 
 
 def products_with_roles(products: DataFrame, links: DataFrame, page_items: int = PAGE_ITEMS) -> DataFrame:
     """Products with the array ``role_ids``."""
-    return attach(products, role_pages(links, page_items), "id", "product_id", "role_ids")
+    return attach(products, role_pages(links, page_items, products.select("id")), "id", "product_id", "role_ids")
 
 
 def size_map(sizes: DataFrame) -> DataFrame:
@@ -80,7 +88,7 @@ def group_rows(df: DataFrame, by: str, name: str = "rows", page_items: int = PAG
 def delegations_with_members(t, as_of: dt.date, me: int | None = None, page_items: int = PAGE_ITEMS) -> DataFrame:
     """Incoming delegations of the day with the array ``members`` of (full_name, employee_number), newest start first."""
     incoming = delegations_in(t.supervisor_delegations, t.users, as_of, me)
-    members = nest(t.team_members, "supervisor_id", ["full_name", "employee_number"], "members", page_items)
+    members = nest(t.team_members, "supervisor_id", ["full_name", "employee_number"], "members", page_items, incoming.select("owner_id"))
     return attach(incoming, members, "owner_id", "supervisor_id", "members").orderBy(F.col("start_date").desc(), "id", "page")
 
 

@@ -166,6 +166,21 @@ def effective_team(t):
     return joins.effective_team(t.team_members, t.supervisor_delegations, AS_OF)
 
 
+@query(
+    "orders_by_authority",
+    """
+SELECT id AS order_id, supervisor_id AS owner_id, CAST(created_at AS DATE) AS day, supervisor_id AS actor_id, 'self' AS reason
+FROM order_carts WHERE supervisor_id IS NOT NULL
+UNION ALL
+SELECT DISTINCT oc.id, oc.supervisor_id, CAST(oc.created_at AS DATE), sd.to_supervisor_id, 'delegate'
+FROM order_carts oc JOIN supervisor_delegations sd ON sd.from_supervisor_id = oc.supervisor_id
+  AND CAST(oc.created_at AS DATE) BETWEEN sd.start_date AND sd.end_date
+WHERE sd.from_supervisor_id <> sd.to_supervisor_id""",
+)
+def orders_by_authority(t):
+    return joins.orders_by_authority(t.order_carts, t.supervisor_delegations)
+
+
 # Each line carries the list of its garments' states, which is then unfolded.
 @query(
     "worker_history",

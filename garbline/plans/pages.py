@@ -73,9 +73,9 @@ def catalogue_nested(t, role: str, page_items: int = PAGE_ITEMS, **filters) -> D
 
     Page ``p`` of a product holds page ``p`` of either array; where one has fewer pages it is empty.
     """
-    sizes, roles = size_pages(t.product_sizes, page_items), role_pages(t.product_job_roles, page_items)
-    both = sizes.join(roles, ["product_id", "page"], "full_outer")
     shown = catalogue_products(t, role, **filters)
+    sizes, roles = size_pages(t.product_sizes, page_items, shown.select("id")), role_pages(t.product_job_roles, page_items, shown.select("id"))
+    both = sizes.join(roles, ["product_id", "page"], "full_outer")
     rows = shown.join(both.withColumnRenamed("product_id", "_key"), shown["id"] == F.col("_key"), "left").drop("_key")
     empty = {name: F.coalesce(name, F.array().cast(both.schema[name].dataType)) for name in ("sizes", "role_ids")}
     return rows.withColumns(empty | {"page": F.coalesce("page", F.lit(0))}).orderBy("article_number", "id", "page")
@@ -112,8 +112,10 @@ def news_feed(t, viewer: int, role: str) -> DataFrame:
 
 def news_feed_nested(t, viewer: int, role: str, page_items: int = PAGE_ITEMS) -> DataFrame:
     """The news feed with the array ``comments`` (oldest first), in pages by position."""
+    marked = _marked_posts(t, viewer, role)
     said = post_comments(t.news_comments, t.users)
-    comments = nest(said, "post_id", ["created_at", "id", "user_id", "full_name", "comment"], "comments", page_items)
-    paged = attach(_marked_posts(t, viewer, role), comments, "id", "post_id", "comments")
+    fields = ["created_at", "id", "user_id", "full_name"]
+    comments = nest(said, "post_id", fields, "comments", page_items, audience(t.news_posts, role).select("id"), late=("comment",))
+    paged = attach(marked, comments, "id", "post_id", "comments")
     rows = _with_text(t, paged).select(*FEED, "page", "comments")
     return rows.orderBy(*[F.col(c).desc() for c in FEED_ORDER], "page")

@@ -1,11 +1,12 @@
 import datetime as dt
+import random
 from decimal import Decimal
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from garbline.functions.spread import join_reduced, join_spread_nulls, number_rows, sum_before
+from garbline.functions.spread import join_reduced, join_spread_nulls, number_rows, place_in_group, sum_before
 from garbline.operators import joins, nested, reports
 from garbline.plans import pages
 from tests.data import at, rows, table, tables
@@ -180,6 +181,58 @@ def test_nest_pages_by_position(spark):
     assert [e["v"] for r in paged[1:] for e in r["vs"]] == list(range(250))
 
 
+def test_positions_by_cells_equal_a_sort(spark):
+    """A hot key, equal values, NULLs and texts: positions as a window over the whole group would give them."""
+    rng = random.Random(4)
+    data = [("hot" if i % 3 else f"k{rng.randint(0, 40)}", rng.choice([None, 1, 1, 2, rng.randint(0, 10**6)]), f"t{rng.randint(0, 50)}", i) for i in range(6000)]
+    df = spark.createDataFrame(data + [(None, 1, "x", -1)], "k STRING, a BIGINT, b STRING, id BIGINT")
+    got = {(r["k"], r["id"]): r["n"] for r in place_in_group(df, "k", ["a", "b", "id"], "n", cuts=8, sample=200).collect()}
+    want = {}
+    for key in {r[0] for r in data}:
+        group = sorted((r for r in data if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+        want |= {(key, r[3]): n for n, r in enumerate(group)}
+    assert got == want
+    assert place_in_group(df.limit(0), "k", ["a"], "n").count() == 0
+
+
+def test_paging_writes_nothing_and_sorts_no_whole_table(spark, monkeypatch):
+    children = spark.range(5000).select((F.col("id") % 7).alias("k"), F.col("id").alias("v"), F.lit("long text").alias("text"), F.col("id"))
+    written = []
+    monkeypatch.setattr("garbline.functions.spread.cut_lineage", lambda df, *a: written.append(df) or df)
+    wanted = spark.createDataFrame([(1,), (2,), (9,)], "k BIGINT")
+    paged = nested.nest(children, "k", ["v", "id"], "vs", 100, wanted, late=("text",))
+    plan = paged._jdf.queryExecution().executedPlan().toString()
+    assert not written and "rangepartitioning" not in plan
+    pages_of = {(r["k"], r["page"]): [(x["v"], x["text"]) for x in r["vs"]] for r in paged.collect()}
+    assert {k for k, _ in pages_of} == {1, 2}
+    assert [x for p in range(8) for x in pages_of[1, p]] == [(v, "long text") for v in range(1, 5000, 7)]
+
+
+def test_intervals_by_bucket_equal_every_pair(spark):
+    rng = random.Random(6)
+    day = lambda: dt.date(2024, 1, 1) + dt.timedelta(days=rng.randint(0, 400))
+    facts = [(i, rng.choice([1, 1, 2, None]), rng.choice([None, *[day()] * 9])) for i in range(300)]
+    spans = [(rng.choice([1, 1, 2, None]), rng.choice([None, *[day()] * 9]), rng.choice([None, dt.date(9999, 12, 31), *[day()] * 9]), i) for i in range(80)]
+    a = spark.createDataFrame(facts, "id BIGINT, k BIGINT, day DATE")
+    b = spark.createDataFrame(spans, "k BIGINT, start DATE, end DATE, span BIGINT")
+    want = sorted(((i, s) for i, k, d in facts for k2, x, y, s in spans if None not in (k, d, x, y) and k == k2 and x <= d <= y), key=repr)
+    for width in (1, 32, 5000):
+        assert rows(joins.interval_join(a, b, "k", "day", "start", "end", width), "id", "span") == want
+    assert rows(joins.interval_join(a.limit(0), b, "k", "day", "start", "end")) == []
+
+
+def test_authority_on_the_day_of_the_order(spark):
+    d = lambda text: dt.date.fromisoformat(text)
+    carts = table(spark, "order_carts", [{"id": 1, "supervisor_id": 7, "created_at": at("2024-03-10 23:59")}, {"id": 2, "supervisor_id": 7, "created_at": at("2024-03-11")},
+                                         {"id": 3, "supervisor_id": 7}, {"id": 4, "created_at": at("2024-03-10")}])
+    given = [(7, 8, "2024-03-01", "2024-03-05"), (7, 8, "2024-03-04", "2024-03-10"), (7, 8, "2024-03-10", "2024-03-10"), (7, 9, "2024-03-11", "2024-03-11"),
+             (7, 7, "2024-01-01", "2024-12-31"), (7, 5, "2024-12-31", "2024-01-01"), (9, 7, "2024-01-01", "2024-12-31")]
+    delegations = table(spark, "supervisor_delegations", [
+        {"id": i, "from_supervisor_id": f, "to_supervisor_id": to, "start_date": d(a), "end_date": d(b)} for i, (f, to, a, b) in enumerate(given)])
+    got = rows(joins.orders_by_authority(carts, delegations), "order_id", "actor_id", "reason")
+    assert got == [(1, 7, "self"), (1, 8, "delegate"), (2, 7, "self"), (2, 9, "delegate"), (3, 7, "self")]
+
+
 def test_nested_results_are_ordered(spark):
     t = tables(
         spark,
