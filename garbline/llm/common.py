@@ -32,7 +32,15 @@ def held_out(doc_id: Column | str) -> Column:
 
 def row_key(*columns: str) -> Column:
     """A name of a row by some of its columns; rows equal in them share it."""
-    return F.xxhash64(*columns)
+    return F.xxhash64(*[F.col(f"`{c}`") for c in columns])
+
+
+def absent_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -70,7 +78,7 @@ def segment_sums(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     return sums
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each piece holds about ``limit`` bytes of text, one row at least.
 
     Pieces are copies of their own: Arrow's text functions misread arrays that begin inside a buffer.
@@ -155,7 +163,7 @@ def in_bitmap(bitmap: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     return (bitmap[(place >> U64(6)).astype(np.int64)] >> (place & U64(63))) & U64(1) == 1
 
 
-def score_texts(df: DataFrame, text: str, added: str, score, limit: int = 4 << 20) -> DataFrame:
+def score_texts(df: DataFrame, text: str, added: str, score, limit: int = 1 << 20) -> DataFrame:
     """``df`` with the columns of the DDL ``added``, which replace columns of the same names.
 
     ``score`` gets the column ``text`` of a slice of rows as an Arrow array and returns one

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from garbline.llm.common import U64, Words, in_bitmap, mix64, row_key, slices, sparse_counts, table
+from garbline.llm.common import U64, Words, absent_name, in_bitmap, mix64, row_key, slices, sparse_counts, table
 from garbline.llm.registry import query
 from garbline.session import cut_lineage, discard_since, scratch_mark
 
@@ -188,6 +188,7 @@ def uncontaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark", "item_id", "text")
     mark = scratch_mark()
     found = overlaps(docs.select(row_key("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), items)
-    bad = cut_lineage(found.select(F.col("row").alias("__row_key")).distinct(), "overlapping")
+    key = absent_name(docs, "row_key")
+    bad = cut_lineage(found.select(F.col("row").alias(key)).distinct(), "overlapping")
     discard_since(spark, mark)
-    return docs.withColumn("__row_key", row_key("doc_id", "text")).join(bad, "__row_key", "left_anti").select(*docs.columns)
+    return docs.withColumn(key, row_key("doc_id", "text")).join(bad, key, "left_anti").drop(key)

@@ -15,9 +15,11 @@ fingerprints are one row of the tables, with the number of their documents.
 ``n_within`` counts at radius 3, where little but equal texts and long ones with a changed
 word are found; ``n_near`` at ``NEAR``, where near copies of usual length are.
 
-NULL text counts as empty; a text without words has no votes and the fingerprint 0. Rows that
-repeat an id are one document, that with the smallest text; a NULL id is left out of
-``edited_texts`` (it has no place in the order) and kept by ``fingerprint``'s caller.
+Every row of the input is a row of the result. NULL text counts as empty; a text without words has no votes
+and the fingerprint 0. Different texts of one id follow each other by a hash of the text; rows equal in id
+and text are one document, returned as often as it occurs. A row without an id has a fingerprint of its own
+and no next document: what depends on that is NULL. Words of long texts are counted inside one task and leave
+it as sums. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -133,39 +135,54 @@ def within(fingerprints: DataFrame, queries: DataFrame, radius: int = RADIUS, ne
 
 
 def successors(ids: DataFrame) -> DataFrame:
-    """``doc_id``, ``next_id``, ``half`` for the different ids of ``ids``, in ascending order; the last is followed by the first.
+    """``doc_id``, ``key``, ``next_id``, ``next_key``, ``half`` for the different pairs of ``ids``, in ascending order; the last
+    is followed by the first.
 
-    The sorted ids are written with the number of their range, so that each id looks for the
-    next in its own range and only the first ids of the ranges meet in one place.
+    The sorted pairs are written with the number of their range, so that each looks for the
+    next in its own range and only the first pairs of the ranges meet in one place.
     """
     placed = cut_lineage(
-        ids.repartitionByRange("doc_id").select("doc_id", "half", F.spark_partition_id().alias("range")), "order"
+        ids.repartitionByRange("doc_id", "key").select("doc_id", "key", "half", F.spark_partition_id().alias("range")), "order"
     )
-    ranges = placed.groupBy("range").agg(F.min("doc_id").alias("first"))
+    pair = F.struct("doc_id", "key")
+    ranges = placed.groupBy("range").agg(F.min(pair).alias("first"))
     order = Window.orderBy("range")
     following = ranges.select(
         "range", F.coalesce(F.lead("first").over(order), F.first("first").over(order)).alias("after")
     )
-    inside = placed.withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("range").orderBy("doc_id")))
-    return inside.join(following, "range").select("doc_id", F.coalesce("next_id", "after").alias("next_id"), "half")
+    inside = placed.withColumn("next", F.lead(pair).over(Window.partitionBy("range").orderBy("doc_id", "key")))
+    found = inside.join(following, "range").withColumn("next", F.coalesce("next", "after"))
+    return found.select("doc_id", "key", F.col("next.doc_id").alias("next_id"), F.col("next.key").alias("next_key"), "half")
 
 
 def edited_texts(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``next_id``, ``n_chars``, ``text``, ``edited``: the second half of each text replaced by as many
-    code points from the start of the next document's."""
-    known = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    whole = known.groupBy("doc_id").agg(F.min(F.struct(F.length("text").alias("n"), "text")).alias("s")).select("doc_id", "s.text")
-    # texts are not needed for the order: the shortest decides which row stands for its id
-    ids = known.groupBy("doc_id").agg(F.expr("cast(min(length(text)) div 2 as int)").alias("half"))
+    """``doc_id``, ``key`` (of the text), ``copies``, ``next_id``, ``next_key``, ``n_chars``, ``text``, ``edited``: the second half of each
+    text replaced by as many code points from the start of the next document's.
+
+    Rows equal in id and text are one, with the number of their ``copies``. Texts of one id follow each other
+    by ``key``. Rows without an id have no next document, and NULL as edited text.
+    """
+    text = F.coalesce("text", F.lit(""))
+    known = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("key"))
+    whole = known.groupBy("doc_id", "key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    # texts are not needed for the order
+    ids = known.where("doc_id is not null").groupBy("doc_id", "key").agg(F.expr("cast(min(length(text)) div 2 as int)").alias("half"))
     order = cut_lineage(successors(ids), "successors")
-    asked = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), F.col("half").alias("wanted"))
-    given = whole.join(asked, "doc_id").select(F.col("before").alias("doc_id"), F.expr("substring(text, 1, wanted)").alias("given"))
+    asked = order.select(
+        F.col("next_id").alias("doc_id"), F.col("next_key").alias("key"), F.col("doc_id").alias("before"), F.col("key").alias("before_key"), F.col("half").alias("wanted")
+    )
+    given = whole.join(asked, ["doc_id", "key"]).select(
+        F.col("before").alias("doc_id"), F.col("before_key").alias("key"), F.expr("substring(text, 1, wanted)").alias("given")
+    )
     return (
-        whole.join(given, "doc_id")
-        .join(order.drop("half"), "doc_id")
+        whole.join(given, ["doc_id", "key"], "left")
+        .join(order.drop("half"), ["doc_id", "key"], "left")
         .select(
             "doc_id",
+            "key",
+            "copies",
             "next_id",
+            "next_key",
             F.length("text").cast("bigint").alias("n_chars"),
             "text",
             F.concat(F.expr("substring(text, 1, length(text) - length(text) div 2)"), "given").alias("edited"),
@@ -177,37 +194,37 @@ def edited_texts(docs: DataFrame) -> DataFrame:
 def op9_fingerprints(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     mark = scratch_mark()
-    both = edited_texts(docs).select(
-        "doc_id",
-        "next_id",
-        "n_chars",
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+    row = ["doc_id", "key", "copies", "next_id", "next_key", "n_chars", "edited_sha256"]
+    both = edited_texts(docs).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).select(
+        *row,
         F.explode(F.array(F.struct(F.lit(0).alias("version"), F.col("text").alias("body")), F.struct(F.lit(1).alias("version"), F.col("edited").alias("body")))).alias("v"),
     )
-    keys = ["doc_id", "next_id", "n_chars", "edited_sha256", "version"]
-    prints = fingerprint(both.select(*keys[:-1], "v.version", "v.body"), keys, "body")
+    prints = fingerprint(both.select(*row, "v.version", "v.body"), [*row, "version"], "body")
     side = lambda n, half: F.max(F.when(F.col("version") == n, F.col(half)))
     prints = cut_lineage(
-        prints.groupBy(*keys[:-1]).agg(
+        prints.groupBy(*row).agg(
             side(0, "high").alias("high"), side(0, "low").alias("low"), side(1, "high").alias("e_high"), side(1, "low").alias("e_low")
         ),
         "fingerprints",
     )
     discard_since(spark, mark)
-    following = prints.select(F.col("doc_id").alias("next_id"), F.col("high").alias("n_high"), F.col("low").alias("n_low"))
-    asked = prints.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("id"), "high", "low")
-    found = within(prints.select("high", "low"), asked, near=NEAR).withColumnRenamed("id", "doc_id")
-    own = (F.col("high"), F.col("low"))
+    following = prints.select(F.col("doc_id").alias("next_id"), F.col("key").alias("next_key"), F.col("high").alias("n_high"), F.col("low").alias("n_low"))
+    asked = prints.where(F.col("doc_id") % 100 == 0).select(F.struct("doc_id", "key").alias("id"), "high", "low")
+    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
+    found = within(prints.select("high", "low", each.alias("copy")), asked, near=NEAR).select("id.*", "n_within", "n_near")
+    own, other = (F.col("high"), F.col("low")), (F.col("e_high"), F.col("e_low"))
+    has_next = F.col("edited_sha256").isNotNull()
     return (
-        prints.join(following, "next_id")
-        .join(found, "doc_id", "left")
+        prints.join(following, ["next_id", "next_key"], "left")
+        .join(found, ["doc_id", "key"], "left")
+        .withColumn("copy", each)
         .select(
             "doc_id",
             "n_chars",
             "edited_sha256",
             spelled(*own).alias("fingerprint"),
-            spelled(F.col("e_high"), F.col("e_low")).alias("edited_fingerprint"),
-            likeness(*own, F.col("e_high"), F.col("e_low")).alias("near_edited"),
+            F.when(has_next, spelled(*other)).alias("edited_fingerprint"),
+            F.when(has_next, likeness(*own, *other)).alias("near_edited"),
             likeness(*own, F.col("n_high"), F.col("n_low")).alias("near_next"),
             "n_within",
             "n_near",

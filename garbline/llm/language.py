@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from garbline.llm.common import U64, Words, held_out, mix64, score_texts, segment_sums, slices, table
+from garbline.llm.common import U64, Words, absent_name, held_out, mix64, score_texts, segment_sums, slices, table
 from garbline.llm.registry import query
 
 BITS = 13
@@ -188,13 +188,8 @@ def speakable(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Those flagged as ambiguous stay: they hold words of a learned language.
     """
-    names = docs.columns
-    found = score_texts_aside(docs, learn_from(docs))
-    return found.where(F.col("__lang_pred") != UNKNOWN).select(*names)
-
-
-def score_texts_aside(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """As ``identify``, under names that do not clash with those of ``docs``."""
+    model, found = learn_from(docs), absent_name(docs, "lang_pred")
     if model is None:
-        return docs.withColumn("__lang_pred", F.lit(UNKNOWN))
-    return score_texts(docs, "text", "__lang_pred string", lambda texts: model.predict(texts)[:1])
+        return docs.limit(0)
+    scored = score_texts(docs, "text", f"`{found}` string", lambda texts: model.predict(texts)[:1])
+    return scored.where(F.col(found) != UNKNOWN).select(*docs.columns)

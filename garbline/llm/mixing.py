@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from garbline.llm.common import WORD, row_key, table
+from garbline.llm.common import WORD, absent_name, row_key, table
 from garbline.llm.registry import query
 from garbline.session import cut_lineage, discard_since, scratch_mark
 
@@ -38,8 +38,8 @@ GROUP = 2_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """``row`` (a key of the row), ``doc_id``, ``source`` and ``size``, the number of words; the text is not carried on."""
-    return docs.select(row_key("doc_id", "source", "text").alias("row"), "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+    """``row`` (a key of all columns of the row), ``doc_id``, ``source`` and ``size``, the number of words; the text is not carried on."""
+    return docs.select(row_key(*docs.columns).alias("row"), "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
 
 
 def shares(sized: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -90,7 +90,7 @@ def streams(sized: DataFrame, seed: int = SEED, groups: int = 1) -> DataFrame:
         "_group", F.expr("conv(substring(_key, 1, 8), 16, 10)").cast("bigint") % groups if groups > 1 else F.lit(0).cast("bigint")
     )
     # chunks are ordered by their number, so the stream's order is (chunk, key)
-    return _prefix(keyed, "source", "_group", [F.col("_key"), F.col("doc_id"), F.col("size")], F.col("size"), "start").drop("_key")
+    return _prefix(keyed, "source", "_group", [F.col("_key"), F.col("doc_id"), F.col("size"), F.col("row")], F.col("size"), "start").drop("_key")
 
 
 def schedule(spark: SparkSession, shared: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
@@ -225,16 +225,16 @@ def op1_mixing(spark, sf_dir) -> DataFrame:
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes its first word, zero to three times.
 
-    Rows equal in id, source and text share what the mix takes of them.
+    Rows equal in all columns share what the mix takes of them.
     """
     mark = scratch_mark()
-    plan = mix(docs.select("doc_id", "source", "text"))
-    often = cut_lineage(
-        plan.groupBy(F.col("row").alias("__row_key")).agg(F.sum("passes").alias("__passes"), F.count("*").alias("__rows")).where("__passes > 0"), "often"
-    )
+    plan = mix(docs)
+    key, passes, rows, copy = (absent_name(docs, name) for name in ("row_key", "row_passes", "row_count", "row_copy"))
+    often = plan.groupBy(F.col("row").alias(key)).agg(F.sum("passes").alias(passes), F.count("*").alias(rows))
+    often = cut_lineage(often.where(F.col(passes) > 0), "often")
     discard_since(spark, mark)
-    keyed = docs.withColumn("__row_key", row_key("doc_id", "source", "text"))
-    single = keyed.join(often.where("__rows = 1"), "__row_key")
-    shared = keyed.join(often.where("__rows > 1"), "__row_key").dropDuplicates(["__row_key"])
-    every = single.unionByName(shared).withColumn("__copy", F.explode(F.expr("sequence(1L, __passes)")))
+    keyed = docs.withColumn(key, row_key(*docs.columns))
+    single = keyed.join(often.where(F.col(rows) == 1), key)
+    shared = keyed.join(often.where(F.col(rows) > 1), key).dropDuplicates([key])
+    every = single.unionByName(shared).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(passes))))
     return every.select(*docs.columns)

@@ -45,8 +45,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from garbline.llm.common import U64, Words, in_bitmap, mix64, row_key, slices, sparse_counts, table
-from garbline.llm.components import components
+from garbline.functions.graph import components
+from garbline.llm.common import U64, Words, absent_name, in_bitmap, mix64, row_key, slices, sparse_counts, table
 from garbline.llm.registry import query
 from garbline.session import cut_and_count, cut_lineage, discard_since, scratch_mark
 
@@ -57,6 +57,7 @@ ROUNDS = 1
 SKETCH = 2048
 BITMAP_BITS = 24
 PER_RANGE = 1 << 19  # grams counted together
+COUNTED = U64(1) << U64(63)  # hashes below are counted
 FLUSH = 1 << 21  # grams a task holds before it passes them on
 _FACTORS = mix64(np.arange(1, 65, dtype=U64)) | U64(1)
 
@@ -128,11 +129,11 @@ def frequent_grams(texts: DataFrame, n: int, total: int, light: int = LIGHT) ->
     """A bitmap of the grams that more than ``light`` documents hold, and the mean number of other
     documents that hold a gram which is not among them.
 
-    Only the half of each set with the smaller hashes is counted: the rest is late in the
-    order anyway. Tasks count first, then ranges of hashes are summed, about ``PER_RANGE``
-    grams at a time.
+    Only grams below ``COUNTED`` are counted, half of all; the others follow them in the order, and count
+    as frequent wherever a set is so full of frequent grams that it needs them (see ``signatures``). Tasks
+    count first, then ranges of hashes are summed, about ``PER_RANGE`` grams at a time.
     """
-    bits = max(4, math.ceil(math.log2(max(2, total) / 2 / PER_RANGE + 1)))
+    bits = max(4, math.ceil(math.log2(max(2, total) / PER_RANGE + 1)))
 
     def count(batches):
         held, size = [], 0
@@ -151,7 +152,7 @@ def frequent_grams(texts: DataFrame, n: int, total: int, light: int = LIGHT) ->
 
         shape = pa.schema([("range", pa.int64()), ("grams", pa.binary()), ("often", pa.binary())])
         for _, grams in _new_sets(batches, n):
-            held.append(grams[: len(grams) // 2 + 1])
+            held.append(grams[grams < COUNTED])
             size += len(held[-1])
             if size >= FLUSH:
                 yield passed_on()
@@ -199,7 +200,8 @@ def boundary(by_size: dict[int, int], mean_list: float, percent: int = PERCENT)
 def signatures(texts: DataFrame, n: int, percent: int, bitmap: np.ndarray, limit: int) -> DataFrame:
     """``sig``, ``cls``, ``n``, ``late``: the grams, or pairs of grams, in which a set may meet a partner.
 
-    Grams are odd, pairs even. ``late`` tells that a frequent gram is among them.
+    Grams are odd, pairs even. ``late`` tells that nothing is known against a long list: the gram
+    (of a pair, each gram) is frequent or was not counted. It depends on the grams alone, so a list is late as a whole.
     """
     one = U64(1)
     def run(batches):
@@ -217,9 +219,10 @@ def signatures(texts: DataFrame, n: int, percent: int, bitmap: np.ndarray, limit
 
         for name, grams in _new_sets(batches, n):
             size = len(grams)
-            late = in_bitmap(bitmap, grams)
+            often = in_bitmap(bitmap, grams)
             # order of the grams, of which only the first are needed
-            grams, late = np.concatenate([grams[~late], grams[late]]), np.sort(late)
+            grams = np.concatenate([grams[~often], grams[often]])
+            late = np.concatenate([grams[: size - often.sum()] >= COUNTED, np.ones(often.sum(), bool)])
             spare = size - need(size, percent)
             mine, slow = [], []
             if size >= need(limit, percent):
@@ -486,8 +489,10 @@ def representatives(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("f")
     kept = groups.groupBy("root").agg(first).select(F.col("f.row").alias("row"))
     counts = groups.groupBy("row").agg(F.count("*").alias("n"))
-    gone = cut_lineage(counts.join(kept.withColumn("kept", F.lit(True)), "row", "left").where("n > 1 or kept is null").select(F.col("row").alias("__row_key"), F.col("kept").isNotNull().alias("__once")), "gone")
-    keyed = docs.withColumn("__row_key", row_key("doc_id", "text"))
-    stay = keyed.join(gone, "__row_key", "left_anti")
-    again = keyed.join(gone.where("__once").select("__row_key"), "__row_key", "left_semi").dropDuplicates(["__row_key"])
-    return stay.unionByName(again).select(*docs.columns)
+    key = absent_name(docs, "row_key")
+    lost = counts.join(kept.withColumn("kept", F.lit(True)), "row", "left").where("n > 1 or kept is null")
+    gone = cut_lineage(lost.select(F.col("row").alias(key), F.col("kept").isNotNull().alias("once")), "gone")
+    keyed = docs.withColumn(key, row_key("doc_id", "text"))
+    stay = keyed.join(gone.select(key), key, "left_anti")
+    again = keyed.join(gone.where("once").select(key), key, "left_semi").dropDuplicates([key])
+    return stay.unionByName(again).drop(key)

@@ -43,24 +43,28 @@ SIGNIFICANT = 0.05
 
 def maximal_segments(places: np.ndarray, scores: np.ndarray, price: float = PRICE) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last + 1, score) of a text whose words cost ``price`` but for those at
-    ``places``, which bring ``scores`` (net of the price). Linear in the number of places."""
-    found: list[list] = []  # first, end, sum before, sum after
+    ``places``, which bring ``scores`` (net of the price).
+
+    Every candidate keeps the nearest one before it with a smaller sum, so a search goes from one such to
+    the next and passes over what an earlier search has passed over: linear in the number of places.
+    """
+    found: list[tuple] = []  # first, end, sum before, sum after, nearest candidate with a smaller sum before
     total, end = 0.0, 0
     for place, score in zip(places.tolist(), scores.tolist()):
         total -= price * (place - end)
-        segment = [place, place + 1, total, total + score]
+        first, before = place, total
         total += score
         end = place + 1
         while True:
             at = len(found) - 1
-            while at >= 0 and found[at][2] >= segment[2]:
-                at -= 1
-            if at < 0 or found[at][3] >= segment[3]:
+            while at >= 0 and found[at][2] >= before:
+                at = found[at][4]
+            if at < 0 or found[at][3] >= total:
                 break
-            segment = [found[at][0], segment[1], found[at][2], segment[3]]
+            first, before = found[at][0], found[at][2]
             del found[at:]
-        found.append(segment)
-    return [(first, last, after - before) for first, last, before, after in found]
+        found.append((first, end, before, total, at))
+    return [(first, last, after - before) for first, last, before, after, _ in found]
 
 
 @dataclass
@@ -111,7 +115,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
     """``word`` (a hash), ``toxic``, ``clean``: the numbers of documents of each label (``text``, ``label``) that hold the word."""
 
     def run(batches):
-        for piece in slices(batches, "text", 16 << 20):
+        for piece in slices(batches, "text", 4 << 20):
             words = Words(piece.column(0), fold="alnum")
             if not len(words.codes):
                 continue

@@ -4,22 +4,25 @@ Every text is encoded, closed with an end token and cut into sequences of ``leng
 The sequences are numbered without gaps, and a keyed Feistel network over the next power of
 four permutes the numbers; a result outside the range is sent through the network again
 until it falls inside (cycle-walking), so every sequence gets one slot of ``0 .. n - 1`` and
-every slot one sequence. Slots are written in shards of ``stride`` slots, each shard sorted
-by slot in one file of records of equal size: slot ``s`` is record ``s % stride`` of shard
-``s / stride``, so a reader can stop after any slot and go on from there.
+every slot one sequence. Slots are written in shards of ``stride`` slots, each shard one Parquet
+file sorted by slot, with records of equal size: slot ``s`` is row ``s % stride`` of shard
+``s / stride``, so a reader can stop after any slot and go on from there. The files are compressed,
+so a row is found by its number, through the file's row groups, and not by a byte offset.
 
 Encoded sequences are first written compressed with their place in their task; a task's
 numbers follow those of the tasks before it, so only one count for each task reaches the
-driver. Numbers follow the order of the input's files.
+driver. Numbers follow the order of the input's files and their rows: a run over the same files gives the
+same slots, one over other files of the same rows does not.
 
-NULL and empty texts give no sequence. Rows that repeat give sequences each. A NULL id stays
-NULL. The vocabulary's path is a parameter.
+NULL and empty texts give no sequence. Rows that repeat give sequences each; nothing is ordered by id, so there
+are no ties. A NULL id stays NULL. Long texts are encoded whole, long runs of white space too. An empty table gives
+one empty shard table. Other columns are ignored. The vocabulary's path is a parameter; the driver reads it.
 """
 
 from __future__ import annotations
 
 import base64
-import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -37,21 +40,40 @@ LENGTH = 1024
 STRIDE = 8192
 KEY = 2024
 NETWORK_ROUNDS = 6
+SHARDS = 2  # that one task writes
+AT_ONCE = 256  # records unpacked together
 LEVEL = 6  # of the compression of sequences that wait for their slot
 # Fixed: how the vocabulary splits texts before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def encoding(path: str):
+# What the pattern above calls white space, in runs too long for it.
+LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % 10_000)
+
+
+def encoding(vocabulary: bytes):
+    """The tokenizer of a rank file's content."""
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, vocabulary.splitlines())}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def encode(text: str, tokenizer) -> np.ndarray:
-    return np.asarray(tokenizer.encode_to_numpy(text, disallowed_special=()))
+    """The tokens of a text as the library gives them.
+
+    The library's splitting pattern gives up on long runs of white space, so these are cut out first. A run is
+    one piece if it ends the text; else all of it but its last character is, which belongs to what follows.
+    """
+    found, done = [], 0
+    for run in LONG_BLANK.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        found += [tokenizer.encode_to_numpy(text[done : run.start()], disallowed_special=())] if run.start() > done else []
+        found.append(np.asarray(tokenizer._encode_single_piece(text[run.start() : end]), np.uint32))
+        done = end
+    if done < len(text) or not found:
+        found.append(tokenizer.encode_to_numpy(text[done:], disallowed_special=()))
+    return np.asarray(found[0] if len(found) == 1 else np.concatenate(found))
 
 
 def feistel(numbers: np.ndarray, half: int, key: int) -> np.ndarray:
@@ -78,9 +100,11 @@ def slots_of(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 def encoded(docs: DataFrame, path: str, length: int, end: int) -> DataFrame:
     """``task``, ``at`` (place in the task), ``doc_id``, ``part``, ``n_tokens``, ``packed`` (compressed little-endian tokens)."""
     kind = np.dtype("<u2") if end < 1 << 16 else np.dtype("<u4")
+    with open(path, "rb") as file:
+        vocabulary = file.read()  # about half a megabyte, sent with the job
 
     def run(batches):
-        task, at, tokenizer = TaskContext.get().partitionId(), 0, encoding(path)
+        task, at, tokenizer = TaskContext.get().partitionId(), 0, encoding(vocabulary)
         codec = pa.Codec("zstd", LEVEL)
         for piece in slices(batches, "text"):
             rows = []
@@ -132,16 +156,17 @@ def in_training_order(docs: DataFrame, target: str, path: str = VOCABULARY, leng
 
     def unpack(batches):
         for batch in batches:
-            full = []
-            for n, packed in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
-                size = n * kind.itemsize
-                full.append(pa.decompress(packed, size, "zstd", asbytes=True) + filler[size:width])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(full, pa.binary())], names=["slot", "shard", "doc_id", "part", "n_tokens", "tokens"])
+            for first in range(0, batch.num_rows, AT_ONCE):
+                some, full = batch.slice(first, AT_ONCE), []
+                for n, packed in zip(some.column(4).to_pylist(), some.column(5).to_pylist()):
+                    size = n * kind.itemsize
+                    full.append(pa.decompress(packed, size, "zstd", asbytes=True) + filler[size:width])
+                yield pa.RecordBatch.from_arrays([*some.columns[:5], pa.array(full, pa.binary())], names=["slot", "shard", "doc_id", "part", "n_tokens", "tokens"])
 
     columns = "slot long, shard long, doc_id long, part int, n_tokens int"
-    # one task for each shard, however many there are
-    shards = max(1, -(-total // stride))
-    placed = held.mapInArrow(place, f"{columns}, packed binary").repartitionById(shards, F.col("shard").cast("int"))
+    # each task writes a few neighbouring shards, however many there are
+    tasks = max(1, -(-total // (stride * SHARDS)))
+    placed = held.mapInArrow(place, f"{columns}, packed binary").repartitionById(tasks, F.expr(f"cast(shard div {SHARDS} as int)"))
     whole = placed.mapInArrow(unpack, f"{columns}, tokens binary").sortWithinPartitions("shard", "slot")
     whole.write.option("compression", "zstd").partitionBy("shard").parquet(target)
     discard_since(spark, mark, keep=0)

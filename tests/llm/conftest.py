@@ -20,6 +20,10 @@ def write_tables(target, documents, labels=(), benchmark=(), clashing=False):
     pq.write_table(pa.Table.from_pylist([dict(zip(names.names, x)) for x in labels], schema=names), f"{target}/labels.parquet")
     names = pa.schema([("item_id", pa.int64()), ("text", pa.string())])
     pq.write_table(pa.Table.from_pylist([dict(zip(names.names, x)) for x in benchmark], schema=names), f"{target}/benchmark.parquet")
+    names = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])
+    pq.write_table(names.empty_table(), f"{target}/conversations.parquet")
+    names = pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32()))])
+    pq.write_table(names.empty_table(), f"{target}/embeddings.parquet")
     return str(target)
 
 

@@ -56,7 +56,8 @@ def connect_documents(path):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet'")
+    for name in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}/{name}.parquet'")
     return con
 
 

@@ -91,7 +91,7 @@ def test_colliding_products_are_found_and_repaired(spark, monkeypatch):
 
     monkeypatch.setattr(trie, "verified_nodes", watched)
     monkeypatch.setattr(trie, "PRIMES", (3, 3, 3))
-    rows = [(c, t, "user", f"{(c * (t + 1)) % 5}") for c in range(0, 12, 3) for t in range(3)]
+    rows = [(c, t, "user", f"{(c * (t + 1)) // 20 % 7}") for c in range(0, 140, 20) for t in range(3)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     assert got(trie.prefix_trie(df)) == brute(rows)
     assert asked[-1] and not all(asked)
