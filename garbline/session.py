@@ -20,6 +20,7 @@ SETTINGS = {
     "spark.sql.sources.fileCompressionFactor": "4.0",
     # Rows with whole texts go to Python in small batches.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
     # Keyed stream state lives on disk and in the shared checkpoint, not on the heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
