@@ -3,16 +3,17 @@
 Base spans are the leftmost non-overlapping matches of each kind's pattern that pass its check.
 A bidirectional LSTM with CRF transitions (``tagger``) is trained on windows of a bounded sample
 of documents, labelled with their base spans, some of them disguised (other separators,
-spelled-out signs). It reads whole texts in windows of ``WINDOW`` characters, half of them
-shared with the next; each character takes its tag from the window in whose middle it lies,
-and runs of tags across windows are the found spans. A found span is reported if it
-overlaps no base span and is plausible for its kind, for which it must hold an ``@``, a
-digit or a bracketed "at". Windows without any of these, and without one nearby, can thus
-add nothing and are not decoded.
+spelled-out signs). It reads texts in windows of ``WINDOW`` characters, half of them shared with the next. The
+scores that overlapping windows give a character are averaged, and one path is sought through each
+region of a text, so that its tags are those of a single decoding. A found span is reported if it
+overlaps no base span and is plausible for its kind, for which it must hold an ``@``, a digit or a
+bracketed "at" (an anchor) and be no longer than ``LONGEST``. Regions are all characters within ``LONGEST`` of an
+anchor, so every span that could be reported lies in one as a whole; the rest of a text is not decoded.
 
 NULL text counts as empty. Rows that repeat are searched each and give equal rows. Without
 a base span in the sample nothing is learned, and only base spans are reported. Positions
-are code points, the end excluded.
+are code points, the end excluded. Texts are searched whole; a region of more than ``PART`` characters is decoded
+in parts that overlap by four times the longest span. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,25 +29,28 @@ from pyspark.sql import functions as F
 
 from garbline.llm.common import score_texts, slices, table
 from garbline.llm.registry import query
-from garbline.llm.tagger import Tagger
+from garbline.llm.tagger import Tagger, viterbi
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 20_000  # documents that the tagger is trained on
 PER_DOCUMENT = 6  # windows of a sampled document
 WINDOW = 64
 STEP = WINDOW // 2
+LONGEST = 64  # characters of a span that the tagger adds
+PART = 4096  # characters decoded as one sequence
+AT_ONCE = 1 << 16  # characters decoded together
 
 # Fixed patterns of the base kinds.
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 # a run of digits cannot match from its middle if it did not from its start
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-ANCHOR = r"[0-9@]|[\[(] ?at"
+# Every span that ``plausible`` accepts holds one of these.
+ANCHOR = r"[0-9@]|[\[(] ?[aA][tT]"
 _ANCHOR = re.compile(ANCHOR)
-_EMAIL_START = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[\[(] ?at)")
+_EMAIL_START = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|[\[(] ?[aA][tT])")
 _NOT_DIGITS = re.compile(r"[^0-9]+")
 
 # Character classes: 0 is padding, 1 anything that is not listed.
@@ -114,6 +118,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def plausible(kind: int, found: str) -> bool:
+    """Whether what the tagger found can be of its kind."""
+    if len(found) > LONGEST:
+        return False
     digits = _NOT_DIGITS.sub("", found)
     low = found.lower()
     if kind == 0:
@@ -158,6 +165,7 @@ def disguised(kind: int, found: str, rng) -> str:
     digits = _NOT_DIGITS.sub("", found)
     sign = rng.choice([" ", "-", ".", "/", "_", " - "])
     if kind == 2:
+        digits = digits[:-1] + next(d for d in "0123456789" if luhn(digits[:-1] + d))
         return sign.join(digits[i : i + 4] for i in range(0, len(digits), 4))
     start = rng.choice(["", "00", "+", "(+", "0"])
     body = sign.join([digits[:2], *[digits[i : i + 3] for i in range(2, len(digits), 3)]])
@@ -221,45 +229,86 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text: str = "text", most: in
     return model
 
 
-def window_numbers(text: str) -> np.ndarray:
-    """The windows that decide on characters near an anchor."""
-    at = np.array([m.start() for m in _ANCHOR.finditer(text)], np.int64) // STEP
-    near = np.unique(np.concatenate([at + k for k in (-2, -1, 0, 1)])) if len(at) else at
-    return near[(near >= 0) & (near <= max(0, (len(text) - 1) // STEP))]
+def regions(text: str) -> list[tuple[int, int]]:
+    """The parts of a text in which a span may lie that ``plausible`` accepts: all within ``LONGEST`` of an anchor.
+
+    An accepted span holds an anchor and has at most ``LONGEST`` characters. Very long parts are cut into
+    pieces of ``PART`` that overlap by twice as much as a span may take.
+    """
+    out: list[tuple[int, int]] = []
+    for m in _ANCHOR.finditer(text):
+        begin, end = max(0, m.start() - LONGEST), min(len(text), m.end() + LONGEST)
+        if out and begin <= out[-1][1]:
+            out[-1] = (out[-1][0], end)
+        else:
+            out.append((begin, end))
+    cut = []
+    for begin, end in out:
+        while end - begin > PART:
+            cut.append((begin, begin + PART))
+            begin += PART - 4 * LONGEST
+        cut.append((begin, end))
+    return cut
+
+
+def tagged(texts: list[str], model: Tagger) -> list[list[tuple[int, int, np.ndarray]]]:
+    """For each text its regions with the best tags of their characters.
+
+    Windows overlap, so most characters have the scores of two. These are averaged, and one path is
+    sought through the whole region: no window decides alone, and no span is pasted from several paths.
+    """
+    parts = [(i, begin, end) for i, text in enumerate(texts) for begin, end in regions(text)]
+    parts.sort(key=lambda p: p[1] - p[2])
+    coded = [classes_of(text) for text in texts]
+    out: list[list[tuple[int, int, np.ndarray]]] = [[] for _ in texts]
+    at = 0
+    while at < len(parts):
+        longest = parts[at][2] - parts[at][1]
+        some = parts[at : at + max(1, AT_ONCE // longest)]
+        at += len(some)
+        grids = [np.arange(max(0, begin // STEP - 1), (end - 1) // STEP + 1) for _, begin, end in some]
+        x = np.zeros((sum(map(len, grids)), WINDOW), np.uint8)
+        row = 0
+        for (i, _, _), grid in zip(some, grids):
+            for k in grid.tolist():
+                signs = coded[i][k * STEP : k * STEP + WINDOW]
+                x[row, : len(signs)] = signs
+                row += 1
+        told, row = model.all_scores(x), 0
+        sums = np.zeros((len(some), longest, told.shape[2]), np.float32)
+        for lane, ((_, begin, end), grid) in enumerate(zip(some, grids)):
+            seen = np.zeros(end - begin, np.float32)
+            for k in grid.tolist():
+                low, high = max(begin, k * STEP), min(end, k * STEP + WINDOW)
+                sums[lane, low - begin : high - begin] += told[row, low - k * STEP : high - k * STEP]
+                seen[low - begin : high - begin] += 1
+                row += 1
+            sums[lane, : end - begin] /= seen[:, None]
+        lengths = np.array([end - begin for _, begin, end in some])
+        for (i, begin, end), tags in zip(some, viterbi(sums, model.weights["moves"], lengths)):
+            out[i].append((begin, end, tags[: end - begin]))
+    return out
 
 
 def added_spans(texts: list[str], model: Tagger, base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
     """For each text, the plausible spans of the tagger that overlap no base span."""
-    numbers = [window_numbers(t) for t in texts]
-    coded = [classes_of(t) for t in texts]
-    x = np.zeros((sum(map(len, numbers)), WINDOW), np.uint8)
-    row = 0
-    for ks, classes in zip(numbers, coded):
-        for k in ks.tolist():
-            some = classes[k * STEP : k * STEP + WINDOW]
-            x[row, : len(some)] = some
-            row += 1
-    found, out, row = model.tags(x), [], 0
-    quarter = WINDOW // 4
-    for text, ks, known in zip(texts, numbers, base):
-        tags = np.zeros(len(text) + WINDOW, np.int8)
-        for k in ks.tolist():
-            # the middle of the window; the first one also decides on what stands before
-            low = 0 if k == 0 else quarter
-            tags[k * STEP + low : k * STEP + WINDOW - quarter] = found[row, low : WINDOW - quarter]
-            row += 1
-        more = []
-        for kind, start, end in spans_of(tags[: len(text)]):
-            # a local part has no blanks: words before it are not part of the address
-            begun = _EMAIL_START.search(text, start, end) if kind == 0 else None
-            start = begun.start() if begun else start
-            while start < end and text[start] in " \n\t\r,.;:-":
-                start += 1
-            while start < end and text[end - 1] in " \n\t\r,.;:-([{":
-                end -= 1
-            if start < end and not any(a < end and start < b for _, a, b in known) and plausible(kind, text[start:end]):
-                more.append((kind, start, end))
-        out.append(more)
+    out = []
+    for text, found, known in zip(texts, tagged(texts, model), base):
+        more: set[tuple[int, int, int]] = set()
+        for begin, _, tags in sorted(found, key=lambda f: f[0]):
+            for kind, start, end in spans_of(tags):
+                start, end = start + begin, end + begin
+                # a local part has no blanks: words before it are not part of the address
+                begun = _EMAIL_START.search(text, start, end) if kind == 0 else None
+                start = begun.start() if begun else start
+                while start < end and text[start] in " \n\t\r,.;:-":
+                    start += 1
+                while start < end and text[end - 1] in " \n\t\r,.;:-([{":
+                    end -= 1
+                taken = any(a < end and start < b for _, a, b in [*known, *more])
+                if start < end and not taken and plausible(kind, text[start:end]):
+                    more.add((kind, start, end))
+        out.append(sorted(more))
     return out
 
 

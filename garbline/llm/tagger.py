@@ -81,19 +81,23 @@ def crf_loss(scores: np.ndarray, moves: np.ndarray, tags: np.ndarray):
     return float((total - gold).mean()), d_scores / size, d_moves / size
 
 
-def viterbi(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """The best tags of each window."""
+def viterbi(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The best tags of each sequence; ``lengths``, if given, fall from sequence to sequence, and 0 follows each end."""
     size, steps, kinds = scores.shape
-    best, back = scores[:, 0], np.empty((size, steps, kinds), np.int8)
+    lengths = np.full(size, steps) if lengths is None else lengths
+    active = np.searchsorted(-lengths, -np.arange(steps), "left")  # sequences that reach each step
+    best, back = scores[:, 0].copy(), np.empty((size, steps, kinds), np.int8)
     for t in range(1, steps):
-        reach = best[:, :, None] + moves[None]
-        back[:, t] = reach.argmax(1)
-        best = reach.max(1) + scores[:, t]
-    tags = np.empty((size, steps), np.int8)
-    tags[:, -1] = best.argmax(1)
+        n = active[t]
+        reach = best[:n, :, None] + moves[None]
+        back[:n, t] = reach.argmax(1)
+        best[:n] = reach.max(1) + scores[:n, t]
+    tags = np.zeros((size, steps), np.int8)
     rows = np.arange(size)
+    tags[rows, lengths - 1] = best.argmax(1)
     for t in range(steps - 1, 0, -1):
-        tags[:, t - 1] = back[rows, t, tags[:, t]]
+        n = active[t]
+        tags[:n, t - 1] = back[rows[:n], t, tags[:n, t]]
     return tags
 
 
@@ -118,10 +122,14 @@ class Tagger:
         back, _ = lstm(x[:, ::-1], w["table_b"], w["recurrent_b"])
         return np.concatenate([ahead, back[:, ::-1]], 2) @ w["out"] + w["bias"]
 
-    def tags(self, x: np.ndarray, block: int = 512) -> np.ndarray:
+    def all_scores(self, x: np.ndarray, block: int = 512) -> np.ndarray:
+        """``scores`` of many windows, a block at a time."""
         if not len(x):
-            return np.zeros(x.shape, np.int8)
-        return np.concatenate([viterbi(self.scores(x[i : i + block]), self.weights["moves"]) for i in range(0, len(x), block)])
+            return np.zeros((*x.shape, len(self.weights["bias"])), np.float32)
+        return np.concatenate([self.scores(x[i : i + block]) for i in range(0, len(x), block)])
+
+    def tags(self, x: np.ndarray) -> np.ndarray:
+        return viterbi(self.all_scores(x), self.weights["moves"]) if len(x) else np.zeros(x.shape, np.int8)
 
     def gradients(self, x: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         w = self.weights

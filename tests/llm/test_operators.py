@@ -461,6 +461,46 @@ def test_many_languages(spark):
 # toxicity
 
 
+def test_decontamination_against_every_diagonal(spark, tmp_path):
+    """Both ways: an overlap is a diagonal with a whole mask on it and enough equal words; short items stand as they are."""
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w{i}" for i in range(30)]
+    draw = lambda n: [vocabulary[i] for i in rng.integers(0, 30, n)]
+    items = [" ".join(draw(int(n))) for n in rng.integers(7, 40, 12)] + ["Alpha, beta!", "gamma", "alpha beta delta eps zeta eta", "\u6771\u4eac\u90fd \u306f", "\u5927\u962a" * 9, "", " ... "]
+    items += [items[0].upper(), items[3]]
+    texts = []
+    for i in range(60):
+        words = draw(int(rng.integers(0, 120)))
+        if i % 2:
+            copy = items[int(rng.integers(len(items)))].split()
+            for at in rng.integers(0, max(1, len(copy)), len(copy) // 8 if copy else 0):
+                copy[at] = "changed"
+            words[len(words) // 2 : len(words) // 2] = copy
+        texts.append(" ".join(words))
+    texts += ["x alpha  BETA y gamma", "\u79c1\u306f\u6771\u4eac\u90fd\u306f\u597d\u304d", "\u5927\u962a" * 12, "alpha", ""]
+
+    def words_of(text):
+        spaced = "".join(f" {c} " if "\u3040" <= c <= "\u30ff" or "\u4e00" <= c <= "\u9fff" else c for c in text.lower())
+        return ["".join(c for c in w if c.isalnum()) for w in spaced.split() if any(c.isalnum() for c in w)]
+
+    want = set()
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            a, b = words_of(text), words_of(item)
+            masks = list(decontamination.MASKS) if len(b) >= decontamination.SHORTEST else ["1" * len(b)] if b else []
+            for shift in range(-len(b) + 1, len(a)):
+                same = np.array([0 <= k + shift < len(a) and a[k + shift] == b[k] for k in range(len(b))], bool)
+                seeded = any(at + shift >= 0 and at + shift + len(m) <= len(a) and all(same[at + k] for k, c in enumerate(m) if c == "1") for m in masks for at in range(len(b) - len(m) + 1))
+                if seeded and decontamination.best_stretch(same)[2] >= min(decontamination.MIN_EQUAL, len(b)):
+                    want.add((d, i))
+    path = write_tables(tmp_path, [(d, t, "en", "s") for d, t in enumerate(texts)], benchmark=list(enumerate(items)))
+    got = {(r["doc_id"], r["item_id"]) for r in QUERIES["op6_decontamination"](spark, path).collect()}
+    assert got == want and {i for _, i in want} >= {12, 13, 15, 16, 19}
+    kept = {r["doc_id"] for r in decontamination.uncontaminated(spark, spark.read.parquet(f"{path}/documents.parquet"), path).collect()}
+    # "gamma" and "alpha beta" alone drop nothing
+    assert kept == set(range(len(texts))) - {d for d, i in want if i not in (12, 13)}
+
+
 def test_maximal_segments_of_many_places():
     """Falling sums and rising ones, a million places: linear, where walking back from each would be quadratic."""
     n = 1_000_000
@@ -546,6 +586,9 @@ def test_viterbi_finds_the_best_path():
 
     rng = np.random.default_rng(9)
     scores, moves = rng.normal(size=(3, 5, 4)), rng.normal(size=(4, 4))
+    lengths = np.array([5, 3, 1])
+    for whole, n, tags in zip(scores, lengths, tagger.viterbi(scores, moves, lengths)):
+        assert tags[:n].tolist() == tagger.viterbi(whole[None, :n], moves)[0].tolist() and not tags[n:].any()
     for row, tags in zip(scores, tagger.viterbi(scores, moves)):
         value = lambda p: sum(row[t, k] for t, k in enumerate(p)) + sum(moves[a, b] for a, b in zip(p, p[1:]))
         assert value(tags.tolist()) == pytest.approx(max(map(value, itertools.product(range(4), repeat=5))))
@@ -569,12 +612,60 @@ def test_tagger_finds_disguised_data(spark):
 
 def test_tagger_windows_cover_long_texts(spark):
     model = tagger.Tagger.fresh(personal.N_CLASSES, personal.N_TAGS)
-    # a tagger that calls every sign between blanks part of an email
-    model.tags = lambda x, block=0: np.where(x > 0, 2, 0).astype(np.int8)
+    # a tagger that calls every sign but blanks part of an email
+    blank = personal.classes_of(" ")[0]
+    model.all_scores = lambda x: np.eye(personal.N_TAGS, dtype=np.float32)[np.where((x > 0) & (x != blank), 2, 0)] * 9
+    model.weights["moves"][:] = 0
     text = "q" * 500 + "@" + "q" * 500
     assert personal.added_spans([text], model, [[]])[0] == []
-    text = "qq" * 20 + "@aa.bb" + "q" * 20
-    assert personal.added_spans([text], model, [[]])[0] == [(0, 0, len(text))]
+    found = "qq" * 10 + " [AT] ".replace(" ", "") + "aa.bb" + "q" * 20
+    assert len(found) <= personal.LONGEST
+    for before in (0, 1, 31, 32, 63, 64, 1000, 5000):
+        text = "z " * before + found + " z" * 3000
+        assert personal.added_spans([text], model, [[]])[0] == [(0, 2 * before, 2 * before + len(found))]
+    # a region of many parts
+    text = " ".join(["1"] * 3000 + [found] + ["2"] * 3000)
+    assert personal.added_spans([text], model, [[]])[0] == [(0, 6000, 6000 + len(found))]
+
+
+def test_plausible_spans_hold_an_anchor():
+    rng = np.random.default_rng(6)
+    parts = ["[", "(", "AT", "at", "aT", "]", ")", " ", "dot", "aa", "bb", "1", "12", "255", ".", "+", "@", "\u0130", "-", "\u0661"]
+    seen = 0
+    for _ in range(20_000):
+        text = "".join(parts[i] for i in rng.integers(0, len(parts), int(rng.integers(1, 12))))
+        for kind in range(4):
+            if personal.plausible(kind, text):
+                seen += 1
+                begin, end = personal.regions("z" * 300 + text + "z" * 300)[0]
+                assert re.search(personal.ANCHOR, text) and begin <= 300 and end >= 300 + len(text)
+    assert seen > 100
+
+
+def test_tagger_on_held_out_disguised_data(spark):
+    """Disguised spans of documents that it was not trained on: nearly all are found, and next to nothing else is."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    held = common.held_out("doc_id")
+    model = personal.fit(docs.where(~held))
+    rng = np.random.default_rng(5)
+    found = wanted = extra = 0
+    for row in docs.where(held).orderBy("doc_id").limit(1500).collect():
+        text, spans, at, out, true = row["text"] or "", [], 0, "", []
+        for kind, start, end in sorted(personal.base_spans(text), key=lambda s: s[1]):
+            if start >= at:
+                out += text[at:start]
+                other = personal.disguised(kind, text[start:end], rng)
+                true.append((kind, len(out), len(out) + len(other)))
+                out, at = out + other, end
+        out += text[at:]
+        base = personal.base_spans(out)
+        added = personal.added_spans([out], model, [base])[0]
+        for kind, start, end in true:
+            if (kind, start, end) not in base:
+                wanted += 1
+                found += any(k == kind and a < end and start < b for k, a, b in [*base, *added])
+        extra += sum(not any(a < t[2] and t[1] < b for t in true) for _, a, b in added)
+    assert wanted > 80 and found >= 0.9 * wanted and extra <= 0.1 * found
 
 
 def test_spans_and_tags_are_inverse():
