@@ -15,7 +15,8 @@ stand as they are. Characters of scripts without blanks are words each. Items of
 
 NULL and empty texts hold nothing. Rows that repeat are searched each; overlaps are reported once for
 each id and item, of equally large ones the first. Long texts are searched whole, in stretches around hits. Empty
-tables give an empty result. Other columns are ignored.
+tables give an empty result. Other columns are ignored by the query; in ``uncontaminated`` all columns of the input,
+whatever their names, stay as they are.
 """
 
 from __future__ import annotations

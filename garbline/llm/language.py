@@ -12,7 +12,9 @@ text whose two best codewords are nearly as close is flagged as ambiguous.
 Training counts have one row for each language and n-gram place at most, however large the
 input. NULL texts and texts without a letter get ``und``, as does everything when there is no
 training document. Ties go to the language that sorts first. Rows that repeat are
-scored alike.
+scored alike. Texts are read whole, long ones alone. An empty table gives an empty result. A task holds one array
+of 64 KB for each language that it meets while learning, so some thousands of languages fit. In
+``speakable`` all columns of the input, whatever their names, stay as they are.
 """
 
 from __future__ import annotations

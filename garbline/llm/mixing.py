@@ -13,7 +13,9 @@ a source with most of the rows is spread over many tasks.
 
 NULL texts and texts without words have size 0 and are never taken. The NULL source is a
 source like any other. Rows that repeat are each of them a document; identical ones are
-interchangeable. Without any words all targets are 0.
+interchangeable. Without any words all targets are 0. Equal places in a stream's order go by id, size and a hash of the
+whole row. Long texts are counted where they are read; an empty table gives an empty result. In ``mixed`` all
+columns of the input, whatever their names, stay as they are.
 """
 
 from __future__ import annotations

@@ -32,7 +32,8 @@ grams are kept as a bitmap of fixed size: a gram that falls on a taken place is
 
 NULL and blank texts have no grams and link with nothing, not even each other. Texts with
 fewer words than ``n`` have one gram, all their words. Repeated rows, also of one id, are
-one class; a NULL id never names a component that has another.
+one class; a NULL id never names a component that has another. Texts are read whole, long ones alone. An empty
+table gives an empty result. In ``representatives`` all columns of the input, whatever their names, stay as they are.
 """
 
 from __future__ import annotations

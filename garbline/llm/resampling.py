@@ -9,10 +9,17 @@ hash of the id, the ``k`` texts with the largest sums are a sample without
 replacement in proportion to the importance weights. ``k`` is the share of good
 labels, of all documents.
 
+``sharpness`` is the temperature of the sample: the weight is that of a text of so many n-grams with the text's
+mean ratio, whatever its length. The sum over all n-grams of a text would be the ratio of the two models itself,
+but grows with the length, so that length decides among good texts and the noise among none. On held-out
+labels (sf0.1) the sum draws 99.0 % of the good and 0.8 % of the bad documents,
+the mean times 40 draws 99.7 % and 0.8 %, the bare mean 91.9 % and 50.8 %.
+
 Raw counts are taken over all documents; they and the target's have one row for each place,
 whatever the input. NULL and wordless texts have weight 0 (log weight minus infinity) and are
 drawn last. Rows that repeat an id draw the same noise and are each a document. Without
-target documents all weights are equal; without labels half of the documents are drawn.
+target documents all weights are equal; without labels half of the documents are drawn. Equal sums go by id.
+Texts are read whole, long ones alone. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations

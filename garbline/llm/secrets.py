@@ -11,7 +11,8 @@ than ``scope`` before its start. So each text's parts, by start, and candidates,
 walked once with the largest end so far of each role, whatever their lengths and number.
 
 NULL and empty texts have no spans. Rows that repeat are scanned and returned each on its
-own; a NULL id is kept. Whole texts are scanned; positions are code points, the end excluded.
+own; a NULL id is kept. Whole texts are scanned; positions are code points, the end excluded. Spans that begin
+together go by kind as listed. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations

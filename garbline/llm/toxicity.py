@@ -16,7 +16,9 @@ into the score.
 
 NULL, empty and wordless texts have no passage and score as any text without one. Without
 both labels in the training sample every score is the share of toxic labels (0 without any).
-Rows that repeat are scored alike.
+Rows that repeat are scored alike. Texts are scanned whole, in time linear in their words. Segments of equal sums
+begin at the earliest word. An empty table gives an empty result. Other columns are ignored by the query
+and kept by ``score_texts``.
 """
 
 from __future__ import annotations
