@@ -50,7 +50,8 @@ def add_to_carts(requests: DataFrame, t, as_of: dt.date) -> tuple[DataFrame, Dat
     SKU, worker) adds up and keeps the price it had first; a new line takes the current
     product price. A missing quantity is 1.
     """
-    checked = check_cart_requests(requests, t, as_of)
+    # Written once: both the rejects and the lines are read from it.
+    checked = cut_lineage(check_cart_requests(requests, t, as_of), "checked")
     rejects = checked.where(F.col("reason").isNotNull())
     # One row per line from here on, computed once for all that follows.
     added = cut_lineage(
