@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from garbline.session import cut_lineage, remove_path, scratch_mark, scratch_since
 
 
+def _are_stars(pairs: DataFrame) -> bool:
+    """Whether every node of ``pairs`` (``u`` > ``v``, all different) is either a center or bound to one center only."""
+    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("bound"), F.lit(0).alias("center")).unionByName(
+        pairs.select(F.col("v").alias("node"), F.lit(0).alias("bound"), F.lit(1).alias("center"))
+    )
+    told = ends.groupBy("node").agg(F.sum("bound").alias("bound"), F.max("center").alias("center"))
+    return told.where(F.col("bound") + F.col("center") > 1).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the smallest node reachable) for every node of ``edges`` (``a``, ``b``).
 
@@ -15,14 +24,15 @@ def components(edges: DataFrame) -> DataFrame:
     the larger neighbours, then the smaller ones. Rounds grow with the logarithm of the longest
     path; a node with many neighbours costs one row for each, never a pair of them. The smallest
     neighbours are written before they are joined, so that adaptive execution can split
-    the edges of one node. A round's tables are deleted when the next one is written.
+    the edges of one node. Edges that are stars already take no round. A round's tables are
+    deleted when the next one is written.
     """
     spark = edges.sparkSession
     pairs = cut_lineage(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges"
     )
-    seen, mark = None, scratch_mark()
-    while True:
+    mark = scratch_mark()
+    while not _are_stars(pairs):
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = cut_lineage(
@@ -34,10 +44,6 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = cut_lineage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         for path in scratch_since(mark)[:-1]:
             remove_path(spark, path)
-        now = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == seen:
-            break
-        seen = now
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

@@ -100,9 +100,13 @@ def cascade_delete(t: SimpleNamespace, root: str, doomed: DataFrame, plan: Plan
     every table below reads it. Keys that no row has are ignored. References in a circle raise ValueError.
     """
     order = plan.order(root)
+    guards = [r for r in plan.references if r.refuse and r.parent in order]
     asked = doomed.toDF("root_id").where("root_id is not null").distinct()
     present = getattr(t, root).select(F.col(plan.key(root)).alias("root_id"))
-    taken = {root: cut_lineage(asked.join(present, "root_id", "left_semi").select("root_id", F.col("root_id").alias("key")), "doomed")}
+    # Where nothing can be refused, all roots are alike and keys alone are carried.
+    named_root = F.col("root_id") if guards else F.lit(None).cast(present.schema["root_id"].dataType)
+    found = asked.join(present, "root_id", "left_semi").select(named_root.alias("root_id"), F.col("root_id").alias("key"))
+    taken = {root: cut_lineage(found, "doomed")}
     parents = {r.parent for r in plan.references if r.parent in order}
     into = lambda table: [r for r in plan.references if r.child == table and r.parent in taken and not r.refuse]
 
@@ -123,20 +127,17 @@ def cascade_delete(t: SimpleNamespace, root: str, doomed: DataFrame, plan: Plan
                 rows = rows.unionByName(more)
             taken[table] = cut_lineage(rows.distinct(), "doomed")
 
-    held = None
-    for r in plan.references:
-        if r.refuse and r.parent in taken:
+    refused = taken[root].select("root_id").limit(0)
+    gone = {name: keys.select("key") for name, keys in taken.items()}
+    for r in guards:
+        if r.parent in taken:
             rows = hung(r)
             if r.child in taken:
                 rows = rows.join(taken[r.child], ["root_id", "key"], "left_anti")
-            rows = rows.select("root_id").distinct()
-            held = rows if held is None else held.unionByName(rows)
-    if held is None:
-        refused = taken[root].select("root_id").limit(0)
-    else:
-        refused = cut_lineage(held.distinct(), "refused")
-        taken = {name: keys.join(refused, "root_id", "left_anti") for name, keys in taken.items()}
-    gone = {name: cut_lineage(keys.select("key").distinct(), "gone") for name, keys in taken.items()}
+            refused = refused.unionByName(rows.select("root_id"))
+    if guards:
+        refused = cut_lineage(refused.distinct(), "refused")
+        gone = {name: cut_lineage(keys.join(refused, "root_id", "left_anti").select("key").distinct(), "gone") for name, keys in taken.items()}
 
     left = {}
     for table in order:
