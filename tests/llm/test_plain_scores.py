@@ -68,7 +68,8 @@ def test_language_scores(spark, small):
             for p in places(text):
                 counts[lang][p] = counts[lang].get(p, 0) + 1
     every = 1 << bits
-    share = {lang: [(counts[lang].get(p, 0) + 0.1) / (sum(counts[lang].values()) + 0.1 * every) for p in range(every)] for lang in labels}
+    total = {lang: sum(counts[lang].values()) + 0.1 * every for lang in labels}
+    share = {lang: [(counts[lang].get(p, 0) + 0.1) / total[lang] for p in range(every)] for lang in labels}
     code = [(1, *s) for s in itertools.product((1, -1), repeat=len(labels) - 1)][1:]
     margins, power = [], []
     for split in code:
