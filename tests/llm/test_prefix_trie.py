@@ -80,21 +80,25 @@ def test_oracle(spark, small_dir):
 
 
 def test_colliding_products_are_found_and_repaired(spark, monkeypatch):
-    """With primes so small that different prefixes collide, verification asks for other bases until none does."""
-    asked = []
-    real = trie.verified_nodes
+    """If different prefixes have equal products, verification fails and asks for other bases."""
+    asked, real, products = [], trie.verified_nodes, trie.products
 
     def watched(paths):
         nodes, sound = real(paths)
         asked.append(sound)
         return nodes, sound
 
+    def colliding(turns, turn_of):
+        zero = trie.F.lit(0).cast("bigint")
+        out = products(turns, turn_of)
+        return out.withColumns({c: zero for c in out.columns if c[0] in "bp" and c[1:].isdigit()}) if turn_of == 0 else out
+
     monkeypatch.setattr(trie, "verified_nodes", watched)
-    monkeypatch.setattr(trie, "PRIMES", (3, 3, 3))
+    monkeypatch.setattr(trie, "products", colliding)
     rows = [(c, t, "user", f"{(c * (t + 1)) // 20 % 7}") for c in range(0, 140, 20) for t in range(3)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     assert got(trie.prefix_trie(df)) == brute(rows)
-    assert asked[-1] and not all(asked)
+    assert asked == [False, True]
 
 
 def test_a_product_of_products_is_the_product(spark):
