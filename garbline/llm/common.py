@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from garbline.session import configure
+from garbline.session import configure, cut_lineage
 
 # Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -156,6 +156,23 @@ def sparse_counts(df: DataFrame, hashed: Column, bits: int) -> np.ndarray:
     return bitmap.view(U64)
 
 
+def told_apart(rows: DataFrame, key: str, wanted: DataFrame, bits: int = 24) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``key`` (a bigint) is surely not among the column ``key`` of ``wanted``, and those where it may be.
+
+    Only the second part need be shuffled to find out. A bitmap of ``2**bits`` places, whatever the
+    number of keys, tells them apart where the rows are read; a full one costs time, never a result.
+    """
+    place = F.shiftrightunsigned(F.col(key), 64 - bits)
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(63).cast("int")
+    marks = wanted.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("b"))
+    every = rows.sparkSession.range(1 << (bits - 6)).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("b"))
+    words = marks.unionByName(every).groupBy("w").agg(F.bit_or("b").alias("b"))
+    dense = cut_lineage(words.agg(F.sort_array(F.collect_list(F.struct("w", "b"))).alias("all")).select(F.col("all.b").alias("words")), "bitmap")
+    hit = F.call_function("shiftrightunsigned", F.get(dense.scalar(), word.cast("int")), bit).bitwiseAND(1) == 1
+    maybe = F.coalesce(hit, F.lit(False))
+    return rows.where(~maybe), rows.where(maybe)
+
+
 def in_bitmap(bitmap: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     """Which of the hashes (uint64) fall on a set place of the bitmap."""
     bits = int(len(bitmap)).bit_length() - 1 + 6

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from garbline.llm.common import U64, Words, absent_name, in_bitmap, mix64, row_key, slices, sparse_counts, table
+from garbline.llm.common import U64, Words, absent_name, in_bitmap, mix64, row_key, slices, sparse_counts, table, told_apart
 from garbline.llm.registry import query
 from garbline.session import cut_lineage, discard_since, scratch_mark
 
@@ -212,4 +212,5 @@ def uncontaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = absent_name(docs, "row_key")
     bad = cut_lineage(found.where(F.col("words") >= TELLING).select(F.col("row").alias(key)).distinct(), "overlapping")
     discard_since(spark, mark)
-    return docs.withColumn(key, row_key("doc_id", "text")).join(bad, key, "left_anti").drop(key)
+    clean, doubtful = told_apart(docs.withColumn(key, row_key("doc_id", "text")), key, bad)
+    return clean.unionByName(doubtful.join(bad, key, "left_anti")).drop(key)

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from garbline.functions.graph import components
-from garbline.llm.common import U64, Words, absent_name, in_bitmap, mix64, row_key, slices, sparse_counts, table
+from garbline.llm.common import U64, Words, absent_name, in_bitmap, mix64, row_key, slices, sparse_counts, table, told_apart
 from garbline.llm.registry import query
 from garbline.session import cut_and_count, cut_lineage, discard_since, scratch_mark
 
@@ -483,8 +483,8 @@ def op3_ngram_join(spark, sf_dir) -> DataFrame:
 def representatives(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the row with the smallest id stays, whole; rows without words stay.
 
-    Only the rows that go are looked up by key, so that the kept texts need not be
-    shuffled where few go. Of rows equal in id and text one stays.
+    Only rows that may have to go are looked up by key, so that the kept texts need not be
+    shuffled. Of rows equal in id and text one stays.
     """
     groups = cut_lineage(grouped(docs, "doc_id", "text", N, PERCENT, LIGHT, ROUNDS).where("root is not null"), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("f")
@@ -493,7 +493,7 @@ def representatives(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = absent_name(docs, "row_key")
     lost = counts.join(kept.withColumn("kept", F.lit(True)), "row", "left").where("n > 1 or kept is null")
     gone = cut_lineage(lost.select(F.col("row").alias(key), F.col("kept").isNotNull().alias("once")), "gone")
-    keyed = docs.withColumn(key, row_key("doc_id", "text"))
-    stay = keyed.join(gone.select(key), key, "left_anti")
-    again = keyed.join(gone.where("once").select(key), key, "left_semi").dropDuplicates([key])
-    return stay.unionByName(again).drop(key)
+    stay, doubtful = told_apart(docs.withColumn(key, row_key("doc_id", "text")), key, gone)
+    cleared = doubtful.join(gone.select(key), key, "left_anti")
+    again = doubtful.join(gone.where("once").select(key), key, "left_semi").dropDuplicates([key])
+    return stay.unionByName(cleared).unionByName(again).drop(key)
