@@ -164,30 +164,41 @@ def edited_texts(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     known = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("key"))
-    whole = known.groupBy("doc_id", "key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    named = known.where("doc_id is not null")
+    # Read on both sides of a join with the same columns and conditions, so that texts are shuffled once.
+    whole = named.groupBy("doc_id", "key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     # texts are not needed for the order
-    ids = known.where("doc_id is not null").groupBy("doc_id", "key").agg(F.expr("cast(min(length(text)) div 2 as int)").alias("half"))
+    ids = named.groupBy("doc_id", "key").agg(F.expr("cast(min(length(text)) div 2 as int)").alias("half"))
     order = cut_lineage(successors(ids), "successors")
     asked = order.select(
         F.col("next_id").alias("doc_id"), F.col("next_key").alias("key"), F.col("doc_id").alias("before"), F.col("key").alias("before_key"), F.col("half").alias("wanted")
     )
-    given = whole.join(asked, ["doc_id", "key"]).select(
+    given = whole.where("copies > 0").join(asked, ["doc_id", "key"]).select(
         F.col("before").alias("doc_id"), F.col("before_key").alias("key"), F.expr("substring(text, 1, wanted)").alias("given")
     )
-    return (
-        whole.join(given, ["doc_id", "key"], "left")
-        .join(order.drop("half"), ["doc_id", "key"], "left")
+    size = F.length("text").cast("bigint").alias("n_chars")
+    followed = (
+        whole.join(given, ["doc_id", "key"])
+        .join(order.drop("half"), ["doc_id", "key"])
         .select(
             "doc_id",
             "key",
             "copies",
             "next_id",
             "next_key",
-            F.length("text").cast("bigint").alias("n_chars"),
+            size,
             "text",
             F.concat(F.expr("substring(text, 1, length(text) - length(text) div 2)"), "given").alias("edited"),
         )
     )
+    alone = known.where("doc_id is null").groupBy("doc_id", "key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    nothing = F.lit(None)
+    return followed.unionByName(
+        alone.select(
+            "doc_id", "key", "copies", nothing.cast(known.schema["doc_id"].dataType).alias("next_id"), nothing.cast("bigint").alias("next_key"), size, "text",
+            nothing.cast("string").alias("edited"),
+        )
+    )
 
 
 @query("op9_fingerprints")
