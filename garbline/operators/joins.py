@@ -90,7 +90,8 @@ def order_contact(carts: DataFrame, users: DataFrame) -> DataFrame:
 def wide_order_lines(t, carts: DataFrame | None = None) -> DataFrame:
     """Order lines joined to order, owner, SKU, product and worker; orders without lines drop out.
 
-    Small sides meet first (SKU with product, order with owner), then the lines.
+    Small sides meet first (SKU with product, order with owner), then the lines. What a join adds to the lines goes
+    through all later shuffles, so the narrowest side is joined first and the orders, with the widest, last.
     """
     carts = t.order_carts if carts is None else carts
     owners = t.users.select(F.col("id").alias("supervisor_id"), F.col("full_name").alias("supervisor"))
@@ -98,12 +99,9 @@ def wide_order_lines(t, carts: DataFrame | None = None) -> DataFrame:
         F.col("id").alias("cart_id"), "supervisor_id", "status", "created_at", "total_price"
     ).join(owners, "supervisor_id")
     catalogue = sku_names(t.product_sizes, t.products).drop("price", "product_id")
-    lines = (
-        t.order_items.select("cart_id", "product_size_id", "team_member_id", "quantity", "price_at_time")
-        .join(catalogue, "product_size_id")
-        .join(orders, "cart_id")
-    )
-    return _with_worker(lines, t.team_members).select(
+    lines = t.order_items.select("cart_id", "product_size_id", "team_member_id", "quantity", "price_at_time")
+    named = _with_worker(lines, t.team_members).drop("team_member_id", "worker_id")
+    return named.join(catalogue, "product_size_id").join(orders, "cart_id").select(
         F.col("cart_id").alias("order_id"),
         "status",
         "created_at",

@@ -70,3 +70,16 @@ def test_cut_lineage_keeps_schema_and_counts(spark):
     remove_path(spark, path)
     with pytest.raises(AnalysisException):
         spark.read.parquet(path)
+
+
+def test_orders_join_the_lines_last(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        lines = exports.order_lines_export(sample(spark))
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        assert [r["order_id"] for r in lines.collect()] == [1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # joins from the last to the first: what each adds is not shuffled by those before it in the plan
+    keys = [line.split("[")[1].split("#")[0] for line in plan.splitlines() if "SortMergeJoin [" in line]
+    assert keys[:3] == ["cart_id", "product_size_id", "team_member_id"]
