@@ -1,7 +1,7 @@
 """Streaming transformations. Each takes and returns a DataFrame, so a batch run is its own twin.
 
 Keyed aggregates combine on the map side before the shuffle, so a hot key reaches its
-state as one row per task and batch.
+state as one row per task and batch. Rows are dealt out before that: a batch may arrive as one file.
 """
 
 from __future__ import annotations
@@ -14,6 +14,15 @@ from garbline.operators.status_jobs import final_status, status_aggregates
 from garbline.streaming.keyed import KeyedTable, keyed_copy
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` spread over all tasks by a hash of the row.
+
+    A file that arrives whole is read by one task or a few; combined there, all keys of the batch would meet in
+    their memory.
+    """
+    return rows.repartition(*rows.columns)
+
+
 def status_stream(commands: DataFrame, period: str = "7 days") -> DataFrame:
     """What the commands of each period say about an order (update mode); see ``current_status``.
 
@@ -21,7 +30,7 @@ def status_stream(commands: DataFrame, period: str = "7 days") -> DataFrame:
     watermark passes the period's end, and what it said stays in the table. State is bounded by
     the orders that have commands within a period and the watermark's delay, however long the stream runs.
     """
-    folded = commands.groupBy(F.window("ts", period).alias("w"), "order_id").agg(*status_aggregates())
+    folded = dealt(commands).groupBy(F.window("ts", period).alias("w"), "order_id").agg(*status_aggregates())
     return folded.select("order_id", F.col("w.start").alias("period"), "last_set", "last_cancel")
 
 
@@ -33,14 +42,14 @@ def current_status(said: DataFrame) -> DataFrame:
 
 def stock_stream(movements: DataFrame) -> DataFrame:
     """Net movement and number of movements per SKU (update mode)."""
-    return movements.groupBy("sku").agg(
+    return dealt(movements).groupBy("sku").agg(
         F.sum("delta").cast("bigint").alias("net"), F.count("*").alias("movements")
     )
 
 
 def spend_stream(spend: DataFrame) -> DataFrame:
     """Spend per user and day, with the month for roll-ups. Days behind the watermark are closed."""
-    daily = spend.groupBy(F.window("ts", "1 day").alias("w"), "user_id").agg(
+    daily = dealt(spend).groupBy(F.window("ts", "1 day").alias("w"), "user_id").agg(
         F.sum("amount").alias("amount"), F.count("*").alias("purchases")
     )
     start = F.col("w.start")
@@ -55,7 +64,7 @@ def spend_stream(spend: DataFrame) -> DataFrame:
 
 def engagement_stream(marks: DataFrame, length: str = "6 hours", slide: str = "1 hour") -> DataFrame:
     """Likes, reads and comments per post in sliding windows."""
-    counted = marks.groupBy(F.window("ts", length, slide).alias("w"), "post_id", "kind").agg(
+    counted = dealt(marks).groupBy(F.window("ts", length, slide).alias("w"), "post_id", "kind").agg(
         F.count("*").alias("marks")
     )
     return counted.select(

@@ -99,7 +99,11 @@ def absent_to_table(stream: DataFrame, table: KeyedTable, root: str | None = Non
 
 
 def latest_rows(changes: DataFrame, keys: list[str]) -> DataFrame:
-    """The current row of each key of a change log."""
+    """The current row of each key of a change log.
+
+    A key comes once in a batch, so files hold little to combine. Rows are dealt by key first, and a task sorts
+    what a shuffle partition holds instead of what a file split does.
+    """
     values = [c for c in changes.columns if c not in (*keys, "batch")]
-    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_last"))
+    last = changes.repartition(*keys).groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_last"))
     return last.select(*keys, "_last.*")

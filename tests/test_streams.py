@@ -144,3 +144,20 @@ def test_stream_resumes_where_it_stopped(spark, tmp_path):
     assert rows(latest_rows(changes_to_table(build(), root), ["sku"])) == [(1, 1, 1)]
     write_batches(spark, source, [[event(51, "2024-01-01 11:00", "purchase")]])
     assert rows(latest_rows(changes_to_table(build(), root), ["sku"])) == [(1, 0, 2)]
+
+
+def test_rows_are_dealt_out_before_they_are_counted(spark):
+    when = "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id * 60)"
+    marks = spark.range(400).selectExpr("id % 7 AS post_id", "'like' AS kind", "id AS user_id", f"{when} AS ts", "id AS event_id")
+    counted = jobs.engagement_stream(marks.coalesce(1))
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Exchange hashpartitioning") > plan.rindex("HashAggregate")
+    assert rows(counted) == rows(jobs.engagement_stream(marks))
+
+
+def test_changes_are_dealt_by_key_before_the_latest_is_taken(spark):
+    changes = spark.range(300).selectExpr("id % 100 AS sku", "id AS net", "id div 100 AS batch").coalesce(1)
+    last = latest_rows(changes, ["sku"])
+    plan = last._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.rindex("Exchange") > plan.rindex("Aggregate")
+    assert rows(last) == sorted(((k, 200 + k) for k in range(100)), key=repr)
